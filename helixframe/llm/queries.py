@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, secrets
+from . import gif, mixing, secrets, toxicity
 from .common import table
 
 
@@ -14,6 +14,13 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.replicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", "text", "n_chars", "copy", "shuffle_key")
@@ -77,7 +84,7 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op5_poisson_mixing, op7_secret_ledger)}
+    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op5_poisson_mixing, op7_secret_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -32,8 +32,8 @@ DIMENSIONS = 8
 SIZES = (3, 4, 5, 6)
 #: Means over long texts are small; both fit and score multiply them by this.
 GAIN = 64.0
-#: Share of the sampled documents that must hold an n-gram (three documents at least).
-LEAST_SHARE = 0.005
+#: Standard deviations that chance explains: nearer n-grams are left out of the fit.
+SURE = 3.0
 CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -145,16 +145,26 @@ def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.
     if len(set(toxic)) < 2:
         return Model(None, 0.0)
     keys, texts_of, words_of, flats, counts = [], [], [], [], []
-    base = 0
+    base, n_hold, n_toxic = 0, np.zeros(BUCKETS), np.zeros(BUCKETS)
     for at, held in chunks(texts):
         b = bag(held)
-        pair, n = np.unique(b.text_of * max(len(b.keys), 1) + b.word_of, return_counts=True)
-        texts_of.append(at + pair // max(len(b.keys), 1))
-        words_of.append(np.stack((base + pair % max(len(b.keys), 1), n)))
+        if not len(b.keys):
+            continue
+        pair, n = np.unique(b.text_of * len(b.keys) + b.word_of, return_counts=True)
+        texts_of.append(at + pair // len(b.keys))
+        words_of.append(np.stack((base + pair % len(b.keys), n)))
+        size = np.diff(np.append(b.starts, len(b.flat)))
+        spread = size[pair % len(b.keys)]
+        grams = b.flat[np.repeat(b.starts[pair % len(b.keys)] - np.concatenate(([0], np.cumsum(spread)[:-1])), spread) + np.arange(int(spread.sum()))]
+        holds = np.unique(np.repeat(texts_of[-1], spread) * BUCKETS + grams)
+        n_hold += np.bincount(holds % BUCKETS, minlength=BUCKETS)
+        n_toxic += np.bincount(holds % BUCKETS, weights=y[holds // BUCKETS], minlength=BUCKETS)
         keys.append(b.keys)
         flats.append(b.flat)
-        counts.append(np.diff(np.append(b.starts, len(b.flat))))
+        counts.append(size)
         base += len(b.keys)
+    if not keys:
+        return Model(None, 0.0)
     every, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     count = np.concatenate(counts)
     start = np.concatenate(([0], np.cumsum(count)))[:-1]
@@ -167,29 +177,36 @@ def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.
     word_of = same[word_of]
     length = np.maximum(np.bincount(text_of, weights=weight, minlength=len(texts)), 1)
     weight = weight / length[text_of]  # a document's mean over its words
-    # An n-gram counts once enough of the sample's documents hold it; rarer ones are learned by heart.
-    spread = np.repeat(word_of, n_sub[word_of])
-    grams = flat[np.repeat(sub_starts[word_of] - np.concatenate(([0], np.cumsum(n_sub[word_of])[:-1])), n_sub[word_of]) + np.arange(len(spread))]
-    seen = np.unique(np.repeat(text_of, n_sub[word_of]) * BUCKETS + grams) % BUCKETS
-    common = np.bincount(seen, minlength=BUCKETS) >= max(3, len(y) * LEAST_SHARE)
-    common[0] = True
-    used = np.flatnonzero(common)
-    place = np.zeros(BUCKETS, dtype=np.int64)
+    # An n-gram counts if its share of toxic documents is off the chance share; the rest is learned by heart.
+    share = (y == 1).mean()
+    z = (n_toxic - n_hold * share) / np.sqrt(np.maximum(n_hold * share * (1 - share), 1e-9))
+    used = np.flatnonzero((np.abs(z) >= SURE) & (n_hold >= 3))
+    if not len(used):
+        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
+    place = np.full(BUCKETS, -1, dtype=np.int64)
     place[used] = np.arange(len(used))
-    present = common[flat].astype(float)
-    flat = place[flat]
+    gram_word = np.repeat(np.arange(len(n_sub)), n_sub)[place[flat] >= 0]
+    flat = place[flat][place[flat] >= 0]
+    kept_words, gram_word = np.unique(gram_word, return_inverse=True)  # the others' vectors are 0
+    sub_starts, n_sub = np.searchsorted(gram_word, np.arange(len(kept_words))), n_sub[kept_words]
+    number = np.full(len(every), -1, dtype=np.int64)
+    number[kept_words] = np.arange(len(kept_words))
+    alive = number[word_of] >= 0
+    text_of, word_of, weight = text_of[alive], number[word_of[alive]], weight[alive]
 
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (DIMENSIONS, len(used)))
-    soft = rng.normal(0, 0.5, (2, DIMENSIONS))
-    bias = np.log(np.array([(y == 0).mean(), (y == 1).mean()]))
+    vectors = rng.normal(0, 0.01, (DIMENSIONS, len(used)))
+    vectors[0] += z[used] / 4  # the first dimension starts from that excess
+    soft = rng.normal(0, 0.1, (2, DIMENSIONS))
+    soft[:, 0] = -0.5, 0.5
+    bias = np.log(np.array([1 - share, share]))
     target = np.stack((y == 0, y == 1)).astype(float)
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
-    n_words = len(every)
+    n_words = len(kept_words)
     fold = np.arange(len(y)) % 5 == 0  # judges the epochs; the others are fitted
     best, kept = np.inf, None
     for epoch in range(epochs):
-        words = np.stack([np.add.reduceat(v[flat] * present, sub_starts) / n_sub for v in vectors])
+        words = np.stack([np.add.reduceat(v[flat], sub_starts) / n_sub for v in vectors])
         docs = GAIN * np.stack([np.bincount(text_of, weights=w[word_of] * weight, minlength=len(y)) for w in words])
         logits = soft @ docs + bias[:, None]
         p = np.exp(logits - logits.max(axis=0))
@@ -203,8 +220,8 @@ def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.
         d_docs = GAIN * (soft.T @ error)
         grads = [np.empty_like(vectors), error @ docs.T, error.sum(axis=1)]
         for k in range(DIMENSIONS):
-            d_word = np.bincount(word_of, weights=d_docs[k][text_of] * weight, minlength=n_words) / n_sub
-            grads[0][k] = np.bincount(flat, weights=np.repeat(d_word, n_sub) * present, minlength=len(used))
+            d_word = (np.bincount(word_of, weights=d_docs[k][text_of] * weight, minlength=n_words) / n_sub)[gram_word]
+            grads[0][k] = np.bincount(flat, weights=d_word, minlength=len(used))
         for value, grad, (m, v) in zip((vectors, soft, bias), grads, state):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
