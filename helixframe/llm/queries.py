@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, secrets, toxicity
+from . import gif, mixing, packing, secrets, toxicity
 from .common import table
 
 
@@ -21,6 +21,17 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def public_vocabulary() -> str:
+    """Where the public tokenizer's vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op4_karmarkar_karp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_vocabulary())
+
+
 def op5_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.replicate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "lang", "text", "n_chars", "copy", "shuffle_key")
@@ -84,7 +95,7 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op5_poisson_mixing, op7_secret_ledger)}
+    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger)}
 
 
 def oracle_sql() -> dict[str, str]:
