@@ -1,7 +1,7 @@
 """Packing documents into fixed token windows by Karmarkar-Karp multiway differencing.
 
 Each document's ids are cut at multiples of the capacity; full pieces are windows of their own.
-The remainders are dealt by hash into groups of about GROUP_DOCS documents, and each group is
+What remains, cut to at most CUT ids a piece, is dealt by hash into groups of about GROUP_DOCS documents, and each group is
 differenced: the two partial partitions with the largest imbalances are merged, opposing the
 largest sums of one to the smallest of the other, until one partition into k near-equal windows is
 left. k starts at the least possible count and rises whenever a window exceeds the capacity. Only
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Documents of one differencing group, on average.
 GROUP_DOCS = 512
+#: Remainders are cut to this, so that a window has several and their sums come out even.
+CUT = 512
 END_ID = 1
 #: Longer words are not kept for reuse, and so many words are kept at most.
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
@@ -59,9 +61,14 @@ class WordIds:
             self.known = {"": b""}
         new = list(set().union(*split) - self.known.keys())
         passing: dict[str, bytes] = {}
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            (self.known if len(word) <= KEPT_CHARS else passing)[word] = ids
+        for at in range(0, len(new), 20_000):
+            runs = [new[i : i + 500] for i in range(at, min(at + 20_000, len(new)), 500)]
+            for run, found in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u4")
+                begins = np.cumsum([0] + [len(w) + 1 for w in run])  # a token belongs to the word it starts in
+                cuts = np.searchsorted([x for x, _ in found.offsets], begins)
+                for word, a, b in zip(run, cuts[:-1], cuts[1:]):
+                    (self.known if len(word) <= KEPT_CHARS else passing)[word] = ids[a:b].tobytes()
         if not passing:
             return [b"".join(map(self.known.__getitem__, words)) for words in split]
         return [b"".join(passing[w] if w in passing else self.known[w] for w in words) for words in split]
@@ -70,8 +77,8 @@ class WordIds:
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row for each piece: (id, start, length, ids_crc32, doc_tokens), cut at multiples of the capacity."""
+def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, cut: int = CUT) -> DataFrame:
+    """One row for each piece: (id, start, length, ids_crc32, doc_tokens)."""
     kind = docs.schema[doc_id].dataType.simpleString()
     end = np.array([END_ID], dtype="<u4").tobytes()
 
@@ -90,8 +97,9 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
                 for i, ids in enumerate(coder.encode(texts[at:stop]), at):
                     ids += end
                     total = len(ids) // 4
-                    for start in range(0, total, capacity):
-                        part = ids[4 * start : 4 * (start + capacity)]
+                    whole = total - total % capacity
+                    for start in [*range(0, whole, capacity), *range(whole, total, cut)]:
+                        part = ids[4 * start : 4 * (start + (capacity if start < whole else cut))]
                         owner.append(i)
                         rows.append((start, len(part) // 4, zlib.crc32(part), total))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
@@ -144,12 +152,12 @@ def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
         k += 1
 
 
-def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, cut: int = CUT) -> DataFrame:
     """All pieces with ``sequence_id`` and gapless ``offset``; a sequence id is a group's number and a count in it."""
     groups = max(1, -(-docs.count() // GROUP_DOCS))
-    cut = pieces(docs, vocabulary, doc_id, text, capacity)
-    dealt = cut.withColumn("_group", F.pmod(F.xxhash64(doc_id, "doc_tokens"), F.lit(groups)))
-    names = [f.name for f in cut.schema]
+    found = pieces(docs, vocabulary, doc_id, text, capacity, cut)
+    dealt = found.withColumn("_group", F.pmod(F.xxhash64(doc_id, "doc_tokens"), F.lit(groups)))
+    names = [f.name for f in found.schema]
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([doc_id, "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -168,5 +176,5 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         frame["offset"] = offset
         return frame[[*names, "sequence_id", "offset"]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
     return dealt.groupBy("_group").applyInPandas(place, f"{schema}, sequence_id long, offset long")
