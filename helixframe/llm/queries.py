@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, packing, secrets, toxicity
+from . import gif, mixing, packing, secrets, substrings, toxicity
 from .common import table
 
 
@@ -94,9 +94,35 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 """
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.deduplicate(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS win FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (
+  SELECT win, min(doc_id) AS least FROM windows GROUP BY win
+), covered AS (
+  SELECT DISTINCT doc_id, i + o AS p FROM (SELECT doc_id, i, unnest(generate_series(0, 12)) AS o FROM windows JOIN firsts USING (win) WHERE least < doc_id)
+), marked AS (
+  SELECT e.doc_id, e.p, e.word, c.p IS NOT NULL AS gone
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS p FROM words) e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p
+), summed AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY p) FILTER (NOT gone), '') AS kept FROM marked GROUP BY doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM words w LEFT JOIN summed USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger)}
+    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": OP5_SQL, "op7_secret_ledger": _op7_sql()}
+    return {"op5_poisson_mixing": OP5_SQL, "op7_secret_ledger": _op7_sql(), "op10_substring_dedup": OP10_SQL}
