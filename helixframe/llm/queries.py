@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, mixing, packing, secrets, substrings, toxicity
+from . import gif, jaccard, mixing, packing, secrets, substrings, toxicity
 from .common import table
 
 
@@ -94,6 +94,33 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 """
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
+
+
+def jaccard_sql(source: str, n: int, num: int, den: int) -> str:
+    """CTEs up to ``classes`` (doc_id, n_shingles, component_id) over the relation ``source``."""
+    return rf"""
+words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM {source}
+), sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(generate_series(1, len(w) - {n - 1}), lambda i: array_to_string(w[i:i+{n - 1}], ' '))) END AS s FROM words
+), grams AS MATERIALIZED (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+), pairs AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {den} * count(*) >= {num} * (a.n + b.n - count(*))
+), edges AS MATERIALIZED (
+  SELECT x, y FROM pairs UNION SELECT y, x FROM pairs
+), reach AS (
+  SELECT x AS doc_id, x AS r FROM edges UNION SELECT e.y, reach.r FROM reach JOIN edges e ON e.x = reach.doc_id
+), classes AS (
+  SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(m.r, s.doc_id) AS component_id
+  FROM sets s LEFT JOIN (SELECT doc_id, min(r) AS r FROM reach GROUP BY doc_id) m USING (doc_id)
+)"""
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.deduplicate(table(spark, sf_dir, "documents"))
     removed = F.aggregate("intervals", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
@@ -121,8 +148,8 @@ FROM words w LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger, op9_ngram_jaccard_join, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": OP5_SQL, "op7_secret_ledger": _op7_sql(), "op10_substring_dedup": OP10_SQL}
+    return {"op5_poisson_mixing": OP5_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL}
