@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, jaccard, mixing, packing, secrets, substrings, toxicity
+from . import gif, jaccard, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms")
 
 
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace(table(spark, sf_dir, "documents"), counted=True)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +66,25 @@ FROM documents d JOIN copies c ON d.doc_id = c.doc_id
 """
 
 
+def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
+OP6_SQL = """
+WITH fine AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256e0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(generate_series(1, len(a.q)), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
+  FROM fine a JOIN fine b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank, vec_id, score FROM scored
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = table(spark, sf_dir, "documents").withColumn("version", F.lit(1))
     found = secrets.findings(history, "doc_id", "version", "text")
@@ -94,6 +117,11 @@ FROM documents d LEFT JOIN sums USING (doc_id)
 """
 
 
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pages.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
@@ -148,8 +176,8 @@ FROM words w LEFT JOIN summed USING (doc_id)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op7_secret_ledger, op9_ngram_jaccard_join, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": OP5_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL}
+    return {"op5_poisson_mixing": OP5_SQL, "op6_exact_topk": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL}
