@@ -15,6 +15,7 @@ memory. An empty table gives no pieces. Input columns other than the id and the
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -74,6 +75,12 @@ class WordIds:
         return [b"".join(passing[w] if w in passing else self.known[w] for w in words) for words in split]
 
 
+@functools.lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """A worker's tasks share the words that it has encoded."""
+    return WordIds(path)
+
+
 PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -83,7 +90,7 @@ def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     end = np.array([END_ID], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = WordIds(vocabulary)
+        coder = word_ids(vocabulary)
         names = [doc_id, *(c.split()[0] for c in PIECE_SCHEMA.split(", "))]
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -27,8 +27,8 @@ from .common import materialize
 RELAX_AFTER = 16
 MAX_ROUNDS = 64
 
-MALE_TITLES = r"Mr|Mister|Sir|Herr|Herrn|Monsieur|M\.|Señor|Sr\.|Signor|г-н|Господин|Κύριος"
-FEMALE_TITLES = r"Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra\.|Srta\.|Signora|г-жа|Госпожа|Κυρία"
+MALE_TITLES = r"Mr|MR|Mister|Sir|Herr|Herrn|Monsieur|M\.|Señor|Sr\.|Signor|г-н|Господин|Κύριος"
+FEMALE_TITLES = r"Mrs|MRS|Ms|MS|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra\.|Srta\.|Signora|г-жа|Госпожа|Κυρία"
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
 _MALE, _FEMALE = rf"(?<!\p{{L}})(?:{MALE_TITLES})\.? ", rf"(?<!\p{{L}})(?:{FEMALE_TITLES})\.? "
 _ANY = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? "
