@@ -1,33 +1,65 @@
-"""Connected components of an edge table by contraction, never gathered in one place."""
+"""Connected components of an edge table by contraction in bounded groups, never gathered in one place."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Edges that one group contracts.
+GROUP_EDGES = 200_000
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, smallest node of its component) of every node of these edges."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    up = list(range(len(nodes)))
+    for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    label = np.array(up, dtype=np.int64)
+    while not np.array_equal(label, label[label]):
+        label = label[label]
+    return nodes, nodes[label]
+
+
+def _contract(key: tuple, edges: pa.Table) -> pa.Table:
+    node, label = forest(edges.column("a").to_numpy(), edges.column("b").to_numpy())
+    return pa.Table.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the label is the component's smallest node.
 
-    Each round hooks every node to its smallest neighbour and contracts the edges to those, so at
-    least half of the remaining nodes go; the hooks are then composed backwards. A node with very
-    many neighbours is only a skewed join key, which adaptive execution splits. Self-loops and
-    null ends give no labels.
+    Edges are dealt by hash into groups of about GROUP_EDGES. Each group joins what it can; a node
+    then hooks to the smallest label any group gave it, and the groups' forests are contracted to
+    the hooks, until one group holds what is left. The hooks are composed backwards. Self-loops
+    and null ends give no labels.
     """
     current = materialize(edges.where("a <> b").select("a", "b").distinct())
     hooks: list[DataFrame] = []
-    while not current.isEmpty():
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")))
+    while n := current.count():
+        groups = -(-n // GROUP_EDGES)
+        dealt = current.withColumn("_group", F.pmod(F.xxhash64("a", "b"), F.lit(groups)))
+        local = materialize(dealt.groupBy("_group").applyInArrow(_contract, "node long, label long"))
+        if groups == 1:
+            hooks.append(local)
+            break
+        hook = materialize(local.groupBy("node").agg(F.min("label").alias("label")))
         hooks.append(hook)
-        left, right = hook.toDF("a", "m"), hook.toDF("b", "n")
-        current = materialize(current.join(left, "a").join(right, "b").where("m <> n").select(F.col("m").alias("a"), F.col("n").alias("b")).distinct())
+        left, right = hook.toDF("node", "a"), hook.toDF("label", "b")
+        current = materialize(local.join(left, "node").join(right, "label").where("a <> b").select("a", "b").distinct())
     if not hooks:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
-    labels = hooks.pop()
+    labels, composed = hooks.pop(), bool(hooks)
     while hooks:
         later = labels.toDF("label", "further")
         labels = hooks.pop().join(later, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    return materialize(labels)
+    return materialize(labels) if composed else labels

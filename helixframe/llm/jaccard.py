@@ -41,7 +41,7 @@ from .graph import components
 #: for each so many differences. Of segments with 4.4 n-grams or more on average 1.2 % are empty.
 SPARE, SPARE_EACH = 3, 25
 #: Sets, and n-grams, that one trie holds.
-CHUNK_SETS, CHUNK_GRAMS = 1024, 2_000_000
+CHUNK_SETS, CHUNK_GRAMS = 4096, 4_000_000
 #: Longest edge of a trie before bounds are tested again.
 EDGE = 32
 
@@ -339,11 +339,10 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     if split.isEmpty():
         return found
     # One set stands for each component that the chunks have found; these are joined among themselves.
-    for salt in (2, 3):
-        label = components(found)
-        labelled = split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        heads = labelled.where("label = node").select(*sets.columns)
-        found = materialize(found.unionByName(_join_chunks(_chunked(heads, salt).withColumn("asks", F.lit(True)), num, den)))
+    label = components(found)
+    labelled = split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    heads = labelled.where("label = node").select(*sets.columns)
+    found = materialize(found.unionByName(_join_chunks(_chunked(heads, 2).withColumn("asks", F.lit(True)), num, den)))
     # All pairs that are not yet connected have an end outside the candidate component's largest part.
     label = components(found)
     labelled = materialize(split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
