@@ -36,16 +36,18 @@ _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Each kind's pattern where it stands in a text, in order of precedence.
 PATTERNS = {
-    "EMAIL": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "IP": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
-    "IBAN": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "CARD": r"(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
-    "SSN": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "PHONE": r"(?<![0-9A-Za-z])\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "GIVEN_M": rf"(?<={_MALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
-    "GIVEN_F": rf"(?<={_FEMALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
-    "SURNAME": rf"(?<={_ANY}(?:{_NAME} )?){_NAME}",
+    "EMAIL": r"[A-Za-z0-9](?<![A-Za-z0-9._%+-].)[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "IP": rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
+    "IBAN": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "CARD": r"(?=[0-9])(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
+    "SSN": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
+    "PHONE": r"\+(?<![0-9A-Za-z].)[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?=[0-9(])(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    "GIVEN_M": rf"(?=\p{{Lu}})(?<={_MALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
+    "GIVEN_F": rf"(?=\p{{Lu}})(?<={_FEMALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
+    "SURNAME": rf"(?=\p{{Lu}})(?<={_ANY}(?:{_NAME} )?){_NAME}",
 }
+#: Texts without any of these have no entity; each is cheap where its first character is rare.
+GATES = (r"@", r"[0-9][0-9(). -]{5,}[0-9]", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", rf"[MHSFГгΚ](?<=(?<!\p{{L}}).)(?<=(?=(?:{MALE_TITLES}|{FEMALE_TITLES})).)\S{{1,10}} \p{{Lu}}")
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 # Given names by gender, and syllables and endings of surnames, for each script.
@@ -201,7 +203,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = "surrogates-1", coun
     """
     content = F.col(text)
     columns = docs.columns
-    has = F.coalesce(content.rlike(ENTITY), F.lit(False))
+    has = F.coalesce((content.contains("@") | content.rlike("|".join(f"(?:{g})" for g in GATES[1:]))) & content.rlike(ENTITY), F.lit(False))
     clean = docs.where(~has).withColumn("n_entities", F.lit(0))
     dirty = docs.where(has).withColumn("_row", F.sha2(content, 256))  # equal texts are rewritten alike
     hits = dirty.select("_row", content.alias("_text")).dropDuplicates(["_row"]).select("_row", F.explode(_named_hits(F.col("_text"))).alias("h"))
