@@ -41,9 +41,9 @@ def source_rates(docs: DataFrame, source: str, text: str, weights: Mapping[str,
         given = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
         weight = F.coalesce(given[F.col("source")], F.lit(0.0))
     mass = materialize(mass.withColumn("weight", weight))
-    total = mass.agg(F.sum("mass").alias("all_mass"), F.sum("weight").alias("all_weight"))  # one row
-    rate = F.when(F.col("mass") > 0, F.col("weight") / F.col("all_weight") * F.col("all_mass") / F.col("mass")).otherwise(F.lit(1.0))
-    rated = mass.crossJoin(F.broadcast(total)).select("source", "mass", rate.alias("rate"))
+    total = mass.agg(F.sum("mass").alias("mass"), F.sum("weight").alias("weight")).first()
+    rate = F.when(F.col("mass") > 0, F.col("weight") / F.lit(total["weight"]) * F.lit(total["mass"]) / F.col("mass")).otherwise(F.lit(1.0))
+    rated = mass.select("source", "mass", rate.alias("rate"))
     parts = F.greatest(F.ceil(F.col("rate") / PART_RATE), F.lit(1)).cast("int")
     steps = F.expr(
         f"""filter(aggregate(sequence(1, {STEPS}),
