@@ -6,8 +6,8 @@
    d = (den - num)(a + b) / (den + num) n-grams. The hash space is cut into more than d + SPARE
    segments (as many for all sets of a size band), so more than SPARE segments of the two are equal,
    and one of those is not empty unless a set has more empty ones than that, which then count too.
-   Each node sends a key for each segment; equal keys make candidates, and candidate components
-   follow. Only near-copies share whole segments, whatever lines or passages are frequent.
+   Each node sends a key for each segment in both of its bands; equal keys make candidates, and
+   candidate components follow for each band. Only near-copies share whole segments, whatever lines or passages are frequent.
 3. The sets of a candidate component, each moved once, are stored in a trie in their global order
    (frequent n-grams first) and traversed by one set after another: all sets below a node share the
    partial overlap, and subtrees that cannot reach the needed overlap with what is left of either
@@ -78,12 +78,23 @@ def nodes_of(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.nda
     return mix(total + sizes.astype(np.uint64)).view(np.int64)
 
 
-def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, set) for the segments of each set, for its own size band and the one below."""
+def bands_of(sizes: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two size bands of each set: band i holds the classes i and i + 1, and linked sets share a band."""
     step = np.log(den / num) + 1e-6
     own = np.floor(np.log(np.maximum(sizes, 1)) / step).astype(np.int64)
-    keys, sets = [], []
-    for band in (own, own - 1):  # band i holds the classes i and i + 1
+    return own, own - 1
+
+
+def in_band(nodes: np.ndarray, band: np.ndarray) -> np.ndarray:
+    """A node's id among the candidates of one band."""
+    return mix(nodes.view(np.uint64) ^ mix(band.astype(np.uint64) + np.uint64(0x51ED270B))).view(np.int64)
+
+
+def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, set, band) of the segments of each set, for each of its two bands."""
+    step = np.log(den / num) + 1e-6
+    found = []
+    for band in bands_of(sizes, num, den):
         largest = np.floor(np.exp((band + 2) * step)).astype(np.int64) + 1
         differing = (den - num) * 2 * largest // (den + num)
         spare = SPARE + differing // SPARE_EACH
@@ -105,9 +116,8 @@ def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num:
         sent = filled | (empty > spare)[of]
         number = np.arange(len(content)) - base[of]
         key = mix(content + mix((band[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)))
-        keys.append(key[sent])
-        sets.append(of[sent])
-    return np.concatenate(keys), np.concatenate(sets)
+        found.append((key[sent], of[sent], band[of[sent]]))
+    return found
 
 
 # ---------------------------------------------------------------- the trie
@@ -194,6 +204,9 @@ class Trie:
             n = self.first_child[frontier + 1] - self.first_child[frontier]
             kids = self.children[np.repeat(self.first_child[frontier] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
             shared = np.repeat(both, n)
+            reach = np.minimum(shared + self.high[kids] - self.begin[kids], size)
+            near = ((num + den) * reach >= num * (size + self.low[kids])) & ((num + den) * (shared + self.high[kids] - self.begin[kids]) >= num * (size + self.high[kids]))
+            kids, shared = kids[near], shared[near]
             length = self.at[kids + 1] - self.at[kids]
             if total := int(length.sum()):
                 hits = mark[self.tokens[np.repeat(self.at[kids] - np.cumsum(length) + length, length) + np.arange(total)]]
@@ -262,24 +275,27 @@ def _pass(docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFra
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
-def _membership(docs: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(id, n_shingles, node) of every row."""
+def _membership(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(id, n_shingles, node, and the node's ids in its two bands) of every row."""
 
     def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         holder, grams, sizes = sets_of(texts, n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes.astype(np.int64)), pa.array(nodes_of(holder, grams, sizes))], ["id", "n_shingles", "node"])
+        nodes = nodes_of(holder, grams, sizes)
+        first, second = (in_band(nodes, band) for band in bands_of(sizes, num, den))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (sizes.astype(np.int64), nodes, first, second))], ["id", "n_shingles", "node", "first", "second"])
 
-    return _pass(docs, doc_id, text, make, "id long, n_shingles long, node long")
+    return _pass(docs, doc_id, text, make, "id long, n_shingles long, node long, first long, second long")
 
 
 def _candidates(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): nodes that share a segment key, each with the smallest of that key."""
+    """(a, b): ids in a band that share a segment key, each with the smallest of that key."""
     parts = exchange.ranges(docs, text)
 
     def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         holder, grams, sizes = sets_of(texts, n)
-        keys, of = segment_keys(holder, grams, sizes, num, den)
-        yield from exchange.rows(keys, nodes_of(holder, grams, sizes)[of], parts)
+        found, nodes = segment_keys(holder, grams, sizes, num, den), nodes_of(holder, grams, sizes)
+        ids_in_band = np.concatenate([in_band(nodes[of], band) for _, of, band in found])
+        yield from exchange.rows(np.concatenate([key for key, _, _ in found]), ids_in_band, parts)
 
     def star(key: tuple, group: pa.Table) -> pa.Table:
         _, other, least = exchange.holders(group)
@@ -291,7 +307,7 @@ def _candidates(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den:
 
 
 def _set_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(node, comp, size, grams) of the nodes in ``wanted`` (id, node, comp), from one document each."""
+    """(node, comp, size, grams) of the nodes in ``wanted`` (id, node, comps), from one document each."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text).join(wanted.hint("shuffle_hash"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,10 +319,11 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int
                 good = found == np.array(part.column(2).to_pylist(), dtype=np.int64)  # a repeated id may hold another text
                 cuts = np.cumsum(sizes)
                 packed = [grams[c - s : c].tobytes() for c, s in zip(cuts, sizes)]
-                whole = pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], ["node", "comp", "size", "grams"])
+                whole = pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], ["node", "comps", "size", "grams"])
                 yield whole.filter(pa.array(good))
 
-    return rows.select("id", text, "node", "comp").mapInArrow(run, "node long, comp long, size long, grams binary").dropDuplicates(["node"])
+    found = rows.select("id", text, "node", "comps").mapInArrow(run, "node long, comps array<long>, size long, grams binary")
+    return found.dropDuplicates(["node"]).select("node", F.explode("comps").alias("comp"), "size", "grams")
 
 
 def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -341,7 +358,8 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
     # One set stands for each component that the chunks have found; these are joined among themselves.
     label = components(found)
     labelled = split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = labelled.where("label = node").select(*sets.columns)
+    head = labelled.groupBy("comp", "label").agg(F.min("node").alias("node")).select("comp", "node")
+    heads = labelled.join(head, ["comp", "node"], "left_semi").select(*sets.columns)
     found = materialize(found.unionByName(_join_chunks(_chunked(heads, 2).withColumn("asks", F.lit(True)), num, den)))
     # All pairs that are not yet connected have an end outside the candidate component's largest part.
     label = components(found)
@@ -363,11 +381,12 @@ def links(sets: DataFrame, num: int, den: int) -> DataFrame:
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row: texts link when den * intersection >= num * union."""
-    members = materialize(_membership(docs, doc_id, text, n))
+    members = materialize(_membership(docs, doc_id, text, n, num, den))
     near = components(_candidates(docs, doc_id, text, n, num, den))
     real = members.where("n_shingles > 0 AND id IS NOT NULL")
-    holders = real.groupBy("node").agg(F.min("id").alias("id"))
-    wanted = holders.join(near.withColumnRenamed("label", "comp"), "node").select("id", "node", "comp")
+    holders = real.groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"))
+    placed = holders.select("id", "node", F.explode(F.array("first", "second")).alias("in_band"))
+    wanted = placed.join(near.toDF("in_band", "comp"), "in_band").groupBy("id", "node").agg(F.collect_list("comp").alias("comps"))  # two at most
     sets = materialize(_set_rows(docs, wanted, doc_id, text, n))
     linked = components(links(sets, num, den))
     # Rows of one id are one document: what any of them links with belongs to its class.
@@ -377,7 +396,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     if not repeated.isEmpty():
         extra = shared.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"))
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(extra))
-    labelled = holders.join(linked, "node", "left").select("node", "id", label.alias("label"))
+    labelled = holders.select("node", "id").join(linked, "node", "left").select("node", "id", label.alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = labelled.join(least, "label").select("node", "component_id")
     out = members.join(by_node, "node", "left")
