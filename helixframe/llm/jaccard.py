@@ -3,11 +3,12 @@
 1. Every document's set of word n-grams is hashed to 64-bit values; equal sets share one node, the
    hash of the set, so copies collapse before anything is moved.
 2. Candidate nodes: two linked sets of sizes a and b differ in at most
-   d = (den - num)(a + b) / (den + num) n-grams. The hash space is cut into more than d + SPARE
-   segments (as many for all sets of a size band), so more than SPARE segments of the two are equal,
-   and one of those is not empty unless a set has more empty ones than that, which then count too.
-   Each node sends a key for each segment in both of its bands; equal keys make candidates, and
-   candidate components follow for each band. Only near-copies share whole segments, whatever lines or passages are frequent.
+   d = (den - num)(a + b) / (den + num) n-grams. The hash space is cut into m > d segments (as many
+   for all sets of a size band), of which at most d differ. So the d + 1 first segments of each, in
+   one order for all, have one in common: each node sends those as keys, segments with many
+   infrequent n-grams first, in both of its bands. Equal keys make candidates, and candidate
+   components follow for each band. Frequent lines or passages alone fill few segments that are
+   sent; the order is a matter of cost only.
 3. The sets of a candidate component, each moved once, are stored in a trie in their global order
    (frequent n-grams first) and traversed by one set after another: all sets below a node share the
    partial overlap, and subtrees that cannot reach the needed overlap with what is left of either
@@ -37,9 +38,11 @@ from . import exchange
 from .common import mix, materialize, text_chunks, window_hashes, word_hashes
 from .graph import components
 
-#: Equal segments beyond the one that is needed, so that empty ones can be left out: so many, and one
-#: for each so many differences. Of segments with 4.4 n-grams or more on average 1.2 % are empty.
-SPARE, SPARE_EACH = 3, 25
+#: Segments for each four that a set sends.
+MORE_SEGMENTS = 5
+#: Frequent n-grams are those of two or more of about so many sampled documents, the most frequent first.
+#: They only set an order, so any sample gives the same classes.
+SAMPLE_DOCS, FREQUENT = 4000, 200_000
 #: Sets, and n-grams, that one trie holds.
 CHUNK_SETS, CHUNK_GRAMS = 4096, 4_000_000
 #: Longest edge of a trie before bounds are tested again.
@@ -90,32 +93,38 @@ def in_band(nodes: np.ndarray, band: np.ndarray) -> np.ndarray:
     return mix(nodes.view(np.uint64) ^ mix(band.astype(np.uint64) + np.uint64(0x51ED270B))).view(np.int64)
 
 
-def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, set, band) of the segments of each set, for each of its two bands."""
+def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(key, set, band) of the segments that each set sends, for each of its two bands.
+
+    Of m segments at most d differ, so the d + 1 first in any order of segments that both sets
+    follow have one in common; the order puts segments with many infrequent n-grams first.
+    """
     step = np.log(den / num) + 1e-6
+    place = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
+    rare = frequent[place] != grams if len(frequent) else np.ones(len(grams), dtype=bool)
     found = []
     for band in bands_of(sizes, num, den):
         largest = np.floor(np.exp((band + 2) * step)).astype(np.int64) + 1
         differing = (den - num) * 2 * largest // (den + num)
-        spare = SPARE + differing // SPARE_EACH
-        m = np.where((sizes > 0) & (band >= 0) & (differing > 0), differing + 1 + spare, 0)
+        used = (sizes > 0) & (band >= 0) & (differing > 0)
+        m = np.where(used, (differing + 1) * MORE_SEGMENTS // 4, 0)
         base = np.cumsum(m) - m
         use = m[holder] > 0
-        h, g = holder[use], grams[use]
+        h, g, r = holder[use], grams[use], rare[use]
         segment = ((mix(g ^ np.uint64(0xA0761D6478BD642F)) >> np.uint64(32)) * m[h].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
         slot = base[h] + segment
         content = np.zeros(int(m.sum()), dtype=np.uint64)
         order = np.argsort(slot, kind="stable")
-        slot, g = slot[order], g[order]
+        slot, g, r = slot[order], g[order], r[order]
         if len(slot):
             first = np.flatnonzero(np.concatenate(([True], slot[1:] != slot[:-1])))
             content[slot[first]] = np.add.reduceat(mix(g), first)
-        filled = np.bincount(slot, minlength=len(content)) > 0
+        weight = np.bincount(slot, weights=r, minlength=len(content)).astype(np.int64)
         of = np.repeat(np.arange(len(sizes)), m)
-        empty = np.bincount(of[~filled], minlength=len(sizes))
-        sent = filled | (empty > spare)[of]
         number = np.arange(len(content)) - base[of]
         key = mix(content + mix((band[of].astype(np.uint64) << np.uint64(32)) + number.astype(np.uint64)))
+        ranked = np.lexsort((key, -weight, of))
+        sent = ranked[number <= differing[of]]  # ranked by set: places 0 to d of each
         found.append((key[sent], of[sent], band[of[sent]]))
     return found
 
@@ -287,13 +296,28 @@ def _membership(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den:
     return _pass(docs, doc_id, text, make, "id long, n_shingles long, node long, first long, second long")
 
 
+def _frequent(docs: DataFrame, doc_id: str, text: str, n: int) -> np.ndarray:
+    """Sorted n-grams that several sampled documents hold: at most FREQUENT numbers."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+
+    def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        _, grams, _ = sets_of(texts, n)
+        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    sample = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0)
+    counted = _pass(sample, doc_id, text, make, "gram long").groupBy("gram").count().where("count > 1")
+    top = counted.orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram").toArrow()
+    return np.sort(top.column("gram").to_numpy().astype(np.int64).view(np.uint64))
+
+
 def _candidates(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """(a, b): ids in a band that share a segment key, each with the smallest of that key."""
     parts = exchange.ranges(docs, text)
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, doc_id, text, n))
 
     def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         holder, grams, sizes = sets_of(texts, n)
-        found, nodes = segment_keys(holder, grams, sizes, num, den), nodes_of(holder, grams, sizes)
+        found, nodes = segment_keys(holder, grams, sizes, num, den, frequent.value), nodes_of(holder, grams, sizes)
         ids_in_band = np.concatenate([in_band(nodes[of], band) for _, of, band in found])
         yield from exchange.rows(np.concatenate([key for key, _, _ in found]), ids_in_band, parts)
 
@@ -323,7 +347,7 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int
                 yield whole.filter(pa.array(good))
 
     found = rows.select("id", text, "node", "comps").mapInArrow(run, "node long, comps array<long>, size long, grams binary")
-    return found.dropDuplicates(["node"]).select("node", F.explode("comps").alias("comp"), "size", "grams")
+    return found.select("node", F.explode("comps").alias("comp"), "size", "grams")
 
 
 def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
