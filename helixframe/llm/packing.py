@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,8 @@ END_ID = 1
 #: Longer words are not kept for reuse, and so many words are kept at most.
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 BATCH_CHARS = 2 << 20
+#: Words that are one run of letters after any normalisation.
+PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]{1,48}\Z")
 
 
 class WordIds:
@@ -47,32 +50,70 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.marks = {c: self._ids(c) for c in ".,"}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     @staticmethod
     def words(text: str) -> list[str]:
+        """White-space words, with A-Z lower as the tokenizer makes them; texts with special tokens stay as they are."""
+        if "<|" not in text:
+            text = text.lower() if text.isascii() else text.encode().lower().decode()
         for space in "\n\r\t":
             text = text.replace(space, " ")
         return text.split(" ")
 
+    def _plain(self, words: list[str], known: dict[str, bytes]) -> None:
+        """Words of Latin letters alone, each of which ends with one word-ending id."""
+        for at in range(0, len(words), 20_000):
+            runs = [words[i : i + 500] for i in range(at, min(at + 20_000, len(words)), 500)]
+            for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
+                ids = np.array(found.ids, dtype="<u4")
+                cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                if len(cuts) != len(run):
+                    known.update((w, self._ids(w)) for w in run)
+                    continue
+                raw, begin = ids.tobytes(), 0
+                for word, end in zip(run, cuts.tolist()):
+                    known[word] = raw[begin:end]
+                    begin = end
+
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new words; those that are not kept are returned."""
+        passing: dict[str, bytes] = {}
+        stems, marked = set(), []
+        for word in new:
+            if PLAIN.match(word):
+                stems.add(word)
+            elif word[-1] in self.marks and PLAIN.match(word[:-1]):  # a mark after letters is a token of its own
+                marked.append(word)
+                if word[:-1] not in self.known:
+                    stems.add(word[:-1])
+            else:
+                (self.known if len(word) <= KEPT_CHARS else passing)[word] = self._ids(word)
+        self._plain(list(stems), self.known)
+        for word in marked:
+            self.known[word] = self.known[word[:-1]] + self.marks[word[-1]]
+        return passing
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
         split = [self.words(t) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known = {"": b""}
-        new = list(set().union(*split) - self.known.keys())
-        passing: dict[str, bytes] = {}
-        for at in range(0, len(new), 20_000):
-            runs = [new[i : i + 500] for i in range(at, min(at + 20_000, len(new)), 500)]
-            for run, found in zip(runs, self.tokenizer.encode_batch([" ".join(r) for r in runs], add_special_tokens=False)):
-                ids = np.array(found.ids, dtype="<u4")
-                begins = np.cumsum([0] + [len(w) + 1 for w in run])  # a token belongs to the word it starts in
-                cuts = np.searchsorted([x for x, _ in found.offsets], begins)
-                for word, a, b in zip(run, cuts[:-1], cuts[1:]):
-                    (self.known if len(word) <= KEPT_CHARS else passing)[word] = ids[a:b].tobytes()
-        if not passing:
-            return [b"".join(map(self.known.__getitem__, words)) for words in split]
-        return [b"".join(passing[w] if w in passing else self.known[w] for w in words) for words in split]
+        parts = [list(map(self.known.get, words)) for words in split]
+        new: set[str] = set()
+        for words, got in zip(split, parts):
+            if None in got:
+                new.update(w for w, ids in zip(words, got) if ids is None)
+        passing = self._learn(new)
+        found = self.known | passing if passing else self.known
+        return [b"".join([found[w] if ids is None else ids for w, ids in zip(words, got)] if None in got else got) for words, got in zip(split, parts)]
 
 
 @functools.lru_cache(maxsize=2)
