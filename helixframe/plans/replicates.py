@@ -200,7 +200,7 @@ PLANS = {
     ),
     "kinship_means": (
         lambda s, d: r(kinship.individual_means(A.kinship_pairs(s, d), ["rep", "pop"]), "mean_kinship", n=6),
-        f"WITH {KIN} SELECT rep, pop, sample, round(avg(kinship), 8) AS mean_kinship FROM (SELECT rep, pop, sample1 AS sample, kinship FROM kin UNION ALL SELECT rep, pop, sample2, kinship FROM kin) GROUP BY ALL",
+        f"WITH {KIN} SELECT rep, pop, sample, round(avg(kinship), 6) AS mean_kinship FROM (SELECT rep, pop, sample1 AS sample, kinship FROM kin UNION ALL SELECT rep, pop, sample2, kinship FROM kin) GROUP BY ALL",
     ),
 }
 
