@@ -199,8 +199,8 @@ PLANS = {
         SELECT rep, pop, CAST(k AS INT) AS k, round(-0.05e0 + k * (0.15e0 / 59), 6) AS x, round(sum(exp(-0.5e0 * pow((-0.05e0 + k * (0.15e0 / 59) - kinship) / bw, 2)) / (n * bw * 2.5066282746310002e0)), 6) AS density FROM points GROUP BY rep, pop, k""",
     ),
     "kinship_means": (
-        lambda s, d: r(kinship.individual_means(A.kinship_pairs(s, d), ["rep", "pop"]), "mean_kinship", n=6),
-        f"WITH {KIN} SELECT rep, pop, sample, round(avg(kinship), 6) AS mean_kinship FROM (SELECT rep, pop, sample1 AS sample, kinship FROM kin UNION ALL SELECT rep, pop, sample2, kinship FROM kin) GROUP BY ALL",
+        lambda s, d: r(kinship.individual_means(A.kinship_pairs(s, d), ["rep", "pop"]), "mean_kinship", n=12),
+        f"WITH {KIN} SELECT rep, pop, sample, round(avg(kinship), 12) AS mean_kinship FROM (SELECT rep, pop, sample1 AS sample, kinship FROM kin UNION ALL SELECT rep, pop, sample2, kinship FROM kin) GROUP BY ALL",
     ),
 }
 
