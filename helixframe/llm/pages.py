@@ -2,18 +2,22 @@
 
 A page's blocks become text lines with a zone: main (inside an article or main element), dropped
 (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments, by element, role
-or class words) or open (neither). Main lines are the text. Where a page has none, its open lines
-are differenced: pages are paired with the neighbours by URL path on the same host, lines are
-aligned by longest common subsequence, and lines shared with either neighbour are deleted.
-Differencing alone does not give right results (the README has figures): pages repeat their
-articles as often as their menus, so lines that the markup decides are left to it.
+or class words) or open (neither). Main lines are text; open lines, of every page, are differenced:
+pages are paired with the neighbours by URL path on the same host, lines are aligned by longest
+common subsequence, and open lines shared with either neighbour are deleted. Differencing alone does
+not give right results (the README has figures): pages repeat their articles as often as their
+menus, so lines that the markup decides are left to it.
+
+Class words and forms drop softly, as wrappers of whole pages have them too: a main element in them is
+main again, and so is an article, but where the word names other texts (comments, teasers, adverts)
+only if the page has no main line besides. A page with no line outside them keeps their lines as open.
 
 Pairing sorts only (host, path, key), by range, so a host with a third of all pages is split like
 any other; pages move only where they need their neighbours' line hashes.
 
 Defined cases: null or empty html, and pages without text, give the empty text. A null or odd URL
-has an empty host and its own path. Repeated rows give equal rows. A neighbour that shares all open
-lines is a copy and is ignored. An empty table gives no rows. Other columns are ignored.
+has an empty host and its own path. Repeated rows give equal rows. A neighbour that shares all main and
+open lines is a copy and is ignored. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 MAIN, OPEN, DROPPED = 2, 1, 0
+#: Zones of the scan alone: in a softly dropped wrapper, in one that names other texts, and in an article there.
+SOFT, OTHERS, SPARE = 3, 4, 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -53,24 +59,69 @@ DROPPED_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo
 DROPPED_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "related", "replies", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 
 
-def _dropped(name: str, rest: str, in_main: bool) -> bool:
-    if name in DROPPED_ELEMENTS or name == "header" and not in_main:
-        return True
-    if not rest or name in ("article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(rest):
+#: Words of wrappers whose articles are other texts than the page's own.
+OTHER_TEXTS = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "disqus", "promo", "related", "replies", "respond", "sponsor", "sponsored"}
+#: A class such as has-sidebar says what is elsewhere on the page.
+STATES = {"has", "no", "with", "without"}
+
+
+def _words(value: str) -> set[str]:
+    found: set[str] = set()
+    for name in value.split():
+        words = [w.lower() for w in WORDS.findall(name)]
+        if words and words[0] not in STATES:
+            found.update(words)
+    return found
+
+
+def _dropped(name: str, rest: str, in_main: bool) -> int | None:
+    """The zone that an element's own name and attributes drop it to: DROPPED, SOFT, OTHERS or None."""
+    soft = SOFT if name == "form" else None
+    if name in DROPPED_ELEMENTS and not soft or name == "header" and not in_main:
+        return DROPPED
+    for m in ATTRIBUTE.finditer(rest) if rest else ():
         kind, value = m.group(1).lower(), m.group(2) or m.group(3) or m.group(4) or ""
         if kind == "role":
             if value.lower() in DROPPED_ROLES:
-                return True
+                return DROPPED
         elif kind in ("hidden", "aria-hidden"):
             if kind == "hidden" and "=" not in m.group(0) or value.lower() in ("true", "hidden"):
-                return True
+                return DROPPED
         else:
-            words = {w.lower() for w in WORDS.findall(value)}
-            if words & DROPPED_WORDS or not in_main and "header" in words:
-                return True
-    return False
+            words = _words(value)
+            if words & OTHER_TEXTS:
+                soft = OTHERS
+            elif words & DROPPED_WORDS or not in_main and "header" in words:
+                soft = soft or SOFT
+    return soft
+
+
+def _inside(zone: int, name: str, rest: str) -> int:
+    """The zone inside an element that stands in ``zone``."""
+    if not zone:
+        return DROPPED
+    if name in ("article", "main") or 'role="main"' in rest:
+        if zone in (OPEN, MAIN):
+            return MAIN
+        own = _dropped(name, rest, True)
+        if own == DROPPED or own == OTHERS and name == "article":
+            return DROPPED
+        return MAIN if zone == SOFT or zone != SPARE and name != "article" else SPARE
+    own = _dropped(name, rest, zone in (MAIN, SPARE))
+    if own is None or own == DROPPED:
+        return zone if own is None else DROPPED
+    return OTHERS if own == OTHERS or zone in (OTHERS, SPARE) else SOFT
+
+
+def _settled(found: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Main and open lines: what the zones of the scan alone come to depends on the rest of the page."""
+    zones = {zone for zone, _ in found}
+    become = {OPEN: OPEN, MAIN: MAIN}
+    if MAIN not in zones and SPARE in zones:
+        become[SPARE] = MAIN
+    elif not zones & {OPEN, MAIN}:
+        become |= {SOFT: OPEN, OTHERS: OPEN}
+    return [(become[zone], text) for zone, text in found if zone in become]
 
 
 def lines(page: str) -> list[tuple[int, str]]:
@@ -95,7 +146,7 @@ def lines(page: str) -> list[tuple[int, str]]:
         if m is None:
             take(page[at:])
             close()
-            return out
+            return _settled(out)
         take(page[at : m.start()])
         at = m.end()
         name = m.group("name") or m.group("name2")
@@ -130,11 +181,7 @@ def lines(page: str) -> list[tuple[int, str]]:
             if name in ("p", "li"):  # the next one ends an open one
                 while stack and stack[-1][0] == name:
                     zone = stack.pop()[1]
-            inside = zone
-            if zone and _dropped(name, rest, zone == MAIN):
-                inside = DROPPED
-            elif zone == OPEN and (name in ("article", "main") or 'role="main"' in rest):
-                inside = MAIN
+            inside = _inside(zone, name, rest)
             if name not in ("p", "li", "span") or inside != zone:
                 stack.append((name, zone))
             zone = inside
@@ -169,16 +216,15 @@ def _hashes(found: list[tuple[int, str]]) -> list[int]:
 
 
 def main_text(found: list[tuple[int, str]], neighbours: list[list[int]] = ()) -> str:
-    """The main lines, or the open lines that no neighbour shares."""
-    main = [text for zone, text in found if zone == MAIN]
-    if main:
-        return "\n".join(main)
-    mine, shared = _hashes(found), set()
-    for other in neighbours:
-        common = common_lines(mine, other)
-        if len(common) < len(mine):
-            shared |= common
-    return "\n".join(text for i, (_, text) in enumerate(found) if i not in shared)
+    """The main lines, and the open lines that no neighbour shares."""
+    shared: set[int] = set()
+    if neighbours:
+        mine = _hashes(found)
+        for other in neighbours:
+            common = common_lines(mine, other)
+            if len(common) < len(mine):
+                shared |= common
+    return "\n".join(text for i, (zone, text) in enumerate(found) if zone == MAIN or i not in shared)
 
 
 def neighbours(keys: DataFrame) -> DataFrame:
@@ -214,21 +260,21 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", page:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, held, silent = [], [], []
+            keys, held, unsure = [], [], []
             for key, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found = lines(raw.as_py())
                 keys.append(key)
                 held.append(_hashes(found))
-                silent.append(bool(found) and all(zone != MAIN for zone, _ in found))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(silent)], ["key", "lines", "silent"])
+                unsure.append(any(zone == OPEN for zone, _ in found))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(held, pa.list_(pa.int64())), pa.array(unsure)], ["key", "lines", "unsure"])
 
-    scanned = materialize(keyed.select("key", "html").mapInArrow(scan, "key long, lines array<long>, silent boolean"))
-    silent = scanned.where("silent").select("key").distinct()
-    if silent.isEmpty():  # the markup decides every page
+    scanned = materialize(keyed.select("key", "html").mapInArrow(scan, "key long, lines array<long>, unsure boolean"))
+    unsure = scanned.where("unsure").select("key").distinct()
+    if unsure.isEmpty():  # the markup decides every line
         near = None
         work = keyed.withColumn("near", F.array().cast("array<array<long>>"))
     else:
-        pairs = neighbours(keyed.select("key", "host", "path")).join(silent, "key", "left_semi")
+        pairs = neighbours(keyed.select("key", "host", "path")).join(unsure, "key", "left_semi")
         near = pairs.join(scanned.dropDuplicates(["key"]).select(F.col("key").alias("near"), "lines"), "near").groupBy("key").agg(F.collect_list("lines").alias("near"))
         work = keyed.join(near.hint("shuffle_hash"), "key", "left")
 

@@ -183,6 +183,28 @@ def test_open_pages_lose_the_lines_that_neighbours_share(spark):
     assert pages.extract(df.where("false")).collect() == []
 
 
+def test_articles_in_dropped_wrappers_are_kept():
+    text = lambda page: pages.main_text(pages.lines(page))
+    for wrapper in ('div class="layout has-sidebar"', 'div class="page header-fixed"', 'div id="nav-open"', 'form action="/x"', 'div class="related-layout"'):
+        name = wrapper.split()[0]
+        assert text(f"<{wrapper}><nav>Menu</nav><article><p>Body<form>Sign</form></article></{name}><footer>Foot</footer>") == "Body"
+        assert text(f"<main><{wrapper}><article>Body</article></{name}></main>") == "Body"
+        assert text(f"<{wrapper}><nav>Menu</nav><div><p>Body</div></{name}>") == "Body"  # nothing else on the page
+    assert text('<article>Body</article><section class="comments"><article>Reader</article></section><div class="related"><article>Teaser</article></div>') == "Body"
+    assert text('<aside><article>Side</article></aside><div hidden><main>Hidden</main></div><div class="ads"><main>Body</main></div>') == "Body"
+    assert text('<form><article class="comment">Reader</article><article class="post has-comments">Body</article></form>') == "Body"
+
+
+def test_open_lines_beside_main_lines_are_differenced(spark):
+    page = lambda x: f"<div>Home | About</div><div>Headline {x}</div><div>Body {x}</div><article>Teaser {x}</article>"
+    rows = [(i, f"http://h.example/a/{i}", page(i)) for i in range(3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in pages.extract(df).collect()} == {i: f"Headline {i}\nBody {i}\nTeaser {i}" for i in range(3)}
+    same = [(i, f"http://h.example/a/{i}", f"<div>Home</div><article>Text {i}</article>") for i in range(2)]
+    df = spark.createDataFrame(same, df.schema)  # a neighbour with the same open lines is no copy if its article differs
+    assert {x.page_id: x.text for x in pages.extract(df).collect()} == {0: "Text 0", 1: "Text 1"}
+
+
 def test_common_lines_is_a_longest_common_subsequence():
     r = random.Random(6)
     for _ in range(200):
