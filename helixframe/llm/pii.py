@@ -1,12 +1,15 @@
 """PII surrogates in DataFrame functions: keyed, type-consistent, collision-checked replacements.
 
 Entities are e-mail addresses, IPv4 addresses, payment cards, phone numbers, social-security
-numbers, IBANs, and given names and surnames after titles. A mention's canonical form (case,
+numbers, IBANs, and given names and surnames: any number of name words, initials and particles behind
+one or more titles, and in the same document every other capitalised whole-word mention of a name so
+found. The last name word behind a title is the surname, those before it are given names; a word that
+is both in a document counts as what it is first. Initials and particles stay. A mention's canonical form (case,
 separators and country prefixes aside) is the entity; its surrogate is derived from a secret key
 and the canonical form alone, so all mentions anywhere get the same one, laid over the mention's
 own format. Digits stay digits and letters letters; octets keep their length and range, cards their
 issuer digit and Luhn remainder, e-mail addresses their top-level domain; names follow the gender
-of the title and the script of the name.
+of the title, where it has one, and the script of the name.
 
 Distinctness is checked over all entities: a surrogate that equals another entity's, or any entity
 that occurs in the corpus, is drawn again for all but the first holder, until none is left.
@@ -27,27 +30,31 @@ from .common import materialize
 RELAX_AFTER = 16
 MAX_ROUNDS = 64
 
-MALE_TITLES = r"Mr|MR|Mister|Sir|Herr|Herrn|Monsieur|M\.|Señor|Sr\.|Signor|г-н|Господин|Κύριος"
-FEMALE_TITLES = r"Mrs|MRS|Ms|MS|Miss|Madam|Frau|Madame|Mme|Mlle|Señora|Sra\.|Srta\.|Signora|г-жа|Госпожа|Κυρία"
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}"
-_MALE, _FEMALE = rf"(?<!\p{{L}})(?:{MALE_TITLES})\.? ", rf"(?<!\p{{L}})(?:{FEMALE_TITLES})\.? "
-_ANY = rf"(?<!\p{{L}})(?:{MALE_TITLES}|{FEMALE_TITLES})\.? "
+MALE_TITLES = r"Mr|MR|Mister|Sir|Lord|Herr|Herrn|HERR|Monsieur|M\.|Señor|Sr\.|Signor|г-н|Господин|Κύριος"
+FEMALE_TITLES = r"Mrs|MRS|Ms|MS|Miss|Madam|Lady|Dame|Frau|FRAU|Madame|Mme|Mlle|Señora|Sra\.|Srta\.|Dra\.|Signora|г-жа|Госпожа|Κυρία"
+NEUTRAL_TITLES = r"Dr|DR|Doctor|Doktor|Prof|PROF|Professor|Rev|Reverend|Capt|Captain|Sgt|Lt|Dott\.|Д-р|Доктор|Профессор|Δρ|Καθηγητής|Καθηγήτρια"
+_TITLE = rf"(?:{MALE_TITLES}|{FEMALE_TITLES}|{NEUTRAL_TITLES})"
+_GAP = r"[ \x{A0}]{1,2}"
+#: A possessive ending is not part of a name.
+_NAME = r"(?=\p{Lu}[\p{L}'’-])\p{Lu}\p{L}*+(?:(?!['’]s(?!\p{L}))['’-]\p{L}++)*+"
+_INITIALS = r"(?:(?:\p{Lu}\.-?)++|\p{Lu}(?![\p{L}.'’-]))"
+_PARTICLES = rf"(?:(?:von|vom|van|zu|zur|de|del|della|der|den|di|da|das|dos|du|des|la|le|ter|ten|bin|ibn|al|el|y){_GAP})*+"
+_WORD = rf"{_PARTICLES}(?!{_TITLE}(?!\p{{L}}))(?:{_NAME}|{_INITIALS})"
+_HEAD = rf"(?=[MSLHFDPRCгГДПΚΔ])(?<!\p{{L}})(?:{_TITLE}\.?{_GAP})++"
+TITLED = rf"{_HEAD}{_WORD}(?:{_GAP}{_WORD})*+"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 
 #: Each kind's pattern where it stands in a text, in order of precedence.
 PATTERNS = {
-    "EMAIL": r"[A-Za-z0-9](?<![A-Za-z0-9._%+-].)[A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
+    "EMAIL": r"(?=[A-Za-z0-9._%+-])(?<![A-Za-z0-9._%+-])[.%+-]*+[A-Za-z0-9_][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "IP": rf"(?=[0-9])(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?[0-9])",
     "IBAN": r"(?=[A-Z])(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "CARD": r"(?=[0-9])(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "SSN": r"(?=[0-9])(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "PHONE": r"\+(?<![0-9A-Za-z].)[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?=[0-9(])(?<![0-9A-Za-z.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "GIVEN_M": rf"(?=\p{{Lu}})(?<={_MALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
-    "GIVEN_F": rf"(?=\p{{Lu}})(?<={_FEMALE}){_NAME}(?= \p{{Lu}}\p{{Ll}})",
-    "SURNAME": rf"(?=\p{{Lu}})(?<={_ANY}(?:{_NAME} )?){_NAME}",
 }
 #: Texts without any of these have no entity; each is cheap where its first character is rare.
-GATES = (r"@", r"[0-9][0-9(). -]{5,}[0-9]", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", rf"[MHSFГгΚ](?<=(?<!\p{{L}}).)(?<=(?=(?:{MALE_TITLES}|{FEMALE_TITLES})).)\S{{1,10}} \p{{Lu}}")
+GATES = (r"@", r"[0-9][0-9(). -]{5,}[0-9]", r"[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", TITLED)
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 # Given names by gender, and syllables and endings of surnames, for each script.
@@ -73,9 +80,9 @@ SYLLABLES = {
 ENDINGS = {"Latin": ("er", "er"), "Cyrillic": ("ов", "ова"), "Greek": ("ίδης", "ίδου")}
 
 
-def _kind(mention: F.Column, context_free: dict[str, str]) -> F.Column:
+def _kind(mention: F.Column, patterns: dict[str, str]) -> F.Column:
     kind = None
-    for name, pattern in context_free.items():
+    for name, pattern in patterns.items():
         test = mention.rlike(f"^(?:{pattern})$")
         kind = F.when(test, name) if kind is None else kind.when(test, name)
     return kind
@@ -85,22 +92,33 @@ def _digits(x: F.Column) -> F.Column:
     return F.regexp_replace(x, "[^0-9]", "")
 
 
-def _named_hits(text: F.Column) -> F.Column:
-    """(at, mention, kind) of every entity of a text, in order: names are told apart by what is before them."""
-    gaps, hits = F.split(text, ENTITY, -1), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    plain = {k: PATTERNS[k] for k in ("EMAIL", "IP", "IBAN", "CARD", "SSN", "PHONE")}
+def names(text: F.Column) -> F.Column:
+    """(name, kind) of each name word behind the titles of a text, in lower case, as it is first."""
 
-    def one(mention: F.Column, i: F.Column) -> F.Column:
-        before = F.get(gaps, i)
-        after = F.get(gaps, i + 1)
-        given = after == " "  # a surname follows
-        kind = F.coalesce(
-            _kind(mention, plain),
-            F.when(given & before.rlike(rf"{_MALE}$"), "GIVEN_M").when(given & before.rlike(rf"{_FEMALE}$"), "GIVEN_F").otherwise("SURNAME"),
-        )
-        return F.struct(i.alias("at"), mention.alias("mention"), kind.alias("kind"))
+    def words(run: F.Column) -> F.Column:
+        head = F.regexp_extract(run, f"^{_HEAD}", 0)
+        found = F.regexp_extract_all(F.substring(run, F.length(head) + 1, F.length(run)), F.lit(rf"(?<![\p{{L}}'’-]){_NAME}"), F.lit(0))
+        gender = lambda titles: head.rlike(rf"(?<!\p{{L}})(?:{titles})\.?{_GAP}")
+        given = F.when(gender(FEMALE_TITLES), "GIVEN_F").when(gender(MALE_TITLES), "GIVEN_M").otherwise("GIVEN_N")
+        return F.transform(found, lambda w, i: F.struct(F.lower(w).alias("name"), F.when(i == F.size(found) - 1, "SURNAME").otherwise(given).alias("kind")))
 
-    return F.transform(hits, one)
+    every = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(TITLED), F.lit(0)), words))
+    first = lambda known, x: F.when(F.exists(known, lambda k: k["name"] == x["name"]), known).otherwise(F.concat(known, F.array(x)))
+    return F.aggregate(every, F.array().cast("array<struct<name:string,kind:string>>"), first)
+
+
+def _pattern(found: F.Column) -> F.Column:
+    """The pattern of all entities of a text with these names; the longer of two names with one start is first."""
+    listed = F.array_join(F.sort_array(F.transform(found, lambda n: n["name"]), asc=False), "|")
+    return F.when(F.size(found) > 0, F.concat(F.lit(rf"{ENTITY}|(?<!\p{{L}})(?=\p{{Lu}})(?iu:"), listed, F.lit(r")(?!\p{L})"))).otherwise(ENTITY)
+
+
+def _named_hits(texts: DataFrame) -> DataFrame:
+    """(_row, at, mention, kind) of every entity of (_row, _text), numbered in text order."""
+    named = texts.withColumn("_names", names(F.col("_text")))
+    hits = named.select("_row", "_names", F.posexplode(F.regexp_extract_all("_text", _pattern(F.col("_names")), F.lit(0))).alias("at", "mention"))
+    name = F.get(F.filter("_names", lambda n: n["name"] == F.lower("mention")), F.lit(0))
+    return hits.select("_row", "at", "mention", F.coalesce(_kind(F.col("mention"), PATTERNS), name["kind"], F.lit("SURNAME")).alias("kind"))
 
 
 def canonical(mention: F.Column, kind: F.Column) -> F.Column:
@@ -109,6 +127,7 @@ def canonical(mention: F.Column, kind: F.Column) -> F.Column:
         F.when(kind == "PHONE", F.substring(_digits(mention), -10, 10))
         .when(kind.isin("CARD", "SSN"), _digits(mention))
         .when(kind == "IBAN", F.regexp_replace(mention, " ", ""))
+        .when(kind == "EMAIL", F.regexp_replace(F.lower(mention), "^[.%+-]+", ""))  # signs before an address are no part of it
         .otherwise(F.lower(mention))
     )
 
@@ -152,7 +171,8 @@ def surrogate(key: str, kind: F.Column, entity: F.Column, attempt: F.Column) ->
 
     def given(gender: str) -> F.Column:
         parts = F.sequence(F.lit(1), attempt + 1)  # every draw has a part more, so there are always enough
-        return F.lower(F.array_join(F.transform(parts, lambda i: F.when(script == "Cyrillic", pick(GIVEN["Cyrillic"][gender], i)).when(script == "Greek", pick(GIVEN["Greek"][gender], i)).otherwise(pick(GIVEN["Latin"][gender], i))), "-"))
+        of = lambda which: [x for g in gender for x in GIVEN[which][g]]
+        return F.lower(F.array_join(F.transform(parts, lambda i: F.when(script == "Cyrillic", pick(of("Cyrillic"), i)).when(script == "Greek", pick(of("Greek"), i)).otherwise(pick(of("Latin"), i))), "-"))
 
     def surname(which: str) -> F.Column:
         male, female = ENDINGS[which]
@@ -162,7 +182,7 @@ def surrogate(key: str, kind: F.Column, entity: F.Column, attempt: F.Column) ->
     names = F.when(script == "Cyrillic", surname("Cyrillic")).when(script == "Greek", surname("Greek")).otherwise(surname("Latin"))
     return (
         F.when(kind == "EMAIL", email).when(kind == "IP", ip).when(kind == "CARD", card).when(kind == "IBAN", iban)
-        .when(kind.isin("PHONE", "SSN"), every).when(kind == "GIVEN_M", given("M")).when(kind == "GIVEN_F", given("F")).otherwise(names)
+        .when(kind.isin("PHONE", "SSN"), every).when(kind == "GIVEN_M", given("M")).when(kind == "GIVEN_F", given("F")).when(kind == "GIVEN_N", given("MF")).otherwise(names)
     )
 
 
@@ -175,19 +195,22 @@ def laid_over(mention: F.Column, kind: F.Column, entity: F.Column, drawn: F.Colu
     counted = lambda c: F.when(kind == "IBAN", c.rlike("[A-Z0-9]")).otherwise(c.rlike("[0-9]"))
     put = lambda s, c: F.struct((s["n"] + counted(c).cast("int")).alias("n"), F.concat(s["out"], F.when(counted(c) & (s["n"] >= first), F.substring(drawn, s["n"] - first + 1, F.lit(1))).otherwise(c)).alias("out"))
     grouped = F.aggregate(chars, start, put)["out"]
-    cased = F.array_join(F.transform(F.split(drawn, ""), lambda c, i: F.when(F.get(chars, i).rlike("[A-Z]"), F.upper(c)).otherwise(c)), "")
+    before = F.when(kind == "EMAIL", F.regexp_extract(mention, "^[.%+-]*", 0)).otherwise("")
+    own_chars = F.split(F.substring(mention, F.length(before) + 1, F.length(mention)), "")
+    cased = F.concat(before, F.array_join(F.transform(F.split(drawn, ""), lambda c, i: F.when(F.get(own_chars, i).rlike("[A-Z]"), F.upper(c)).otherwise(c)), ""))
     name = F.when((F.upper(mention) == mention) & (F.length(mention) > 2), F.upper(drawn)).otherwise(F.array_join(F.transform(F.split(drawn, "-"), lambda p: F.initcap(p)), "-"))
     return F.when(kind.isin("EMAIL", "IP"), cased).when(kind.isin("CARD", "SSN", "PHONE", "IBAN"), grouped).otherwise(name)
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, entity, drawn): distinct surrogates for distinct (kind, entity) rows."""
+    group = F.when(F.col("kind").startswith("GIVEN"), "GIVEN").otherwise(F.col("kind")).alias("group")  # given names share their lists
     current = materialize(entities.withColumn("attempt", F.lit(0)))
+    real = entities.select(group, F.col("entity").alias("drawn"), F.lit(True).alias("real")).distinct()
     for _ in range(MAX_ROUNDS):
-        drawn = current.withColumn("drawn", surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt")))
-        first = drawn.groupBy("kind", "drawn").agg(F.min(F.struct("attempt", "entity")).alias("first"))  # earlier draws keep theirs
-        real = entities.select("kind", F.col("entity").alias("drawn"), F.lit(True).alias("real"))
-        judged = drawn.join(first, ["kind", "drawn"]).join(real, ["kind", "drawn"], "left")
+        drawn = current.select("kind", "entity", "attempt", group, surrogate(key, F.col("kind"), F.col("entity"), F.col("attempt")).alias("drawn"))
+        first = drawn.groupBy("group", "drawn").agg(F.min(F.struct("attempt", "entity")).alias("first"))  # earlier draws keep theirs
+        judged = drawn.join(first, ["group", "drawn"]).join(real, ["group", "drawn"], "left")
         again = (F.col("entity") != F.col("first.entity")) | F.coalesce("real", F.lit(False))
         judged = materialize(judged.select("kind", "entity", "attempt", "drawn", again.alias("again")))
         if judged.where("again").isEmpty():
@@ -203,17 +226,17 @@ def replace(docs: DataFrame, text: str = "text", key: str = "surrogates-1", coun
     """
     content = F.col(text)
     columns = docs.columns
-    has = F.coalesce((content.contains("@") | content.rlike("|".join(f"(?:{g})" for g in GATES[1:]))) & content.rlike(ENTITY), F.lit(False))
+    has = F.coalesce((content.contains("@") | content.rlike("|".join(f"(?:{g})" for g in GATES[1:]))) & content.rlike(f"{ENTITY}|{TITLED}"), F.lit(False))
     clean = docs.where(~has).withColumn("n_entities", F.lit(0))
     dirty = docs.where(has).withColumn("_row", F.sha2(content, 256))  # equal texts are rewritten alike
-    hits = dirty.select("_row", content.alias("_text")).dropDuplicates(["_row"]).select("_row", F.explode(_named_hits(F.col("_text"))).alias("h"))
-    mentions = materialize(hits.select("_row", "h.*").withColumn("entity", canonical(F.col("mention"), F.col("kind"))))
+    hits = _named_hits(dirty.select("_row", content.alias("_text")).dropDuplicates(["_row"]))
+    mentions = materialize(hits.withColumn("entity", canonical(F.col("mention"), F.col("kind"))))
     drawn = assign(mentions.select("kind", "entity").distinct(), key)
     placed = mentions.join(drawn, ["kind", "entity"]).select("_row", "at", laid_over(F.col("mention"), F.col("kind"), F.col("entity"), F.col("drawn")).alias("put"))
     puts = placed.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("at", "put"))).alias("_puts"))
-    gaps = F.split(content, ENTITY, -1)
+    gaps = F.split(content, _pattern(F.col("_names")), -1)
     rewritten = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("_puts", i)["put"], F.lit("")))), "")
-    changed = dirty.join(puts.hint("shuffle_hash"), "_row").withColumn("_new", rewritten).withColumn("n_entities", F.size("_puts")).withColumn(text, F.col("_new"))
+    changed = dirty.join(puts.hint("shuffle_hash"), "_row", "left").withColumn("_names", names(content)).withColumn("_new", rewritten).withColumn("n_entities", F.when(F.col("_puts").isNull(), 0).otherwise(F.size("_puts"))).withColumn(text, F.col("_new"))
     if "n_chars" in columns and text != "n_chars":
         changed = changed.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     kept = [*columns, "n_entities"] if counted else columns

@@ -137,6 +137,34 @@ def test_pii_keeps_format_coreference_and_clean_rows(spark):
     assert pii.replace(docs.where("false")).collect() == []
 
 
+def test_pii_replaces_every_mention_of_a_name_of_the_document(spark):
+    texts = [
+        "Mr. John Smith came. Then Smith said that John left; SMITH's son, a smith, saw Smithers.",
+        "Mr. John Q. Smith and Mrs. Anna Maria Smith met Prof. Dr. J. R. Tolkien, Herr Otto von Bismarck, Dr Jane Smith-Jones. Maria and Bismarck and Smith-Jones stayed",
+        "Smith without a title here, but Herr Müller's House. Müller? MÜLLER!",
+        "Mr. Q. said nothing",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.replace(docs).collect()}
+    a = re.fullmatch(r"Mr\. ([\w-]+) (\w+) came\. Then (\w+) said that ([\w-]+) left; (\w+)'s son, a smith, saw Smithers\.", got[0]).groups()
+    assert a[0] == a[3] and a[1] == a[2] == a[4].capitalize() and a[4].isupper() and not set(a) & {"John", "Smith", "SMITH"}
+    b = re.fullmatch(r"Mr\. ([\w-]+) Q\. (\w+) and Mrs\. ([\w-]+) ([\w-]+) (\w+) met Prof\. Dr\. J\. R\. (\w+), Herr ([\w-]+) von (\w+), Dr ([\w-]+) (\w+)\. ([\w-]+) and (\w+) and (\w+) stayed", got[1]).groups()
+    assert b[0] == a[0] and b[1] == b[4] == a[1] and b[3] == b[10] and b[7] == b[11] and b[9] == b[12]
+    assert {x for y in b[2:4] for x in y.split("-")} <= set(pii.GIVEN["Latin"]["F"]) and not set(b) & {"John", "Anna", "Maria", "Smith", "Tolkien", "Otto", "Bismarck", "Jane"}
+    c = re.fullmatch(r"Smith without a title here, but Herr (\w+)'s House\. (\w+)\? (\w+)!", got[2]).groups()
+    assert c[0] == c[1] == c[2].capitalize() != "Müller" and got[3] == texts[3]
+
+
+def test_pii_mail_addresses_start_where_their_run_does(spark):
+    texts = ["_foo@bar.com", "mail...jo@bar.com or -Jo@bar.com, jo@bar.com; +x%y@bar.com", "...jo@bar.com ...@bar.com"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.text for x in pii.replace(docs).collect()}
+    assert "foo@" not in got[0] and re.fullmatch(r"_[a-z]{3}@[a-z]{3}\.com", got[0])
+    assert "jo@" not in got[1].lower() and "x%y@" not in got[1] and "bar" not in got[1]
+    a, b = re.search(r" or -(\S+), (\S+);", got[1]).groups()
+    assert a.lower() == b and got[2] == f"...{b} ...@bar.com"
+
+
 def test_pii_surrogates_stay_distinct_when_draws_collide(spark):
     rows = [("IP", f"1.1.{a}.{b}") for a in range(10) for b in range(10)] + [("GIVEN_M", f"name{i}") for i in range(60)]
     entities = spark.createDataFrame(rows, "kind string, entity string")
