@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: After so many draws an entity's surrogates no longer keep each octet's length.
+#: After so many draws an entity's surrogates no longer keep each octet's or the local part's length.
 RELAX_AFTER = 16
 MAX_ROUNDS = 64
 
@@ -151,7 +151,9 @@ def surrogate(key: str, kind: F.Column, entity: F.Column, attempt: F.Column) ->
     every = F.array_join(F.transform(places, lambda i: like(F.get(chars, i - 1), i)), "")
 
     tail = F.regexp_extract(entity, r"((?:example)?\.[a-z]+)$", 1)
-    email = F.concat(F.substring(every, F.lit(1), F.length(entity) - F.length(tail)), tail)
+    more = F.sequence(F.lit(1), F.greatest(attempt - RELAX_AFTER + 1, F.lit(1)))  # a letter more with every draw then
+    longer = F.when(attempt >= RELAX_AFTER, F.array_join(F.transform(more, lambda i: letter(F.length(entity) + i, "a")), "")).otherwise("")
+    email = F.concat(longer, F.substring(every, F.lit(1), F.length(entity) - F.length(tail)), tail)
 
     octets = F.split(entity, "[.]")
     octet = lambda o, i: F.when(attempt >= RELAX_AFTER, F.pmod(draw(i + 1), F.lit(256))).when(F.length(o) == 3, F.pmod(draw(i + 1), F.lit(156)) + 100).when(F.length(o) == 2, F.pmod(draw(i + 1), F.lit(90)) + 10).otherwise(F.pmod(draw(i + 1), F.lit(10))).cast("string")

@@ -171,3 +171,10 @@ def test_pii_surrogates_stay_distinct_when_draws_collide(spark):
     got = pii.assign(entities, "k").collect()
     assert len(got) == len(rows) == len({(x.kind, x.drawn) for x in got})
     assert not {(x.kind, x.drawn) for x in got} & set(rows)
+
+
+def test_pii_mail_surrogates_grow_when_short_ones_run_out(spark):
+    rows = [("EMAIL", f"{x}@example.com") for x in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("EMAIL", f"{i:02}@example.com") for i in range(60)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+    assert len(got) == len(rows) == len({x.drawn for x in got}) and all(x.drawn.endswith("@example.com") for x in got)
+    assert not {(x.kind, x.drawn) for x in got} & set(rows)
