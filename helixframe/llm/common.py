@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -21,16 +22,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder, which survives lost executors.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; only where that is unset
-    (local tests) is a temporary folder used.
+    The cluster names the folder in ``spark.checkpoint.dir``; only in a local master where that is
+    unset (tests) is a temporary folder used. Elsewhere executors could not share one.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="helixframe-"))
     return df.checkpoint(eager=True)
 
 
+def free_name(columns: list[str], wish: str) -> str:
+    """A helper column's name that no input column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def unit_hash(*cols) -> F.Column:
     """A uniform double in (0, 1) from the md5 of the joined columns: 52 bits, the same in any engine."""
     digest = F.md5(F.concat_ws("|", *cols))
@@ -46,6 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -66,19 +78,39 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit Rabin-Karp hashes of all words (runs without ASCII white space) and the text each belongs to."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    """64-bit Rabin-Karp hashes of all words (runs without ASCII white space) and the text each belongs to.
+
+    Long texts are hashed in blocks that end at white space, so only a word's own hash is held for the whole text.
+    """
+    joined = b"\n".join(texts) + b"\n"
+    found, at = [], 0
+    while at < len(joined):
+        stop = at + CHUNK_BYTES
+        if stop < len(joined):
+            space = _SPACE.search(joined, stop)  # the last byte is one
+            stop = space.end() if space else len(joined)
+        hashes, starts = _block_hashes(joined[at:stop])
+        found.append((hashes, starts + at))
+        at = stop
+    hashes, starts = (np.concatenate(x) for x in zip(*found))
+    begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, dtype=np.int64)
+    return hashes, np.searchsorted(begin, starts, side="right") - 1
+
+
+def _block_hashes(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of each word of a block."""
+    data = np.frombuffer(block, dtype=np.uint8)
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edges = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if len(data) and not space[0]:
+    if not space[0]:
         edges = np.concatenate(([0], edges))
+    if len(edges) % 2:
+        edges = np.append(edges, len(data))
     starts, ends = edges[0::2], edges[1::2]
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    begin = np.cumsum([0] + [len(t) + 1 for t in texts[:-1]]) if texts else np.zeros(0, dtype=np.int64)
-    return hashes, np.searchsorted(begin, starts, side="right") - 1
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
 
 
 def window_hashes(words: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

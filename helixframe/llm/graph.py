@@ -11,10 +11,18 @@ from .common import materialize
 
 #: Edges that one group contracts.
 GROUP_EDGES = 200_000
+#: Doublings of the hooks' reach in a round that needs several groups.
+JUMPS = 3
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node of its component) of every node of these edges."""
+    if not len(a):
+        return a, b
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    a, b = a[new], b[new]
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
     up = list(range(len(nodes)))
     for x, y in zip(ends[: len(a)].tolist(), ends[len(a) :].tolist()):
@@ -35,13 +43,20 @@ def _contract(key: tuple, edges: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(node), pa.array(label)], ["node", "label"])
 
 
+def hooked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``forest`` without the nodes that are their component's smallest: edges that connect the same nodes."""
+    node, label = forest(a, b)
+    return node[node != label], label[node != label]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): the label is the component's smallest node.
 
     Edges are dealt by hash into groups of about GROUP_EDGES. Each group joins what it can; a node
-    then hooks to the smallest label any group gave it, and the groups' forests are contracted to
-    the hooks, until one group holds what is left. The hooks are composed backwards. Self-loops
-    and null ends give no labels.
+    then hooks to the smallest label any group gave it, hooks follow each other JUMPS times (so a
+    long chain shrinks by a factor of 2 to the power JUMPS, not by one edge a group), and the
+    groups' forests are contracted to the hooks, until one group holds what is left. The hooks are
+    composed backwards. Self-loops and null ends give no labels; an empty table gives no rows.
     """
     current = materialize(edges.where("a <> b").select("a", "b").distinct())
     hooks: list[DataFrame] = []
@@ -52,7 +67,12 @@ def components(edges: DataFrame) -> DataFrame:
         if groups == 1:
             hooks.append(local)
             break
-        hook = materialize(local.groupBy("node").agg(F.min("label").alias("label")))
+        hook = local.groupBy("node").agg(F.min("label").alias("label"))
+        for _ in range(JUMPS):
+            hook = materialize(hook)
+            further = hook.toDF("label", "further")
+            hook = hook.join(further, "label").select("node", F.col("further").alias("label"))  # every label is a node
+        hook = materialize(hook)
         hooks.append(hook)
         left, right = hook.toDF("node", "a"), hook.toDF("label", "b")
         current = materialize(local.join(left, "node").join(right, "label").where("a <> b").select("a", "b").distinct())

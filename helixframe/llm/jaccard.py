@@ -6,9 +6,10 @@
    d = (den - num)(a + b) / (den + num) n-grams. The hash space is cut into m > d segments (as many
    for all sets of a size band), of which at most d differ. So the d + 1 first segments of each, in
    one order for all, have one in common: each node sends those as keys, segments with many
-   infrequent n-grams first, in both of its bands. Equal keys make candidates, and candidate
-   components follow for each band. Frequent lines or passages alone fill few segments that are
-   sent; the order is a matter of cost only.
+   infrequent n-grams first, in both of its bands. Equal keys make candidates: map chunks and the key
+   ranges of a band pass on forests of them, not all pairs, and candidate components follow for each
+   band. Frequent lines or passages alone fill few segments that are sent; the order is a matter of
+   cost only. It comes from a sketch of SKETCH counters that every n-gram of every document updates.
 3. The sets of a candidate component, each moved once, are stored in a trie in their global order
    (frequent n-grams first) and traversed by one set after another: all sets below a node share the
    partial overlap, and subtrees that cannot reach the needed overlap with what is left of either
@@ -29,22 +30,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange
 from .common import mix, materialize, text_chunks, window_hashes, word_hashes
-from .graph import components
+from .graph import components, hooked
 
 #: Segments for each four that a set sends.
 MORE_SEGMENTS = 5
-#: Frequent n-grams are those of two or more of about so many sampled documents, the most frequent first.
-#: They only set an order, so any sample gives the same classes.
-SAMPLE_DOCS, FREQUENT = 4000, 200_000
-#: Sets, and n-grams, that one trie holds.
-CHUNK_SETS, CHUNK_GRAMS = 4096, 4_000_000
+#: Counters of the sketch; an n-gram is frequent if its counter has over FREQUENT times the mean, and 2 at least.
+SKETCH, FREQUENT = 1 << 20, 2
+#: Counters that one row of a task's sketch holds.
+SKETCH_PART = 1 << 16
+#: Segment keys of one key range of a band.
+KEYS_PER_RANGE = 2_000_000
+#: Sets, and n-grams, that one trie holds on average.
+CHUNK_SETS, CHUNK_GRAMS = 2048, 2_000_000
+#: Ids of documents without one start here, beyond usual ids.
+UNNAMED = 1 << 62
 #: Longest edge of a trie before bounds are tested again.
 EDGE = 32
 
@@ -93,19 +98,27 @@ def in_band(nodes: np.ndarray, band: np.ndarray) -> np.ndarray:
     return mix(nodes.view(np.uint64) ^ mix(band.astype(np.uint64) + np.uint64(0x51ED270B))).view(np.int64)
 
 
+def most_differing(band: np.ndarray, num: int, den: int) -> np.ndarray:
+    """In how many n-grams two linked sets of a band can differ."""
+    largest = np.floor(np.exp((band + 2) * (np.log(den / num) + 1e-6))).astype(np.int64) + 1
+    return (den - num) * 2 * largest // (den + num)
+
+
+def counter_of(grams: np.ndarray) -> np.ndarray:
+    """Each n-gram's counter in the sketch."""
+    return (grams >> np.uint64(32)).astype(np.int64) % SKETCH
+
+
 def segment_keys(holder: np.ndarray, grams: np.ndarray, sizes: np.ndarray, num: int, den: int, frequent: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(key, set, band) of the segments that each set sends, for each of its two bands.
 
     Of m segments at most d differ, so the d + 1 first in any order of segments that both sets
     follow have one in common; the order puts segments with many infrequent n-grams first.
     """
-    step = np.log(den / num) + 1e-6
-    place = np.minimum(np.searchsorted(frequent, grams), max(len(frequent) - 1, 0))
-    rare = frequent[place] != grams if len(frequent) else np.ones(len(grams), dtype=bool)
+    rare = ~frequent[counter_of(grams)]
     found = []
     for band in bands_of(sizes, num, den):
-        largest = np.floor(np.exp((band + 2) * step)).astype(np.int64) + 1
-        differing = (den - num) * 2 * largest // (den + num)
+        differing = most_differing(band, num, den)
         used = (sizes > 0) & (band >= 0) & (differing > 0)
         m = np.where(used, (differing + 1) * MORE_SEGMENTS // 4, 0)
         base = np.cumsum(m) - m
@@ -284,54 +297,86 @@ def _pass(docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFra
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
-def _membership(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(id, n_shingles, node, and the node's ids in its two bands) of every row."""
-
-    def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        holder, grams, sizes = sets_of(texts, n)
-        nodes = nodes_of(holder, grams, sizes)
-        first, second = (in_band(nodes, band) for band in bands_of(sizes, num, den))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, (sizes.astype(np.int64), nodes, first, second))], ["id", "n_shingles", "node", "first", "second"])
-
-    return _pass(docs, doc_id, text, make, "id long, n_shingles long, node long, first long, second long")
-
-
-def _frequent(docs: DataFrame, doc_id: str, text: str, n: int) -> np.ndarray:
-    """Sorted n-grams that several sampled documents hold: at most FREQUENT numbers."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
-
-    def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-        _, grams, _ = sets_of(texts, n)
-        yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
-
-    sample = docs.where(F.pmod(F.xxhash64(doc_id), F.lit(every)) == 0)
-    counted = _pass(sample, doc_id, text, make, "gram long").groupBy("gram").count().where("count > 1")
-    top = counted.orderBy(F.desc("count"), "gram").limit(FREQUENT).select("gram").toArrow()
-    return np.sort(top.column("gram").to_numpy().astype(np.int64).view(np.uint64))
-
+def _scan(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """A row for each document: (id, n_shingles, node, band, and the node's ids in its two bands), and
+    rows with each task's part of the sketch: (part, counters, counts), the latter of non-zero ones or of all.
+    """
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+    names = ["id", "n_shingles", "node", "band", "first", "second", "part", "counters", "counts"]
 
-def _candidates(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """(a, b): ids in a band that share a segment key, each with the smallest of that key."""
-    parts = exchange.ranges(docs, text)
-    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, doc_id, text, n))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = np.zeros(SKETCH, dtype=np.int64)
+        for ids, texts in text_chunks(batches, lower=True):
+            holder, grams, sizes = sets_of(texts, n)
+            sketch += np.bincount(counter_of(grams), minlength=SKETCH)
+            nodes, (own, lower) = nodes_of(holder, grams, sizes), bands_of(sizes, num, den)
+            columns = [pa.array(ids, pa.int64()), *map(pa.array, (sizes.astype(np.int64), nodes, own, in_band(nodes, own), in_band(nodes, lower)))]
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(ids), t) for t in types[6:])], names)
+        size = min(SKETCH, SKETCH_PART)
+        for part in range(SKETCH // size):
+            counts = np.minimum(sketch[part * size : (part + 1) * size], 65_535).astype(np.uint16)  # far over any limit
+            some = np.flatnonzero(counts)
+            if len(some):
+                packed = (b"", counts.tobytes()) if 2 * len(some) > size else (some.astype(np.uint16).tobytes(), counts[some].tobytes())
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in types[:6]), *(pa.array([v], t) for v, t in zip((part, *packed), types[6:]))], names)
+
+    return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, "id long, n_shingles long, node long, band long, first long, second long, part int, counters binary, counts binary")
+
+
+def _frequent(scanned: DataFrame) -> np.ndarray:
+    """Whether each counter of the sketch is frequent: SKETCH truth values, whatever the corpus holds."""
+    size = min(SKETCH, SKETCH_PART)
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        total = np.zeros(size, dtype=np.int64)
+        for counters, counts in zip(group.column("counters"), group.column("counts")):
+            value = np.frombuffer(counts.as_py(), dtype=np.uint16)
+            at = np.frombuffer(counters.as_py(), dtype=np.uint16)
+            total[at if len(at) else slice(None)] += value
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+
+    sums = scanned.where("part IS NOT NULL").select("part", "counters", "counts").groupBy("part").applyInArrow(add, "part int, total binary")
+    sketch = np.zeros(SKETCH, dtype=np.int64)
+    for row in sums.collect():  # SKETCH numbers in all
+        sketch[row.part * size : (row.part + 1) * size] = np.frombuffer(row.total, dtype=np.int64)
+    return sketch > max(2.0, FREQUENT * sketch.mean())
+
+
+def _ranges(members: DataFrame, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first bucket, buckets) of each band: its keys in ranges of about KEYS_PER_RANGE."""
+    sizes = {r.band: r["count"] for r in members.where("n_shingles > 0").groupBy("band").count().collect()}  # one row for each size class
+    bands = np.arange(max(sizes, default=0) + 1)
+    sets = np.array([sizes.get(b, 0) + sizes.get(b + 1, 0) for b in bands.tolist()])
+    n = 1 + sets * (most_differing(bands, num, den) + 1) // KEYS_PER_RANGE
+    return np.cumsum(n) - n, n
+
+
+def _candidates(docs: DataFrame, members: DataFrame, frequent: np.ndarray, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
+    """(a, b): ids in a band that share a segment key with others, each with one of those."""
+    base, count = _ranges(members, num, den)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make(ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         holder, grams, sizes = sets_of(texts, n)
-        found, nodes = segment_keys(holder, grams, sizes, num, den, frequent.value), nodes_of(holder, grams, sizes)
-        ids_in_band = np.concatenate([in_band(nodes[of], band) for _, of, band in found])
-        yield from exchange.rows(np.concatenate([key for key, _, _ in found]), ids_in_band, parts)
+        found, nodes = segment_keys(holder, grams, sizes, num, den, shared.value), nodes_of(holder, grams, sizes)
+        keys, of, bands = (np.concatenate(x) for x in zip(*found))
+        order = np.argsort(bands, kind="stable")
+        keys, of, bands = keys[order], of[order], bands[order]
+        for part in np.split(np.arange(len(bands)), np.flatnonzero(bands[1:] != bands[:-1]) + 1):
+            if len(part):
+                band = int(bands[part[0]])
+                yield from exchange.rows(keys[part], in_band(nodes[of[part]], bands[part]), int(count[band]), int(base[band]), hooked)
 
     def star(key: tuple, group: pa.Table) -> pa.Table:
-        _, other, least = exchange.holders(group)
-        edges = pd.DataFrame({"a": least, "b": other}).drop_duplicates()
-        return pa.Table.from_pandas(edges, preserve_index=False)
+        return pa.Table.from_arrays([pa.array(x) for x in hooked(*exchange.links(group))], ["a", "b"])
 
     sent = _pass(docs, doc_id, text, make, exchange.PAIRS)
     return sent.groupBy("bucket").applyInArrow(star, "a long, b long")
 
 
-def _set_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(node, comp, size, grams) of the nodes in ``wanted`` (id, node, comps), from one document each."""
+def _set_rows(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
+    """(node, comp, chunk, size, grams) of the nodes in ``dealt`` (id, node, comp, chunk), from one document each."""
+    wanted = dealt.groupBy("id", "node").agg(F.collect_list(F.struct("comp", "chunk")).alias("places"))  # two at most
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), text).join(wanted.hint("shuffle_hash"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,14 +385,17 @@ def _set_rows(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, n: int
                 holder, grams, sizes = sets_of(texts, n)
                 found = nodes_of(holder, grams, sizes)
                 part = batch.take(pa.array(keys))
-                good = found == np.array(part.column(2).to_pylist(), dtype=np.int64)  # a repeated id may hold another text
+                _, first = np.unique(found, return_index=True)  # rows of one id and text are needed once
+                good = np.zeros(len(found), dtype=bool)
+                good[first] = True
+                good &= found == np.array(part.column(2).to_pylist(), dtype=np.int64)  # a repeated id may hold another text
                 cuts = np.cumsum(sizes)
                 packed = [grams[c - s : c].tobytes() for c, s in zip(cuts, sizes)]
-                whole = pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], ["node", "comps", "size", "grams"])
+                whole = pa.RecordBatch.from_arrays([part.column(2), part.column(3), pa.array(sizes.astype(np.int64)), pa.array(packed, pa.binary())], ["node", "places", "size", "grams"])
                 yield whole.filter(pa.array(good))
 
-    found = rows.select("id", text, "node", "comps").mapInArrow(run, "node long, comps array<long>, size long, grams binary")
-    return found.select("node", F.explode("comps").alias("comp"), "size", "grams")
+    found = rows.select("id", text, "node", "places").mapInArrow(run, "node long, places array<struct<comp:long,chunk:long>>, size long, grams binary")
+    return found.select("node", F.explode("places").alias("p"), "size", "grams").select("node", "p.comp", "p.chunk", "size", "grams")
 
 
 def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -366,53 +414,53 @@ def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
     return rows.groupBy("comp", "chunk").applyInArrow(join, "a long, b long")
 
 
-def _chunked(sets: DataFrame, salt: int) -> DataFrame:
-    """``sets`` with ``chunk`` and ``chunks``: so many that none has over CHUNK_SETS sets or CHUNK_GRAMS n-grams on average."""
-    sums = sets.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS), F.lit(1)).alias("chunks"))
-    return sets.join(sums, "comp").withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
+def _dealt(names: DataFrame, salt: int) -> DataFrame:
+    """``names`` (node, comp, size, ...) with ``chunk`` and ``chunks``: so many that none has over CHUNK_SETS sets or CHUNK_GRAMS n-grams on average."""
+    chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS))
+    large = names.groupBy("comp").agg(chunks.alias("chunks")).where("chunks > 1")
+    dealt = names.join(large, "comp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
+    return dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
 
 
-def links(sets: DataFrame, num: int, den: int) -> DataFrame:
+def links(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """Links (a, b) that span the components of all links among the sets of each candidate component."""
-    first = _chunked(sets, 1)
-    found = materialize(_join_chunks(first.withColumn("asks", F.lit(True)), num, den))
-    split = materialize(first.where("chunks > 1").drop("chunk"))
-    if split.isEmpty():
+    everyone = F.lit(True).alias("asks")
+    found = materialize(_join_chunks(_set_rows(docs, dealt, doc_id, text, n).select("*", everyone), num, den))
+    many = dealt.where("chunks > 1")
+    if many.isEmpty():
         return found
+    names = many.select("node", "comp", "size", "chunks")
+    split = materialize(_set_rows(docs, many, doc_id, text, n).drop("chunk", "size"))
+    labelled = lambda: names.join(components(found), "node", "left").withColumn("label", F.coalesce("label", "node"))
     # One set stands for each component that the chunks have found; these are joined among themselves.
-    label = components(found)
-    labelled = split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    head = labelled.groupBy("comp", "label").agg(F.min("node").alias("node")).select("comp", "node")
-    heads = labelled.join(head, ["comp", "node"], "left_semi").select(*sets.columns)
-    found = materialize(found.unionByName(_join_chunks(_chunked(heads, 2).withColumn("asks", F.lit(True)), num, den)))
+    head = labelled().groupBy("comp", "label").agg(F.min(F.struct("node", "size")).alias("h")).select("h.node", "comp", "h.size")
+    heads = split.join(_dealt(head, 2).drop("size"), ["comp", "node"]).select("*", everyone)
+    found = materialize(found.unionByName(_join_chunks(heads, num, den)))
     # All pairs that are not yet connected have an end outside the candidate component's largest part.
-    label = components(found)
-    labelled = materialize(split.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    parts = labelled.groupBy("comp", "label").count()
-    largest = parts.groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    asking = labelled.join(largest, "comp").where("label <> main").drop("main", "label")
+    every = materialize(labelled())
+    largest = every.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    asking = every.join(largest, "comp").where("label <> main").drop("main", "label")
     if asking.isEmpty():
         return found
     blocks = asking.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS)).alias("blocks"))
-    columns = [*sets.columns, "asks", "chunk"]
     place = lambda row, side: row * F.lit(1 << 20) + side
     row = F.pmod(F.xxhash64("node", F.lit(4)), F.col("blocks"))
     side = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks"))
-    asked = asking.join(blocks, "comp").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("chunk", place(row, F.col("side"))).withColumn("asks", F.lit(True))
-    searched = labelled.join(blocks, "comp").withColumn("row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("chunk", place(F.col("row"), side)).withColumn("asks", F.lit(False))
-    return found.unionByName(_join_chunks(asked.select(*columns).unionByName(searched.select(*columns)), num, den))
+    asked = asking.join(blocks, "comp").withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("comp", "node", place(row, F.col("side")).alias("chunk"), everyone)
+    searched = every.join(blocks, "comp").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("comp", "node", place(F.col("row"), side).alias("chunk"), F.lit(False).alias("asks"))
+    return found.unionByName(_join_chunks(split.join(asked.unionByName(searched), ["comp", "node"]), num, den))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """(id, n_shingles, component_id) for every row: texts link when den * intersection >= num * union."""
-    members = materialize(_membership(docs, doc_id, text, n, num, den))
-    near = components(_candidates(docs, doc_id, text, n, num, den))
+    scanned = materialize(_scan(docs, doc_id, text, n, num, den))
+    members = scanned.where("part IS NULL").drop("part", "counters", "counts")
+    near = components(_candidates(docs, members, _frequent(scanned), doc_id, text, n, num, den))
     real = members.where("n_shingles > 0 AND id IS NOT NULL")
-    holders = real.groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"))
-    placed = holders.select("id", "node", F.explode(F.array("first", "second")).alias("in_band"))
-    wanted = placed.join(near.toDF("in_band", "comp"), "in_band").groupBy("id", "node").agg(F.collect_list("comp").alias("comps"))  # two at most
-    sets = materialize(_set_rows(docs, wanted, doc_id, text, n))
-    linked = components(links(sets, num, den))
+    holders = real.groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("n_shingles").alias("size"))
+    placed = holders.select("id", "node", "size", F.explode(F.array("first", "second")).alias("in_band"))
+    dealt = materialize(_dealt(placed.join(near.toDF("in_band", "comp"), "in_band").drop("in_band"), 1))
+    linked = components(links(docs, dealt, doc_id, text, n, num, den))
     # Rows of one id are one document: what any of them links with belongs to its class.
     repeated = real.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("id")
     shared = real.join(repeated, "id").groupBy("id").agg(F.collect_set("node").alias("nodes"))
@@ -423,12 +471,25 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     labelled = holders.select("node", "id").join(linked, "node", "left").select("node", "id", label.alias("label"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
     by_node = labelled.join(least, "label").select("node", "component_id")
-    out = members.join(by_node, "node", "left")
+    out = members.select("id", "n_shingles", "node").join(by_node, "node", "left")
     own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(doc_id), "n_shingles", own.alias("component_id"))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents whose id is their class's smallest, and rows without words or id."""
-    found = classes(docs, doc_id, text, n, num, den).where(F.col(doc_id) != F.col("component_id")).select(F.col(doc_id).alias("_gone")).distinct()
-    return docs.join(found.hint("shuffle_hash"), F.col(doc_id) == F.col("_gone"), "left_anti")
+    """One row of each class, that of its smallest id, and all rows without words; the columns are those of ``docs``.
+
+    Rows without an id take part under a number made from their text, after usual ids. Of rows with
+    one id only one stays, that with the smallest hash of its content.
+    """
+    number = F.coalesce(F.col(doc_id).cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+    # The row travels as one value, so no name in it can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), number.alias("id"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    found = materialize(classes(docs.select(number.alias("id"), F.col(text).alias("text")), "id", "text", n, num, den).where("n_shingles > 0"))
+    gone = found.where("id <> component_id").select("id").distinct().withColumn("worded", F.lit(True))
+    kept = rows.join(gone.hint("shuffle_hash"), ["id", "worded"], "left_anti")
+    again = found.groupBy("id").count().where("count > 1").select("id").withColumn("worded", F.lit(True))
+    if not again.isEmpty():
+        single = kept.join(again.hint("shuffle_hash"), ["id", "worded"], "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+        kept = kept.join(again.hint("shuffle_hash"), ["id", "worded"], "left_anti").select("row").unionByName(single.select("row"))
+    return kept.select("row.*")

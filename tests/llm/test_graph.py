@@ -18,3 +18,15 @@ def test_components_of_stars_chains_and_loops(spark, monkeypatch, limit):
     assert got == dict(zip(node.tolist(), label.tolist()))
     assert got[60] == 0 and got[549] == 500 and 900 not in got
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_long_chains_over_many_groups_end_in_few_rounds(spark, monkeypatch):
+    rounds, real = [], graph.materialize
+    monkeypatch.setattr(graph, "GROUP_EDGES", 40)
+    monkeypatch.setattr(graph, "materialize", lambda df: rounds.append(1) or real(df))
+    names = list(range(5000, 7001))
+    random.Random(5).shuffle(names)
+    edges = [(i, i + 1) for i in range(2000)] + list(zip(names, names[1:]))  # 100 groups; hooks alone lose an edge in a hundred each round
+    got = graph.components(spark.createDataFrame(edges, "a long, b long")).groupBy("label").count().collect()
+    assert sorted((x.label, x["count"]) for x in got) == [(0, 2001), (5000, 2001)]
+    assert len(rounds) <= 8 * 6  # six tables a round

@@ -93,5 +93,16 @@ def test_empty_table_null_ids_and_repeated_ids(spark):
     docs = spark.createDataFrame([(None, text), (5, text), (5, other), (7, other), (8, text)], "doc_id long, text string")
     found = sorted((r.doc_id or -1, r.component_id) for r in jaccard.classes(docs).collect())
     assert [x for x in found if x[0] > 0] == [(5, 5), (5, 5), (7, 5), (8, 5)]
-    kept = jaccard.keep_one(docs).collect()
-    assert sorted(r.doc_id or -1 for r in kept) == [-1, 5, 5]
+    assert [r.doc_id for r in jaccard.keep_one(docs).collect()] == [5]
+
+
+def test_keep_one_leaves_one_row_of_each_class_and_all_rows_without_words(spark):
+    text, other = " ".join(map(str, range(40))), " ".join(map(str, range(100, 140)))
+    rows = [(None, text), (None, text), (9, text), (9, text), (9, " "), (None, other), (None, other + " x"), (3, None), (3, None), (None, ""), (4, "one two")]
+    docs = spark.createDataFrame([(k, t, "a", 1, 2, True) for k, t in rows], "doc_id long, text string, _gone string, id int, row int, worded boolean")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns
+    found = [(r.doc_id, r.text) for r in kept.collect()]
+    assert len(found) == 7 and sorted(x for x in found if x[0] is not None and x[1]) == [(4, "one two"), (9, " "), (9, text)]
+    assert found.count((3, None)) == 2 and found.count((None, "")) == 1 and sum(x[0] is None and bool(x[1]) for x in found) == 1
+    assert jaccard.keep_one(docs.where("false")).collect() == []
