@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import mixing, pii, secrets
@@ -100,6 +101,29 @@ def test_mixing_many_sources_without_broadcast_and_empty_table(spark, monkeypatc
     assert mixing.replicate(docs.where("false")).collect() == []
 
 
+def test_mixing_keeps_columns_of_any_name_and_names_impossible_weights(spark):
+    names = ["_count", "_u", "_source", "parts", "steps", "row", "key", "n", "u", "of", "salt", "rate", "copy"]
+    docs = spark.createDataFrame([(i, "s", "xx", *range(len(names))) for i in range(30)], ["doc_id", "source", "text", *names])
+    plain = mixing.replicate(docs, tagged=False)
+    assert plain.columns == docs.columns and {tuple(x)[3:] for x in plain.collect()} == {tuple(range(len(names)))}
+    tagged = mixing.replicate(docs)
+    assert tagged.columns == [c for c in docs.columns if c not in ("rate", "copy")] + ["rate", "copy", "shuffle_key"] and tagged.count() == plain.count()
+    for weights in ({}, {"other": 1.0}, {"s": 0.0}, {"s": -1.0}):
+        with pytest.raises(ValueError):
+            mixing.replicate(docs, weights=weights)
+    assert mixing.replicate(docs.where("false"), weights={"s": 1.0}).collect() == []
+
+
+def test_mixing_deals_out_the_copies_of_one_row(spark, monkeypatch):
+    rows = [(1, "tiny", "x"), *((i, "big", "y" * 400) for i in range(2, 12))]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = lambda: sorted((x.doc_id, x.copy) for x in mixing.replicate(docs, weights={"tiny": 1.0, "big": 1.0}).collect())
+    plain = found()
+    assert sum(i == 1 for i, _ in plain) > 1500
+    monkeypatch.setattr(mixing, "COPIES", 100)
+    assert found() == plain
+
+
 PII_ROWS = [
     (1, "Mail Bob.Smith7@mail8.example.com or bob.smith7@mail8.example.com from 42.144.35.254. card 4041894974608795, 4041-8949-7460-8795"),
     (2, "call +1 (988) 555-2485 or 988-555-2485; ssn 123-45-6789"),
@@ -178,3 +202,73 @@ def test_pii_mail_surrogates_grow_when_short_ones_run_out(spark):
     got = pii.assign(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
     assert len(got) == len(rows) == len({x.drawn for x in got}) and all(x.drawn.endswith("@example.com") for x in got)
     assert not {(x.kind, x.drawn) for x in got} & set(rows)
+
+
+def test_pii_crowded_shapes_gain_places_at_any_size(spark):
+    for rows in ([("EMAIL", f"{a}@{b}.co") for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"], [("IP", f"{a}.{b}.{c}.1") for a in range(1, 9) for b in range(10) for c in range(10)], [("SSN", f"{i:03}") for i in range(700)]):
+        got = pii.assign(spark.createDataFrame(rows, "kind string, entity string"), "k").collect()
+        assert len(got) == len(rows) == len({x.drawn for x in got}) and not {(x.kind, x.drawn) for x in got} & set(rows)
+    extra = {x.entity: x.extra for x in pii.shaped(spark.createDataFrame([("EMAIL", "a@b.co"), ("EMAIL", "long.name@host.example.com"), ("IP", "1.1.1.1"), ("SURNAME", "x")], "kind string, entity string")).collect()}
+    assert extra == {"a@b.co": 0, "long.name@host.example.com": 0, "1.1.1.1": 0, "x": 0}
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    names = ["_row", "_new", "_puts", "_names", "_text", "row", "content", "names", "puts", "at", "n_entities", "mention", "kind"]
+    docs = spark.createDataFrame([(1, "mail jo@bar.com", *range(len(names))), (2, "clean", *range(len(names)))], ["doc_id", "text", *names])
+    plain = pii.replace(docs)
+    assert plain.columns == docs.columns
+    for x in plain.collect():
+        assert tuple(x)[2:] == tuple(range(len(names))) and ("jo@" in x.text) == (x.doc_id == 3)
+    counted = pii.replace(docs, counted=True)
+    assert counted.columns == [c for c in docs.columns if c != "n_entities"] + ["n_entities"] and {x.doc_id: x.n_entities for x in counted.collect()} == {1: 1, 2: 0}
+
+
+def brute_surrogate(key, kind, entity, attempt=0):
+    """The definition in plain Python, for shapes that are not crowded."""
+
+    def draw(i):
+        digest = hashlib.sha256(f"{key}|{kind}|{entity}|{attempt}|{(i - 1) // 16}".encode()).hexdigest()
+        return int(digest[4 * ((i - 1) % 16) : 4 * ((i - 1) % 16) + 4], 16)
+
+    like = lambda c, i: str(draw(i) % 10) if c.isdigit() else chr(97 + draw(i) % 26) if "a" <= c <= "z" else chr(65 + draw(i) % 26) if "A" <= c <= "Z" else c
+    every = "".join(like(c, i + 1) for i, c in enumerate(entity))
+    if kind == "EMAIL":
+        tail = re.search(r"((?:example)?\.[a-z]+)$", entity).group(1)
+        return every[: len(entity) - len(tail)] + tail
+    if kind == "IP":
+        return ".".join(str(draw(i + 1) % {1: 10, 2: 90, 3: 156}[len(o)] + {1: 0, 2: 10, 3: 100}[len(o)]) for i, o in enumerate(entity.split(".")))
+    if kind == "CARD":
+        body = entity[0] + every[1:-1]
+        return next(body + d for d in "0123456789" if luhn(body + d) == luhn(entity))
+    return entity[:2] + every[2:] if kind == "IBAN" else every
+
+
+def test_pii_matches_a_plain_version(spark):
+    r = random.Random(11)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    made = {
+        "EMAIL": lambda: "".join(r.choice("abcdefgh") for _ in range(6)) + number(2) + "@mail" + number(1) + ".example.com",
+        "IP": lambda: ".".join(str(r.randrange(100, 250)) for _ in range(4)),
+        "CARD": lambda: "4" + number(15), "SSN": lambda: f"{number(3)}-{number(2)}-{number(4)}",
+        "PHONE": lambda: f"{r.randrange(200, 999)}-{number(3)}-{number(4)}", "IBAN": lambda: "DE" + number(20),
+    }
+    rows, found = [], []
+    for i in range(60):
+        parts = []
+        for _ in range(r.randrange(6)):
+            kind = r.choice(list(made))
+            mention = r.choice([m for k, m in found if k == kind]) if found and r.random() < 0.3 and any(k == kind for k, _ in found) else made[kind]()
+            found.append((kind, mention))
+            parts += [r.choice(["see", "from", "and"]), (kind, mention)]
+        rows.append((i, [*parts, "end"]))
+    docs = spark.createDataFrame([(i, " ".join(p if isinstance(p, str) else p[1] for p in parts)) for i, parts in rows], "doc_id long, text string")
+    entity = lambda k, m: re.sub("[^0-9]", "", m) if k in ("PHONE", "SSN", "CARD") else m
+    drawn = {(k, m): brute_surrogate("secret", k, entity(k, m)) for k, m in found}
+    assert len(set(drawn.values())) == len(drawn) and not {d for d in drawn.values()} & {entity(k, m) for k, m in found}  # no second draws
+
+    def laid(k, m):
+        digits = iter(drawn[k, m])
+        return "".join(next(digits) if c.isdigit() else c for c in m) if k in ("PHONE", "SSN") else drawn[k, m]
+
+    expected = {i: " ".join(p if isinstance(p, str) else laid(*p) for p in parts) for i, parts in rows}
+    assert {x.doc_id: x.text for x in pii.replace(docs, key="secret").collect()} == expected
