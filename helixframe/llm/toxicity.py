@@ -1,16 +1,19 @@
 """Toxicity by subword bags: character n-gram vectors averaged into a linear softmax, trained jointly in numpy.
 
 A word's vector is the mean of the vectors of its character n-grams and of itself; a document's is
-the mean over its words. Vectors and softmax are fitted together on a bounded sample of labelled
-rows (FIT_ROWS, the lowest hashes of the document id). As the softmax is linear in the mean, each
+the mean over its words. Vectors and softmax are fitted together, from random starts, on a bounded sample of
+labelled rows (FIT_ROWS, the lowest hashes of the document id). Every n-gram of the sample takes part; how far a
+step moves its vector follows its inverse document frequency among the fitted rows. One row of five chooses the
+epoch that is kept and is used for nothing else. As the softmax is linear in the mean, each
 n-gram's part of a score is one number, so what is sent to the tasks is one float for each of
 BUCKETS buckets, whatever the corpus holds. Every document is scored on its whole text, in one
-pass without a shuffle.
+pass without a shuffle; long texts are scored in parts that end between words, whose sums add up.
 
 Defined cases: null and empty texts, and texts without letters, get the bias's score. Without
 labels of both kinds nothing is learned and all scores are 0. Repeated rows are scored alike; a
-document labelled twice counts as toxic if any label says so; null labels are left out. An empty
-table gives no rows. Other columns are kept unless named as an output.
+document labelled twice counts as toxic if any label says so; null labels are left out; of rows with one id
+the fit takes the smallest text. An empty table gives no rows. Other columns are kept unless named as an output of
+``score``; ``keep_clean`` keeps all, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,18 +25,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import mix
 
 #: Bound on the labelled rows that a fit takes.
-FIT_ROWS = 3000
-BUCKETS = 1 << 17
-DIMENSIONS = 8
-SIZES = (3, 4, 5, 6)
+FIT_ROWS = 5000
+BUCKETS = 1 << 18
+DIMENSIONS = 4
+SIZES = (3, 4, 5)
 #: Means over long texts are small; both fit and score multiply them by this.
 GAIN = 64.0
-#: Standard deviations that chance explains: nearer n-grams are left out of the fit.
-SURE = 3.0
 CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -103,6 +105,15 @@ def bag(texts: list[str]) -> Bag:
     return Bag(text_of, word_of, flat, np.searchsorted(owner[by], np.arange(len(n))), keys)
 
 
+def in_parts(text: str) -> list[str]:
+    """The text in parts of about CHUNK_CHARS that end at a space."""
+    parts, at = [], 0
+    while len(text) - at > CHUNK_CHARS and (space := text.find(" ", at + CHUNK_CHARS)) >= 0:
+        parts.append(text[at:space])
+        at = space
+    return [*parts, text[at:]]
+
+
 def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, whole texts) of about CHUNK_CHARS."""
     at, size, held = 0, 0, []
@@ -127,25 +138,27 @@ class Model:
         out = np.zeros(len(texts))
         if self.parts is None:
             return out
-        for at, held in chunks(texts):
+        total, words = np.zeros(len(texts)), np.zeros(len(texts))
+        owners, parts = zip(*[(i, p) for i, t in enumerate(texts) for p in in_parts(t)]) if texts else ((), ())
+        owner = np.array(owners, dtype=np.int64)
+        for at, held in chunks(list(parts)):
             found = bag(held)
-            mean = np.zeros(len(held))
             if len(found.text_of):
                 counts = np.diff(np.append(found.starts, len(found.flat)))
-                words = np.add.reduceat(self.parts[found.flat], found.starts) / counts
-                total = np.bincount(found.text_of, weights=words[found.word_of], minlength=len(held))
-                mean = total / np.maximum(np.bincount(found.text_of, minlength=len(held)), 1)
-            out[at : at + len(held)] = 1 / (1 + np.exp(-np.clip(GAIN * mean + self.bias, -500, 500)))
-        return out
+                value = np.add.reduceat(self.parts[found.flat], found.starts) / counts
+                of = owner[at + found.text_of]
+                total += np.bincount(of, weights=value[found.word_of], minlength=len(texts))
+                words += np.bincount(of, minlength=len(texts))
+        return 1 / (1 + np.exp(-np.clip(GAIN * total / np.maximum(words, 1) + self.bias, -500, 500)))
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.05, seed: int = 7, verbose: bool = False) -> Model:
-    """Adam on the n-gram vectors and the softmax together; an inner fold of the sample picks the epoch."""
+def train(texts: list[str], toxic: list[int], epochs: int = 16, rate: float = 0.03, seed: int = 7) -> Model:
+    """Gradient steps on the n-gram vectors and the softmax together; an inner fold of the sample picks the epoch."""
     y = np.array(toxic, dtype=np.int64)
     if len(set(toxic)) < 2:
         return Model(None, 0.0)
     keys, texts_of, words_of, flats, counts = [], [], [], [], []
-    base, n_hold, n_toxic = 0, np.zeros(BUCKETS), np.zeros(BUCKETS)
+    base = 0
     for at, held in chunks(texts):
         b = bag(held)
         if not len(b.keys):
@@ -154,21 +167,17 @@ def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.
         texts_of.append(at + pair // len(b.keys))
         words_of.append(np.stack((base + pair % len(b.keys), n)))
         size = np.diff(np.append(b.starts, len(b.flat)))
-        spread = size[pair % len(b.keys)]
-        grams = b.flat[np.repeat(b.starts[pair % len(b.keys)] - np.concatenate(([0], np.cumsum(spread)[:-1])), spread) + np.arange(int(spread.sum()))]
-        holds = np.unique(np.repeat(texts_of[-1], spread) * BUCKETS + grams)
-        n_hold += np.bincount(holds % BUCKETS, minlength=BUCKETS)
-        n_toxic += np.bincount(holds % BUCKETS, weights=y[holds // BUCKETS], minlength=BUCKETS)
         keys.append(b.keys)
-        flats.append(b.flat)
+        flats.append(b.flat.astype(np.int32))
         counts.append(size)
         base += len(b.keys)
     if not keys:
         return Model(None, 0.0)
-    every, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    _, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
     count = np.concatenate(counts)
     start = np.concatenate(([0], np.cumsum(count)))[:-1]
     flat = np.concatenate(flats)
+    flats.clear()
     n_sub = count[first]
     sub_starts = np.concatenate(([0], np.cumsum(n_sub)))[:-1]
     flat = flat[np.repeat(start[first] - sub_starts, n_sub) + np.arange(int(n_sub.sum()))]
@@ -177,55 +186,53 @@ def train(texts: list[str], toxic: list[int], epochs: int = 40, rate: float = 0.
     word_of = same[word_of]
     length = np.maximum(np.bincount(text_of, weights=weight, minlength=len(texts)), 1)
     weight = weight / length[text_of]  # a document's mean over its words
-    # An n-gram counts if its share of toxic documents is off the chance share; the rest is learned by heart.
     share = (y == 1).mean()
-    z = (n_toxic - n_hold * share) / np.sqrt(np.maximum(n_hold * share * (1 - share), 1e-9))
-    used = np.flatnonzero((np.abs(z) >= SURE) & (n_hold >= 3))
-    if not len(used):
-        return Model(np.zeros(BUCKETS), float(np.log(share / (1 - share))))
-    place = np.full(BUCKETS, -1, dtype=np.int64)
+    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
+    place = np.zeros(BUCKETS, dtype=np.int32)
     place[used] = np.arange(len(used))
-    gram_word = np.repeat(np.arange(len(n_sub)), n_sub)[place[flat] >= 0]
-    flat = place[flat][place[flat] >= 0]
-    kept_words, gram_word = np.unique(gram_word, return_inverse=True)  # the others' vectors are 0
-    sub_starts, n_sub = np.searchsorted(gram_word, np.arange(len(kept_words))), n_sub[kept_words]
-    number = np.full(len(every), -1, dtype=np.int64)
-    number[kept_words] = np.arange(len(kept_words))
-    alive = number[word_of] >= 0
-    text_of, word_of, weight = text_of[alive], number[word_of[alive]], weight[alive]
+    flat = place[flat]
+    gram_word = np.repeat(np.arange(len(n_sub), dtype=np.int32), n_sub)
+    fold = np.arange(len(y)) % 5 == 0  # chooses the epoch; the others are fitted
+    fitted = int((~fold).sum())
+    holders = np.bincount(word_of[~fold[text_of]], minlength=len(n_sub))  # fitted documents of each word, at most so many of an n-gram
+    held = np.minimum(np.bincount(flat, weights=holders[gram_word], minlength=len(used)), fitted)
+    reach = np.log((fitted + 1) / (held + 1)) ** 2  # n-grams that most documents hold hardly move
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (DIMENSIONS, len(used)))
-    vectors[0] += z[used] / 4  # the first dimension starts from that excess
-    soft = rng.normal(0, 0.1, (2, DIMENSIONS))
-    soft[:, 0] = -0.5, 0.5
+    soft = rng.normal(0, 1, (2, DIMENSIONS)) / np.sqrt(DIMENSIONS)
     bias = np.log(np.array([1 - share, share]))
     target = np.stack((y == 0, y == 1)).astype(float)
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
-    n_words = len(kept_words)
-    fold = np.arange(len(y)) % 5 == 0  # judges the epochs; the others are fitted
-    best, kept = np.inf, None
+    speed, slow = np.zeros_like(vectors), [[np.zeros_like(p), np.zeros_like(p)] for p in (soft, bias)]
+    best, kept, unit = np.inf, None, 1.0
     for epoch in range(epochs):
         words = np.stack([np.add.reduceat(v[flat], sub_starts) / n_sub for v in vectors])
         docs = GAIN * np.stack([np.bincount(text_of, weights=w[word_of] * weight, minlength=len(y)) for w in words])
+        mean = docs[:, ~fold].mean(axis=1)
+        docs -= mean[:, None]  # the bias takes what all documents have
         logits = soft @ docs + bias[:, None]
         p = np.exp(logits - logits.max(axis=0))
         p /= p.sum(axis=0)
-        loss = -np.log(np.maximum(p[y, np.arange(len(y))], 1e-12))[fold].mean() if fold.any() else -epoch
+        loss = -np.log(np.maximum(p[y, np.arange(len(y))], 1e-12))[fold].mean()
         if loss < best:
-            best, kept = loss, ((soft[1] - soft[0]) @ vectors, float(bias[1] - bias[0]))
-        if verbose:
-            print(epoch, round(float(loss), 4))
-        error = (p - target) * np.where(fold, 0.0, 1.0 / (~fold).sum())
+            best, kept = loss, ((soft[1] - soft[0]) @ vectors, float(bias[1] - bias[0] - (soft[1] - soft[0]) @ mean))
+        error = (p - target) / max(fitted, 1)
+        error[:, fold] = 0
         d_docs = GAIN * (soft.T @ error)
+        d_docs[:, ~fold] -= d_docs[:, ~fold].mean(axis=1, keepdims=True)
         grads = [np.empty_like(vectors), error @ docs.T, error.sum(axis=1)]
         for k in range(DIMENSIONS):
-            d_word = (np.bincount(word_of, weights=d_docs[k][text_of] * weight, minlength=n_words) / n_sub)[gram_word]
+            d_word = (np.bincount(word_of, weights=d_docs[k][text_of] * weight, minlength=len(n_sub)) / n_sub)[gram_word]
             grads[0][k] = np.bincount(flat, weights=d_word, minlength=len(used))
-        for value, grad, (m, v) in zip((vectors, soft, bias), grads, state):
+        if epoch == 0:
+            unit = 1 / max(np.sqrt(((grads[0] * reach) ** 2).mean()), 1e-30)
+        speed *= 0.9
+        speed += unit * grads[0] * reach
+        vectors -= rate * speed * reach / max(reach.max(), 1e-30)
+        for value, grad, (m, v) in zip((soft, bias), grads[1:], slow):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
-            value -= rate * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+            value -= 0.02 * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
     parts = np.zeros(BUCKETS)
     parts[used], difference = kept
     return Model(parts, difference)
@@ -238,11 +245,12 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> Model:
     """A model of at most ``fit_rows`` labelled documents outside the held-out fold."""
-    known = labels.where(~held_out(doc_id) & F.col(label).isNotNull()).groupBy(doc_id).agg(F.max(label).alias("_label"))
-    sample = known.orderBy(F.xxhash64(doc_id), doc_id).limit(fit_rows)
-    rows = docs.join(F.broadcast(sample), doc_id).select(doc_id, F.coalesce(text, F.lit("")).alias("_text"), F.col("_label").cast("int").alias("_label"))
-    found = sorted(rows.toArrow().to_pylist(), key=lambda r: (r[doc_id], r["_text"]))
-    return train([r["_text"] for r in found], [r["_label"] for r in found])
+    known = labels.where(~held_out(doc_id) & F.col(label).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    sample = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
+    texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # fit_rows at most, whatever repeats
+    found = sorted(rows.toArrow().to_pylist(), key=lambda r: r["id"])
+    return train([r["text"] for r in found], [r["label"] for r in found])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -259,5 +267,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 scores = shared.value.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*names, "score", "predicted"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return docs.mapInArrow(run, ", ".join([*fields, "score double", "predicted int"]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+
+
+def keep_clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with the columns of ``docs``: a row travels as one value."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return score(rows, model).where("predicted = 0").select("row.*")
