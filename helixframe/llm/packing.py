@@ -6,11 +6,13 @@ differenced: the two partial partitions with the largest imbalances are merged,
 largest sums of one to the smallest of the other, until one partition into k near-equal windows is
 left. k starts at the least possible count and rises whenever a window exceeds the capacity. Only
 the pieces' few numbers are shuffled, never ids or texts, and a group's size does not grow with
-the corpus.
+the corpus: a row's group depends on its place too, so repeated rows are dealt out like others, the full
+pieces of a long document form groups of SPAN windows, and at most GROUP_PIECES pieces are differenced together.
 
 Defined cases: null and empty texts have the end id alone; a null id is kept. Repeated rows are
-packed as often as they occur. Very long texts give many full pieces, which need no group's
-memory. An empty table gives no pieces. Input columns other than the id and the text are ignored.
+packed as often as they occur. Very long texts are encoded in segments that end at a space, so that only
+their ids are held whole. An empty table gives no pieces. Input columns other than the id and the text are
+ignored, so their names cannot clash. Which documents share a window depends on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -24,18 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CAPACITY = 2048
 #: Documents of one differencing group, on average.
 GROUP_DOCS = 512
+#: Pieces that are differenced together, at most, and windows of one group of a long document.
+GROUP_PIECES, SPAN = 2048, 256
 #: Remainders are cut to this, so that a window has several and their sums come out even.
 CUT = 512
 END_ID = 1
 #: Longer words are not kept for reuse, and so many words are kept at most.
 KEPT_CHARS, KEPT_WORDS = 48, 400_000
 BATCH_CHARS = 2 << 20
+#: Longer texts are encoded in segments of about this.
+SEGMENT_CHARS = 1 << 20
 #: Words that are one run of letters after any normalisation.
 PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]{1,48}\Z")
 
@@ -122,39 +130,62 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-PIECE_SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long"
+PIECE = ["start", "length", "ids_crc32", "doc_tokens"]
+
+
+def segments(text: str) -> list[str]:
+    """The text in parts that end at a space."""
+    parts, at = [], 0
+    while len(text) - at > SEGMENT_CHARS:
+        space = text.find(" ", at + SEGMENT_CHARS)
+        if space < 0:
+            break
+        parts.append(text[at:space])
+        at = space
+    return [*parts, text[at:]]
 
 
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, cut: int = CUT) -> DataFrame:
-    """One row for each piece: (id, start, length, ids_crc32, doc_tokens)."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    """One row for each piece: (id, start, length, ids_crc32, doc_tokens, place).
+
+    ``place`` tells rows apart that are equal: the task and how many such rows it had before.
+    """
     end = np.array([END_ID], dtype="<u4").tobytes()
+    names = ["id", *PIECE, "place"]
+    schema = T.StructType([T.StructField("id", docs.schema[doc_id].dataType), *(T.StructField(n, T.LongType()) for n in names[1:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = word_ids(vocabulary)
-        names = [doc_id, *(c.split()[0] for c in PIECE_SCHEMA.split(", "))]
+        coder, task, seen = word_ids(vocabulary), TaskContext.get().partitionId(), {}
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             at = 0
             while at < len(texts):
-                stop, size = at, 0
+                parts, owner, stop, size = [], [], at, 0
                 while stop < len(texts) and size < BATCH_CHARS:
-                    size += len(texts[stop])
+                    whole = texts[stop] or ""
+                    size += len(whole)
+                    held = segments(whole) if len(whole) > SEGMENT_CHARS else [whole]
+                    parts += held
+                    owner += [stop] * len(held)
                     stop += 1
-                owner, rows = [], []
-                for i, ids in enumerate(coder.encode(texts[at:stop]), at):
+                encoded = coder.encode(parts)
+                joined = encoded if len(encoded) == stop - at else [b"".join(p for p, o in zip(encoded, owner) if o == i) for i in range(at, stop)]
+                of, rows = [], []
+                for i, ids in enumerate(joined, at):
                     ids += end
                     total = len(ids) // 4
-                    whole = total - total % capacity
-                    for start in [*range(0, whole, capacity), *range(whole, total, cut)]:
-                        part = ids[4 * start : 4 * (start + (capacity if start < whole else cut))]
-                        owner.append(i)
-                        rows.append((start, len(part) // 4, zlib.crc32(part), total))
+                    row = hash((keys[i], total, zlib.crc32(ids)))
+                    seen[row] = before = seen.get(row, -1) + 1
+                    full = total - total % capacity
+                    for start in [*range(0, full, capacity), *range(full, total, cut)]:
+                        part = ids[4 * start : 4 * (start + (capacity if start < full else cut))]
+                        of.append(i)
+                        rows.append((start, len(part) // 4, zlib.crc32(part), total, task << 32 | before))
                 columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *columns], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of)), *columns], names)
                 at = stop
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, {PIECE_SCHEMA}")
+    return docs.select(F.col(doc_id).alias("id"), text).mapInArrow(run, schema)
 
 
 def difference(lengths: np.ndarray, k: int) -> np.ndarray:
@@ -191,32 +222,42 @@ def difference(lengths: np.ndarray, k: int) -> np.ndarray:
 
 
 def windows(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """A window for each length; the count rises from the least possible until none exceeds the capacity."""
+    """A window for each length; the count rises from the least possible, by what exceeds the capacity, until none does."""
     k = max(1, -(-int(lengths.sum()) // capacity))
     while True:
         window = difference(lengths, k)
-        if np.bincount(window, weights=lengths, minlength=k).max(initial=0) <= capacity:
+        over = np.maximum(np.bincount(window, weights=lengths, minlength=k) - capacity, 0).sum()
+        if not over:
             return window
-        k += 1
+        k += max(1, int(over) // capacity)
 
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, cut: int = CUT) -> DataFrame:
     """All pieces with ``sequence_id`` and gapless ``offset``; a sequence id is a group's number and a count in it."""
     groups = max(1, -(-docs.count() // GROUP_DOCS))
     found = pieces(docs, vocabulary, doc_id, text, capacity, cut)
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64(doc_id, "doc_tokens"), F.lit(groups)))
-    names = [f.name for f in found.schema]
+    span = F.floor(F.col("start") / (capacity * SPAN))
+    apart = (F.col("length") == capacity) & (span > 0)  # full pieces need no others
+    row = [F.col("id"), F.col("doc_tokens"), F.col("place")]
+    group = F.when(apart, groups + F.pmod(F.xxhash64(*row, span), F.lit(1 << 30))).otherwise(F.pmod(F.xxhash64(*row), F.lit(groups)))
+    dealt = found.drop("place").withColumn("group", group)
+    names = ["id", *PIECE]
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([doc_id, "start", "ids_crc32"], kind="stable").reset_index(drop=True)
+        frame = frame.sort_values(["id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
         full = (frame["length"] == capacity).to_numpy()
         window = np.zeros(len(frame), dtype=np.int64)
         window[full] = np.arange(full.sum())
-        _, rest = np.unique(windows(frame["length"].to_numpy()[~full], capacity), return_inverse=True)
-        window[~full] = full.sum() + rest
-        frame["sequence_id"] = frame["_group"].astype("int64") * (1 << 32) + window
+        rest, used = np.flatnonzero(~full), int(full.sum())
+        lengths = frame["length"].to_numpy()
+        for at in range(0, len(rest), GROUP_PIECES):
+            part = rest[at : at + GROUP_PIECES]
+            some, number = np.unique(windows(lengths[part], capacity), return_inverse=True)
+            window[part] = used + number
+            used += len(some)
+        frame["sequence_id"] = frame["group"].astype("int64") * (1 << 32) + window
         order = np.argsort(window, kind="stable")
-        length = frame["length"].to_numpy()[order]
+        length = lengths[order]
         before = np.cumsum(length) - length
         first = np.searchsorted(window[order], window[order], side="left")
         offset = np.empty(len(frame), dtype=np.int64)
@@ -224,5 +265,6 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
         frame["offset"] = offset
         return frame[[*names, "sequence_id", "offset"]]
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema)
-    return dealt.groupBy("_group").applyInPandas(place, f"{schema}, sequence_id long, offset long")
+    schema = T.StructType([*(found.schema[n] for n in names), T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    packed = dealt.groupBy("group").applyInPandas(place, schema)
+    return packed.select(F.col("id").alias(doc_id), *PIECE, "sequence_id", "offset")
