@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gif, jaccard, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
-from .common import table
+from .common import materialize, table
 
 
 def op1_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +86,11 @@ SELECT * FROM ranked WHERE rank <= 5
 
 
 def op7_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    history = table(spark, sf_dir, "documents").withColumn("version", F.lit(1))
-    found = secrets.findings(history, "doc_id", "version", "text")
+    """The history arrives in two increments: the second run scans only what the first one's ledger lacks, and reports on all paths."""
+    history = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("version"), "text")
+    arrived = history.where(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 2 == 0)
+    ledger = materialize(secrets.ledger_rows(secrets.scan(arrived, "doc_id", "version", "text")))
+    found = secrets.findings(history, "doc_id", "version", "text", ledger)
     base = [r.kind for r in secrets.BASE_RULES]
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in base]
     return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed([r.kind for r in secrets.RULES]).alias("spans"))

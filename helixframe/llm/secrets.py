@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Findings of a blob are joined back to its paths in so many shares.
+SALTS = 16
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -111,8 +113,8 @@ def ledger_rows(scanned: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 def findings(history: DataFrame, path: str, version: str, content: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(path, version, blob, one span array for each kind) for every version of every path.
 
-    Blobs with any finding are few; the join back to paths is on the blob, and a blob that many
-    paths hold is split by adaptive execution.
+    Blobs with any finding are few: each is joined back to its paths in SALTS shares, so that a blob that very
+    many paths hold is no task of its own; adaptive execution splits what is still large.
     """
     scanned = scan(history, path, version, content, ledger, rules)
     kinds = [r.kind for r in rules]
@@ -120,8 +122,8 @@ def findings(history: DataFrame, path: str, version: str, content: str, ledger:
         known = ledger.unionByName(ledger_rows(scanned, rules))
         scanned = known.groupBy("blob").agg(*[F.max(F.when(F.col("rule") == r.key, F.col("spans"))).alias(r.kind) for r in rules])
     some = scanned.where(F.greatest(*[F.coalesce(F.size(k), F.lit(0)) for k in kinds], F.lit(0)) > 0).select("blob", *kinds)
-    paths = address(history, path, version, content).drop("content")
-    back = paths.join(some, "blob", "left")
+    paths = address(history, path, version, content).drop("content").withColumn("salt", F.pmod(F.xxhash64("path", "version"), F.lit(SALTS)))
+    back = paths.join(some.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["blob", "salt"], "left")
     return back.select("path", "version", "blob", *[F.coalesce(k, F.expr(f"CAST(array() AS {SPAN})")).alias(k) for k in kinds])
 
 
