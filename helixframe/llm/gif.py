@@ -7,7 +7,8 @@ spread over frames of at most FRAME_ROWS rows, which bounds the canvas.
 
 Defined cases: null media gives no frames and a digest with null fields; empty payloads are padded
 to one 64-byte row; bytes that are not a GIF, or break off, give the frames before the damage and
-``ok`` false. Repeated rows give repeated rows; an empty table gives none. Input columns other than
+``ok`` false. A GIF whose header, or a frame of which, asks for more than MAX_PIXELS pixels ends in a row with
+an empty canvas and ``ok`` false, so that a few bytes cannot ask for a task's memory. Repeated rows give repeated rows; an empty table gives none. Input columns other than
 the id and the media are ignored, so their names cannot clash.
 """
 
@@ -28,6 +29,8 @@ WIDTH = 64
 #: Rows of one stored frame: 1 MiB of samples.
 FRAME_ROWS = 16_384
 DELAY_CS = 10
+#: Pixels of a canvas or frame that is decoded; 64 MiB of colours.
+MAX_PIXELS = 1 << 24
 BINS = 4  # colour-histogram levels for each channel
 
 
@@ -249,6 +252,10 @@ def decode(data: bytes) -> Iterator[Frame]:
         n = 2 << (flags & 7)
         shared = np.frombuffer(data[at : at + 3 * n].ljust(3 * n, b"\0"), dtype=np.uint8).reshape(n, 3)
         at += 3 * n
+    nothing = np.zeros((0, 0, 4), dtype=np.uint8)
+    if width * height > MAX_PIXELS:
+        yield Frame(0, 0, 0, width, height, 0, 0, 0, -1, nothing, False)
+        return
     canvas = np.zeros((height, width, 4), dtype=np.uint8)
     disposal, delay, transparent, index, clock = 0, 0, -1, 0, 0
     while at < len(data):
@@ -268,6 +275,9 @@ def decode(data: bytes) -> Iterator[Frame]:
                 at += 3 * n
             if at >= len(data) or not 2 <= data[at] <= 8:
                 return
+            if w * h > MAX_PIXELS:
+                yield Frame(index, left, top, w, h, clock, 10 * delay, disposal, transparent, nothing, False)
+                return
             stream, after = _blocks(data, at + 1)
             samples, ok = lzw_decode(stream, data[at], w * h)
             at = after

@@ -26,9 +26,9 @@ import html as entities
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -212,7 +212,7 @@ def common_lines(mine: list[int], other: list[int]) -> set[int]:
 
 
 def _hashes(found: list[tuple[int, str]]) -> list[int]:
-    return [xxhash.xxh64_intdigest(text) - (1 << 63) for _, text in found]
+    return [int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) for _, text in found]
 
 
 def main_text(found: list[tuple[int, str]], neighbours: list[list[int]] = ()) -> str:

@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import gif, packing, pages, substrings, topk, toxicity
 
@@ -39,8 +41,17 @@ def test_gif_disposal_transparency_interlace_and_local_palettes():
     assert shown[0][1] == [[red, red], [red, red]]
     assert shown[1][1] == [[green, red], [red, red]]  # index 3 is not drawn
     assert shown[2][1] == [[red, red], [red, green]]  # the second frame is taken back
-    assert shown[3][1] == [[grey, red], [red, grey]] or shown[3][1] == [[grey, red], [clear, grey]]
-    assert list(gif.decode(data[: len(data) // 2])) is not None and list(gif.decode(b"no gif")) == []
+    assert shown[3][1] == [[grey, red], [clear, grey]]  # what the third frame drew is cleared, and index 0 is not drawn
+    half = list(gif.decode(data[: data.index(b"\x2c", 60)]))
+    assert [f.index for f in half] == [0] and half[0].ok and list(gif.decode(b"no gif")) == []
+
+
+def test_gif_headers_cannot_ask_for_a_tasks_memory(spark):
+    wide = b"GIF89a" + b"\xff\xff\xff\xff" + bytes([0, 0, 0])
+    frame = b"GIF89a" + b"\x01\x00\x01\x00" + bytes([0, 0, 0]) + b"\x2c" + bytes(4) + b"\xff\xff\xff\xff" + b"\x00\x02\x01\x00\x00"
+    df = spark.createDataFrame([(1, wide), (2, frame), (3, None)], "doc_id long, media binary")
+    assert [(x.doc_id, x.frame, x.ok, len(x.rgba)) for x in gif.frames(df, "doc_id", "media").orderBy("doc_id").collect()] == [(1, 0, False, 0), (2, 0, False, 0)]
+    assert [x.ok for x in gif.digests(df, "doc_id", "media").collect()] == [False, False, None]
 
 
 def test_gif_columns_round_trip_any_text(spark):
@@ -52,7 +63,7 @@ def test_gif_columns_round_trip_any_text(spark):
         padded = raw.ljust(-(-max(len(raw), 1) // 64) * 64, b"\0")
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        assert r.ok and r.n_frames == -(-len(padded) // 64 // gif.FRAME_ROWS) or r.n_frames == 1
+        assert r.ok and r.n_frames == max(1, -(-len(padded) // 64 // gif.FRAME_ROWS))
     assert got[5].media_sha256 == got[6].media_sha256
     assert gif.round_trip(docs.where("false"), "doc_id", "text").collect() == []
     stored = gif.store_payload(docs.where("doc_id in (2, 4)"), "doc_id", "text")
@@ -88,11 +99,43 @@ def test_toxicity_learns_stems_and_scores_odd_texts(spark):
     assert all(0 <= x.score <= 1 for x in got.values())
     again = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
     assert again == {k: x.score for k, x in got.items()}
+    twice = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz "), "text"))).withColumn("_label", F.lit(7)).withColumn("label", F.lit(8)).withColumn("id", F.lit(9))
+    assert toxicity.fit(twice, known).parts is not None  # repeated ids, and names of helper columns
+    clean = toxicity.keep_clean(docs.withColumn("predicted", F.lit("mine")).withColumn("row", F.lit(1)), model)
+    assert clean.columns == [*docs.columns, "predicted", "row"] and {(x.predicted, x.score) for x in clean.collect()} == {("mine", "x")} and clean.where("doc_id = 903").count() == 0
     nothing = toxicity.fit(docs, known.where("false"))
     assert {x.score for x in toxicity.score(docs, nothing).collect()} == {0.0}
     assert toxicity.score(docs.where("false"), model).collect() == []
 
 
+def brute_score(model, text):
+    """The mean over words of the mean of their n-grams' parts, n-gram by n-gram."""
+    base, mask = int(toxicity._BASE), (1 << 64) - 1
+    total, words = 0.0, re.findall(r"[^\W\d_]+", text.lower())
+
+    def bucket(points, size=0):
+        h = 0
+        for p in points:
+            h = (h * base + p + 1) & mask
+        return int(toxicity.mix(np.array([(h + (size << 56)) & mask], dtype=np.uint64))[0] % toxicity.BUCKETS)
+
+    for w in words:
+        framed = [60, *map(ord, w), 62]
+        found = [bucket(map(ord, w))] + [bucket(framed[i : i + k], k) for k in toxicity.SIZES for i in range(len(framed) - k + 1)]
+        total += np.mean([model.parts[b] for b in found])
+    return 1 / (1 + np.exp(-(toxicity.GAIN * total / max(len(words), 1) + model.bias)))
+
+
+def test_scores_match_a_plain_version(monkeypatch):
+    r = np.random.default_rng(2)
+    model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0)
+    texts = ["", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end"]
+    expected = [brute_score(model, t) for t in texts]
+    assert np.allclose(model.scores(texts), expected, atol=1e-12)
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 10)
+    assert np.allclose(model.scores(texts), expected, atol=1e-12)
+
+
 # ---------------------------------------------------------------- packing
 
 
@@ -106,6 +149,29 @@ def test_differencing_balances_and_keeps_every_length():
         if n == 200:
             assert sums.max() - sums.min() < 20
     assert packing.windows(np.array([2048, 2048, 1])).max() == 2  # the count rises beyond the least
+    equal = packing.windows(np.full(2000, 211))
+    assert np.bincount(equal).max() == 9 and 222 <= len(np.unique(equal)) <= 235  # nine of 211 ids fill a window
+
+
+def test_packing_deals_out_repeated_rows_and_long_documents(spark, monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(packing, "GROUP_DOCS", 64)
+    monkeypatch.setattr(packing, "SPAN", 4)
+    docs = spark.range(3000).select(F.lit(5).alias("doc_id"), F.lit("the same words here").alias("text")).unionByName(spark.createDataFrame([(6, "word " * 60_000)], "doc_id long, text string"))
+    rows = packing.pack(docs, public.path("word_bpe_49k.json")).groupBy(F.shiftright("sequence_id", 32).alias("group")).agg(F.count("*").alias("n"), F.sum("length").alias("ids"), F.max("doc_id").alias("doc")).collect()
+    assert len(rows) > 50 and max(x.n for x in rows) < 200 and sum(x.ids for x in rows) == 3000 * 5 + 60_001
+
+
+def test_long_texts_are_encoded_in_segments(monkeypatch):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "SEGMENT_CHARS", 20)
+    text = "  Some Words, don't  \n stop <|endoftext|> here  nor there " * 5 + "x" * 50
+    parts = packing.segments(text)
+    assert "".join(parts) == text and len(parts) > 8
+    assert b"".join(packing.WordIds(path).encode(parts)) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def test_packing_covers_every_id_once(spark):
@@ -140,7 +206,7 @@ def test_packing_covers_every_id_once(spark):
 # ---------------------------------------------------------------- top-k
 
 
-def test_topk_matches_brute_force_with_ties_and_bad_vectors(spark):
+def test_topk_matches_brute_force_with_ties_and_bad_vectors(spark, monkeypatch):
     r = np.random.default_rng(4)
     vectors = [(int(i), [float(x) for x in r.normal(size=12).astype(np.float32)]) for i in range(300)]
     vectors += [(1000 + i, vectors[i][1]) for i in range(40)]  # equal vectors tie
@@ -154,6 +220,13 @@ def test_topk_matches_brute_force_with_ties_and_bad_vectors(spark):
         best = sorted((-int(fine[q] @ v), i) for i, v in fine.items() if i != q and len(v) == len(fine[q]))[:5]
         assert sorted(got.get(q, [])) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
     assert topk.search(df.where("false"), df.where("false")).collect() == []
+    small = lambda: sorted(tuple(x) for x in topk.search(df.where("vec_id < 400"), df.where("vec_id % 3 = 0"), k=3).collect())
+    whole = small()
+    monkeypatch.setattr(topk, "ROWS", 50)
+    monkeypatch.setattr(topk, "QUERIES", 20)
+    assert small() == whole
+    repeated = df.where("vec_id = 1").unionByName(df.where("vec_id in (1, 7, 1001)"))
+    assert [(x.rank, x.vec_id) for x in topk.search(repeated, df.where("vec_id = 1001"), k=2).orderBy("rank").collect()] == [(1, 1), (2, 1)]
 
 
 # ---------------------------------------------------------------- pages
