@@ -240,7 +240,7 @@ def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "
     apart = (F.col("length") == capacity) & (span > 0)  # full pieces need no others
     row = [F.col("id"), F.col("doc_tokens"), F.col("place")]
     group = F.when(apart, groups + F.pmod(F.xxhash64(*row, span), F.lit(1 << 30))).otherwise(F.pmod(F.xxhash64(*row), F.lit(groups)))
-    dealt = found.drop("place").withColumn("group", group)
+    dealt = found.withColumn("group", group).drop("place")
     names = ["id", *PIECE]
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:
