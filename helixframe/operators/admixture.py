@@ -5,42 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 
-def supervised(genotypes: DataFrame, labels: DataFrame, iterations: int = 20, low: float = 1e-5) -> DataFrame:
-    """(sample, afr_q, eur_q) for two sources.
+
+def supervised(genotypes: DataFrame, labels: DataFrame, iterations: int = 20, low: float = 1e-5, tolerance: float = 1e-4, keys: list[str] = []) -> DataFrame:
+    """(keys, sample, afr_q, eur_q) for two sources.
 
     ``genotypes`` has sample, site_id and dosage (0 to 2); ``labels`` has sample and label, where AFR
-    and EUR samples keep their source and others are free. Each step is two partial aggregations:
-    source frequencies by site, then proportions by sample. Lineage is cut every few steps.
+    and EUR samples keep their source and others are free; both have ``keys`` (a replicate), which are fitted apart.
+    Each step is two partial aggregations: source frequencies by site, then proportions by sample. Steps end when
+    no proportion moves by more than ``tolerance``, or after ``iterations``. Lineage is cut in every step.
     """
-    fixed = labels.select("sample", F.when(F.col("label") == "AFR", 1.0).when(F.col("label") == "EUR", 0.0).alias("fixed"))
-    q = fixed.select("sample", "fixed", F.coalesce("fixed", F.lit(0.5)).alias("q"))
-    full = genotypes.join(fixed.drop("fixed"), "sample", "left_semi")
-    start = full.join(q, "sample").groupBy("site_id")
+    fixed = labels.select(*keys, "sample", F.when(F.col("label") == "AFR", 1.0).when(F.col("label") == "EUR", 0.0).alias("fixed"))
+    q = fixed.select(*keys, "sample", "fixed", F.coalesce("fixed", F.lit(0.5)).alias("q"))
+    unit, site = [*keys, "sample"], [*keys, "site_id"]
+    full = genotypes.join(fixed.drop("fixed"), unit, "left_semi")
     frequency = lambda w, x: F.least(F.greatest(F.sum(w * x) / F.greatest(F.sum(w * 2), F.lit(1e-12)), F.lit(low)), F.lit(1 - low))
     g = F.col("dosage").cast("double")
-    p = start.agg(frequency(F.col("q"), g).alias("pa"), frequency(1 - F.col("q"), g).alias("pe"))
-    for step in range(iterations):
-        rows = full.join(q, "sample").join(p, "site_id")
+    p = cut(full.join(q, unit).groupBy(*site).agg(frequency(F.col("q"), g).alias("pa"), frequency(1 - F.col("q"), g).alias("pe")))
+    for _ in range(iterations):
+        rows = full.join(q, unit).join(p, site)
         alt = F.col("q") * F.col("pa") + (1 - F.col("q")) * F.col("pe")
         ref = F.col("q") * (1 - F.col("pa")) + (1 - F.col("q")) * (1 - F.col("pe"))
         a1, e1 = g * F.col("q") * F.col("pa") / alt, g * (1 - F.col("q")) * F.col("pe") / alt
         a0, e0 = (2 - g) * F.col("q") * (1 - F.col("pa")) / ref, (2 - g) * (1 - F.col("q")) * (1 - F.col("pe")) / ref
-        shared = rows.select("sample", "site_id", "fixed", a1.alias("a1"), e1.alias("e1"), a0.alias("a0"), e0.alias("e0"))
+        shared = rows.select(*unit, "site_id", "fixed", "q", a1.alias("a1"), e1.alias("e1"), a0.alias("a0"), e0.alias("e0"))
         bounded = lambda x: F.least(F.greatest(x, F.lit(low)), F.lit(1 - low))
         ratio = lambda x, y: bounded(F.sum(x) / F.greatest(F.sum(x) + F.sum(y), F.lit(1e-12)))
-        p = shared.groupBy("site_id").agg(ratio("a1", "a0").alias("pa"), ratio("e1", "e0").alias("pe"))
+        p = cut(shared.groupBy(*site).agg(ratio("a1", "a0").alias("pa"), ratio("e1", "e0").alias("pe")))
         mine = F.sum(F.col("a1") + F.col("a0")) / F.sum(F.col("a1") + F.col("a0") + F.col("e1") + F.col("e0"))
-        q = shared.groupBy("sample").agg(F.first("fixed").alias("fixed"), mine.alias("_q")).select("sample", "fixed", F.coalesce("fixed", "_q").alias("q"))
-        if step % 2 == 1:
-            p, q = _cut(p), _cut(q)
-    return q.select("sample", F.col("q").alias("afr_q"), (1 - F.col("q")).alias("eur_q"))
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="helixframe-"))
-    return df.checkpoint()
+        moved = cut(shared.groupBy(*unit).agg(F.first("fixed").alias("fixed"), F.first("q").alias("before"), mine.alias("mine")).select(*unit, "fixed", "before", F.coalesce("fixed", "mine").alias("q")))
+        q = moved.drop("before")
+        if (moved.agg(F.max(F.abs(F.col("q") - F.col("before")))).first()[0] or 0.0) <= tolerance:
+            break
+    return q.select(*unit, F.col("q").alias("afr_q"), (1 - F.col("q")).alias("eur_q"))

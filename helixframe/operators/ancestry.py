@@ -13,24 +13,24 @@ GLOBAL_NAMES = {0: "AFR", 1: "EUR"}
 LOCAL_NAMES = {0: "AFR", 1: "EUR", 2: "ADX"}
 
 
-def with_ids(rows: DataFrame, ind: str = "ind", pop: str = "pop") -> DataFrame:
-    """``sample_id`` counts individuals overall, ``vcf_sample_id`` from the first one present of the population."""
-    first = rows.groupBy(pop).agg(F.min(ind).alias("_first"))
-    joined = rows.join(first, pop)
+def with_ids(rows: DataFrame, ind: str = "ind", pop: str = "pop", by: tuple[str, ...] = ()) -> DataFrame:
+    """``sample_id`` counts individuals overall, ``vcf_sample_id`` from the first one present of the population (in each of ``by``)."""
+    first = rows.groupBy(*by, pop).agg(F.min(ind).alias("_first"))
+    joined = rows.join(first, [*by, pop])
     number = lambda n: F.concat_ws("_", F.col(pop), n.cast("string"))
     return joined.withColumn("sample_id", number(F.col(ind) + 1)).withColumn("vcf_sample_id", number(F.col(ind) - F.col("_first") + 1)).drop("_first")
 
 
-def global_ancestry(segments: DataFrame) -> DataFrame:
-    """Share of each individual's length from AFR and EUR sources; other sources are left out.
+def global_ancestry(segments: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Share of each individual's length from AFR and EUR sources (in each of ``by``); other sources are left out.
 
     ``segments`` has pop, ind, left, right and population; both columns always exist.
     """
     named = segments.withColumn("name", labelled("population", GLOBAL_NAMES)).withColumn("length", F.col("right") - F.col("left"))
-    spans = named.groupBy("pop", "ind").pivot("name", ["AFR", "EUR"]).agg(F.sum("length")).fillna(0.0, ["AFR", "EUR"])
-    total = F.col("AFR") + F.col("EUR")
-    out = with_ids(spans.withColumn("span", total))
-    return out.select("pop", "sample_id", "vcf_sample_id", divide("AFR", "span").alias("afr_prop"), divide("EUR", "span").alias("eur_prop"), "span")
+    of = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("length"))), F.lit(0.0)).alias(name)
+    spans = named.groupBy(*by, "pop", "ind").agg(of("AFR"), of("EUR"))
+    out = with_ids(spans.withColumn("span", F.col("AFR") + F.col("EUR")), by=by)
+    return out.select(*by, "pop", "sample_id", "vcf_sample_id", divide("AFR", "span").alias("afr_prop"), divide("EUR", "span").alias("eur_prop"), "span")
 
 
 def local_ancestry(segments: DataFrame, chrom: str) -> DataFrame:

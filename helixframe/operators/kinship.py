@@ -2,33 +2,54 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from .genotype import UNIT
-from .ld import wide
 
 CUTOFF = 0.0442
 #: Sites of one partial table.
 SITE_BLOCK = 20_000
+#: Numbers of individuals of one block.
+IND_BLOCK = 2048
+
+
+def _tile(frame: pd.DataFrame) -> pd.DataFrame:
+    """Sums of one block of sites for the pairs between two blocks of individuals."""
+    matrix = lambda rows: np.array(rows["dosage"].tolist(), dtype=np.float64)
+    left = frame[frame["side"] == 0].sort_values("site_id")
+    first, g = frame.iloc[0], matrix(left)
+    same = first["i"] == first["j"]
+    right = left if same else frame[frame["side"] == 1].sort_values("site_id")
+    h = g if same else matrix(right)
+    out = {c: first[c] for c in ("rep", "chrom", "pop")}
+    if not len(left) or not len(right):
+        return pd.DataFrame({**out, "ind1": [], "ind2": [], "squares": [], "het1": [], "het2": []})
+    both = (g * g).sum(axis=0)[:, None] + (h * h).sum(axis=0)[None, :] - 2 * (g.T @ h)
+    a, b = np.array(left["inds"].iloc[0]), np.array(right["inds"].iloc[0])
+    x, y = np.triu_indices(len(a), k=1) if same else (k.ravel() for k in np.indices(both.shape))
+    whole = lambda v: v.astype(np.int64)
+    return pd.DataFrame({**out, "ind1": a[x], "ind2": b[y], "squares": whole(both[x, y]), "het1": whole((g == 1).sum(axis=0)[x]), "het2": whole((h == 1).sum(axis=0)[y])})
 
 
 def king_partials(calls: DataFrame) -> DataFrame:
-    """(rep, chrom, pop, ind1, ind2, squares, het1, het2): sums that add over sites and chromosomes."""
-    sites = wide(calls).withColumn("block", F.floor(F.col("site_id") / SITE_BLOCK))
+    """(rep, chrom, pop, ind1, ind2, squares, het1, het2): sums that add over sites and chromosomes, ind1 < ind2.
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        g = np.array(frame["dosage"].tolist(), dtype=np.int64)
-        square = (g * g).sum(axis=0)
-        both = square[:, None] + square[None, :] - 2 * (g.T @ g)
-        het = (g == 1).sum(axis=0)
-        i, j = np.triu_indices(g.shape[1], k=1)
-        first = frame.iloc[0]
-        return pd.DataFrame({"rep": first["rep"], "chrom": first["chrom"], "pop": first["pop"], "ind1": i, "ind2": j, "squares": both[i, j], "het1": het[i], "het2": het[j]})
-
-    parts = sites.groupBy(*UNIT, "pop", "block").applyInPandas(run, "rep int, chrom string, pop string, ind1 int, ind2 int, squares long, het1 long, het2 long")
+    Sites and individuals are dealt into blocks; a task makes one tile, the pairs between two blocks of individuals
+    over one block of sites. Every individual has a call at every site of its chromosome.
+    """
+    each = calls.groupBy(*UNIT, "pop", "site_id", "ind").agg(F.sum((F.col("allele") > 0).cast("int")).cast("int").alias("dosage"))
+    placed = each.groupBy(*UNIT, "pop", "site_id", F.floor(F.col("ind") / IND_BLOCK).cast("int").alias("own")).agg(F.array_sort(F.collect_list(F.struct("ind", "dosage"))).alias("d"))
+    last = calls.agg(F.floor(F.max("ind") / IND_BLOCK).cast("int")).first()[0] or 0
+    partner = F.explode(F.sequence(F.lit(0), F.lit(last)))
+    dealt = placed.select(*UNIT, "pop", "site_id", "own", F.transform("d", lambda x: x["ind"]).alias("inds"), F.transform("d", lambda x: x["dosage"]).alias("dosage"), partner.alias("other"))
+    tiles = dealt.select(*UNIT, "pop", "site_id", "inds", "dosage", F.floor(F.col("site_id") / SITE_BLOCK).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    parts = tiles.groupBy(*UNIT, "pop", "block", "i", "j").applyInPandas(_tile, "rep int, chrom string, pop string, ind1 int, ind2 int, squares long, het1 long, het2 long")
     return _summed(parts, [*UNIT, "pop", "ind1", "ind2"])
 
 
@@ -47,29 +68,55 @@ def kinship(partials: DataFrame, keys: list[str]) -> DataFrame:
 def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) -> DataFrame:
     """Samples that stay when the most-related one is dropped until no pair exceeds the cut-off.
 
-    Ties go to the smaller id. Only pairs above the cut-off, which are few, form a group.
+    Ties go to the smaller id. Families, the connected components of pairs above the cut-off, do not
+    affect each other, so each is a group of its own.
     """
     samples = both_ways(pairs).select(*keys, F.col("sample1").alias("sample")).distinct()
-    close = pairs.where(F.col("kinship") > cutoff)
+    close = cut(pairs.where(F.col("kinship") > cutoff).select(*keys, "sample1", "sample2"))
+    family = families(close, keys)
+    grouped = close.join(family.withColumnRenamed("sample", "sample1"), [*keys, "sample1"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, set[str]] = {}
         for a, b in zip(frame["sample1"], frame["sample2"]):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
+        heap = [(-len(others), s) for s, others in near.items()]
+        heapq.heapify(heap)
         gone = []
-        while any(near.values()):
-            worst = min(near, key=lambda s: (-len(near[s]), s))
+        while heap:
+            count, worst = heapq.heappop(heap)
+            if worst not in near or -count != len(near[worst]) or not near[worst]:
+                continue  # an earlier drop has changed it
             for other in near.pop(worst):
                 near[other].discard(worst)
+                heapq.heappush(heap, (-len(near[other]), other))
             gone.append(worst)
         return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "sample": gone})
 
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    dropped = close.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"]))
+    dropped = grouped.groupBy(*keys, "family").applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"]))
     return samples.join(dropped, [*keys, "sample"], "left_anti")
 
 
+def families(close: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sample, family) of the samples of ``close`` (keys, sample1, sample2): the family is its smallest sample.
+
+    Each round takes the smallest label of the neighbours and then the label of the label, so chains halve;
+    lineage is cut in the shared checkpoint folder.
+    """
+    edges = cut(close.select(*keys, F.explode(F.array(F.struct(F.col("sample1").alias("a"), F.col("sample2").alias("b")), F.struct(F.col("sample2").alias("a"), F.col("sample1").alias("b")))).alias("e")).select(*keys, "e.a", "e.b").distinct())
+    labels = cut(edges.groupBy(*keys, F.col("a").alias("sample")).agg(F.least(F.min("a"), F.min("b")).alias("family")))
+    while True:
+        reached = edges.join(labels.withColumnRenamed("sample", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("sample")).agg(F.min("family").alias("seen"))
+        lower = labels.join(reached, [*keys, "sample"]).select(*keys, "sample", "family", F.least("family", "seen").alias("next"))
+        jump = labels.select(*keys, F.col("sample").alias("next"), F.col("family").alias("further"))
+        following = cut(lower.join(jump, [*keys, "next"], "left").select(*keys, "sample", F.col("family").alias("before"), F.least("next", F.coalesce("further", "next")).alias("family")))
+        if following.where("before <> family").isEmpty():
+            return labels
+        labels = following.drop("before")
+
+
 def among(pairs: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs whose ends are both kept; kinship of a pair does not depend on other samples."""
     for end in ("sample1", "sample2"):

@@ -5,49 +5,63 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalar import divide
-from .genotype import SITE, UNIT, dosages, maf_filter
+from ..functions.scalar import divide, folded
+from .genotype import SITE, UNIT
 
 WINDOW_BP, BIN_BP, MAF = 2_000_000, 5_000, 0.10
 #: Sites of one side of a block of pairs.
 BLOCK = 512
 
 
-def wide(calls: DataFrame) -> DataFrame:
-    """One row for each site and population: dosages ordered by individual."""
-    ordered = F.array_sort(F.collect_list(F.struct("ind", "dosage")))
-    return dosages(calls).groupBy(*SITE, "pop").agg(F.transform(ordered, lambda x: x["dosage"]).alias("dosage"))
+def wide(calls: DataFrame, maf: float | None = None) -> DataFrame:
+    """One row for each site and population: individuals, their dosages in the same order, and calls of allele 1.
+
+    With ``maf``, only sites whose minor-allele frequency, pooled over populations and from allele 1 alone, reaches it.
+    Calls are dealt by site once; dosages, arrays and pooled frequencies are made where they then are.
+    """
+    each = calls.repartition(*SITE).groupBy(*SITE, "pop", "ind").agg(
+        F.sum((F.col("allele") > 0).cast("int")).cast("int").alias("dosage"), F.count(F.when(F.col("allele") >= 0, 1)).alias("n_called"), F.count(F.when(F.col("allele") == 1, 1)).alias("n_alt")
+    )
+    rows = each.groupBy(*SITE, "pop").agg(F.array_sort(F.collect_list(F.struct("ind", "dosage"))).alias("d"), F.sum("n_called").alias("n_called"), F.sum("n_alt").alias("n_alt"))
+    if maf is not None:
+        site = W.partitionBy(*SITE)  # one row for each population
+        rows = rows.withColumn("maf", folded(F.sum("n_alt").over(site) / F.sum("n_called").over(site))).where(F.col("maf") >= maf)
+    return rows.select(*SITE, "pop", F.transform("d", lambda x: x["ind"]).alias("inds"), F.transform("d", lambda x: x["dosage"]).alias("dosage"))
 
 
 def _pair_bins(frame: pd.DataFrame, window_bp: int, bin_bp: int) -> pd.DataFrame:
-    """Binned r2 of all site pairs of one window: exact integer moments, block by block."""
+    """Binned r2 of all site pairs of one window, block by block; moments are integers, which doubles hold exactly."""
     frame = frame.sort_values(["position", "site_id"])
-    g = np.array(frame["dosage"].tolist(), dtype=np.int64)
+    g = np.array(frame["dosage"].tolist(), dtype=np.float64)
     position, n = frame["position"].to_numpy().astype(float), g.shape[1]
-    total, square = g.sum(axis=1), (g * g).sum(axis=1)
-    variance = n * square - total**2
-    bins: dict[int, np.ndarray] = {}
+    total = g.sum(axis=1)
+    variance = n * (g * g).sum(axis=1) - total**2
+    sums = np.zeros((3, int(window_bp // bin_bp) + 2))
     for a in range(0, len(g), BLOCK):
         for b in range(a, len(g), BLOCK):
-            i, j = np.meshgrid(np.arange(a, min(a + BLOCK, len(g))), np.arange(b, min(b + BLOCK, len(g))), indexing="ij")
-            distance = position[j] - position[i]
-            valid = (i < j) & (distance > 0) & (distance <= window_bp)
+            left, right = slice(a, a + BLOCK), slice(b, b + BLOCK)
+            distance = position[right][None, :] - position[left][:, None]
+            valid = (distance > 0) & (distance <= window_bp)
+            if a == b:
+                valid = np.triu(valid, k=1)
             if not valid.any():
                 continue
-            covariance = n * (g[a : a + BLOCK] @ g[b : b + BLOCK].T) - np.outer(total[a : a + BLOCK], total[b : b + BLOCK])
-            spread = np.outer(variance[a : a + BLOCK], variance[b : b + BLOCK]).astype(float)
+            covariance = n * (g[left] @ g[right].T) - np.outer(total[left], total[right])
             with np.errstate(divide="ignore", invalid="ignore"):
-                r2 = (covariance.astype(float) ** 2 / spread)[valid]
-            upper = ((distance[valid].astype(np.int64) - 1) // bin_bp + 1) * bin_bp
-            for edge in np.unique(upper):
-                mine = r2[upper == edge]
-                fine = mine[np.isfinite(mine)]
-                bins[edge] = bins.get(edge, np.zeros(3)) + (fine.sum(), len(mine), len(fine))
+                r2 = (covariance**2 / np.outer(variance[left], variance[right]))[valid]
+            place = (distance[valid].astype(np.int64) - 1) // bin_bp
+            fine = np.isfinite(r2)
+            for row, weights in zip(sums, (np.where(fine, r2, 0), None, fine)):
+                row += np.bincount(place, weights=weights, minlength=len(row))
+    used = np.flatnonzero(sums[1])
+    s, p, v = sums[:, used]
     first = frame.iloc[0]
-    rows = [(first["rep"], first["chrom"], first["pop"], first["window_start"], int(e), s / v if v else None, s, int(p), int(v)) for e, (s, p, v) in sorted(bins.items())]
-    return pd.DataFrame(rows, columns=["rep", "chrom", "pop", "window_start", "distance_bin_bp", "mean_r2", "sum_r2", "n_pairs", "n_valid"])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean = [float(x) if k else None for x, k in zip(s / v, v)]
+    return pd.DataFrame({**{c: first[c] for c in ("rep", "chrom", "pop", "window_start")}, "distance_bin_bp": (used + 1) * bin_bp, "mean_r2": mean, "sum_r2": s, "n_pairs": p.astype(np.int64), "n_valid": v.astype(np.int64)})
 
 
 def decay(calls: DataFrame, spans: DataFrame, window_bp: int = WINDOW_BP, bin_bp: int = BIN_BP, maf: float = MAF) -> DataFrame:
@@ -56,7 +70,7 @@ def decay(calls: DataFrame, spans: DataFrame, window_bp: int = WINDOW_BP, bin_bp
     A window is one task's group: its sites are bounded by its length, and only its few bins
     leave the task, never the pairs. Pairs with a site that does not vary count in n_pairs alone.
     """
-    sites = wide(maf_filter(calls, maf))
+    sites = wide(calls, maf).drop("inds")
     placed = sites.withColumn("window_start", (F.floor(F.col("position") / window_bp) * window_bp).cast("long"))
     schema = "rep int, chrom string, pop string, window_start long, distance_bin_bp long, mean_r2 double, sum_r2 double, n_pairs long, n_valid long"
     binned = placed.groupBy(*UNIT, "pop", "window_start").applyInPandas(lambda f: _pair_bins(f, window_bp, bin_bp), schema)
@@ -70,27 +84,54 @@ def reaggregate(rows: DataFrame, keys: list[str]) -> DataFrame:
     return sums.withColumn("mean_r2", divide("sum_r2", "n_pairs"))
 
 
+def _correlated(frame: pd.DataFrame, r2: float) -> pd.DataFrame:
+    """Pairs of sites above the threshold, among those that start in this block."""
+    frame = frame.sort_values("place")
+    g = np.array(frame["dosage"].tolist(), dtype=np.float64)
+    total, n = g.sum(axis=1), g.shape[1]
+    variance = n * (g * g).sum(axis=1) - total**2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        square = (n * (g @ g.T) - np.outer(total, total)) ** 2 / np.outer(variance, variance)
+    i, j = np.nonzero(np.triu(square > r2, k=1))  # flat sites compare false
+    own, place = frame["own"].to_numpy(), frame["place"].to_numpy()
+    keep = own[i]
+    first = frame.iloc[0]
+    return pd.DataFrame({"rep": first["rep"], "chrom": first["chrom"], "a": place[i[keep]], "b": place[j[keep]]})
+
+
 def prune(sites: DataFrame, window: int = 50, step: int = 10, r2: float = 0.1) -> DataFrame:
-    """Sites left by sliding-window pruning of each chromosome: of a pair above the threshold the one
-    with the lower minor-allele frequency goes, on ties the later one.
+    """Sites (rep, chrom, site_id, position) left by sliding-window pruning of each chromosome: of a pair above the threshold
+    the one with the lower minor-allele frequency goes, on ties the later one.
 
-    The pass depends on what earlier windows dropped, so a chromosome of a replicate is one group.
+    ``sites`` has one row for each site, with the dosages of all samples in one order. Correlations are made in blocks
+    of sites, each with the window that follows it, in tasks of their own. Only the pass over the places and the
+    pairs above the threshold, a few numbers for each site, depends on what earlier windows dropped and is one group
+    for each chromosome.
     """
+    x = F.transform("dosage", lambda v: v.cast("double"))
+    p = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / (2 * F.size("dosage"))
+    numbered = sites.withColumn("minor", folded(p)).withColumn("place", F.row_number().over(W.partitionBy(*UNIT).orderBy("position", "site_id")) - 1)
+    block = F.floor(F.col("place") / BLOCK)
+    # A site belongs to its block and, within a window of its start, to the one before.
+    copies = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))
+    near = F.filter(copies, lambda c: c["own"] | ((c["block"] >= 0) & (F.col("place") - block * BLOCK < window)))
+    dealt = numbered.select(*UNIT, "place", "dosage", F.explode(near).alias("c")).select(*UNIT, "place", "dosage", "c.block", "c.own")
+    pairs = dealt.groupBy(*UNIT, "block").applyInPandas(lambda f: _correlated(f, r2), "rep int, chrom string, a long, b long").where(F.col("b") - F.col("a") < window)
+    listed = pairs.groupBy(*UNIT, F.col("a").cast("int").alias("place")).agg(F.collect_list("b").alias("near"))
+    rows = numbered.select(*UNIT, "site_id", "position", "minor", "place").join(listed, [*UNIT, "place"], "left")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["position", "site_id"]).reset_index(drop=True)
-        g = np.array(frame["dosage"].tolist(), dtype=float)
-        p = g.mean(axis=1) / 2
-        minor = np.minimum(p, 1 - p)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            z = (g - g.mean(axis=1, keepdims=True)) / g.std(axis=1, keepdims=True)
-        alive = np.ones(len(g), dtype=bool)
-        for at in range(0, max(len(g) - 1, 1), step):
-            here = [i for i in range(at, min(at + window, len(g))) if alive[i]]
-            for x, i in enumerate(here):
-                for j in here[x + 1 :]:
-                    if alive[i] and alive[j] and (z[i] @ z[j] / g.shape[1]) ** 2 > r2:
+        frame = frame.sort_values("place").reset_index(drop=True)
+        minor, n = frame["minor"].to_numpy(), len(frame)
+        near = [() if x is None else sorted(int(v) for v in x) for x in frame["near"]]
+        alive = np.ones(n, dtype=bool)
+        for at in range(0, max(n - 1, 1), step):
+            for i in range(at, min(at + window, n)):
+                for j in near[i]:
+                    if not alive[i]:
+                        break
+                    if j < at + window and alive[j]:
                         alive[i if minor[i] < minor[j] else j] = False
         return frame.loc[alive, ["rep", "chrom", "site_id", "position"]]
 
-    return sites.groupBy(*UNIT).applyInPandas(run, "rep int, chrom string, site_id int, position double")
+    return rows.groupBy(*UNIT).applyInPandas(run, "rep int, chrom string, site_id int, position double")

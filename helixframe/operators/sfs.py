@@ -9,18 +9,25 @@ from .genotype import UNIT
 
 
 def derived_counts(calls: DataFrame) -> DataFrame:
-    """Copies of each derived allele in each population, with 0 where only others carry it."""
-    pops = calls.groupBy(*UNIT, "pop").agg(F.count_distinct("ind", "hap").alias("n_haploid"))
-    carried = calls.where("allele > 0").groupBy(*UNIT, "site_id", "allele", "pop").count()
-    alleles = carried.select(*UNIT, "site_id", "allele").distinct()
-    grid = alleles.join(pops, UNIT)
-    return grid.join(carried, [*UNIT, "site_id", "allele", "pop"], "left").select(*UNIT, "pop", "n_haploid", "site_id", "allele", F.coalesce("count", F.lit(0)).alias("dac"))
+    """(rep, chrom, site_id, allele, pops, counts): for each derived allele its copies by population that carries it, and the
+    chromosome's populations.
+
+    Calls are reduced to one number for each site, allele and population in one pass; everything else reads those.
+    """
+    carried = calls.groupBy(*UNIT, "site_id", "allele", "pop").count()
+    pops = carried.groupBy(*UNIT).agg(F.sort_array(F.collect_set("pop")).alias("pops"))
+    counts = F.map_from_entries(F.collect_list(F.struct("pop", "count"))).alias("counts")
+    return carried.where("allele > 0").groupBy(*UNIT, "site_id", "allele").agg(counts).join(pops, UNIT)
+
+
+def _copies(pop) -> F.Column:
+    return F.coalesce(F.element_at("counts", pop), F.lit(0).cast("long")).cast("int")
 
 
 def sfs_1d(calls: DataFrame) -> DataFrame:
     """Occupied bins of the polarised spectrum of each population."""
-    counts = derived_counts(calls)
-    return counts.groupBy(*UNIT, "pop", F.col("dac").cast("int").alias("derived_allele_count")).agg(F.count("*").cast("double").alias("count"))
+    counts = derived_counts(calls).select(*UNIT, "counts", F.explode("pops").alias("pop"))
+    return counts.groupBy(*UNIT, "pop", _copies(F.col("pop")).alias("derived_allele_count")).agg(F.count("*").cast("double").alias("count"))
 
 
 def sfs_dense(calls: DataFrame) -> DataFrame:
@@ -32,11 +39,21 @@ def sfs_dense(calls: DataFrame) -> DataFrame:
 
 def sfs_2d(calls: DataFrame, pops: list[str]) -> DataFrame:
     """Occupied cells of the joint spectrum of each pair of populations, in list order."""
-    counts = derived_counts(calls).withColumn("place", F.array_position(F.array(*[F.lit(p) for p in pops]), F.col("pop")))
-    counts = counts.where("place > 0")
-    side = lambda n: counts.select(*UNIT, "site_id", "allele", F.col("pop").alias(f"pop{n}"), F.col("place").alias(f"place{n}"), F.col("dac").cast("int").alias(f"pop{n}_count"))
-    pairs = side(1).join(side(2), [*UNIT, "site_id", "allele"]).where("place1 < place2")
-    return pairs.groupBy(*UNIT, "pop1", "pop2", "pop1_count", "pop2_count").agg(F.count("*").cast("double").alias("count"))
+    couples = F.array(*[F.struct(F.lit(a).alias("pop1"), F.lit(b).alias("pop2")) for i, a in enumerate(pops) for b in pops[i + 1 :]])
+    present = F.filter(couples, lambda c: F.array_contains("pops", c["pop1"]) & F.array_contains("pops", c["pop2"]))
+    pairs = derived_counts(calls).select(*UNIT, "counts", F.explode(present).alias("c")).select(*UNIT, "c.pop1", "c.pop2", "counts")
+    cells = pairs.select(*UNIT, "pop1", "pop2", _copies(F.col("pop1")).alias("pop1_count"), _copies(F.col("pop2")).alias("pop2_count"))
+    return cells.groupBy(*UNIT, "pop1", "pop2", "pop1_count", "pop2_count").agg(F.count("*").cast("double").alias("count"))
+
+
+def sfs_2d_dense(calls: DataFrame, pops: list[str]) -> DataFrame:
+    """All cells of each joint spectrum, empty ones with 0: for export, as the sparse form is far smaller."""
+    sizes = calls.groupBy(*UNIT, "pop").agg(F.count_distinct("ind", "hap").cast("int").alias("n"))
+    side = lambda k: sizes.select(*UNIT, F.col("pop").alias(f"pop{k}"), F.array_position(F.array(*[F.lit(p) for p in pops]), F.col("pop")).alias(f"place{k}"), F.col("n").alias(f"n{k}"))
+    couples = side(1).join(side(2), UNIT).where("place1 > 0 AND place1 < place2")
+    rows = couples.select(*UNIT, "pop1", "pop2", "n2", F.explode(F.sequence(F.lit(0), F.col("n1"))).alias("pop1_count"))
+    grid = rows.select(*UNIT, "pop1", "pop2", "pop1_count", F.explode(F.sequence(F.lit(0), F.col("n2"))).alias("pop2_count"))
+    return grid.join(sfs_2d(calls, pops), [*UNIT, "pop1", "pop2", "pop1_count", "pop2_count"], "left").fillna(0.0, ["count"])
 
 
 def add_up(spectra: DataFrame, keys: list[str]) -> DataFrame:

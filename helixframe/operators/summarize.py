@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import c, clamp_low, finite, histogram_index
+from ..sources.checkpoints import cut
 
 
 def mean_sd(rows: DataFrame, by: Sequence[str], value: str, with_median: bool = False, bands: float | None = None, floor: float | None = None) -> DataFrame:
@@ -45,9 +46,10 @@ def share(rows: DataFrame, value: str, within: Sequence[str], name: str = "frac"
 def histogram(rows: DataFrame, by: Sequence[str], value: str, low: float, width: float, bins: int) -> DataFrame:
     """Right-closed bins with fixed edges, empty ones kept, and each bin's share of its group."""
     placed = rows.where(finite(value).isNotNull()).withColumn("bin", histogram_index(value, low, width))
-    counts = placed.groupBy(*by, "bin").agg(F.count("*").alias("count"))
-    grid = placed.groupBy(*by).agg(F.count("*").alias("total")).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    full = grid.join(counts, [*by, "bin"], "left").withColumn("count", F.coalesce("count", F.lit(0)))
+    counts = placed.groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    # A group's counts are few: one row holds them all and is spread over all bins.
+    held = counts.groupBy(*by).agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("held"))
+    full = held.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins)))).withColumn("count", F.coalesce(F.element_at("held", F.col("bin")), F.lit(0).cast("long")))
     edge = lambda i: F.round(F.lit(low) + i * F.lit(width), 10)
     return full.select(*by, "bin", edge(F.col("bin") - 1).alias("xmin"), edge(F.col("bin")).alias("xmax"), edge(F.col("bin") - 0.5).alias("xmid"), "count", (F.col("count") / F.col("total")).alias("frac"))
 
@@ -102,11 +104,34 @@ def density(rows: DataFrame, by: Sequence[str], value: str, low: float, high: fl
     return at.groupBy(*by, "k").agg(F.sum(kernel).alias("density")).select(*by, "k", (F.lit(low) + F.col("k") * F.lit(step)).alias("x"), "density")
 
 
-def ordered_boundaries(rows: DataFrame, group: Column, value: str, tie: str, parts: int = 1) -> DataFrame:
-    """Group boundaries on a global axis sorted by (group, value descending): first, last and middle place.
+def density_summary(densities: DataFrame, by: Sequence[str], floor: float = 0.0) -> DataFrame:
+    """Mean and deviation across replicates at each grid point, and the band of one deviation, not below ``floor``."""
+    out = densities.groupBy(*by, "k", "x").agg(F.avg("density").alias("mean"), F.stddev_samp("density").alias("sd"))
+    return out.withColumn("low", clamp_low(F.col("mean") - F.col("sd"), floor)).withColumn("high", F.col("mean") + F.col("sd"))
 
-    Only counts are needed, so no global sort of the rows is made.
+
+def spectrum_summary(spectra: DataFrame, by: Sequence[str], bin: str, within: str = "rep") -> DataFrame:
+    """Mean and deviation across replicates of each bin's share of its spectrum and of its count."""
+    shares = share(spectra, "count", [within, *by])
+    return shares.groupBy(*by, bin).agg(F.avg("frac").alias("mean_frac"), F.stddev_samp("frac").alias("sd_frac"), F.avg("count").alias("mean_count"), F.stddev_samp("count").alias("sd_count"))
+
+
+def ordered(rows: DataFrame, group: Column, value: str, tie: str) -> DataFrame:
+    """Each row's 1-based place ``ind`` on a global axis sorted by (group, value descending, tie).
+
+    Rows are sorted by range and numbered inside each range; the ranges' sizes, one number each, place them after each other.
+    Equal (group, value, tie) rows may swap places.
     """
+    keys = [F.col("_group").asc(), F.col(value).desc(), F.col(tie).asc()]
+    placed = cut(rows.withColumn("_group", group).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    numbered = placed.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy(*keys)))
+    sizes = placed.groupBy(F.col("_part").alias("_range")).count()
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("count").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")  # one row for each range
+    return numbered.join(starts, F.col("_part") == F.col("_range")).withColumn("ind", F.col("_before") + F.col("_n")).drop("_group", "_part", "_n", "_range", "_before")
+
+
+def ordered_boundaries(rows: DataFrame, group: Column) -> DataFrame:
+    """First, last and middle place of each group on the axis of ``ordered``; only counts are needed."""
     counts = rows.groupBy(group.alias("grp")).agg(F.count("*").alias("n"))
     before = W.orderBy("grp").rowsBetween(W.unboundedPreceding, 0)  # one row for each group
     ends = counts.withColumn("xmax", F.sum("n").over(before))
@@ -114,6 +139,12 @@ def ordered_boundaries(rows: DataFrame, group: Column, value: str, tie: str, par
     return starts.select("grp", "n", "xmin", "xmax", ((F.col("xmin") + F.col("xmax")) / 2).alias("xmid"))
 
 
+def separators(boundaries: DataFrame) -> DataFrame:
+    """Where lines between groups stand: after each group but the last."""
+    last = F.max("grp").over(W.partitionBy())  # one row for each group
+    return boundaries.withColumn("_last", last).where("grp < _last").select("grp", (F.col("xmax") + 0.5).alias("at"))
+
+
 def bind(tables: Sequence[DataFrame]) -> DataFrame:
     """Row-bind with the union of the columns; missing ones are null."""
     out = tables[0]

@@ -6,18 +6,17 @@ from pyspark.sql import functions as F
 
 from ..operators import admixture, ancestry, diversity, genotype, kinship, ld, sfs
 from ..sources import adapters as A
+from ..sources.checkpoints import cut
 
 r = lambda df, *cols, n=8: df.withColumns({c: F.round(c, n) for c in cols})
 
-CALLS = """v AS (
-  SELECT vec_id, CAST(1 + vec_id % 2 AS INT) AS rep, CASE WHEN label <= 2 THEN 'AFR' WHEN label <= 5 THEN 'EUR' ELSE 'ADX' END AS pop, embedding FROM embeddings
-), placed AS (
-  SELECT *, row_number() OVER (PARTITION BY rep, pop ORDER BY vec_id) - 1 AS rn, count(*) OVER (PARTITION BY rep, pop) AS n FROM v
+CALLS = """persons AS (
+  SELECT vec_id // 2 AS pair, arg_min(label, vec_id) AS label FROM embeddings GROUP BY vec_id // 2 HAVING count(*) = 2
 ), long AS (
-  SELECT rep, pop, rn, unnest(generate_series(0, 63)) AS s, unnest(embedding) AS x FROM placed WHERE NOT (n % 2 = 1 AND rn = n - 1)
+  SELECT vec_id, pair, label, unnest(generate_series(0, 63)) AS s, unnest(embedding) AS x FROM (SELECT vec_id, embedding, vec_id // 2 AS pair FROM embeddings) JOIN persons USING (pair)
 ), calls AS MATERIALIZED (
-  SELECT rep, CAST(1 + s // 16 AS VARCHAR) AS chrom, pop, CAST(s AS INT) AS site_id, CAST((s % 16 + 1) * 1000 AS DOUBLE) AS position,
-    CAST(rn // 2 AS INT) AS ind, CAST(rn % 2 + 1 AS INT) AS hap, CASE WHEN CAST(x AS DOUBLE) > 0.05e0 * (s % 8) THEN 1 ELSE 0 END AS allele FROM long
+  SELECT CAST(1 + pair % 2 AS INT) AS rep, CAST(1 + s // 16 AS VARCHAR) AS chrom, CASE WHEN label <= 2 THEN 'AFR' WHEN label <= 5 THEN 'EUR' ELSE 'ADX' END AS pop, CAST(s AS INT) AS site_id, CAST((s % 16 + 1) * 1000 AS DOUBLE) AS position,
+    CAST(pair // 2 AS INT) AS ind, CAST(vec_id % 2 + 1 AS INT) AS hap, CASE WHEN CAST(x AS DOUBLE) > 0.05e0 * (s % 8) THEN 1 ELSE 0 END AS allele FROM long
 ), spans AS (
   SELECT DISTINCT rep, chrom, CAST(16000 + 1000 * CAST(chrom AS INT) AS DOUBLE) AS span FROM calls
 )"""
@@ -107,12 +106,29 @@ def _ancestry_rows(s, d):
 
 
 def _by_chrom(s, d):
-    seg = A.segments(s, d).withColumn("chrom", F.col("ancestor") % 4)
-    out = None
-    for c in range(4):
-        g = ancestry.global_ancestry(seg.where(F.col("chrom") == c)).select(F.lit(1).alias("rep"), "pop", F.lit(str(c)).alias("chrom"), "sample_id", "vcf_sample_id", F.col("afr_prop").alias("afr_tspop"), F.col("eur_prop").alias("eur_tspop"), "span")
-        out = g if out is None else out.unionByName(g)
-    return out
+    g = ancestry.global_ancestry(A.segments(s, d).withColumn("chrom", (F.col("ancestor") % 4).cast("string")), by=("chrom",))
+    return g.select(F.lit(1).alias("rep"), "pop", "chrom", "sample_id", "vcf_sample_id", F.col("afr_prop").alias("afr_tspop"), F.col("eur_prop").alias("eur_tspop"), "span")
+
+
+def _unrelated_calls(s, d):
+    """Calls of the samples of all populations that stay after the relatedness cut-off, in each replicate."""
+    kept = kinship.unrelated_set(_king(s, d), ["rep", "pop"]).select("rep", "pop", (F.split_part("sample", F.lit("_"), F.lit(2)).cast("int") - 1).alias("ind"))
+    return A.calls(s, d).join(kept, ["rep", "pop", "ind"], "left_semi")
+
+
+def _pruned(s, d, calls):
+    """Sites left by pruning the unrelated samples of all populations together."""
+    together = calls.select("rep", "chrom", "site_id", "position", F.lit("all").alias("pop"), F.struct("pop", "ind").alias("ind"), "hap", "allele")
+    return ld.prune(ld.wide(together, ld.MAF))
+
+
+def _admixture(s, d):
+    calls = cut(_unrelated_calls(s, d))
+    sites = _pruned(s, d, calls).select("rep", "site_id")
+    sample = F.concat_ws("_", "pop", "ind").alias("sample")
+    genotypes = cut(genotype.dosages(calls.join(sites, ["rep", "site_id"], "left_semi")).select("rep", sample, "site_id", "dosage"))
+    labels = cut(calls.select("rep", sample, F.when(F.col("pop") == "ADX", "-").otherwise(F.col("pop")).alias("label")).distinct())
+    return admixture.supervised(genotypes, labels, iterations=20, tolerance=5e-3, keys=["rep"])
 
 
 def _decay_sql(maf: str = "0.1e0") -> str:
@@ -134,6 +150,13 @@ PLANS = {
         SELECT g.*, coalesce(s.count, 0e0) AS count FROM grid g LEFT JOIN sfs s USING (rep, chrom, pop, derived_allele_count)""",
     ),
     "sfs_2d": (lambda s, d: sfs.sfs_2d(A.calls(s, d), A.POPS), f"WITH {CALLS}, {COUNTS}, {SFS2} SELECT * FROM sfs2"),
+    "sfs_2d_dense": (
+        lambda s, d: sfs.add_up(sfs.sfs_2d_dense(A.calls(s, d), A.POPS), ["rep", "pop1", "pop2", "pop1_count", "pop2_count"]),
+        f"""WITH {CALLS}, {COUNTS}, {SFS2}, sizes AS (SELECT rep, chrom, pop, max(n) AS n FROM carried GROUP BY ALL),
+        side AS (SELECT rep, chrom, pop, CAST(unnest(generate_series(0, n)) AS INT) AS c FROM sizes),
+        grid AS (SELECT a.rep, a.chrom, a.pop AS pop1, b.pop AS pop2, a.c AS pop1_count, b.c AS pop2_count FROM side a JOIN side b USING (rep, chrom) WHERE (a.pop, b.pop) IN (('AFR', 'EUR'), ('AFR', 'ADX'), ('EUR', 'ADX')))
+        SELECT g.rep, g.pop1, g.pop2, g.pop1_count, g.pop2_count, sum(coalesce(s.count, 0e0)) AS count FROM grid g LEFT JOIN sfs2 s USING (rep, chrom, pop1, pop2, pop1_count, pop2_count) GROUP BY ALL""",
+    ),
     "sfs_genome": (lambda s, d: sfs.add_up(sfs.sfs_1d(A.calls(s, d)), ["rep", "pop", "derived_allele_count"]), f"WITH {CALLS}, {COUNTS}, {SFS} SELECT rep, pop, derived_allele_count, sum(count) AS count FROM sfs GROUP BY ALL"),
     "sfs2d_genome": (
         lambda s, d: sfs.add_up(sfs.sfs_2d(A.calls(s, d), A.POPS), ["rep", "pop1", "pop2", "pop1_count", "pop2_count"]),
@@ -183,15 +206,8 @@ PLANS = {
     ),
     "unrelated_set": (lambda s, d: kinship.unrelated_set(_king(s, d), ["rep", "pop"]), None),
     "unrelated_pairs": (lambda s, d: r(kinship.among(_king(s, d), kinship.unrelated_set(_king(s, d), ["rep", "pop"]), ["rep", "pop"]), "kinship"), None),
-    "ld_prune": (lambda s, d: ld.prune(ld.wide(genotype.maf_filter(A.calls(s, d))).where("pop = 'ADX'")), None),
-    "admixture_em": (
-        lambda s, d: admixture.supervised(
-            genotype.dosages(A.calls(s, d).where("rep = 1")).select(F.concat_ws("_", "pop", "ind").alias("sample"), "site_id", "dosage"),
-            A.calls(s, d).where("rep = 1").select(F.concat_ws("_", "pop", "ind").alias("sample"), F.when(F.col("pop") == "ADX", "-").otherwise(F.col("pop")).alias("label")).distinct(),
-            iterations=6,
-        ),
-        None,
-    ),
+    "ld_prune": (lambda s, d: _pruned(s, d, _unrelated_calls(s, d)), None),
+    "admixture_em": (_admixture, None),
     "global_ancestry": (
         lambda s, d: r(ancestry.global_ancestry(A.segments(s, d)), "afr_prop", "eur_prop"),
         f"WITH {SEGMENTS}, {GLOBAL_SQL.format(where='')} SELECT pop, sample_id, vcf_sample_id, round(afr, 8) AS afr_prop, round(eur, 8) AS eur_prop, span FROM shares",

@@ -24,6 +24,9 @@ counts AS (SELECT {by}, bin, count(*) AS n FROM placed GROUP BY ALL),
 grid AS (SELECT {by}, count(*) AS total, unnest(generate_series(1, {bins})) AS bin FROM placed GROUP BY {by}),
 hist AS (SELECT {by}, CAST(bin AS INT) AS bin, round({low} + (bin - 1) * {w}, 8) AS xmin, round({low} + bin * {w}, 8) AS xmax, round({low} + (bin - 0.5e0) * {w}, 8) AS xmid, coalesce(n, 0) AS count, round(coalesce(n, 0) / CAST(total AS DOUBLE), 8) AS frac
   FROM grid LEFT JOIN counts USING ({by}, bin))"""
+KDE = """b AS (SELECT rep, pop, stddev_samp(kinship) AS sd, quantile_cont(kinship, 0.75) - quantile_cont(kinship, 0.25) AS iqr, count(*) AS n FROM kin GROUP BY ALL),
+bw AS (SELECT rep, pop, n, 0.9e0 * CASE WHEN iqr > 0 THEN least(sd, iqr / 1.34e0) ELSE sd END * pow(n, -0.2e0) AS bw FROM b),
+points AS (SELECT k.*, bw.n, bw.bw, unnest(generate_series(0, {last})) AS k FROM kin k JOIN bw USING (rep, pop) WHERE bw > 0)"""
 PERIODS = """w AS (SELECT o_orderkey AS w, CAST(epoch_us(o_orderdate) // 86400000000 AS DOUBLE) AS w_start, CAST(epoch_us(o_orderdate) // 86400000000 AS DOUBLE) + 1 + o_orderkey % 30 AS w_end FROM orders),
 p AS (SELECT event_id AS p, CAST(epoch_us(ts) // 86400000000 AS DOUBLE) - 11500 + event_id % 2500 AS p_start, CAST(epoch_us(ts) // 86400000000 AS DOUBLE) - 11500 + event_id % 2500 + 1 + event_id % 9 AS p_end, value AS value_start, value + event_id % 5 AS value_end FROM events)"""
 
@@ -143,10 +146,24 @@ PLANS = {
     ),
     "count_by_pop": (lambda s, d: A.fam(s, d).groupBy("pop").count(), f"WITH {FAM} SELECT pop, count(*) AS count FROM fam GROUP BY pop"),
     "admix_order_boundaries": (
-        lambda s, d: summarize.ordered_boundaries(A.fam(s, d).join(A.q(s, d), "row_idx"), X.level("pop", A.POPS), "afr_q", "iid"),
+        lambda s, d: summarize.ordered_boundaries(A.fam(s, d), X.level("pop", A.POPS)),
         f"""WITH {FAM}, t AS (SELECT list_position(['AFR', 'EUR', 'ADX'], pop) AS grp, count(*) AS n FROM fam GROUP BY ALL), c AS (SELECT grp, n, CAST(sum(n) OVER (ORDER BY grp) AS BIGINT) AS xmax FROM t)
         SELECT grp, n, lag(xmax, 1, 0) OVER (ORDER BY grp) + 1 AS xmin, xmax, (lag(xmax, 1, 0) OVER (ORDER BY grp) + 1 + xmax) / 2e0 AS xmid FROM c""",
     ),
+    "admix_sample_order": (
+        lambda s, d: summarize.ordered(A.fam(s, d).join(A.q(s, d), "row_idx"), X.level("pop", A.POPS), "afr_q", "iid").select("pop", "iid", F.round("afr_q", 8).alias("afr_q"), "ind"),
+        f"""WITH {FAM} SELECT pop, iid, round(afr_q, 8) AS afr_q, row_number() OVER (ORDER BY list_position(['AFR', 'EUR', 'ADX'], pop), afr_q DESC, iid) AS ind FROM fam JOIN q USING (row_idx)""",
+    ),
+    "admix_separators": (
+        lambda s, d: summarize.separators(summarize.ordered_boundaries(A.fam(s, d), X.level("pop", A.POPS))),
+        f"""WITH {FAM}, t AS (SELECT list_position(['AFR', 'EUR', 'ADX'], pop) AS grp, count(*) AS n FROM fam GROUP BY ALL), c AS (SELECT grp, CAST(sum(n) OVER (ORDER BY grp) AS BIGINT) AS xmax, row_number() OVER (ORDER BY grp DESC) AS back FROM t)
+        SELECT grp, xmax + 0.5e0 AS at FROM c WHERE back > 1""",
+    ),
+    "spectrum_summary": (
+        lambda s, d: r(summarize.spectrum_summary(_sites(s, d), ["chrom", "pop"], "derived_allele_count"), "mean_frac", "sd_frac", "mean_count", "sd_count"),
+        f"""WITH {CALLS}, {COUNTS}, {SFS}, t AS (SELECT *, count / sum(count) OVER (PARTITION BY rep, chrom, pop) AS frac FROM sfs WHERE derived_allele_count > 0)
+        SELECT chrom, pop, derived_allele_count, round(avg(frac), 8) AS mean_frac, round(stddev_samp(frac), 8) AS sd_frac, round(avg(count), 8) AS mean_count, round(stddev_samp(count), 8) AS sd_count FROM t GROUP BY ALL""",
+    ),
     "unpivot_q": (lambda s, d: r(_q_long(s, d), "share"), f"WITH {FAM}, j AS (SELECT row_idx, pop, afr_q, eur_q FROM fam JOIN q USING (row_idx)) SELECT row_idx, pop, source, round(share, 8) AS share FROM (SELECT row_idx, pop, 'afr_q' AS source, afr_q AS share FROM j UNION ALL SELECT row_idx, pop, 'eur_q', eur_q FROM j)"),
     "bind_rows_all": (
         lambda s, d: r(summarize.bind([ld.reaggregate(_stats(s, d), ["rep", "chrom", "pop"]), ld.reaggregate(_stats(s, d), ["rep", "pop"]).withColumn("source", F.lit("genome"))]).withColumn("chrom", F.coalesce("chrom", F.lit("all"))), "sum_r2", "mean_r2", n=6),
@@ -170,7 +187,7 @@ PLANS = {
         f"WITH {PERIODS} SELECT w, p, least(w_end, p_end) - greatest(w_start, p_start) AS overlap, round((least(w_end, p_end) - greatest(w_start, p_start)) / (p_end - p_start), 8) AS weight FROM w JOIN p ON w_start < p_end AND p_start < w_end",
     ),
     "interval_history": (
-        lambda s, d: r(_overlaps(s, d).groupBy("w").agg(F.sum(F.col("value_start") * F.col("weight")).alias("total"), F.min("p_start").alias("first"), F.max("p_end").alias("last"), F.sum("overlap").alias("observed")), "total", n=5),
+        lambda s, d: r(intervals.window_totals(_windows(s, d), _periods(s, d), "value_start", 64.0).select("w", "total", "first", "last", "observed"), "total", n=5),
         f"""WITH {PERIODS}, o AS (SELECT *, least(w_end, p_end) - greatest(w_start, p_start) AS overlap FROM w JOIN p ON w_start < p_end AND p_start < w_end)
         SELECT w, round(sum(value_start * (overlap / (p_end - p_start))), 5) AS total, min(p_start) AS first, max(p_end) AS last, sum(overlap) AS observed FROM o GROUP BY w""",
     ),
@@ -198,6 +215,12 @@ PLANS = {
         points AS (SELECT k.*, bw.n, bw.bw, unnest(generate_series(0, 59)) AS k FROM kin k JOIN bw USING (rep, pop) WHERE bw > 0)
         SELECT rep, pop, CAST(k AS INT) AS k, round(-0.05e0 + k * (0.15e0 / 59), 6) AS x, round(sum(exp(-0.5e0 * pow((-0.05e0 + k * (0.15e0 / 59) - kinship) / bw, 2)) / (n * bw * 2.5066282746310002e0)), 6) AS density FROM points GROUP BY rep, pop, k""",
     ),
+    "kde_summary": (
+        lambda s, d: r(summarize.density_summary(summarize.density(A.kinship_pairs(s, d), ["rep", "pop"], "kinship", -0.05, 0.10, 500), ["pop"]), "x", "mean", "sd", "low", "high", n=5),
+        f"""WITH {KIN}, {KDE.format(last=499)}, each AS (SELECT rep, pop, CAST(k AS INT) AS k, sum(exp(-0.5e0 * pow((-0.05e0 + k * (0.15e0 / 499) - kinship) / bw, 2)) / (n * bw * 2.5066282746310002e0)) AS density FROM points GROUP BY rep, pop, k),
+        m AS (SELECT pop, k, avg(density) AS mean, stddev_samp(density) AS sd FROM each GROUP BY ALL)
+        SELECT pop, k, round(-0.05e0 + k * (0.15e0 / 499), 5) AS x, round(mean, 5) AS mean, round(sd, 5) AS sd, round(CASE WHEN mean - sd < 0 THEN 0 ELSE mean - sd END, 5) AS low, round(mean + sd, 5) AS high FROM m""",
+    ),
     "kinship_means": (
         lambda s, d: r(kinship.individual_means(A.kinship_pairs(s, d), ["rep", "pop"]), "mean_kinship", n=12),
         f"WITH {KIN} SELECT rep, pop, sample, round(avg(kinship), 12) AS mean_kinship FROM (SELECT rep, pop, sample1 AS sample, kinship FROM kin UNION ALL SELECT rep, pop, sample2, kinship FROM kin) GROUP BY ALL",

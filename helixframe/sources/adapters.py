@@ -15,19 +15,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Haploid allele calls from vectors: a dimension is a site, a vector a haploid, a label a population."""
-    v = table(spark, sf_dir, "embeddings")
+    """Haploid allele calls from vectors: a dimension is a site, a vector a haploid, two neighbouring vectors an individual.
+
+    The first one's label is the population. One shuffle by individual; nothing is numbered over a whole population.
+    """
+    v = table(spark, sf_dir, "embeddings").withColumn("pair", F.floor(F.col("vec_id") / 2))
+    two = v.groupBy("pair").agg(F.count("*").alias("n"), F.min_by("label", "vec_id").alias("label"), F.min_by("embedding", "vec_id").alias("first"), F.max_by("embedding", "vec_id").alias("second")).where("n = 2")
     pop = F.when(F.col("label") <= 2, "AFR").when(F.col("label") <= 5, "EUR").otherwise("ADX")
-    keyed = v.select("vec_id", (F.lit(1) + F.col("vec_id") % 2).cast("int").alias("rep"), pop.alias("pop"))
-    group = W.partitionBy("rep", "pop")
-    placed = keyed.withColumn("rn", F.row_number().over(group.orderBy("vec_id")) - 1).withColumn("n", F.count("*").over(group))
-    whole = placed.where(~((F.col("n") % 2 == 1) & (F.col("rn") == F.col("n") - 1)))
-    sites = whole.join(v.select("vec_id", "embedding"), "vec_id").select("rep", "pop", "rn", F.posexplode("embedding").alias("site_id", "x"))
-    s = F.col("site_id")
-    return sites.select(
-        "rep", (F.lit(1) + F.floor(s / 16)).cast("string").alias("chrom"), "pop", "site_id", ((s % 16 + 1) * 1000).cast("double").alias("position"),
-        F.floor(F.col("rn") / 2).cast("int").alias("ind"), (F.col("rn") % 2 + 1).cast("int").alias("hap"), (F.col("x").cast("double") > F.lit(0.05) * (s % 8)).cast("int").alias("allele"),
-    )
+    s, hap = F.col("site_id"), lambda x, threshold: (x.cast("double") > threshold).cast("int")
+    sites = two.select((F.lit(1) + F.col("pair") % 2).cast("int").alias("rep"), pop.alias("pop"), F.floor(F.col("pair") / 2).cast("int").alias("ind"), F.posexplode(F.arrays_zip("first", "second")).alias("site_id", "x"))
+    both = F.array(*[F.struct(F.lit(i).alias("hap"), hap(F.col(f"x.{c}"), F.lit(0.05) * (s % 8)).alias("allele")) for i, c in ((1, "first"), (2, "second"))])
+    place = [(F.lit(1) + F.floor(s / 16)).cast("string").alias("chrom"), "pop", "site_id", ((s % 16 + 1) * 1000).cast("double").alias("position")]
+    return sites.select("rep", *place, "ind", F.explode(both).alias("c")).select("rep", "chrom", "pop", "site_id", "position", "ind", "c.hap", "c.allele")
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Hand-made genotypes, parity rules and properties of the statistics operators."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ def test_spectrum_bins_count_each_derived_allele(tiny):
     assert got == {("A", 8): 1, ("A", 2): 2, ("A", 4): 2, ("A", 1): 1, ("B", 0): 6}
     dense = sfs.sfs_dense(tiny)
     assert dense.count() == 9 + 5 and dense.agg(F.sum("count")).first()[0] == 12
+    square = sfs.sfs_2d_dense(tiny, ["A", "B"])
+    assert square.count() == 9 * 5 and square.agg(F.sum("count")).first()[0] == 6 and square.where("count > 0").count() == sfs.sfs_2d(tiny, ["A", "B"]).count()
 
 
 def test_joint_spectrum_has_the_single_ones_as_margins(tiny):
@@ -62,8 +65,8 @@ def test_genome_pi_correction_and_errors(spark):
 def test_ld_bins_are_right_closed_and_flat_sites_only_count(spark, tiny):
     spans = spark.createDataFrame([(1, "1", 3e6)], "rep int, chrom string, span double")
     got = {(r["pop"], r.distance_bin_bp): r for r in ld.decay(tiny, spans, maf=0.0).collect()}
-    pair = got["A", 10005] if ("A", 10005) in got else got["A", 10000]
-    assert pair.n_pairs >= 1
+    # Places 100, 200, 300, 5300 and twice 10301: what is within 5000, within 10000 (10001 is not) and beyond.
+    assert {b: got["A", b].n_pairs for p, b in got if p == "A"} == {5000: 4, 10000: 4, 15000: 6}
     exact = ld.decay(tiny.where("site_id in (3, 4)"), spans, maf=0.0).where("pop = 'A'").collect()
     assert [(r.distance_bin_bp, r.n_pairs, round(r.mean_r2, 9), r.window_start, r.window_end) for r in exact] == [(10000, 1, 1.0, 0, 2000000)]
     flat = ld.decay(tiny.where("site_id in (0, 3)"), spans, maf=0.0).where("pop = 'A'").first()
@@ -84,6 +87,45 @@ def test_pruning_drops_the_copy(tiny):
     assert kept >= {0, 3} and 4 not in kept
 
 
+def test_pruning_in_blocks_equals_one_pass(spark, monkeypatch):
+    r = random.Random(4)
+    base = [[r.randrange(3) for _ in range(30)] for _ in range(12)]
+    sites = [[x if r.random() < 0.8 else r.randrange(3) for x in base[r.randrange(12)]] for _ in range(90)]
+    rows = [(rep, "1", s, float(10 * s), g) for rep in (1, 2) for s, g in enumerate(sites)]
+    df = spark.createDataFrame(rows, "rep int, chrom string, site_id int, position double, dosage array<int>")
+
+    def plain(window, step, limit):
+        n, p = len(sites), [sum(g) / 60 for g in sites]
+        minor, alive = [min(x, 1 - x) for x in p], [True] * len(sites)
+
+        def r2(a, b):
+            m, k = 30, sum(x * y for x, y in zip(a, b))
+            va, vb = m * sum(x * x for x in a) - sum(a) ** 2, m * sum(x * x for x in b) - sum(b) ** 2
+            return (m * k - sum(a) * sum(b)) ** 2 / (va * vb)
+
+        for at in range(0, n - 1, step):
+            for i in range(at, min(at + window, n)):
+                for j in range(i + 1, min(at + window, n)):
+                    if alive[i] and alive[j] and r2(sites[i], sites[j]) > limit:
+                        alive[i if minor[i] < minor[j] else j] = False
+        return {(rep, s) for rep in (1, 2) for s in range(n) if alive[s]}
+
+    for block in (25, 512):
+        monkeypatch.setattr(ld, "BLOCK", block)
+        assert {(x.rep, x.site_id) for x in ld.prune(df, window=20, step=7, r2=0.3).collect()} == plain(20, 7, 0.3)
+
+
+def test_king_tiles_equal_one_matrix(spark, monkeypatch):
+    r = random.Random(8)
+    rows = [(1, "1", "A", s, float(s), 3 * i, h, r.randrange(2)) for s in range(9) for i in range(7) for h in (1, 2)]
+    calls = spark.createDataFrame(rows, CALLS)
+    whole = sorted(tuple(x) for x in kinship.king_partials(calls).collect())
+    assert len(whole) == 21 and all(x[3] < x[4] for x in whole)
+    monkeypatch.setattr(kinship, "IND_BLOCK", 6)
+    monkeypatch.setattr(kinship, "SITE_BLOCK", 4)
+    assert sorted(tuple(x) for x in kinship.king_partials(calls).collect()) == whole
+
+
 def test_king_partials_add_over_chromosomes(spark):
     g = {"1": [[0, 1, 2, 1], [1, 1, 0, 2]], "2": [[1, 1, 1, 0], [1, 1, 1, 0]]}
     rows = [(1, c, "A", 10 * int(c) + s, 1.0 * s, i, h, int(g[c][i][s] > h - 1)) for c in g for i in (0, 1) for s in range(4) for h in (1, 2)]
@@ -102,6 +144,9 @@ def test_unrelated_set_drops_the_best_connected(spark):
     pairs = spark.createDataFrame([(1, "A", "a", "b", 0.2), (1, "A", "b", "c", 0.2), (1, "A", "c", "d", 0.01), (1, "A", "e", "f", 0.3)], "rep int, pop string, sample1 string, sample2 string, kinship double")
     kept = kinship.unrelated_set(pairs, ["rep", "pop"])
     assert {r["sample"] for r in kept.collect()} == {"a", "c", "d", "f"}
+    chain = spark.createDataFrame([(1, "A", f"s{i:02}", f"s{i + 1:02}", 0.5) for i in range(40)], pairs.schema)
+    assert {r.family for r in kinship.families(chain, ["rep", "pop"]).collect()} == {"s00"}
+    assert {r["sample"] for r in kinship.unrelated_set(chain, ["rep", "pop"]).collect()} == {f"s{i:02}" for i in range(0, 41, 2)}
     assert [(r.sample1, r.sample2) for r in kinship.among(pairs, kept, ["rep", "pop"]).collect()] == [("c", "d")]
     assert kinship.both_ways(pairs).count() == 8
 
@@ -146,6 +191,42 @@ def test_supervised_admixture_finds_the_mixture(spark):
     assert got["AFR0"] == 1.0 and got["EUR0"] == 0.0 and got["mix"] == pytest.approx(0.5, abs=0.02) and got["three"] == pytest.approx(0.75, abs=0.05)
 
 
+def test_supervised_admixture_keeps_replicates_apart_and_stops(spark):
+    rows = [(rep, f"{pop}{i}", s, p if rep == 1 else 2 - p) for rep in (1, 2) for i in range(6) for pop, p in (("AFR", 2), ("EUR", 0)) for s in range(20)]
+    rows += [(rep, "mix", s, 2) for rep in (1, 2) for s in range(20)]
+    labels = [(rep, f"{pop}{i}", pop) for rep in (1, 2) for i in range(6) for pop in ("AFR", "EUR")] + [(rep, "mix", "-") for rep in (1, 2)]
+    out = admixture.supervised(spark.createDataFrame(rows, "rep int, sample string, site_id int, dosage int"), spark.createDataFrame(labels, "rep int, sample string, label string"), iterations=6, keys=["rep"])
+    got = {r.rep: r.afr_q for r in out.where("sample = 'mix'").collect()}
+    assert got[1] > 0.97 and got[2] < 0.03
+
+
+def test_window_totals_equal_the_sums_of_pairs(spark):
+    r = random.Random(3)
+    w = [(i, float(a := r.randrange(0, 300)), a + r.choice([0.5, 3.0, 40.0])) for i in range(80)]
+    p = [(float(a := r.randrange(20, 250)), a + r.choice([0.25, 1.0, 7.0, 90.0]), r.random() * 100) for _ in range(120)] + [(50.0, 50.0, 9.0)]
+    windows, periods = spark.createDataFrame(w, "w int, w_start double, w_end double"), spark.createDataFrame(p, "p_start double, p_end double, value_start double")
+    expected = {}
+    for i, a, b in w:
+        hits = [(s, e, v, min(b, e) - max(a, s)) for s, e, v in p if a < e and s < b and e > s]
+        if hits:
+            expected[i] = (sum(v * o / (e - s) for s, e, v, o in hits), min(h[0] for h in hits), max(h[1] for h in hits), sum(h[3] for h in hits))
+    for width in (5.0, 60.0, 1000.0):
+        got = {x.w: (x.total, x.first, x.last, x.observed) for x in intervals.window_totals(windows, periods, "value_start", width).collect()}
+        assert got.keys() == expected.keys() and all(got[i] == pytest.approx(expected[i], abs=1e-8) for i in got)
+    assert intervals.window_totals(windows, periods.where("false"), "value_start", 5.0).collect() == []
+
+
+def test_places_on_a_global_axis(spark):
+    rows = [(g, float(v), f"{g}{i}") for g, n in (("b", 30), ("a", 20), ("c", 1)) for i, v in enumerate(range(n))]
+    df = spark.createDataFrame(rows, "pop string, v double, id string")
+    got = {x.id: x.ind for x in summarize.ordered(df, X.level("pop", ["b", "a", "c"]), "v", "id").collect()}
+    expected = sorted(rows, key=lambda x: ("bac".index(x[0]), -x[1], x[2]))
+    assert got == {x[2]: n for n, x in enumerate(expected, 1)}
+    ends = summarize.ordered_boundaries(df, X.level("pop", ["b", "a", "c"]))
+    assert [(x.xmin, x.xmax) for x in ends.orderBy("grp").collect()] == [(1, 30), (31, 50), (51, 51)]
+    assert [x.at for x in summarize.separators(ends).orderBy("grp").collect()] == [30.5, 50.5]
+
+
 def test_histogram_edges_and_empty_bins(spark):
     df = spark.createDataFrame([("a", x) for x in (0.0, 0.05, 0.0500001, 1.0, 0.1, float("nan"))], "g string, x double")
     got = {r.bin: r["count"] for r in summarize.histogram(df, ["g"], "x", 0.0, 0.05, 20).collect()}
