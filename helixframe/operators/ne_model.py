@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,12 @@ PERIODS = """
 START_YEAR, END_OF_RECORD, PRESENT, GENERATION = 1625, 1865, 2000, 25
 GROWTH = 0.023175
 LONGEST_FIRST = 7
+# What the epochs are called in output tables.
+EPOCH_LABELS = {1: "Epoch 1: Import-influenced sex proportions", 2: "Epoch 2: WF 'Inbreeding Nb'", 3: "Epoch 3: Modern exponential growth"}
+# The published African and European history; years before the present, sizes and growth by generation.
+T_AF, T_OOA, T_EU0, T_EG = 148_000, 51_000, 23_000, 5_115
+R_EU0, R_EU, R_AFR = 0.00307, 0.0195, 0.0166
+N_A, N_AFR1, N_B, N_EU0 = 7310.0, 14_474.0, 1861.0, 1032.0
 #: Share of the first epoch's non-European part that is new, by generation.
 FIRST_SHARES = (1, 0.9835, 0.8602, 0.8551, 0.7826, 0.5380, 0.1418)
 
@@ -139,6 +146,80 @@ def mixing_proportions(spark: SparkSession, epochs: Epochs, eur: tuple = (0.08,
     return rows.withColumn("h", F.greatest(1 - F.col("s_afr") - F.col("s_eur"), F.lit(0.0)))
 
 
+def labelled_epochs(rows: DataFrame) -> DataFrame:
+    """``epoch`` as its label."""
+    label = F.create_map(*[F.lit(x) for pair in EPOCH_LABELS.items() for x in pair])
+    return rows.withColumn("epoch", label[F.col("epoch")])
+
+
+def overlap_table(spark: SparkSession) -> DataFrame:
+    """Each modelled generation's periods with the years they share and their weight."""
+    return overlaps(generations(spark).where("generation >= 1"), periods(spark), GENERATION).select("generation", "w_start", "w_end", "period", "overlap", "weight")
+
+
+def validate(ne: DataFrame, shared: DataFrame, shares: DataFrame, epochs: Epochs) -> DataFrame:
+    """``ne`` as ``trajectory`` makes it (epochs as numbers or labels), or a ValueError that names what does not hold.
+
+    Each condition is counted in one aggregation of each table, which have a row for each generation.
+    """
+    n = epochs.first + epochs.second + epochs.third
+    e = F.when(F.col("epoch").cast("string").rlike("^(Epoch )?1"), 1).when(F.col("epoch").cast("string").rlike("^(Epoch )?2"), 2).when(F.col("epoch").cast("string").rlike("^(Epoch )?3"), 3)
+    expected = F.when(F.col("generation") <= epochs.first, 1).when(F.col("generation") <= epochs.anchor, 2).otherwise(3)
+    sound = lambda x: F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    second = (expected == 2) & (F.col("generation") > 1)
+    bad = lambda holds: F.count(F.when(~F.coalesce(holds, F.lit(False)), 1))
+    found = ne.agg(
+        F.sort_array(F.collect_list("generation")).alias("numbers"), F.max("year").alias("last"),
+        bad(e == expected).alias("epochs"), bad(sound("ne") & (F.col("ne") > 0)).alias("sizes"),
+        bad(~second | sound("admix_ne") & (F.col("admix_ne") > 0)).alias("admixed sizes"), bad(~second | sound("import_ne") & (F.col("import_ne") >= 0)).alias("import sizes"),
+        bad(~second | (F.abs(F.col("ne") - F.col("admix_ne") - F.col("import_ne")) < 1e-6)).alias("sums of the second epoch"), bad(~second | (F.coalesce("imported", F.lit(0.0)) > 0) | (F.col("import_ne") == 0)).alias("generations without imports"),
+    ).first().asDict()
+    wrong = [k for k, v in found.items() if k not in ("numbers", "last") and v]
+    wrong += ["generation numbers"] if found["numbers"] != list(range(1, n + 1)) else []
+    wrong += ["the last year"] if found["last"] != PRESENT else []
+    wrong += ["overlap weights"] if shared.where("weight IS NULL OR weight <= 0 OR weight > 1").limit(1).count() else []
+    wrong += ["mixing generations"] if [r.g for r in shares.select("g").orderBy("g").collect()] != list(range(1, n + 1)) else []
+    if wrong:
+        raise ValueError("the size model does not hold in: " + ", ".join(wrong))
+    return ne
+
+
+def source_sizes(years: DataFrame) -> DataFrame:
+    """``years`` (year) with the African and European sizes ``afr`` and ``eur``; null before their histories begin."""
+    ago = lambda t: t / GENERATION
+    eu1 = N_EU0 / math.exp(-R_EU0 * (ago(T_EU0) - ago(T_EG)))
+    afr = [(ago(T_EG), N_AFR1 / math.exp(-R_AFR * ago(T_EG)), R_AFR), (ago(T_OOA), N_AFR1, 0.0), (ago(T_AF), N_A, 0.0)]
+    eur = [(ago(T_EG), eu1 / math.exp(-R_EU * ago(T_EG)), R_EU), (ago(T_EU0), eu1, R_EU0), (ago(T_OOA), N_B, 0.0)]
+    return piecewise(piecewise(years, afr).withColumnRenamed("ne", "afr"), eur).withColumnRenamed("ne", "eur")
+
+
+def combined(spark: SparkSession, epochs: Epochs = Epochs()) -> DataFrame:
+    """(year, population, ne, admix_ne, import_ne, epoch): the admixed population by generation and its sources by year."""
+    own = labelled_epochs(trajectory(spark, epochs)).select("year", F.lit("aa").alias("population"), "ne", "admix_ne", "import_ne", "epoch")
+    years = spark.range(START_YEAR, PRESENT + 1).select(F.col("id").cast("int").alias("year"))
+    sources = source_sizes(years).unpivot(["year"], ["afr", "eur"], "population", "ne")
+    return own.unionByName(sources, allowMissingColumns=True)
+
+
+def on_generations(rows: DataFrame) -> DataFrame:
+    """The rows at whole generations after the first year, with the generation's number (cut to a whole one)."""
+    number = ((F.col("year") - START_YEAR) / GENERATION).cast("int")
+    return rows.withColumn("generation", number).where((F.col("generation") > 0) & (F.col("year") % GENERATION == 0))
+
+
+def mixing_long(shares: DataFrame) -> DataFrame:
+    """(g, ancestry, proportion, perc): one row for each source of each generation, also in percent."""
+    return shares.unpivot(["g"], ["s_afr", "s_eur", "h"], "ancestry", "proportion").withColumn("perc", F.col("proportion") * 100)
+
+
+def sources(shares: DataFrame) -> DataFrame:
+    """(g, sources, proportions): what each generation is mixed from, without sources of proportion 0."""
+    before = F.when(F.col("g") > 1, F.concat(F.lit("ADX_G"), (F.col("g") - 1).cast("string")))
+    every = F.array(*[F.struct(name.alias("name"), F.col(c).alias("part")) for name, c in ((F.lit("AFR"), "s_afr"), (F.lit("EUR"), "s_eur"), (before, "h"))])
+    kept = F.filter(every, lambda x: x["part"] > 0)
+    return shares.select("g", F.transform(kept, lambda x: x["name"]).alias("sources"), F.transform(kept, lambda x: x["part"]).alias("proportions"))
+
+
 def piecewise(years: DataFrame, pieces: list[tuple[float, float, float]], present: int = PRESENT, generation: int = GENERATION) -> DataFrame:
     """Size by year from (up to so many generations ago, size then, growth per generation) pieces, nearest first.
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import finite, number
@@ -45,13 +47,83 @@ def read_parquet(spark: SparkSession, path: str, table: str, level: str = "chrom
 
 
 def write(rows: DataFrame, path: str, by: Sequence[str] = ("rep", "chrom"), text: str | None = None, skip_existing: bool = False) -> None:
-    """Partitioned Parquet, and optionally a tab-separated copy with a header."""
+    """Partitioned Parquet, and optionally a tab-separated copy with a header.
+
+    With ``skip_existing`` only partitions that the table does not have yet are written; a run that ended early goes on.
+    """
     by = [b for b in by if b in rows.columns]
-    rows.write.mode("ignore" if skip_existing else "overwrite").partitionBy(*by).parquet(path)
+    if skip_existing and by and (known := _present(rows.sparkSession, path)) is not None:
+        rows.join(known.select(*[F.col(b).cast(rows.schema[b].dataType) for b in by]).distinct(), by, "left_anti").write.mode("append").partitionBy(*by).parquet(path)
+    else:
+        rows.write.mode("ignore" if skip_existing else "overwrite").partitionBy(*by).parquet(path)
     if text is not None:
         rows.write.mode("overwrite").csv(text, sep="\t", header=True, nullValue="")
 
 
+def _present(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
+
+
+def _text(rows: DataFrame, path: str, header: bool, by: Sequence[str] = ()) -> None:
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(*by) if by else writer).csv(path, sep="\t", header=header, nullValue="", emptyValue="")
+
+
+def write_kinship_by_pop(pairs: DataFrame, path: str) -> None:
+    """Kinship pairs as tab-separated files with a header, one folder for each population (pop=...)."""
+    _text(pairs, path, True, ["pop"])
+
+
+def write_local_ancestry(rows: DataFrame, path: str) -> None:
+    """Local-ancestry segments, tab-separated without a header, in the order that other tools read."""
+    _text(rows.select("chrom", "left", "right", "sample_id", "vcf_sample_id", "hap", "population_name", "population", "ancestor"), path, False)
+
+
+def write_global_ancestry(rows: DataFrame, path: str) -> None:
+    """Global ancestry with a header; proportions are named AFR_prop and EUR_prop."""
+    _text(rows.select("sample_id", "vcf_sample_id", F.col("afr_prop").alias("AFR_prop"), F.col("eur_prop").alias("EUR_prop"), "span"), path, True)
+
+
+def metadata(spark: SparkSession, pops: Sequence[str], sample_size: int, free: str = "ADX") -> DataFrame:
+    """(fid, iid, pop, supervised_label, original_order): ``sample_size`` samples of each population; those of ``free`` have label -."""
+    order = F.col("id").cast("int")
+    pop = F.get(F.array(*[F.lit(p) for p in pops]), F.floor(F.col("id") / sample_size).cast("int"))
+    rows = spark.range(len(pops) * sample_size).select(order.alias("original_order"), pop.alias("pop"), F.concat_ws("_", pop, (F.col("id") % sample_size + 1).cast("string")).alias("iid"))
+    return rows.select(F.lit("0").alias("fid"), "iid", "pop", F.when(F.col("pop") == free, "-").otherwise(F.col("pop")).alias("supervised_label"), "original_order")
+
+
+def write_metadata(rows: DataFrame, path: str) -> None:
+    """Sample metadata with a header, in their original order."""
+    _text(rows.select("fid", "iid", "pop", "supervised_label", "original_order").orderBy("original_order"), path, True)
+
+
+def write_keep_list(rows: DataFrame, path: str) -> None:
+    """Family and sample ids, tab-separated without a header."""
+    _text(rows.select("fid", "iid"), path, False)
+
+
+def write_labels(labels: DataFrame, path: str) -> None:
+    """One supervised label a line, in the order of the sample file."""
+    labels.orderBy("row_idx").select("supervised_label").write.mode("overwrite").text(path)
+
+
+def write_vcf(variants: DataFrame, samples: Sequence[str], path: str, zero_based: bool = True) -> None:
+    """Variants (chrom, position, id, ref, alt, genotypes) as VCF lines in order; positions are written from 1.
+
+    The header is a line set of its own at the start of the first file: lines are sorted by range, so files follow each other.
+    """
+    position = (F.col("position") + (1 if zero_based else 0)).cast("long")
+    dot = lambda c: F.coalesce(F.col(c), F.lit("."))
+    lines = variants.select(F.lit(1).alias("_part"), F.col("chrom").alias("_chrom"), position.alias("_at"), F.concat_ws("\t", "chrom", position.cast("string"), dot("id"), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("genotypes", "\t")).alias("value"))
+    head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
+    top = variants.sparkSession.createDataFrame([(0, "", i, x) for i, x in enumerate(head)], "_part int, _chrom string, _at long, value string")
+    top.unionByName(lines).orderBy("_part", F.length("_chrom"), "_chrom", "_at").select("value").write.mode("overwrite").text(path)
+
+
 def require_units(rows: DataFrame, expected: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows, or an error that names the first expected unit (replicate, chromosome) without any."""
     missing = expected.select(*keys).distinct().join(rows.select(*keys).distinct(), list(keys), "left_anti")
@@ -80,19 +152,26 @@ def _fields(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
-    """0-based line numbers of a file's rows: what each partition holds comes before the next one's."""
-    schema = rows.schema.add("row_idx", "long")
-    return rows.rdd.zipWithIndex().map(lambda p: (*p[0], p[1])).toDF(schema)  # positions exist only here
+    """0-based line numbers: rows of one partition are numbered in order, and partitions follow each other by their sizes.
+
+    ``_line`` has the partition in its upper bits, as the text reader deals out a file in order.
+    """
+    part = F.shiftright("_line", 33)
+    placed = rows.withColumn("_part", part)
+    inside = placed.withColumn("_n", F.row_number().over(W.partitionBy("_part").orderBy("_line")) - 1)
+    before = W.orderBy("_at").rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    starts = placed.groupBy(F.col("_part").alias("_at")).count().select("_at", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return inside.join(starts, F.col("_part") == F.col("_at")).withColumn("row_idx", F.col("_before") + F.col("_n")).drop("_part", "_n", "_at", "_before", "_line")
 
 
 def read_fam(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, fid, iid) in file order; blank lines do not count."""
-    return _numbered(_fields(spark, path).select(F.col("f")[0].alias("fid"), F.col("f")[1].alias("iid"))).select("row_idx", "fid", "iid")
+    return _numbered(_fields(spark, path).select("_line", F.col("f")[0].alias("fid"), F.col("f")[1].alias("iid"))).select("row_idx", "fid", "iid")
 
 
 def read_q(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, afr_q, eur_q): the first column is AFR."""
-    return _numbered(_fields(spark, path).select(F.col("f")[0].cast("double").alias("afr_q"), F.col("f")[1].cast("double").alias("eur_q"))).select("row_idx", "afr_q", "eur_q")
+    return _numbered(_fields(spark, path).select("_line", F.col("f")[0].cast("double").alias("afr_q"), F.col("f")[1].cast("double").alias("eur_q"))).select("row_idx", "afr_q", "eur_q")
 
 
 def read_kin0(spark: SparkSession, path: str, rep: int, pop: str, chrom: str | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 """Readers, writers, streams and the size model's published trajectories."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.operators import ne_model
 from helixframe.sources import tables
@@ -20,7 +23,8 @@ def test_trajectories(spark, epochs, expected):
 
 def test_history_of_generations(spark):
     rows = {r.generation: r for r in ne_model.history(ne_model.generations(spark), ne_model.periods(spark)).collect()}
-    assert (rows[1].imported, rows[1].births, rows[1].birth_rate) == pytest.approx((486, 278, 22.4)) or rows[1].imported == pytest.approx(336 + 150)
+    # 1625-1650: half of 1620-1630 and two whole periods.
+    assert (rows[1].imported, rows[1].births, rows[1].birth_rate) == pytest.approx((75 + 110 + 301, 4 + 51 + 223, 22.4))
     assert rows[7].imported == pytest.approx(61852.5) and rows[7].birth_rate == pytest.approx(46.523696, abs=1e-5)
     assert rows[10].truncated and rows[11].births is None
     assert rows[1].pop_end == pytest.approx(1568) and rows[4].pop_end == pytest.approx(81481.5) and rows[10].pop_end == pytest.approx(3630336)
@@ -42,12 +46,15 @@ def test_text_round_trip_types_nulls_and_partitions(spark, tmp_path):
     rows = spark.createDataFrame([(1, "1", "A", "s", "v", 0.5, 0.5, None, None, 1.0), (2, "X", "A", "s", "v", 0.5, 0.5, 0.25, 0.75, 1.0)], tables.SCHEMAS["ancestry"])
     tables.write(rows, f"{tmp_path}/p", text=f"{tmp_path}/t")
     back = tables.read_tsv(spark, f"{tmp_path}/t", "ancestry")
-    assert sorted(back.collect()) == sorted(rows.collect(), key=str) or {str(r) for r in back.collect()} == {str(r) for r in rows.collect()}
+    assert {tuple(r) for r in back.collect()} == {tuple(r) for r in rows.collect()}
     pruned = tables.read_parquet(spark, f"{tmp_path}/p", "ancestry", reps=[2], chroms=["X"])
     assert pruned.count() == 1 and "PartitionFilters: [isnotnull(rep" in pruned._jdf.queryExecution().toString()
     assert dict(tables.columns("ancestry", "genome")).keys() >= {"span"} and "chrom" not in dict(tables.columns("sfs", "genome"))
-    tables.write(rows.limit(1), f"{tmp_path}/p", skip_existing=True)
-    assert spark.read.parquet(f"{tmp_path}/p").count() == 2
+    more = rows.where("rep = 1").withColumn("value_of_old", F.lit(1)).drop("value_of_old").withColumn("span", F.lit(9.0)).unionByName(rows.where("rep = 2").withColumn("rep", F.lit(3)))
+    tables.write(more, f"{tmp_path}/p", skip_existing=True)  # replicate 1 is there and stays, 3 is new
+    assert sorted((r.rep, r.span) for r in spark.read.parquet(f"{tmp_path}/p").collect()) == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    tables.write(rows, f"{tmp_path}/new", skip_existing=True)
+    assert spark.read.parquet(f"{tmp_path}/new").count() == 2
 
 
 def test_sample_and_pair_files(spark, tmp_path):
@@ -68,6 +75,55 @@ def test_sample_and_pair_files(spark, tmp_path):
     assert tables.read_metadata(spark, f"{tmp_path}/m.tsv").first().original_order == 3
 
 
+def lines(folder):
+    return [x for f in sorted(folder.glob("part-*")) for x in f.read_text().splitlines()]
+
+
+def test_files_for_other_tools(spark, tmp_path):
+    kin = spark.createDataFrame([(1, "A", "A_1", "A_2", 0.5), (1, "B", "B_1", "B_2", None)], "rep int, pop string, sample1 string, sample2 string, kinship double")
+    tables.write_kinship_by_pop(kin, f"{tmp_path}/kin")
+    assert lines(tmp_path / "kin" / "pop=B") == ["rep\tsample1\tsample2\tkinship", "1\tB_1\tB_2\t"]
+    local = spark.createDataFrame([("chr1", 0.0, 5.0, "A_1", "A_1", 2, "EUR", 1, 7)], "chrom string, left double, right double, sample_id string, vcf_sample_id string, hap int, population_name string, population int, ancestor int")
+    tables.write_local_ancestry(local, f"{tmp_path}/local")
+    assert lines(tmp_path / "local") == ["chr1\t0.0\t5.0\tA_1\tA_1\t2\tEUR\t1\t7"]
+    tables.write_global_ancestry(spark.createDataFrame([("A", "A_1", "A_1", 0.25, 0.75, 9.0)], "pop string, sample_id string, vcf_sample_id string, afr_prop double, eur_prop double, span double"), f"{tmp_path}/global")
+    back = tables.read_global_ancestry(spark, {"A": f"{tmp_path}/global"}).first()
+    assert (back.afr_tspop, back.eur_tspop, back.span) == (0.25, 0.75, 9.0)
+    meta = tables.metadata(spark, ["AFR", "EUR", "ADX"], 2)
+    tables.write_metadata(meta, f"{tmp_path}/meta")
+    assert [tuple(r) for r in tables.read_metadata(spark, f"{tmp_path}/meta").orderBy("original_order").collect()] == [("0", "AFR_1", "AFR", "AFR", 0), ("0", "AFR_2", "AFR", "AFR", 1), ("0", "EUR_1", "EUR", "EUR", 2), ("0", "EUR_2", "EUR", "EUR", 3), ("0", "ADX_1", "ADX", "-", 4), ("0", "ADX_2", "ADX", "-", 5)]
+    tables.write_keep_list(meta.where("pop = 'EUR'").orderBy("original_order"), f"{tmp_path}/keep")
+    assert lines(tmp_path / "keep") == ["0\tEUR_1", "0\tEUR_2"]
+    tables.write_labels(spark.createDataFrame([(1, "-"), (0, "AFR")], "row_idx long, supervised_label string"), f"{tmp_path}/pop")
+    assert lines(tmp_path / "pop") == ["AFR", "-"]
+    variants = spark.createDataFrame([("10", 4, None, "A", "T", ["0|0", "1|1"]), ("2", 6, "rs1", "A", "C", ["0|1", "1|0"]), ("2", 1, None, "G", "C", ["0|0", "0|1"])], "chrom string, position int, id string, ref string, alt string, genotypes array<string>")
+    tables.write_vcf(variants, ["S1", "S2"], f"{tmp_path}/vcf")
+    assert lines(tmp_path / "vcf")[2].split("\t")[-3:] == ["FORMAT", "S1", "S2"]
+    assert [(r.chrom, r.position, r.genotypes) for r in tables.read_vcf(spark, f"{tmp_path}/vcf").orderBy("file_order").collect()] == [("2", 2, ["0|0", "0|1"]), ("2", 7, ["0|1", "1|0"]), ("10", 5, ["0|0", "1|1"])]
+
+
+def test_labels_sources_and_the_long_table(spark):
+    epochs = ne_model.Epochs()
+    ne, shares = ne_model.trajectory(spark, epochs), ne_model.mixing_proportions(spark, epochs)
+    named = ne_model.labelled_epochs(ne)
+    assert ne_model.validate(named, ne_model.overlap_table(spark), shares, epochs) is named
+    with pytest.raises(ValueError, match="sizes.*sums of the second epoch"):
+        ne_model.validate(ne.withColumn("ne", -F.col("ne")), ne_model.overlap_table(spark), shares, epochs)
+    with pytest.raises(ValueError, match="epochs, .*generation numbers"):
+        ne_model.validate(ne.withColumn("generation", F.col("generation") + 1), ne_model.overlap_table(spark), shares, epochs)
+    rows = ne_model.combined(spark, epochs)
+    assert rows.count() == 15 + 2 * 376 and rows.where("population = 'aa' AND epoch LIKE 'Epoch 3:%'").count() == 8
+    sizes = {(r.population, r.year): r.ne for r in rows.where("population <> 'aa'").collect()}
+    assert sizes["afr", 2000] == pytest.approx(14474 / math.exp(-0.0166 * 5115 / 25)) and sizes["eur", 1625] == pytest.approx(sizes["eur", 2000] * math.exp(-0.0195 * 15))
+    old = {r.year: (r.afr, r.eur) for r in ne_model.source_sizes(spark.createDataFrame([(y,) for y in (-10_000, -30_000, -60_000, -150_000)], "year int")).collect()}
+    assert old[-30_000] == (14474, 1861) and old[-60_000] == (7310, None) and old[-150_000] == (None, None)
+    assert old[-10_000][1] == pytest.approx(1032 * math.exp(0.00307 * (23_000 - 12_000) / 25))
+    grid = ne_model.on_generations(rows)
+    assert grid.where("population = 'eur'").count() == 15 and grid.where("generation = 15").select("year").distinct().first().year == 2000
+    assert {r.g: (r.sources, r.proportions[0]) for r in ne_model.sources(shares).where("g in (1, 2, 9)").collect()}[9][0] == ["ADX_G8"]
+    assert ne_model.mixing_long(shares).where("abs(perc - 100 * proportion) > 1e-9").count() == 0 and ne_model.mixing_long(shares).count() == 45
+
+
 def test_missing_units_chromosome_index_and_tasks(spark):
     have = spark.createDataFrame([(1, "1"), (2, "1")], "rep int, chrom string")
     with pytest.raises(FileNotFoundError, match="rep 3"):
