@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.scalar import c, clamp_low, finite, histogram_index
 from ..sources.checkpoints import cut
 
+#: Edges of the bins in which values are ranked.
+EDGES = 63
+
 
 def mean_sd(rows: DataFrame, by: Sequence[str], value: str, with_median: bool = False, bands: float | None = None, floor: float | None = None) -> DataFrame:
     """Mean and sample deviation (null for one row), optionally the median and mean +- ``bands`` deviations."""
@@ -23,10 +26,42 @@ def mean_sd(rows: DataFrame, by: Sequence[str], value: str, with_median: bool =
     return out
 
 
+def ranked(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, n, before, total): each distinct finite value, how often it occurs, how many rows are smaller, and all rows.
+
+    Values are counted, dealt into up to EDGES + 1 bins between approximate quantiles of the distinct values, and ranked inside
+    their bin, so no task holds a group; the bins' counts place them after each other. Ranks are exact, whatever the edges.
+    """
+    value_of = c(value)
+    counts = rows.where(finite(value).isNotNull()).groupBy(*by, value_of.alias("_v")).agg(F.count("*").alias("n"))
+    probabilities = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
+    edges = counts.groupBy(*by).agg(F.percentile_approx("_v", probabilities, 1000).alias("_edges"))
+    binned = counts.join(edges, list(by)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    inside = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    within = binned.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    group = W.partitionBy(*by)  # one row for each bin
+    bins = binned.groupBy(*by, "_bin").agg(F.sum("n").alias("_n"))
+    starts = bins.select(*by, "_bin", F.coalesce(F.sum("_n").over(group.orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"), F.sum("_n").over(group).alias("total"))
+    return within.join(starts, [*by, "_bin"]).select(*by, F.col("_v").alias(value), "n", (F.col("_start") + F.col("_inside")).alias("before"), "total")
+
+
+def quantiles(places: DataFrame, by: Sequence[str], value: str, at: dict[str, float], *others: Column) -> DataFrame:
+    """Exact quantiles of ``ranked`` rows by name, interpolated between neighbouring ranks, and other aggregates of those rows."""
+    held = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
+    parts, out = [], []
+    for name, p in at.items():
+        h = (F.col("total") - 1) * F.lit(float(p))
+        parts += [held(F.floor(h)).alias(f"_{name}_low"), held(F.ceil(h)).alias(f"_{name}_high"), F.max(h - F.floor(h)).alias(f"_{name}_part")]
+        out.append((F.col(f"_{name}_low") + (F.col(f"_{name}_high") - F.col(f"_{name}_low")) * F.col(f"_{name}_part")).alias(name))
+    rows = places.groupBy(*by).agg(*parts, *others)
+    return rows.select(*by, *out, *[x for x in rows.columns if x not in by and not x.startswith("_")])
+
+
 def median_of_means(rows: DataFrame, within: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
     """Exact medians over ``by`` of each inner group's mean and deviation."""
     inner = mean_sd(rows, [*within], value)
-    return inner.groupBy(*by).agg(F.median("mean").alias("median_mean"), F.median("sd").alias("median_sd"))
+    middle = lambda x: quantiles(ranked(inner, by, x), by, x, {f"median_{x}": 0.5})
+    return middle("mean").join(middle("sd"), list(by), "left")  # one row a group has no deviation
 
 
 def confidence(rows: DataFrame, by: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
@@ -62,28 +97,27 @@ def histogram_over_range(rows: DataFrame, by: Sequence[str], value: str, width:
     return histogram(rows, by, value, ends["lo"] * width, width, max(int(ends["hi"] - ends["lo"]), 1))
 
 
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
 def box(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles and the whiskers: the outermost values within 1.5 interquartile ranges."""
-    quartiles = rows.groupBy(*by).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("q")).select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
-    joined = rows.join(quartiles, list(by))
+    places = ranked(rows, by, value)
+    joined = places.join(quantiles(places, by, value, QUARTILES), list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = c(value)
-    return joined.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(x >= F.col("q1") - reach, x)).alias("low"), F.max(F.when(x <= F.col("q3") + reach, x)).alias("high"))
+    return joined.groupBy(*by, *QUARTILES).agg(F.min(F.when(x >= F.col("q1") - reach, x)).alias("low"), F.max(F.when(x <= F.col("q3") + reach, x)).alias("high"))
 
 
 def five_numbers(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    q = F.percentile(value, [0.25, 0.5, 0.75])
-    return rows.groupBy(*by).agg(F.min(value).alias("min"), q[0].alias("q1"), q[1].alias("median"), F.avg(value).alias("mean"), q[2].alias("q3"), F.max(value).alias("max"))
+    """Least, quartiles, mean and largest of each group's finite values."""
+    mean = (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean")
+    return quantiles(ranked(rows, by, value), by, value, QUARTILES, F.min(value).alias("min"), mean, F.max(value).alias("max")).select(*by, "min", "q1", "median", "mean", "q3", "max")
 
 
 def ecdf(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """The share of a group's values that are no larger, for each distinct value.
-
-    Values are counted before the window, so it runs over distinct values only.
-    """
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("n"))
-    upto = W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    return counts.withColumn("share", F.sum("n").over(upto) / F.sum("n").over(W.partitionBy(*by))).drop("n")
+    """The share of a group's finite values that are no larger, for each distinct value."""
+    return ranked(rows, by, value).select(*by, value, ((F.col("before") + F.col("n")) / F.col("total")).alias("share"))
 
 
 def density(rows: DataFrame, by: Sequence[str], value: str, low: float, high: float, points: int = 500) -> DataFrame:
@@ -92,8 +126,8 @@ def density(rows: DataFrame, by: Sequence[str], value: str, low: float, high: fl
     Equal values are counted first, so the grid meets distinct values, not rows.
     """
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("w"))
-    q = F.percentile(value, [0.25, 0.75])
-    spread = rows.groupBy(*by).agg(F.stddev_samp(value).alias("sd"), (q[1] - q[0]).alias("iqr"), F.count("*").alias("n"))
+    width = quantiles(ranked(rows, by, value), by, value, {"q1": 0.25, "q3": 0.75}).select(*by, (F.col("q3") - F.col("q1")).alias("iqr"))
+    spread = rows.groupBy(*by).agg(F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).join(width, list(by), "left")
     narrow = F.when(F.col("iqr") > 0, F.least(F.col("sd"), F.col("iqr") / 1.34)).otherwise(F.col("sd"))
     bandwidth = spread.select(*by, "n", (F.lit(0.9) * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))
     step = (high - low) / (points - 1)

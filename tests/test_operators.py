@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +217,22 @@ def test_window_totals_equal_the_sums_of_pairs(spark):
     assert intervals.window_totals(windows, periods.where("false"), "value_start", 5.0).collect() == []
 
 
+@pytest.mark.parametrize("edges", [1, 3, 63])
+def test_quantiles_and_ranks_are_exact_whatever_the_bins(spark, monkeypatch, edges):
+    monkeypatch.setattr(summarize, "EDGES", edges)
+    r = random.Random(edges)
+    groups = {"a": [r.choice([0.0, 1.0, r.random()]) for _ in range(101)], "b": [5.0], "c": [r.expovariate(1) ** 8 for _ in range(60)], "d": [2.0] * 40}
+    rows = [(g, v) for g, values in groups.items() for v in values] + [("a", None), ("e", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    places = {(p.g, p.x): (p.n, p.before, p.total) for p in summarize.ranked(df, ["g"], "x").collect()}
+    assert places == {(g, v): (values.count(v), sum(y < v for y in values), len(values)) for g, values in groups.items() for v in values}
+    got = {x.g: (x.min, x.q1, x.median, x.mean, x.q3, x.max) for x in summarize.five_numbers(df, ["g"], "x").collect()}
+    for g, values in groups.items():
+        q = np.quantile(values, [0.25, 0.5, 0.75])
+        assert got[g] == pytest.approx((min(values), q[0], q[1], np.mean(values), q[2], max(values)))
+    assert "e" not in got
+
+
 def test_places_on_a_global_axis(spark):
     rows = [(g, float(v), f"{g}{i}") for g, n in (("b", 30), ("a", 20), ("c", 1)) for i, v in enumerate(range(n))]
     df = spark.createDataFrame(rows, "pop string, v double, id string")
