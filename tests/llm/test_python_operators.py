@@ -243,6 +243,76 @@ def test_main_text_follows_the_markup():
     assert pages.main_text(pages.lines("")) == "" and pages.lines("<p title='a>b'>x</p") == [(pages.OPEN, "x")]
 
 
+def made_page(r):
+    """A page of known parts in random order and nesting, and the text of its article."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(1, 8)))
+    space = lambda: r.choice([" ", "  ", "\n", "\t ", "&#32;", "<br>", "<br/> "])
+    marks = {"&amp;": "&", "&lt;b&gt;": "<b>", "&eacute;": "é", "&#x2019;": "\u2019", "&quot;": '"', "AT&T": "AT&T"}
+    noise = lambda: " ".join(word() for _ in range(r.randrange(1, 6)))
+
+    def run():
+        source, plain = [], []
+        for _ in range(r.randrange(1, 7)):
+            shown = r.choice(list(marks)) if r.random() < 0.2 else word()
+            tag = r.choice(["", "", "", "b", "em", "span", "a", "code"])
+            opened = {"": "", "a": '<a href="/x?a=1&amp;b=2">', "span": '<span class="hl">'}.get(tag, f"<{tag}>")
+            source.append(f"{opened}{shown}</{tag}>" if tag else shown)
+            plain.append(marks.get(shown, shown))
+        return "".join(x + space() for x in source[:-1]) + source[-1], " ".join(plain)
+
+    blocks, text = [], []
+    for _ in range(r.randrange(1, 6)):
+        kind = r.choice(["p", "h2", "blockquote", "ul", "div", "table"])
+        if kind == "ul":
+            items = [run() for _ in range(r.randrange(1, 4))]
+            blocks.append("<ul>" + "".join(f"<li>{x}" + r.choice(["", "</li>"]) for x, _ in items) + "</ul>")
+            text += [t for _, t in items]
+        elif kind == "table":
+            (x, t), (y, u) = run(), run()
+            blocks.append(f"<table><tr><td>{x}</td><td>{y}</td></tr></table>")
+            text.append(f"{t} {u}")
+        else:
+            x, t = run()
+            blocks.append(f"<{kind}>{x}</{kind}>")
+            text.append(t)
+        blocks.append(r.choice(["", "", "<!-- <p>no</p> -->", f"<script>x = '<p>{noise()}</p>'</script>", f"<aside>{noise()}</aside>", f'<div class="ad-slot">{noise()}</div>', f"<form><label>{noise()}</label><input></form>"]))
+    before = [f"<header><h1>{noise()}</h1></header>", f"<nav><a>{noise()}</a></nav>", f'<div class="cookie-notice">{noise()}</div>', f"<style>p {{ {noise()} }}</style>"]
+    after = [f"<footer><p>{noise()}</p></footer>", f'<div class="sidebar"><p>{noise()}</p></div>', f'<section class="comments"><article>{noise()}</article></section>', f"<aside>{noise()}</aside>"]
+    r.shuffle(before), r.shuffle(after)
+    wrap = r.choice(["{}", "<main>{}</main>", '<div class="layout has-sidebar">{}</div>'])
+    article = r.choice(["<article>{}</article>", '<article class="post">{}</article>']).format("".join(blocks))
+    return "<!DOCTYPE html><html><head><title>" + noise() + "</title></head><body>" + "".join(before) + wrap.format(article) + "".join(after) + "</body></html>", "\n".join(text)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_made_pages_give_back_their_article(seed):
+    page, text = made_page(random.Random(seed))
+    assert pages.main_text(pages.lines(page)) == text
+
+
+def test_differencing_matches_a_plain_version(spark):
+    r = random.Random(12)
+    rows = []
+    for host in ("a.example", "b.example"):
+        menu = [f"{host} menu {i}" for i in range(6)]
+        for i in range(25):
+            body = [f"{host} own {i}.{j}" for j in range(r.randrange(0, 5))]
+            lines = [x for x in menu if r.random() < 0.7] + body + ([f"{host} foot"] if r.random() < 0.8 else [])
+            rows.append((len(rows), f"http://{host}/{r.randrange(3)}/{i:02}", lines))
+    expected = {}
+    for i, url, lines in rows:
+        same = sorted((u, n) for n, u, _ in rows if u.split("/")[2] == url.split("/")[2])
+        at = same.index((url, i))
+        shared = set()
+        for _, n in same[max(at - 1, 0) : at] + same[at + 1 : at + 2]:
+            other = rows[n][2]
+            if common := set(lines) & set(other):  # all in one order, so the longest common subsequence is what both have
+                shared |= common if len(common) < len(lines) else set()
+        expected[i] = "\n".join(x for x in lines if x not in shared)
+    df = spark.createDataFrame([(i, u, "".join(f"<div>{x}</div>" for x in lines)) for i, u, lines in rows], "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in pages.extract(df).collect()} == expected
+
+
 def test_open_pages_lose_the_lines_that_neighbours_share(spark):
     page = lambda *body: "".join(f"<p>{x}</p>" for x in body)
     rows = [
