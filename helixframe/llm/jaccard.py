@@ -50,6 +50,8 @@ KEYS_PER_RANGE = 2_000_000
 CHUNK_SETS, CHUNK_GRAMS = 2048, 2_000_000
 #: Ids of documents without one start here, beyond usual ids.
 UNNAMED = 1 << 62
+#: So many large components are sent to all tasks at most (16 bytes each).
+FEW = 100_000
 #: Longest edge of a trie before bounds are tested again.
 EDGE = 32
 
@@ -417,7 +419,9 @@ def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
 def _dealt(names: DataFrame, salt: int) -> DataFrame:
     """``names`` (node, comp, size, ...) with ``chunk`` and ``chunks``: so many that none has over CHUNK_SETS sets or CHUNK_GRAMS n-grams on average."""
     chunks = F.greatest(F.ceil(F.count("*") / CHUNK_SETS), F.ceil(F.sum("size") / CHUNK_GRAMS))
-    large = names.groupBy("comp").agg(chunks.alias("chunks")).where("chunks > 1")
+    large = materialize(names.groupBy("comp").agg(chunks.alias("chunks")).where("chunks > 1"))
+    if large.limit(FEW + 1).count() <= FEW:  # the rows of a large component need not meet in one task
+        large = F.broadcast(large)
     dealt = names.join(large, "comp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1).cast("long")))
     return dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
 
@@ -459,7 +463,7 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     real = members.where("n_shingles > 0 AND id IS NOT NULL")
     holders = real.groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("n_shingles").alias("size"))
     placed = holders.select("id", "node", "size", F.explode(F.array("first", "second")).alias("in_band"))
-    dealt = materialize(_dealt(placed.join(near.toDF("in_band", "comp"), "in_band").drop("in_band"), 1))
+    dealt = materialize(_dealt(materialize(placed.join(near.toDF("in_band", "comp"), "in_band").drop("in_band")), 1))
     linked = components(links(docs, dealt, doc_id, text, n, num, den))
     # Rows of one id are one document: what any of them links with belongs to its class.
     repeated = real.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("id")
