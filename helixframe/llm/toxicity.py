@@ -31,11 +31,11 @@ from .common import mix
 
 #: Bound on the labelled rows that a fit takes.
 FIT_ROWS = 5000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 19
 DIMENSIONS = 4
 SIZES = (3, 4, 5)
 #: Means over long texts are small; both fit and score multiply them by this.
-GAIN = 64.0
+GAIN = 32.0
 CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -152,7 +152,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(GAIN * total / np.maximum(words, 1) + self.bias, -500, 500)))
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 16, rate: float = 0.03, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], epochs: int = 24, rate: float = 0.03, seed: int = 7) -> Model:
     """Gradient steps on the n-gram vectors and the softmax together; an inner fold of the sample picks the epoch."""
     y = np.array(toxic, dtype=np.int64)
     if len(set(toxic)) < 2:
@@ -196,7 +196,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 16, rate: float = 0.
     fitted = int((~fold).sum())
     holders = np.bincount(word_of[~fold[text_of]], minlength=len(n_sub))  # fitted documents of each word, at most so many of an n-gram
     held = np.minimum(np.bincount(flat, weights=holders[gram_word], minlength=len(used)), fitted)
-    reach = np.log((fitted + 1) / (held + 1)) ** 2  # n-grams that most documents hold hardly move
+    reach = np.log((fitted + 1) / (held + 1)) ** 2 * (held + 1) ** -0.1  # n-grams that most documents hold hardly move
 
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 0.01, (DIMENSIONS, len(used)))
