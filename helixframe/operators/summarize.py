@@ -59,9 +59,10 @@ def quantiles(places: DataFrame, by: Sequence[str], value: str, at: dict[str, fl
 
 def median_of_means(rows: DataFrame, within: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
     """Exact medians over ``by`` of each inner group's mean and deviation."""
-    inner = mean_sd(rows, [*within], value)
-    middle = lambda x: quantiles(ranked(inner, by, x), by, x, {f"median_{x}": 0.5})
-    return middle("mean").join(middle("sd"), list(by), "left")  # one row a group has no deviation
+    inner = mean_sd(rows, [*within], value).unpivot(list(by), ["mean", "sd"], "_what", "_x")
+    middle = quantiles(ranked(inner, [*by, "_what"], "_x"), [*by, "_what"], "_x", {"median": 0.5})  # both in one pass
+    of = lambda x: F.max(F.when(F.col("_what") == x, F.col("median"))).alias(f"median_{x}")
+    return middle.groupBy(*by).agg(of("mean"), of("sd"))
 
 
 def confidence(rows: DataFrame, by: Sequence[str], value: str, z: float = 1.96) -> DataFrame:
