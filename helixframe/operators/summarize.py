@@ -36,7 +36,8 @@ def ranked(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     counts = rows.where(finite(value).isNotNull()).groupBy(*by, value_of.alias("_v")).agg(F.count("*").alias("n"))
     probabilities = [i / (EDGES + 1) for i in range(1, EDGES + 1)]
     edges = counts.groupBy(*by).agg(F.percentile_approx("_v", probabilities, 1000).alias("_edges"))
-    binned = counts.join(edges, list(by)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges")
+    # One exchange by bin serves the ranks inside and the bins' counts.
+    binned = counts.join(edges, list(by)).withColumn("_bin", F.size(F.filter("_edges", lambda e: e < F.col("_v")))).drop("_edges").repartition(*by, "_bin")
     inside = W.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     within = binned.withColumn("_inside", F.coalesce(F.sum("n").over(inside), F.lit(0)))
     group = W.partitionBy(*by)  # one row for each bin
