@@ -9,7 +9,7 @@ n-gram's part of a score is one number, so what is sent to the tasks is one floa
 BUCKETS buckets, whatever the corpus holds. Every document is scored on its whole text, in one
 pass without a shuffle; long texts are scored in parts that end between words, whose sums add up.
 
-Defined cases: null and empty texts, and texts without letters, get the bias's score. Without
+Defined cases: null and empty texts, and texts without letters, get the share of toxic rows in the sample, 0.49 at most. Without
 labels of both kinds nothing is learned and all scores are 0. Repeated rows are scored alike; a
 document labelled twice counts as toxic if any label says so; null labels are left out; of rows with one id
 the fit takes the smallest text. An empty table gives no rows. Other columns are kept unless named as an output of
@@ -129,10 +129,11 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class Model:
-    """Each bucket's part of the toxic logit, and the bias; None where nothing could be learned."""
+    """Each bucket's part of the toxic logit, the bias, and the score of texts without words; no parts where nothing could be learned."""
 
     parts: np.ndarray | None
     bias: float
+    prior: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -149,7 +150,8 @@ class Model:
                 of = owner[at + found.text_of]
                 total += np.bincount(of, weights=value[found.word_of], minlength=len(texts))
                 words += np.bincount(of, minlength=len(texts))
-        return 1 / (1 + np.exp(-np.clip(GAIN * total / np.maximum(words, 1) + self.bias, -500, 500)))
+        scores = 1 / (1 + np.exp(-np.clip(GAIN * total / np.maximum(words, 1) + self.bias, -500, 500)))
+        return np.where(words > 0, scores, self.prior)
 
 
 def train(texts: list[str], toxic: list[int], epochs: int = 24, rate: float = 0.03, seed: int = 7) -> Model:
@@ -235,7 +237,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 24, rate: float = 0.
             value -= 0.02 * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
     parts = np.zeros(BUCKETS)
     parts[used], difference = kept
-    return Model(parts, difference)
+    return Model(parts, difference, min(float(share), 0.49))  # no words are no evidence
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

@@ -96,7 +96,7 @@ def test_toxicity_learns_stems_and_scores_odd_texts(spark):
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == y for i, y in held]) > 0.95
     assert got[903].predicted == 1  # misspellings that no row has
-    assert got[900].score == got[901].score == got[902].score < 0.5 and got[904].predicted == 0
+    assert got[900].score == got[901].score == got[902].score == model.prior and 0.2 < model.prior < 0.3 and got[904].predicted == 0
     assert all(0 <= x.score <= 1 for x in got.values())
     again = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
     assert again == {k: x.score for k, x in got.items()}
@@ -124,13 +124,13 @@ def brute_score(model, text):
         framed = [60, *map(ord, w), 62]
         found = [bucket(map(ord, w))] + [bucket(framed[i : i + k], k) for k in toxicity.SIZES for i in range(len(framed) - k + 1)]
         total += np.mean([model.parts[b] for b in found])
-    return 1 / (1 + np.exp(-(toxicity.GAIN * total / max(len(words), 1) + model.bias)))
+    return 1 / (1 + np.exp(-(toxicity.GAIN * total / len(words) + model.bias))) if words else model.prior
 
 
 def test_scores_match_a_plain_version(monkeypatch):
     r = np.random.default_rng(2)
-    model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0)
-    texts = ["", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end"]
+    model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0, 0.2)
+    texts = ["", "12 - 34", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end"]
     expected = [brute_score(model, t) for t in texts]
     assert np.allclose(model.scores(texts), expected, atol=1e-12)
     monkeypatch.setattr(toxicity, "CHUNK_CHARS", 10)
