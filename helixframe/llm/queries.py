@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, jaccard, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
+from . import gif, jaccard, merkle, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
 from .common import materialize, table
 
 
@@ -178,9 +178,62 @@ FROM words w LEFT JOIN summed USING (doc_id)
 """
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, one tree for each language, checked against texts of which a third were lower-cased."""
+    docs = table(spark, sf_dir, "documents")
+    fields = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    lowered = merkle.leaf(list((fields | {"text": F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")}).values()))
+    seen = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lowered)
+    out = merkle.manifest(docs, "lang", "doc_id", merkle.leaf(list(fields.values())), seen)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified", "tree", "pos")
+
+
+def _merkle_sql() -> str:
+    """The same trees level by level: nodes upwards, then a walk of every leaf through the runs it lies in."""
+    field = lambda c: f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    digest = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(at: str, start: str, walkers: str) -> str:
+        """Nodes, runs and walks of the trees in ``start`` (tree, pos, h, n); ``walkers`` are (row, tree, pos, cur, proof)."""
+        return f"""
+nodes{at} AS (
+  SELECT tree, 0 AS k, pos, h, n FROM {start}
+  UNION ALL
+  SELECT tree, k + 1, pos // 8, sha256(string_agg(h, '' ORDER BY pos)), (n + 7) // 8 FROM nodes{at} WHERE n > 1 GROUP BY tree, k, pos // 8, n
+), runs{at} AS MATERIALIZED (
+  SELECT tree, k, pos // 8 AS run, list(h ORDER BY pos) AS hs FROM nodes{at} WHERE n > 1 GROUP BY tree, k, pos // 8
+), walk{at} AS (
+  SELECT row, tree, pos, 0 AS k, cur, proof FROM {walkers}
+  UNION ALL
+  SELECT row, tree, w.pos // 8, w.k + 1, sha256(array_to_string(hs[1:i] || [cur] || hs[i+2:], '')), proof || array_to_string(hs[1:i] || hs[i+2:], '')
+  FROM (SELECT *, pos % 8 AS i FROM walk{at}) w JOIN runs{at} r USING (tree) WHERE r.k = w.k AND r.run = w.pos // 8
+), tops{at} AS (
+  SELECT tree, k, h FROM nodes{at} WHERE n = 1
+), done{at} AS (
+  SELECT row, tree, cur, proof, t.h FROM walk{at} w JOIN tops{at} t USING (tree) WHERE w.k = t.k
+)"""
+
+    return f"""
+WITH RECURSIVE hashed AS (
+  SELECT doc_id, lang, {digest("text")} AS leaf, {digest("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered,
+    xor(list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295) % 3 = 0 AS tampered
+  FROM documents
+), placed AS MATERIALIZED (
+  SELECT *, row_number() OVER () AS row, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+), leaves AS (SELECT tree, pos, leaf AS h, n FROM placed),
+walkers AS (SELECT row, tree, pos, CASE WHEN tampered THEN lowered ELSE leaf END AS cur, '' AS proof FROM placed), {climb("", "leaves", "walkers")},
+subroots AS (SELECT 0 AS tree, tree AS pos, h, (SELECT count(*) FROM tops) AS n FROM tops),
+climbers AS (SELECT row, 0 AS tree, tree AS pos, cur, proof FROM done), {climb("2", "subroots", "climbers")}
+SELECT p.doc_id, p.leaf, d.h AS subroot, e.h AS root, sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = e.h AS verified, p.tree, p.pos
+FROM placed p JOIN done d USING (row) JOIN done2 e USING (row)
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": OP5_SQL, "op6_exact_topk": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL}
+    return {"op5_poisson_mixing": OP5_SQL, "op6_exact_topk": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL, "op11_merkle_manifest": _merkle_sql()}
