@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gif, jaccard, merkle, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
+from . import alignment, gif, jaccard, merkle, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
 from .common import materialize, table
 
 
@@ -231,8 +231,23 @@ FROM placed p JOIN done d USING (row) JOIN done2 e USING (row)
 """
 
 
+def public_vocabularies() -> tuple[str, str]:
+    """Where the two vocabularies that are aligned are installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_vocabularies()
+    found = alignment.align(table(spark, sf_dir, "documents"), path_a, path_b)
+    digest = F.when(F.col("groups") != "", F.sha2("groups", 256)).otherwise(F.lit(""))
+    out = alignment.weigh(found.withColumn("groups_sha256", digest).drop("groups"), alignment.coder(path_a, path_b).size_b)
+    return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup, op11_merkle_manifest, op12_cross_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
