@@ -50,8 +50,10 @@ KEYS_PER_RANGE = 2_000_000
 CHUNK_SETS, CHUNK_GRAMS = 2048, 2_000_000
 #: Ids of documents without one start here, beyond usual ids.
 UNNAMED = 1 << 62
-#: So many large components are sent to all tasks at most (16 bytes each).
+#: So many large components, or nodes of many rows, are sent to all tasks at most (16 bytes each).
 FEW = 100_000
+#: A node that more rows hold is joined back to them in shares of about so many.
+HOT_ROWS = 10_000
 #: Longest edge of a trie before bounds are tested again.
 EDGE = 32
 
@@ -291,7 +293,9 @@ def trie_links(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int, as
 # ---------------------------------------------------------------- Spark
 
 
-def _pass(docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFrame:
+def each_chunk(docs: DataFrame, doc_id: str, text: str, make, schema: str) -> DataFrame:
+    """``make`` applied to (ids, lower-case texts) of about CHUNK_BYTES."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_chunks(batches, lower=True):
             yield from make(ids, texts)
@@ -372,7 +376,7 @@ def _candidates(docs: DataFrame, members: DataFrame, frequent: np.ndarray, doc_i
     def star(key: tuple, group: pa.Table) -> pa.Table:
         return pa.Table.from_arrays([pa.array(x) for x in hooked(*exchange.links(group))], ["a", "b"])
 
-    sent = _pass(docs, doc_id, text, make, exchange.PAIRS)
+    sent = each_chunk(docs, doc_id, text, make, exchange.PAIRS)
     return sent.groupBy("bucket").applyInArrow(star, "a long, b long")
 
 
@@ -400,7 +404,7 @@ def _set_rows(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int)
     return found.select("node", F.explode("places").alias("p"), "size", "grams").select("node", "p.comp", "p.chunk", "size", "grams")
 
 
-def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _join_chunks(rows: DataFrame, num: int, den: int, linker) -> DataFrame:
     """Links (a, b) within each (comp, chunk); rows with ``asks`` false are only searched."""
 
     def join(key: tuple, group: pa.Table) -> pa.Table:
@@ -410,7 +414,7 @@ def _join_chunks(rows: DataFrame, num: int, den: int) -> DataFrame:
         keep = np.concatenate(([True], nodes[1:] != nodes[:-1]))
         sets = [np.frombuffer(b.as_py(), dtype=np.uint64) for b, k in zip(group.column("grams"), keep) if k]
         asking = np.maximum.reduceat(asks.astype(int), np.flatnonzero(keep)).astype(bool)
-        links = trie_links(nodes[keep], sets, num, den, None if asking.all() else asking) if len(sets) > 1 else []
+        links = linker(nodes[keep], sets, num, den, None if asking.all() else asking) if len(sets) > 1 else []
         return pa.Table.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return rows.groupBy("comp", "chunk").applyInArrow(join, "a long, b long")
@@ -426,10 +430,10 @@ def _dealt(names: DataFrame, salt: int) -> DataFrame:
     return dealt.withColumn("chunk", F.pmod(F.xxhash64("node", F.lit(salt)), F.col("chunks")))
 
 
-def links(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
-    """Links (a, b) that span the components of all links among the sets of each candidate component."""
+def links(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int, num: int, den: int, linker=trie_links) -> DataFrame:
+    """Links (a, b) that span the components of all links among the sets of each candidate component; ``linker`` finds those of a chunk."""
     everyone = F.lit(True).alias("asks")
-    found = materialize(_join_chunks(_set_rows(docs, dealt, doc_id, text, n).select("*", everyone), num, den))
+    found = materialize(_join_chunks(_set_rows(docs, dealt, doc_id, text, n).select("*", everyone), num, den, linker))
     many = dealt.where("chunks > 1")
     if many.isEmpty():
         return found
@@ -439,7 +443,7 @@ def links(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int, num
     # One set stands for each component that the chunks have found; these are joined among themselves.
     head = labelled().groupBy("comp", "label").agg(F.min(F.struct("node", "size")).alias("h")).select("h.node", "comp", "h.size")
     heads = split.join(_dealt(head, 2).drop("size"), ["comp", "node"]).select("*", everyone)
-    found = materialize(found.unionByName(_join_chunks(heads, num, den)))
+    found = materialize(found.unionByName(_join_chunks(heads, num, den, linker)))
     # All pairs that are not yet connected have an end outside the candidate component's largest part.
     every = materialize(labelled())
     largest = every.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
@@ -452,7 +456,42 @@ def links(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int, num
     side = F.pmod(F.xxhash64("node", F.lit(5)), F.col("chunks"))
     asked = asking.join(blocks, "comp").withColumn("side", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).select("comp", "node", place(row, F.col("side")).alias("chunk"), everyone)
     searched = every.join(blocks, "comp").withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("comp", "node", place(F.col("row"), side).alias("chunk"), F.lit(False).alias("asks"))
-    return found.unionByName(_join_chunks(split.join(asked.unionByName(searched), ["comp", "node"]), num, den))
+    return found.unionByName(_join_chunks(split.join(asked.unionByName(searched), ["comp", "node"]), num, den, linker))
+
+
+def dealt_out(names: DataFrame) -> DataFrame:
+    """``names`` (id, node, size, comp) of candidates with the chunk of their component that each is dealt to."""
+    return materialize(_dealt(materialize(names), 1))
+
+
+def _by_node(rows: DataFrame, values: DataFrame) -> DataFrame:
+    """``rows`` with the ``values`` (node, rows, ...) of their node; a node that very many rows hold is joined in shares."""
+    hot = materialize(values.where(F.col("rows") > HOT_ROWS).select("node", F.ceil(F.col("rows") / HOT_ROWS).alias("shares")))
+    if hot.isEmpty() or hot.limit(FEW + 1).count() > FEW:
+        return rows.join(values.drop("rows"), "node", "left")
+    shares = F.coalesce("shares", F.lit(1).cast("long"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(hot), "node", "left").withColumn("share", F.pmod(F.xxhash64("place"), shares)).drop("shares", "place")
+    values = values.join(F.broadcast(hot), "node", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("shares", "rows")
+    return rows.join(values, ["node", "share"], "left").drop("share")
+
+
+def labelled(members: DataFrame, found: DataFrame, doc_id: str) -> DataFrame:
+    """(id, n_shingles, component_id) of all ``members`` (id, n_shingles, node), given the links between nodes."""
+    real = members.where("n_shingles > 0 AND id IS NOT NULL")
+    linked = components(found)
+    # Rows of one id are one document: what any of them links with belongs to its class.
+    held = real.select("id", "node").distinct()
+    several = held.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").drop("most")
+    if not several.isEmpty():
+        same = held.join(several, "id").select(F.col("node").alias("a"), F.col("least").alias("b"))
+        linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(same))
+    holders = real.groupBy("node").agg(F.min("id").alias("id"), F.count("*").alias("rows"))
+    named = materialize(holders.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    least = named.groupBy("label").agg(F.min("id").alias("component_id"))
+    by_node = named.join(least, "label").select("node", "component_id", "rows")
+    worded = _by_node(members.where("n_shingles > 0"), by_node).select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    empty = members.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component_id"))
+    return worded.unionByName(empty).withColumn("component_id", F.when(F.col("id").isNotNull(), F.col("component_id"))).withColumnRenamed("id", doc_id)
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -460,24 +499,10 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     scanned = materialize(_scan(docs, doc_id, text, n, num, den))
     members = scanned.where("part IS NULL").drop("part", "counters", "counts")
     near = components(_candidates(docs, members, _frequent(scanned), doc_id, text, n, num, den))
-    real = members.where("n_shingles > 0 AND id IS NOT NULL")
-    holders = real.groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("n_shingles").alias("size"))
+    holders = members.where("n_shingles > 0 AND id IS NOT NULL").groupBy("node").agg(F.min("id").alias("id"), F.first("first").alias("first"), F.first("second").alias("second"), F.first("n_shingles").alias("size"))
     placed = holders.select("id", "node", "size", F.explode(F.array("first", "second")).alias("in_band"))
-    dealt = materialize(_dealt(materialize(placed.join(near.toDF("in_band", "comp"), "in_band").drop("in_band")), 1))
-    linked = components(links(docs, dealt, doc_id, text, n, num, den))
-    # Rows of one id are one document: what any of them links with belongs to its class.
-    repeated = real.groupBy("id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("id")
-    shared = real.join(repeated, "id").groupBy("id").agg(F.collect_set("node").alias("nodes"))
-    label = F.coalesce("label", "node")
-    if not repeated.isEmpty():
-        extra = shared.select(F.explode("nodes").alias("a"), F.array_min("nodes").alias("b"))
-        linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(extra))
-    labelled = holders.select("node", "id").join(linked, "node", "left").select("node", "id", label.alias("label"))
-    least = labelled.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_node = labelled.join(least, "label").select("node", "component_id")
-    out = members.select("id", "n_shingles", "node").join(by_node, "node", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(doc_id), "n_shingles", own.alias("component_id"))
+    dealt = dealt_out(placed.join(near.toDF("in_band", "comp"), "in_band").drop("in_band"))
+    return labelled(members.select("id", "n_shingles", "node"), links(docs, dealt, doc_id, text, n, num, den), doc_id)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, gif, jaccard, merkle, mixing, packing, pages, pii, secrets, substrings, topk, toxicity
+from . import alignment, gif, jaccard, merkle, mixing, packing, pages, pii, secrets, setsketch, substrings, topk, toxicity
 from .common import materialize, table
 
 
@@ -246,9 +246,14 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return out.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links")
 
 
+def op13_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = setsketch.classes(table(spark, sf_dir, "documents"), n=5, num=85, den=100)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup, op11_merkle_manifest, op12_cross_tokenizer_alignment)}
+    return {f.__name__: f for f in (op1_gif_media, op2_pii_surrogates, op3_toxicity, op4_karmarkar_karp_packing, op5_poisson_mixing, op6_exact_topk, op7_secret_ledger, op8_page_text, op9_ngram_jaccard_join, op10_substring_dedup, op11_merkle_manifest, op12_cross_tokenizer_alignment, op13_setsketch_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_poisson_mixing": OP5_SQL, "op6_exact_topk": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL, "op11_merkle_manifest": _merkle_sql()}
+    return {"op5_poisson_mixing": OP5_SQL, "op6_exact_topk": OP6_SQL, "op7_secret_ledger": _op7_sql(), "op9_ngram_jaccard_join": f"WITH RECURSIVE {jaccard_sql('documents', 4, 85, 100)} SELECT * FROM classes", "op10_substring_dedup": OP10_SQL, "op11_merkle_manifest": _merkle_sql(), "op13_setsketch_dedup": f"WITH RECURSIVE {jaccard_sql('documents', 5, 85, 100)} SELECT *, doc_id = component_id AS kept FROM classes"}
