@@ -23,6 +23,7 @@ gives no rows. Columns other than those named are kept by ``weigh`` and ignored
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 import zlib
@@ -40,7 +41,7 @@ from pyspark.sql import types as T
 from .common import materialize, mix
 
 #: A batch ends beyond so many characters of text.
-BATCH_CHARS = 32_000_000
+BATCH_CHARS = 16_000_000
 #: (batch, pair) entries of one range of pairs.
 ENTRIES_PER_RANGE = 2_000_000
 #: White space in any tokenizer's view.
@@ -48,6 +49,7 @@ SPACES = "\\s\u180e\u200b\ufeff"
 CUT = re.compile(rf"(?<=[^{SPACES}])(?= [^{SPACES}])")
 ODD = re.compile(rf"[{SPACES}]|.*[{SPACES}]\Z|\Z", re.DOTALL)
 UNKNOWN, JOINS = None, -1
+COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_group_links"]
 
 
 # ---------------------------------------------------------------- sparse matrices
@@ -183,10 +185,10 @@ class Parts:
     def __init__(self, coding: Coder) -> None:
         self.coding = coding
         self.number: dict[str, int] = {}
-        self.valid: list[bool] = []
+        self.valid = np.zeros(0, dtype=bool)
         self.groups: list[str] = []
-        self.counts: list[tuple[int, int, int, int, int]] = []  # A tokens, B tokens, groups, links, group links
-        self.pairs: list[np.ndarray] = []  # each part's links, as pairs of ids
+        self.counts = np.zeros((0, len(COUNTS)), dtype=np.int32)
+        self.pairs: list[np.ndarray] = []  # the links of all parts, one after another, as pairs of ids
 
     def of(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's parts; no text is empty."""
@@ -213,33 +215,34 @@ class Parts:
                 good.append(i)
         first = len(self.valid)
         self.number.update((name, first + i) for i, name in enumerate(names))
-        none = np.zeros(0, dtype=np.int64)
-        self.valid += [False] * len(parts)
-        self.groups += [""] * len(parts)
-        self.counts += [(0, 0, 0, 0, 0)] * len(parts)
-        self.pairs += [none] * len(parts)
-        if not good:
-            return
-        a, b = ([x for i in good for x in ids[i]] for ids in (ids_a, ids_b))
-        size_a, size_b = (np.array([len(table[x]) for x in ids], dtype=np.int64) for table, ids in ((bytes_a, a), (bytes_b, b)))
-        met = aligned(np.array(a, dtype=np.int64), size_a, np.array(b, dtype=np.int64), size_b)
-        links = met.a[met.overlaps.rows()] << 32 | met.b[met.overlaps.indices]
-        n_a, n_b = (np.array([len(ids[i]) for i in good]) for ids in (ids_a, ids_b))
-        to_a, to_b = np.cumsum(n_a), np.cumsum(n_b)
+        self.valid = np.concatenate((self.valid, np.isin(np.arange(len(parts)), good)))
+        counts = np.zeros((len(parts), len(COUNTS)), dtype=np.int32)
+        if good:
+            counts[good], groups, links = self._aligned([ids_a[i] for i in good], [ids_b[i] for i in good])
+            self.pairs.append(links)
+        self.counts = np.concatenate((self.counts, counts))
+        shown = iter(groups if good else ())
+        self.groups += [next(shown) if ok else "" for ok in self.valid[first:]]
+
+    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """Counts and groups of each part, and all parts' links."""
+        (a, n_a, size_a), (b, n_b, size_b) = (self._flat(ids, table) for ids, table in ((ids_a, self.coding.bytes_a), (ids_b, self.coding.bytes_b)))
+        met = aligned(a, size_a, b, size_b)
+        to_a = np.cumsum(n_a)
         to_group = met.groups_a.indices[to_a - 1] + 1  # parts end with a group
-        to_link = met.overlaps.indptr[to_a]
-        shared = np.concatenate(([0], np.cumsum(met.group_links)))[to_a]
+        upto = np.stack((to_a, np.cumsum(n_b), to_group, met.overlaps.indptr[to_a], np.cumsum(met.group_links)[to_a - 1]), axis=1)
         of_a, of_b = met.groups_a.transposed().indptr.tolist(), met.groups_b.transposed().indptr.tolist()
-        text_a, text_b = list(map(str, a)), list(map(str, b))
-        shown = [f"{','.join(text_a[of_a[g] : of_a[g + 1]])}|{','.join(text_b[of_b[g] : of_b[g + 1]])}" for g in range(len(of_a) - 1)]
-        from_group = from_link = from_shared = 0
-        for i, x, y, g, k, s in zip(good, n_a.tolist(), n_b.tolist(), to_group.tolist(), to_link.tolist(), shared.tolist()):
-            at = first + i
-            self.valid[at] = True
-            self.groups[at] = ";".join(shown[from_group:g])
-            self.counts[at] = (x, y, g - from_group, k - from_link, s - from_shared)
-            self.pairs[at] = links[from_link:k]
-            from_group, from_link, from_shared = g, k, s
+        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        shown = [f"{','.join(text_a[w:x])}|{','.join(text_b[y:z])}" for w, x, y, z in zip(of_a, of_a[1:], of_b, of_b[1:])]
+        ends = to_group.tolist()
+        groups = [shown[y] if z - y == 1 else ";".join(shown[y:z]) for y, z in zip([0, *ends], ends)]
+        return np.diff(upto, axis=0, prepend=0), groups, met.a[met.overlaps.rows()] << 32 | met.b[met.overlaps.indices]
+
+    @staticmethod
+    def _flat(ids: list[list[int]], table: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, how many each part has, and each id's number of bytes."""
+        flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int64)
+        return flat, np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)), np.fromiter(map(len, table), dtype=np.int64, count=len(table))[flat]
 
 
 def _packed(numbers: np.ndarray, times: np.ndarray) -> bytes:
@@ -251,12 +254,9 @@ def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
 
 
-COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_group_links"]
-
-
 def _batch_row(parts: Parts, occurs: np.ndarray) -> tuple[bytes, bytes, bytes, bytes]:
     """A batch's pairs in the order of their hashes, how often its texts' links hold each, and each part's links as places in them."""
-    sizes = np.array([len(p) for p in parts.pairs], dtype=np.int64)
+    sizes = parts.counts[:, COUNTS.index("n_links")].astype(np.int64)
     flat = np.concatenate([*parts.pairs, np.zeros(0, dtype=np.int64)])
     pairs, place = np.unique(mix(flat.view(np.uint64)), return_inverse=True)
     _, first = np.unique(place, return_index=True)
@@ -296,14 +296,13 @@ def align(docs: DataFrame, path_a: str, path_b: str, doc_id: str = "doc_id", tex
                 of = parts.of([texts[i] for i in full])
                 flat = np.array([x for numbers in of for x in numbers], dtype=np.int64)
                 owner = np.repeat(full, [len(numbers) for numbers in of]).astype(np.int64)
-                bad = np.unique(owner[~np.array(parts.valid, dtype=bool)[flat]]) if len(flat) else owner
+                bad = np.unique(owner[~parts.valid[flat]])
                 ok = ~np.isin(owner, bad)
                 flat, owner = flat[ok], owner[ok]
                 occurs = np.concatenate((occurs, np.zeros(len(parts.valid) - len(occurs), dtype=np.int64)))
                 occurs += np.bincount(flat, minlength=len(occurs))
                 counts = np.zeros((len(texts), len(COUNTS)), dtype=np.int64)
-                if len(flat):
-                    np.add.at(counts, owner, np.array(parts.counts, dtype=np.int64)[flat])
+                np.add.at(counts, owner, parts.counts[flat].astype(np.int64))
                 code, times = np.unique(owner << 32 | flat, return_counts=True)
                 cuts = np.searchsorted(code, np.arange(len(texts) + 1) << 32)
                 packed = [_packed(code[a:z] & 0xFFFFFFFF, times[a:z]) for a, z in zip(cuts[:-1], cuts[1:])]
