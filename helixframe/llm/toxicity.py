@@ -1,15 +1,16 @@
 """Toxicity by subword bags: character n-gram vectors averaged into a linear softmax, trained jointly in numpy.
 
-A word's vector is the mean of the vectors of its character n-grams and of itself; a document's is
-the mean over its words. Vectors and softmax are fitted together, from random starts, on a bounded sample of
-labelled rows (FIT_ROWS, the lowest hashes of the document id). Every n-gram of the sample takes part; how far a
-step moves its vector follows its inverse document frequency among the fitted rows. One row of five chooses the
-epoch that is kept and is used for nothing else. As the softmax is linear in the mean, each
-n-gram's part of a score is one number, so what is sent to the tasks is one float for each of
-BUCKETS buckets, whatever the corpus holds. Every document is scored on its whole text, in one
-pass without a shuffle; long texts are scored in parts that end between words, whose sums add up.
-
-Defined cases: null and empty texts, and texts without letters, get the share of toxic rows in the sample, 0.49 at most. Without
+A word's vector is the mean of the vectors of its character n-grams and of itself; a passage's is the mean over its
+PASSAGE words, and a document's score the soft maximum over its passages, so a few words count in a long text too.
+Vectors and softmax are fitted together, from random starts, on a bounded sample of labelled rows (FIT_ROWS, the lowest
+hashes of the document id). Every n-gram of the sample takes part; how far a step moves its vector falls with how much of
+the passages it fills. FOLDS fits leave out another fifth of the sample each, which chooses the epoch and is used for
+nothing else, and are averaged. As the softmax is linear in the mean, each n-gram's part of a passage's logit is one
+number, so what is sent to the tasks is one float for each of BUCKETS buckets, whatever the corpus holds. Every
+document is scored on its whole text, in one pass without a shuffle; long texts are scored in parts that end between
+words, whose soft maxima combine.
+
+Defined cases: null and empty texts, and texts without letters, score as the average passage of the sample. Without
 labels of both kinds nothing is learned and all scores are 0. Repeated rows are scored alike; a
 document labelled twice counts as toxic if any label says so; null labels are left out; of rows with one id
 the fit takes the smallest text. An empty table gives no rows. Other columns are kept unless named as an output of
@@ -32,10 +33,12 @@ from .common import mix
 #: Bound on the labelled rows that a fit takes.
 FIT_ROWS = 5000
 BUCKETS = 1 << 19
-DIMENSIONS = 4
+DIMENSIONS = 2
 SIZES = (3, 4, 5)
-#: Means over long texts are small; both fit and score multiply them by this.
-GAIN = 32.0
+#: Words of a passage; means over passages are small, so both fit and score multiply them by GAIN.
+PASSAGE, GAIN = 32, 32.0
+#: Fits that are averaged, epochs without gain that end one, and how many texts' worth of passages damp an n-gram's steps.
+FOLDS, PATIENCE, DAMPING = 5, 16, 2000.0
 CHUNK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -129,115 +132,178 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class Model:
-    """Each bucket's part of the toxic logit, the bias, and the score of texts without words; no parts where nothing could be learned."""
+    """Each bucket's part of a passage's toxic logit, the bias, and the logit of texts without words; no parts where nothing could be learned."""
 
     parts: np.ndarray | None
     bias: float
-    prior: float = 0.0
+    neutral: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
         if self.parts is None:
             return out
-        total, words = np.zeros(len(texts)), np.zeros(len(texts))
+        top, total = np.full(len(texts), -np.inf), np.zeros(len(texts))
         owners, parts = zip(*[(i, p) for i, t in enumerate(texts) for p in in_parts(t)]) if texts else ((), ())
         owner = np.array(owners, dtype=np.int64)
         for at, held in chunks(list(parts)):
             found = bag(held)
-            if len(found.text_of):
-                counts = np.diff(np.append(found.starts, len(found.flat)))
-                value = np.add.reduceat(self.parts[found.flat], found.starts) / counts
-                of = owner[at + found.text_of]
-                total += np.bincount(of, weights=value[found.word_of], minlength=len(texts))
-                words += np.bincount(of, minlength=len(texts))
-        scores = 1 / (1 + np.exp(-np.clip(GAIN * total / np.maximum(words, 1) + self.bias, -500, 500)))
-        return np.where(words > 0, scores, self.prior)
-
-
-def train(texts: list[str], toxic: list[int], epochs: int = 24, rate: float = 0.03, seed: int = 7) -> Model:
-    """Gradient steps on the n-gram vectors and the softmax together; an inner fold of the sample picks the epoch."""
-    y = np.array(toxic, dtype=np.int64)
-    if len(set(toxic)) < 2:
-        return Model(None, 0.0)
-    keys, texts_of, words_of, flats, counts = [], [], [], [], []
-    base = 0
-    for at, held in chunks(texts):
-        b = bag(held)
-        if not len(b.keys):
-            continue
-        pair, n = np.unique(b.text_of * len(b.keys) + b.word_of, return_counts=True)
-        texts_of.append(at + pair // len(b.keys))
-        words_of.append(np.stack((base + pair % len(b.keys), n)))
-        size = np.diff(np.append(b.starts, len(b.flat)))
-        keys.append(b.keys)
-        flats.append(b.flat.astype(np.int32))
-        counts.append(size)
-        base += len(b.keys)
-    if not keys:
-        return Model(None, 0.0)
-    _, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    count = np.concatenate(counts)
-    start = np.concatenate(([0], np.cumsum(count)))[:-1]
-    flat = np.concatenate(flats)
-    flats.clear()
-    n_sub = count[first]
-    sub_starts = np.concatenate(([0], np.cumsum(n_sub)))[:-1]
-    flat = flat[np.repeat(start[first] - sub_starts, n_sub) + np.arange(int(n_sub.sum()))]
-    text_of = np.concatenate(texts_of)
-    word_of, weight = np.concatenate(words_of, axis=1)
-    word_of = same[word_of]
-    length = np.maximum(np.bincount(text_of, weights=weight, minlength=len(texts)), 1)
-    weight = weight / length[text_of]  # a document's mean over its words
-    share = (y == 1).mean()
-    used = np.flatnonzero(np.bincount(flat, minlength=BUCKETS))
-    place = np.zeros(BUCKETS, dtype=np.int32)
-    place[used] = np.arange(len(used))
-    flat = place[flat]
-    gram_word = np.repeat(np.arange(len(n_sub), dtype=np.int32), n_sub)
-    fold = np.arange(len(y)) % 5 == 0  # chooses the epoch; the others are fitted
-    fitted = int((~fold).sum())
-    holders = np.bincount(word_of[~fold[text_of]], minlength=len(n_sub))  # fitted documents of each word, at most so many of an n-gram
-    held = np.minimum(np.bincount(flat, weights=holders[gram_word], minlength=len(used)), fitted)
-    reach = np.log((fitted + 1) / (held + 1)) ** 2 * (held + 1) ** -0.1  # n-grams that most documents hold hardly move
-
-    rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.01, (DIMENSIONS, len(used)))
+            if not len(found.text_of):
+                continue
+            value = np.add.reduceat(self.parts[found.flat], found.starts) / np.diff(np.append(found.starts, len(found.flat)))
+            passage, first = passages(found.text_of)
+            words = np.bincount(passage)
+            logit = GAIN * np.bincount(passage, weights=value[found.word_of]) / words + self.bias
+            of = owner[at + found.text_of[first]]
+            before, now = top, top.copy()
+            np.maximum.at(now, of, logit)
+            seen = np.isfinite(now)
+            total[seen] *= np.exp(before[seen] - now[seen])
+            np.add.at(total, of, np.exp(logit - now[of]))
+            top = now
+        with np.errstate(divide="ignore"):
+            logit = np.where(total > 0, top + np.log(total), self.neutral)
+        return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+
+
+def passages(text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passage of each word occurrence, PASSAGE words of one text each, and each passage's first occurrence."""
+    place = np.arange(len(text_of)) - np.searchsorted(text_of, text_of)
+    begins = place % PASSAGE == 0
+    return np.cumsum(begins) - 1, np.flatnonzero(begins)
+
+
+class Sample:
+    """A sample's passages as means over words, and words as means over n-grams, in flat arrays."""
+
+    def __init__(self, texts: list[str]) -> None:
+        keys, owners, words, flats, counts = [], [], [], [], []
+        base = 0
+        for at, held in chunks(texts):
+            b = bag(held)
+            if len(b.keys):
+                owners.append(at + b.text_of)
+                words.append(base + b.word_of)
+                keys.append(b.keys)
+                flats.append(b.flat.astype(np.int32))
+                counts.append(np.diff(np.append(b.starts, len(b.flat))))
+                base += len(b.keys)
+        self.n_passages = 0
+        if not keys:
+            return
+        _, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+        count = np.concatenate(counts)
+        start = np.cumsum(count) - count
+        self.n_grams = count[first]  # of each distinct word
+        self.starts = np.cumsum(self.n_grams) - self.n_grams
+        flat = np.concatenate(flats)[np.repeat(start[first] - self.starts, self.n_grams) + np.arange(int(self.n_grams.sum()))]
+        self.buckets, self.flat = np.unique(flat, return_inverse=True)
+        self.gram_word = np.repeat(np.arange(len(first), dtype=np.int32), self.n_grams)
+        text_of, word_of = np.concatenate(owners), same[np.concatenate(words)]
+        passage, begins = passages(text_of)
+        self.n_passages, self.text = len(begins), text_of[begins]  # of each passage
+        pair, times = np.unique(passage * len(first) + word_of, return_counts=True)
+        self.passage, self.word = pair // len(first), pair % len(first)
+        self.weight = times / np.bincount(passage)[self.passage]
+
+    def forward(self, vectors: np.ndarray) -> np.ndarray:
+        """Passages' averaged vectors."""
+        words = [np.add.reduceat(v[self.flat], self.starts) / self.n_grams for v in vectors]
+        return GAIN * np.stack([np.bincount(self.passage, weights=w[self.word] * self.weight, minlength=self.n_passages) for w in words])
+
+    def backward(self, error: np.ndarray) -> np.ndarray:
+        """The gradient of the n-gram vectors, given that of the passages."""
+        found = []
+        for e in GAIN * error:
+            word = np.bincount(self.word, weights=e[self.passage] * self.weight, minlength=len(self.n_grams)) / self.n_grams
+            found.append(np.bincount(self.flat, weights=word[self.gram_word], minlength=len(self.buckets)))
+        return np.stack(found)
+
+    def reach(self, fitted: np.ndarray) -> np.ndarray:
+        """How far a step moves each n-gram: less the more of the fitted passages it fills, and little if it is in a few texts only."""
+        own = fitted[self.passage]
+        word = np.bincount(self.word[own], weights=self.weight[own] ** 2, minlength=len(self.n_grams)) / self.n_grams**2
+        filled = np.bincount(self.flat, weights=word[self.gram_word], minlength=len(self.buckets))
+        texts = np.unique(self.text[self.passage[own]] * len(self.n_grams) + self.word[own]) % len(self.n_grams)
+        held = np.bincount(self.flat, weights=np.bincount(texts, minlength=len(self.n_grams))[self.gram_word], minlength=len(self.buckets))
+        several = held >= 2
+        usual = np.median(filled[several] / held[several]) if several.any() else 1.0
+        found = 1 / np.sqrt(filled + DAMPING * usual)
+        return found / found.max()
+
+
+def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float, float]:
+    """(n-gram parts, bias, neutral logit) at the epoch with the least loss over ``fold``, which is fitted on nothing.
+
+    A step that raises the fitted rows' loss is taken back and halved.
+    """
+    text, fitted = sample.text, ~fold[sample.text]
+    first = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1])))
+    number = np.cumsum(np.concatenate(([True], text[1:] != text[:-1]))) - 1  # of texts with words
+    truth, chosen = y[text[first]], fold[text[first]]
+    reach, rng = sample.reach(fitted), np.random.default_rng(seed)
+    vectors = rng.normal(0, 0.01, (DIMENSIONS, len(sample.buckets)))
     soft = rng.normal(0, 1, (2, DIMENSIONS)) / np.sqrt(DIMENSIONS)
-    bias = np.log(np.array([1 - share, share]))
-    target = np.stack((y == 0, y == 1)).astype(float)
+    share = np.clip(truth[~chosen].mean(), 0.01, 0.99)
+    bias = np.log(np.array([1 - share, share])) - np.array([0, np.log(len(text) / len(first))])  # a text has several passages
     speed, slow = np.zeros_like(vectors), [[np.zeros_like(p), np.zeros_like(p)] for p in (soft, bias)]
-    best, kept, unit = np.inf, None, 1.0
+    best, kept, saved, last, unit, waited = np.inf, None, None, np.inf, 1.0, 0
     for epoch in range(epochs):
-        words = np.stack([np.add.reduceat(v[flat], sub_starts) / n_sub for v in vectors])
-        docs = GAIN * np.stack([np.bincount(text_of, weights=w[word_of] * weight, minlength=len(y)) for w in words])
-        mean = docs[:, ~fold].mean(axis=1)
-        docs -= mean[:, None]  # the bias takes what all documents have
-        logits = soft @ docs + bias[:, None]
-        p = np.exp(logits - logits.max(axis=0))
-        p /= p.sum(axis=0)
-        loss = -np.log(np.maximum(p[y, np.arange(len(y))], 1e-12))[fold].mean()
-        if loss < best:
-            best, kept = loss, ((soft[1] - soft[0]) @ vectors, float(bias[1] - bias[0] - (soft[1] - soft[0]) @ mean))
-        error = (p - target) / max(fitted, 1)
-        error[:, fold] = 0
-        d_docs = GAIN * (soft.T @ error)
-        d_docs[:, ~fold] -= d_docs[:, ~fold].mean(axis=1, keepdims=True)
-        grads = [np.empty_like(vectors), error @ docs.T, error.sum(axis=1)]
-        for k in range(DIMENSIONS):
-            d_word = (np.bincount(word_of, weights=d_docs[k][text_of] * weight, minlength=len(n_sub)) / n_sub)[gram_word]
-            grads[0][k] = np.bincount(flat, weights=d_word, minlength=len(used))
+        mean_of = sample.forward(vectors)
+        mean = mean_of[:, fitted].mean(axis=1)
+        centred = mean_of - mean[:, None]  # the bias takes what all passages have
+        z = (soft[1] - soft[0]) @ centred + bias[1] - bias[0]
+        top = np.maximum.reduceat(z, first)
+        each = np.exp(z - top[number])
+        total = np.add.reduceat(each, first)
+        logit = top + np.log(total)  # of a text: the soft maximum of its passages
+        losses = np.logaddexp(0, np.where(truth == 1, -logit, logit))
+        loss = losses[~chosen].mean()
+        if loss > last * 1.001:
+            vectors, soft, bias = (x.copy() for x in saved)
+            speed[:], rate = 0, rate / 2
+            for m, _ in slow:
+                m[:] = 0
+            continue
+        last, saved, rate = loss, (vectors.copy(), soft.copy(), bias.copy()), rate * 1.05
+        held = losses[chosen].mean() if chosen.any() else loss
+        if held < best:
+            best, waited = held, 0
+            kept = ((soft[1] - soft[0]) @ vectors, float(bias[1] - bias[0] - (soft[1] - soft[0]) @ mean), float(bias[1] - bias[0]))
+        elif (waited := waited + 1) == PATIENCE:
+            break
+        error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - truth) / max((~chosen).sum(), 1)
+        error[chosen] = 0
+        d = error[number] * each / total[number]
+        error = np.stack((-d, d))
+        d_mean = soft.T @ error
+        d_mean[:, fitted] -= d_mean[:, fitted].mean(axis=1, keepdims=True)
+        grads = [sample.backward(d_mean) * reach, error @ centred.T, error.sum(axis=1)]
         if epoch == 0:
-            unit = 1 / max(np.sqrt(((grads[0] * reach) ** 2).mean()), 1e-30)
-        speed *= 0.9
-        speed += unit * grads[0] * reach
-        vectors -= rate * speed * reach / max(reach.max(), 1e-30)
+            unit = 1 / max(np.sqrt((grads[0] ** 2).mean()), 1e-30)
+        speed = 0.9 * speed + unit * grads[0]
+        vectors -= rate * speed * reach
         for value, grad, (m, v) in zip((soft, bias), grads[1:], slow):
             m += 0.1 * (grad - m)
             v += 0.001 * (grad**2 - v)
             value -= 0.02 * (m / (1 - 0.9 ** (epoch + 1))) / (np.sqrt(v / (1 - 0.999 ** (epoch + 1))) + 1e-8)
+    return kept
+
+
+def train(texts: list[str], toxic: list[int], epochs: int = 48, rate: float = 0.01, seed: int = 7) -> Model:
+    """The mean of FOLDS fits, each of which leaves out another fifth of the sample to choose its epoch; passages' logits are linear, so models average."""
+    y, sample = np.array(toxic, dtype=np.int64), Sample(texts)
+    if len(set(toxic)) < 2 or not sample.n_passages:
+        return Model(None, 0.0)
+    worded = np.zeros(len(y), dtype=bool)
+    worded[sample.text] = True
+    fits = []
+    for k in range(FOLDS):
+        fold = np.arange(len(y)) % 5 == k
+        if worded[~fold].any():
+            fits.append(fit_once(sample, y, fold, epochs, rate, seed + k))
     parts = np.zeros(BUCKETS)
-    parts[used], difference = kept
-    return Model(parts, difference, min(float(share), 0.49))  # no words are no evidence
+    parts[sample.buckets] = np.mean([f[0] for f in fits], axis=0)
+    return Model(parts, float(np.mean([f[1] for f in fits])), float(np.mean([f[2] for f in fits])))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

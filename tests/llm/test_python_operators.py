@@ -96,7 +96,8 @@ def test_toxicity_learns_stems_and_scores_odd_texts(spark):
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == y for i, y in held]) > 0.95
     assert got[903].predicted == 1  # misspellings that no row has
-    assert got[900].score == got[901].score == got[902].score == model.prior and 0.2 < model.prior < 0.3 and got[904].predicted == 0
+    neutral = 1 / (1 + np.exp(-model.neutral))
+    assert got[900].score == got[901].score == got[902].score == neutral < 0.3 and got[904].predicted == 0
     assert all(0 <= x.score <= 1 for x in got.values())
     again = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
     assert again == {k: x.score for k, x in got.items()}
@@ -110,9 +111,9 @@ def test_toxicity_learns_stems_and_scores_odd_texts(spark):
 
 
 def brute_score(model, text):
-    """The mean over words of the mean of their n-grams' parts, n-gram by n-gram."""
+    """The soft maximum over passages of the mean over words of the mean of their n-grams' parts, n-gram by n-gram."""
     base, mask = int(toxicity._BASE), (1 << 64) - 1
-    total, words = 0.0, re.findall(r"[^\W\d_]+", text.lower())
+    values, words = [], re.findall(r"[^\W\d_]+", text.lower())
 
     def bucket(points, size=0):
         h = 0
@@ -123,18 +124,41 @@ def brute_score(model, text):
     for w in words:
         framed = [60, *map(ord, w), 62]
         found = [bucket(map(ord, w))] + [bucket(framed[i : i + k], k) for k in toxicity.SIZES for i in range(len(framed) - k + 1)]
-        total += np.mean([model.parts[b] for b in found])
-    return 1 / (1 + np.exp(-(toxicity.GAIN * total / len(words) + model.bias))) if words else model.prior
+        values.append(np.mean([model.parts[b] for b in found]))
+    logits = [toxicity.GAIN * np.mean(values[i : i + toxicity.PASSAGE]) + model.bias for i in range(0, len(values), toxicity.PASSAGE)]
+    return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(logits))) if logits else model.neutral)))
 
 
 def test_scores_match_a_plain_version(monkeypatch):
     r = np.random.default_rng(2)
     model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0, 0.2)
-    texts = ["", "12 - 34", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end"]
+    texts = ["", "12 - 34", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end", "longer words here " * 30]
     expected = [brute_score(model, t) for t in texts]
     assert np.allclose(model.scores(texts), expected, atol=1e-12)
-    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 10)
-    assert np.allclose(model.scores(texts), expected, atol=1e-12)
+    parts = " ".join(["abcde"] * toxicity.PASSAGE * 3)  # parts of whole passages
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 6 * toxicity.PASSAGE - 1)
+    assert np.allclose(model.scores([*texts[:4], parts]), [*expected[:4], brute_score(model, parts)], atol=1e-12)
+
+
+def test_toxicity_in_a_hard_sample():
+    """Few toxic words in texts of up to 1,000 words of a rich vocabulary, some labels wrong: held-out rows, several seeds."""
+    for seed in (1, 2):
+        r = random.Random(seed)
+        parts = ["ba", "ke", "lo", "mi", "nu", "ta", "re", "sho", "win", "dra", "fel", "gus"]
+        word = lambda: "".join(r.choice(parts) for _ in range(r.randrange(1, 6)))
+        bad = ["vexling", "grumblor", "snarkwit", "toadish", "muckhead"]
+        texts, labels = [], []
+        for _ in range(700):
+            words = [word() for _ in range(r.choice([30, 100, 300, 1000]))]
+            toxic = r.random() < 0.15
+            if toxic:
+                for _ in range(2 + len(words) // 100):
+                    words[r.randrange(len(words))] = r.choice(bad)
+            texts.append(" ".join(words))
+            labels.append(int(toxic) if r.random() > 0.01 else 1 - int(toxic))
+        model = toxicity.train(texts[:500], labels[:500])
+        scores, truth = model.scores(texts[500:]), np.array(labels[500:])
+        assert (scores[truth == 1] >= 0.5).mean() > 0.85 and (scores[truth == 0] >= 0.5).mean() < 0.04
 
 
 # ---------------------------------------------------------------- packing
