@@ -166,9 +166,12 @@ class Model:
 
 
 def passages(text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The passage of each word occurrence, PASSAGE words of one text each, and each passage's first occurrence."""
-    place = np.arange(len(text_of)) - np.searchsorted(text_of, text_of)
-    begins = place % PASSAGE == 0
+    """The passage of each word occurrence and each passage's first occurrence: a text is cut evenly into passages of at most PASSAGE words."""
+    begin = np.flatnonzero(np.concatenate(([True], text_of[1:] != text_of[:-1])))
+    size = np.diff(np.append(begin, len(text_of)))
+    place = np.arange(len(text_of)) - np.repeat(begin, size)
+    number = place * np.repeat(-(-size // PASSAGE), size) // np.repeat(size, size)
+    begins = np.concatenate(([True], (text_of[1:] != text_of[:-1]) | (number[1:] != number[:-1])))
     return np.cumsum(begins) - 1, np.flatnonzero(begins)
 
 

@@ -125,7 +125,8 @@ def brute_score(model, text):
         framed = [60, *map(ord, w), 62]
         found = [bucket(map(ord, w))] + [bucket(framed[i : i + k], k) for k in toxicity.SIZES for i in range(len(framed) - k + 1)]
         values.append(np.mean([model.parts[b] for b in found]))
-    logits = [toxicity.GAIN * np.mean(values[i : i + toxicity.PASSAGE]) + model.bias for i in range(0, len(values), toxicity.PASSAGE)]
+    passages = np.arange(len(values)) * -(-len(values) // toxicity.PASSAGE) // max(len(values), 1)
+    logits = [toxicity.GAIN * np.mean(np.array(values)[passages == k]) + model.bias for k in sorted(set(passages.tolist()))]
     return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(logits))) if logits else model.neutral)))
 
 
