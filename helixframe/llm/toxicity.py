@@ -37,6 +37,8 @@ DIMENSIONS = 2
 SIZES = (3, 4, 5)
 #: Words of a passage; means over passages are small, so both fit and score multiply them by GAIN.
 PASSAGE, GAIN = 32, 32.0
+#: The soft maximum of n equal passages is log(n) / SHARP more than one of them, so a text's length alone says little.
+SHARP = 4.0
 #: Fits that are averaged, epochs without gain that end one, and how many texts' worth of passages damp an n-gram's steps.
 FOLDS, PATIENCE, DAMPING = 5, 16, 2000.0
 CHUNK_CHARS = 1 << 20
@@ -155,13 +157,14 @@ class Model:
             logit = GAIN * np.bincount(passage, weights=value[found.word_of]) / words + self.bias
             of = owner[at + found.text_of[first]]
             before, now = top, top.copy()
+            logit *= SHARP
             np.maximum.at(now, of, logit)
             seen = np.isfinite(now)
             total[seen] *= np.exp(before[seen] - now[seen])
             np.add.at(total, of, np.exp(logit - now[of]))
             top = now
         with np.errstate(divide="ignore"):
-            logit = np.where(total > 0, top + np.log(total), self.neutral)
+            logit = np.where(total > 0, (top + np.log(total)) / SHARP, self.neutral)
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -247,7 +250,7 @@ def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate:
     vectors = rng.normal(0, 0.01, (DIMENSIONS, len(sample.buckets)))
     soft = rng.normal(0, 1, (2, DIMENSIONS)) / np.sqrt(DIMENSIONS)
     share = np.clip(truth[~chosen].mean(), 0.01, 0.99)
-    bias = np.log(np.array([1 - share, share])) - np.array([0, np.log(len(text) / len(first))])  # a text has several passages
+    bias = np.log(np.array([1 - share, share])) - np.array([0, np.log(len(text) / len(first)) / SHARP])  # a text has several passages
     speed, slow = np.zeros_like(vectors), [[np.zeros_like(p), np.zeros_like(p)] for p in (soft, bias)]
     best, kept, saved, last, unit, waited = np.inf, None, None, np.inf, 1.0, 0
     for epoch in range(epochs):
@@ -256,9 +259,9 @@ def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate:
         centred = mean_of - mean[:, None]  # the bias takes what all passages have
         z = (soft[1] - soft[0]) @ centred + bias[1] - bias[0]
         top = np.maximum.reduceat(z, first)
-        each = np.exp(z - top[number])
+        each = np.exp(SHARP * (z - top[number]))
         total = np.add.reduceat(each, first)
-        logit = top + np.log(total)  # of a text: the soft maximum of its passages
+        logit = top + np.log(total) / SHARP  # of a text: the soft maximum of its passages
         losses = np.logaddexp(0, np.where(truth == 1, -logit, logit))
         loss = losses[~chosen].mean()
         if loss > last * 1.001:

@@ -127,7 +127,7 @@ def brute_score(model, text):
         values.append(np.mean([model.parts[b] for b in found]))
     passages = np.arange(len(values)) * -(-len(values) // toxicity.PASSAGE) // max(len(values), 1)
     logits = [toxicity.GAIN * np.mean(np.array(values)[passages == k]) + model.bias for k in sorted(set(passages.tolist()))]
-    return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(logits))) if logits else model.neutral)))
+    return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(toxicity.SHARP * np.array(logits)))) / toxicity.SHARP if logits else model.neutral)))
 
 
 def test_scores_match_a_plain_version(monkeypatch):
