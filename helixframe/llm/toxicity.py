@@ -134,11 +134,11 @@ def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class Model:
-    """Each bucket's part of a passage's toxic logit, the bias, and the logit of texts without words; no parts where nothing could be learned."""
+    """Each bucket's part of a passage's toxic logit, against that of the average word (0 for what the sample does not
+    have), and the bias, which is the average passage's logit; no parts where nothing could be learned."""
 
     parts: np.ndarray | None
     bias: float
-    neutral: float = 0.0
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
@@ -164,7 +164,7 @@ class Model:
             np.add.at(total, of, np.exp(logit - now[of]))
             top = now
         with np.errstate(divide="ignore"):
-            logit = np.where(total > 0, (top + np.log(total)) / SHARP, self.neutral)
+            logit = np.where(total > 0, (top + np.log(total)) / SHARP, self.bias)
         return 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
 
 
@@ -237,8 +237,8 @@ class Sample:
         return found / found.max()
 
 
-def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float, float]:
-    """(n-gram parts, bias, neutral logit) at the epoch with the least loss over ``fold``, which is fitted on nothing.
+def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate: float, seed: int) -> tuple[np.ndarray, float]:
+    """(n-gram parts, bias) at the epoch with the least loss over ``fold``, which is fitted on nothing.
 
     A step that raises the fitted rows' loss is taken back and halved.
     """
@@ -274,7 +274,7 @@ def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate:
         held = losses[chosen].mean() if chosen.any() else loss
         if held < best:
             best, waited = held, 0
-            kept = ((soft[1] - soft[0]) @ vectors, float(bias[1] - bias[0] - (soft[1] - soft[0]) @ mean), float(bias[1] - bias[0]))
+            kept = ((soft[1] - soft[0]) @ (vectors - mean[:, None] / GAIN), float(bias[1] - bias[0]))
         elif (waited := waited + 1) == PATIENCE:
             break
         error = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - truth) / max((~chosen).sum(), 1)
@@ -309,7 +309,7 @@ def train(texts: list[str], toxic: list[int], epochs: int = 48, rate: float = 0.
             fits.append(fit_once(sample, y, fold, epochs, rate, seed + k))
     parts = np.zeros(BUCKETS)
     parts[sample.buckets] = np.mean([f[0] for f in fits], axis=0)
-    return Model(parts, float(np.mean([f[1] for f in fits])), float(np.mean([f[2] for f in fits])))
+    return Model(parts, float(np.mean([f[1] for f in fits])))
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:

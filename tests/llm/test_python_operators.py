@@ -96,7 +96,7 @@ def test_toxicity_learns_stems_and_scores_odd_texts(spark):
     held = [(i, y) for i, y in labels if zlib.crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == y for i, y in held]) > 0.95
     assert got[903].predicted == 1  # misspellings that no row has
-    neutral = 1 / (1 + np.exp(-model.neutral))
+    neutral = 1 / (1 + np.exp(-model.bias))
     assert got[900].score == got[901].score == got[902].score == neutral < 0.3 and got[904].predicted == 0
     assert all(0 <= x.score <= 1 for x in got.values())
     again = {x.doc_id: x.score for x in toxicity.score(docs, toxicity.fit(docs, known)).collect()}
@@ -127,12 +127,12 @@ def brute_score(model, text):
         values.append(np.mean([model.parts[b] for b in found]))
     passages = np.arange(len(values)) * -(-len(values) // toxicity.PASSAGE) // max(len(values), 1)
     logits = [toxicity.GAIN * np.mean(np.array(values)[passages == k]) + model.bias for k in sorted(set(passages.tolist()))]
-    return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(toxicity.SHARP * np.array(logits)))) / toxicity.SHARP if logits else model.neutral)))
+    return 1 / (1 + np.exp(-(np.log(np.sum(np.exp(toxicity.SHARP * np.array(logits)))) / toxicity.SHARP if logits else model.bias)))
 
 
 def test_scores_match_a_plain_version(monkeypatch):
     r = np.random.default_rng(2)
-    model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0, 0.2)
+    model = toxicity.Model(r.normal(0, 0.05, toxicity.BUCKETS), -1.0)
     texts = ["", "12 - 34", "One two, THREE four5six", "ça ira \u0394\u03b5 x", "a " * 500 + "end", "longer words here " * 30]
     expected = [brute_score(model, t) for t in texts]
     assert np.allclose(model.scores(texts), expected, atol=1e-12)
