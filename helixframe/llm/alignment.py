@@ -48,7 +48,6 @@ ENTRIES_PER_RANGE = 2_000_000
 SPACES = "\\s\u180e\u200b\ufeff"
 CUT = re.compile(rf"(?<=[^{SPACES}])(?= [^{SPACES}])")
 ODD = re.compile(rf"[{SPACES}]|.*[{SPACES}]\Z|\Z", re.DOTALL)
-UNKNOWN, JOINS = None, -1
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_group_links"]
 
 
@@ -123,7 +122,7 @@ def aligned(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray
     n = int(size_a.sum())
     ends_a, ends_b = np.cumsum(size_a), np.cumsum(size_b)
     over = [incidence(np.arange(n), size, n) for size in (size_a, size_b)]
-    cuts = np.intersect1d(ends_a, ends_b)
+    cuts = ends_a[ends_b[np.searchsorted(ends_b, ends_a)] == ends_a]  # both ascend to the last byte
     group = [incidence(np.searchsorted(cuts, ends), np.ones(len(ends), dtype=np.int64), len(cuts)) for ends in (ends_a, ends_b)]
     return Aligned(a, b, *group, product(over[0], over[1].transposed()), brought(group[0], group[1].transposed()))
 
@@ -185,6 +184,7 @@ class Parts:
     def __init__(self, coding: Coder) -> None:
         self.coding = coding
         self.number: dict[str, int] = {}
+        self.odd: set[str] = set()  # words that are parts together with what is next to them
         self.valid = np.zeros(0, dtype=bool)
         self.groups: list[str] = []
         self.counts = np.zeros((0, len(COUNTS)), dtype=np.int32)
@@ -193,40 +193,55 @@ class Parts:
     def of(self, texts: list[str]) -> list[list[int]]:
         """The numbers of each text's parts; no text is empty."""
         known, split = self.number, [t.split(" ") if self.coding.cuts else [t] for t in texts]
-        for i, words in enumerate(split):
-            for word in words:
-                if word not in known:
-                    known[word] = JOINS if self.coding.cuts and ODD.match(word) else UNKNOWN
-            if self.coding.cuts and JOINS in map(known.__getitem__, words):  # white space that belongs to its neighbours
-                split[i] = [p if ODD.match(p[1:]) else p[1:] for p in CUT.split(" " + texts[i])]
-        new = list(dict.fromkeys(w for words in split for w in words if known.get(w) is UNKNOWN))
+        fresh = [w for w in dict.fromkeys(itertools.chain.from_iterable(split)) if w not in known]
+        odd = {w for w in fresh if ODD.match(w)} if self.coding.cuts else set()
+        self.odd |= odd
+        new = [w for w in fresh if w not in odd]
+        if self.odd:
+            for i, words in enumerate(split):
+                if not self.odd.isdisjoint(words):  # white space that belongs to its neighbours
+                    split[i] = [p if ODD.match(p[1:]) else p[1:] for p in CUT.split(" " + texts[i])]
+                    new += split[i]
+            new = [w for w in dict.fromkeys(new) if w not in known]
         self._learn(new, [w if w[:1] == " " and self.coding.cuts else " " + w for w in new])
-        return [[known[w] for w in words] for words in split]
+        return [list(map(known.__getitem__, words)) for words in split]
 
     def _learn(self, names: list[str], parts: list[str]) -> None:
         if not parts:
             return
         ids_a, ids_b = self.coding.encode(parts)
-        bytes_a, bytes_b = self.coding.bytes_a, self.coding.bytes_b
-        good = []
-        for i, (part, a, b) in enumerate(zip(parts, ids_a, ids_b)):
-            raw = part.encode()
-            if b"".join([bytes_a[x] for x in a]) == raw and b"".join([bytes_b[x] for x in b]) == raw:
-                good.append(i)
+        flat_a, flat_b = self._flat(ids_a, self.coding.bytes_a), self._flat(ids_b, self.coding.bytes_b)
+        raw = [p.encode() for p in parts]
+        good = self._same(raw, flat_a, self.coding.bytes_a) & self._same(raw, flat_b, self.coding.bytes_b)
         first = len(self.valid)
-        self.number.update((name, first + i) for i, name in enumerate(names))
-        self.valid = np.concatenate((self.valid, np.isin(np.arange(len(parts)), good)))
+        self.number.update(zip(names, range(first, first + len(names))))
+        self.valid = np.concatenate((self.valid, good))
         counts = np.zeros((len(parts), len(COUNTS)), dtype=np.int32)
-        if good:
-            counts[good], groups, links = self._aligned([ids_a[i] for i in good], [ids_b[i] for i in good])
+        groups: list[str] = []
+        if good.any():
+            if not good.all():
+                flat_a, flat_b = (self._flat([x for x, ok in zip(ids, good) if ok], table) for ids, table in ((ids_a, self.coding.bytes_a), (ids_b, self.coding.bytes_b)))
+            counts[good], groups, links = self._aligned(flat_a, flat_b)
             self.pairs.append(links)
         self.counts = np.concatenate((self.counts, counts))
-        shown = iter(groups if good else ())
-        self.groups += [next(shown) if ok else "" for ok in self.valid[first:]]
+        shown = iter(groups)
+        self.groups += groups if good.all() else [next(shown) if ok else "" for ok in good]
 
-    def _aligned(self, ids_a: list[list[int]], ids_b: list[list[int]]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    @staticmethod
+    def _same(raw: list[bytes], flat: tuple[np.ndarray, np.ndarray, np.ndarray], table: list[bytes]) -> np.ndarray:
+        """Whether each part's tokens give back its bytes."""
+        ids, n, sizes = flat
+        upto = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(n)]
+        joined, whole = b"".join([table[x] for x in ids.tolist()]), b"".join(raw)
+        if joined == whole and (upto == np.cumsum([len(r) for r in raw])).all():
+            return np.ones(len(raw), dtype=bool)
+        begin = np.concatenate(([0], upto[:-1]))
+        return np.array([joined[a:z] == r for a, z, r in zip(begin.tolist(), upto.tolist(), raw)])
+
+    @staticmethod
+    def _aligned(flat_a: tuple[np.ndarray, np.ndarray, np.ndarray], flat_b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """Counts and groups of each part, and all parts' links."""
-        (a, n_a, size_a), (b, n_b, size_b) = (self._flat(ids, table) for ids, table in ((ids_a, self.coding.bytes_a), (ids_b, self.coding.bytes_b)))
+        (a, n_a, size_a), (b, n_b, size_b) = flat_a, flat_b
         met = aligned(a, size_a, b, size_b)
         to_a = np.cumsum(n_a)
         to_group = met.groups_a.indices[to_a - 1] + 1  # parts end with a group
