@@ -6,50 +6,71 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import cut
+from . import packed
 from .genotype import UNIT
 
 CUTOFF = 0.0442
 #: Sites of one partial table.
 SITE_BLOCK = 20_000
-#: Numbers of individuals of one block.
-IND_BLOCK = 2048
-
-
-def _tile(frame: pd.DataFrame) -> pd.DataFrame:
-    """Sums of one block of sites for the pairs between two blocks of individuals."""
-    matrix = lambda rows: np.array(rows["dosage"].tolist(), dtype=np.float64)
-    left = frame[frame["side"] == 0].sort_values("site_id")
-    first, g = frame.iloc[0], matrix(left)
-    same = first["i"] == first["j"]
-    right = left if same else frame[frame["side"] == 1].sort_values("site_id")
-    h = g if same else matrix(right)
-    out = {c: first[c] for c in ("rep", "chrom", "pop")}
-    if not len(left) or not len(right):
-        return pd.DataFrame({**out, "ind1": [], "ind2": [], "squares": [], "het1": [], "het2": []})
-    both = (g * g).sum(axis=0)[:, None] + (h * h).sum(axis=0)[None, :] - 2 * (g.T @ h)
-    a, b = np.array(left["inds"].iloc[0]), np.array(right["inds"].iloc[0])
-    x, y = np.triu_indices(len(a), k=1) if same else (k.ravel() for k in np.indices(both.shape))
-    whole = lambda v: v.astype(np.int64)
-    return pd.DataFrame({**out, "ind1": a[x], "ind2": b[y], "squares": whole(both[x, y]), "het1": whole((g == 1).sum(axis=0)[x]), "het2": whole((h == 1).sum(axis=0)[y])})
+#: Numbers of individuals of one block, in whole longs.
+IND_BLOCK = 2046
+
+
+PARTIALS = "rep int, chrom string, pop string, ind1 int, ind2 int, squares long, het1 long, het2 long"
+
+
+def _tile(rows: pa.Table, width: int) -> list[np.ndarray]:
+    """(ind1, ind2, squares, het1, het2) of the pairs between two blocks of individuals over one block of sites."""
+    side, i, j = (rows.column(c).to_numpy() for c in ("side", "i", "j"))
+    site = np.unique(rows.column("site_id").to_numpy(), return_inverse=True)[1]
+    blocks = []
+    for own, number in ((side == 0, int(i[0])), (side == 1, int(j[0]))):
+        if not own.any():
+            continue
+        found = packed.codes(rows.filter(pa.array(own)).column("codes"), number * width)
+        coded = np.zeros((site.max() + 1, found.shape[1]), dtype=np.uint8)
+        coded[site[own]] = found
+        who, g, held = packed.matrix(coded)
+        blocks.append((who + number * width * packed.PER_WORD, g, held))
+    same = i[0] == j[0]
+    if not same and len(blocks) < 2:
+        return [np.zeros(0, dtype=np.int64)] * 5
+    (a, g, held), (b, h, other) = blocks[0], blocks[-1]
+    sums = packed.squared_differences(g, held, h, other)
+    x, y = np.triu_indices(len(a), k=1) if same else (k.ravel() for k in np.indices((len(a), len(b))))
+    return [a[x], b[y], *(s[x, y].astype(np.int64) for s in sums)]
 
 
 def king_partials(calls: DataFrame) -> DataFrame:
     """(rep, chrom, pop, ind1, ind2, squares, het1, het2): sums that add over sites and chromosomes, ind1 < ind2.
 
-    Sites and individuals are dealt into blocks; a task makes one tile, the pairs between two blocks of individuals
-    over one block of sites. Every individual has a call at every site of its chromosome.
+    Calls are packed, two bits each. Sites and individuals are dealt into blocks; a tile is the pairs between two blocks of
+    individuals over one block of sites, where both have a call, and the populations' tiles at one place share a task's group.
     """
-    each = calls.groupBy(*UNIT, "pop", "site_id", "ind").agg(F.sum((F.col("allele") > 0).cast("int")).cast("int").alias("dosage"))
-    placed = each.groupBy(*UNIT, "pop", "site_id", F.floor(F.col("ind") / IND_BLOCK).cast("int").alias("own")).agg(F.array_sort(F.collect_list(F.struct("ind", "dosage"))).alias("d"))
-    last = calls.agg(F.floor(F.max("ind") / IND_BLOCK).cast("int")).first()[0] or 0
-    partner = F.explode(F.sequence(F.lit(0), F.lit(last)))
-    dealt = placed.select(*UNIT, "pop", "site_id", "own", F.transform("d", lambda x: x["ind"]).alias("inds"), F.transform("d", lambda x: x["dosage"]).alias("dosage"), partner.alias("other"))
-    tiles = dealt.select(*UNIT, "pop", "site_id", "inds", "dosage", F.floor(F.col("site_id") / SITE_BLOCK).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    parts = tiles.groupBy(*UNIT, "pop", "block", "i", "j").applyInPandas(_tile, "rep int, chrom string, pop string, ind1 int, ind2 int, squares long, het1 long, het2 long")
+    width = max(1, IND_BLOCK // packed.PER_WORD)  # longs of a block
+    coded = packed.words(calls).select(*UNIT, "pop", "site_id", F.expr(f"CAST(word DIV {width} AS INT)").alias("own"), "word", "bits")
+    placed = coded.groupBy(*UNIT, "pop", "site_id", "own").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("codes"))
+    last = calls.groupBy(*UNIT, "pop").agg(F.expr(f"CAST(max(ind) DIV {packed.PER_WORD * width} AS INT)").alias("last"))
+    partner = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
+    dealt = placed.join(last, [*UNIT, "pop"]).select(*UNIT, "pop", "site_id", "codes", "own", partner)
+    tiles = dealt.select(*UNIT, "pop", "site_id", "codes", F.floor(F.col("site_id") / SITE_BLOCK).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        names = [f.split()[0] for f in PARTIALS.split(", ")]
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        found = []
+        for tile in packed.tiles(group, ["pop"]):
+            numbers = _tile(tile, width)
+            same = [pa.repeat(pa.scalar(tile.column(c)[0].as_py(), t), len(numbers[0])) for c, t in zip(names, kinds[:3])]
+            found.append(pa.Table.from_arrays([*same, *(pa.array(n, t) for n, t in zip(numbers, kinds[3:]))], names))
+        return pa.concat_tables(found)
+
+    parts = tiles.groupBy(*UNIT, "block", "i", "j").applyInArrow(run, PARTIALS)
     return _summed(parts, [*UNIT, "pop", "ind1", "ind2"])
 
 

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide, folded
+from . import packed
 from .genotype import SITE, UNIT
 
 WINDOW_BP, BIN_BP, MAF = 2_000_000, 5_000, 0.10
 #: Sites of one side of a block of pairs.
 BLOCK = 512
+#: Windows of one block that share a group.
+WINDOWS_PER_GROUP = 16
 
 
 def wide(calls: DataFrame, maf: float | None = None) -> DataFrame:
@@ -32,50 +36,72 @@ def wide(calls: DataFrame, maf: float | None = None) -> DataFrame:
     return rows.select(*SITE, "pop", F.transform("d", lambda x: x["ind"]).alias("inds"), F.transform("d", lambda x: x["dosage"]).alias("dosage"))
 
 
-def _pair_bins(frame: pd.DataFrame, window_bp: int, bin_bp: int) -> pd.DataFrame:
-    """Binned r2 of all site pairs of one window, block by block; moments are integers, which doubles hold exactly."""
-    frame = frame.sort_values(["position", "site_id"])
-    g = np.array(frame["dosage"].tolist(), dtype=np.float64)
-    position, n = frame["position"].to_numpy().astype(float), g.shape[1]
-    total = g.sum(axis=1)
-    variance = n * (g * g).sum(axis=1) - total**2
-    sums = np.zeros((3, int(window_bp // bin_bp) + 2))
-    for a in range(0, len(g), BLOCK):
-        for b in range(a, len(g), BLOCK):
-            left, right = slice(a, a + BLOCK), slice(b, b + BLOCK)
-            distance = position[right][None, :] - position[left][:, None]
-            valid = (distance > 0) & (distance <= window_bp)
-            if a == b:
-                valid = np.triu(valid, k=1)
-            if not valid.any():
-                continue
-            covariance = n * (g[left] @ g[right].T) - np.outer(total[left], total[right])
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r2 = (covariance**2 / np.outer(variance[left], variance[right]))[valid]
-            place = (distance[valid].astype(np.int64) - 1) // bin_bp
-            fine = np.isfinite(r2)
-            for row, weights in zip(sums, (np.where(fine, r2, 0), None, fine)):
-                row += np.bincount(place, weights=weights, minlength=len(row))
-    used = np.flatnonzero(sums[1])
-    s, p, v = sums[:, used]
-    first = frame.iloc[0]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        mean = [float(x) if k else None for x, k in zip(s / v, v)]
-    return pd.DataFrame({**{c: first[c] for c in ("rep", "chrom", "pop", "window_start")}, "distance_bin_bp": (used + 1) * bin_bp, "mean_r2": mean, "sum_r2": s, "n_pairs": p.astype(np.int64), "n_valid": v.astype(np.int64)})
+BINS = "rep int, chrom string, pop string, window_start long, distance_bin_bp long, sum_r2 double, n_pairs long, n_valid long"
+
+
+def _pair_bins(left: pa.Table, right: pa.Table | None, window_bp: int, bin_bp: int) -> list[np.ndarray]:
+    """(bins, summed r2, pairs, pairs that vary) of the pairs between two blocks of sites, or within one."""
+    rows = left if right is None else pa.concat_tables([left, right])
+    coded, n = packed.codes(rows.column("codes")), left.num_rows
+    _, g, held = packed.matrix(coded)
+    position = rows.column("position").to_numpy()
+    a, b = slice(0, n), slice(0, n) if right is None else slice(n, None)
+    distance = np.abs(position[b][None, :] - position[a][:, None])
+    valid = (distance > 0) & (distance <= window_bp)
+    if right is None:
+        valid = np.triu(valid, k=1)
+    r2 = packed.squared_correlations(g[a], held[a], g[b], held[b])[valid]
+    place, fine = (distance[valid].astype(np.int64) - 1) // bin_bp, np.isfinite(r2)
+    pairs = np.bincount(place)
+    used = np.flatnonzero(pairs)
+    return [used, *(np.bincount(place, weights=w, minlength=len(pairs))[used] for w in (np.where(fine, r2, 0), None, fine))]
+
+
+def dealt_tiles(sites: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """``sites`` dealt to tiles: the rows of equal ``keys`` are hashed into blocks of about ``block`` sites, and each pair of
+    blocks (i <= j) is a tile; ``side`` tells its two blocks apart and ``blocks`` how many there are.
+    """
+    sizes = sites.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("site_id", "position"), F.col("blocks")).cast("int")
+    rows = sites.join(sizes, keys).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other")
 
 
 def decay(calls: DataFrame, spans: DataFrame, window_bp: int = WINDOW_BP, bin_bp: int = BIN_BP, maf: float = MAF) -> DataFrame:
     """Mean and sum of r2 and the pair counts in each distance bin of each window.
 
-    A window is one task's group: its sites are bounded by its length, and only its few bins
-    leave the task, never the pairs. Pairs with a site that does not vary count in n_pairs alone.
+    Sites are packed, two bits a call. A window of many sites is cut into tiles, pairs between two of its blocks of
+    about BLOCK sites, each a group of its own; neighbouring windows of one block share a group. Only distance bins
+    leave a task, never pairs, and add up over tiles. Pairs with a site that does not vary count in n_pairs alone.
     """
-    sites = wide(calls, maf).drop("inds")
-    placed = sites.withColumn("window_start", (F.floor(F.col("position") / window_bp) * window_bp).cast("long"))
-    schema = "rep int, chrom string, pop string, window_start long, distance_bin_bp long, mean_r2 double, sum_r2 double, n_pairs long, n_valid long"
-    binned = placed.groupBy(*UNIT, "pop", "window_start").applyInPandas(lambda f: _pair_bins(f, window_bp, bin_bp), schema)
+    sites = packed.sites(calls)
+    if maf > 0:
+        site = W.partitionBy(*SITE)  # one row for each population
+        sites = sites.withColumn("maf", folded(F.sum("n_alt").over(site) / F.sum("n_called").over(site))).where(F.col("maf") >= maf)
+    keys = [*UNIT, "pop", "window_start"]
+    placed = sites.withColumn("window_start", (F.floor(F.col("position") / window_bp) * window_bp).cast("long")).select(*keys, "site_id", "position", "codes")
+    dealt = dealt_tiles(placed, keys, BLOCK)
+    several = F.col("blocks") > 1
+    place = F.when(several, F.col("window_start")).otherwise(F.floor(F.col("window_start") / (window_bp * WINDOWS_PER_GROUP)).cast("long")).alias("place")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        found: list[list] = [[] for _ in range(8)]
+        for tile in packed.tiles(group, [*keys, "i", "j"]):
+            side = tile.column("side").to_numpy()
+            one, two = tile.filter(pa.array(side == 0)), tile.filter(pa.array(side == 1))
+            same = tile.column("i")[0] == tile.column("j")[0]
+            if not one.num_rows or not (same or two.num_rows):
+                continue
+            used, *sums = _pair_bins(one, None if same else two, window_bp, bin_bp)
+            for column, value in zip(found, [*([tile.column(k)[0].as_py()] * len(used) for k in keys), (used + 1) * bin_bp, *sums]):
+                column.extend(value)
+        kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(found, kinds)], [f.split()[0] for f in BINS.split(", ")])
+
+    groups = dealt.groupBy(*UNIT, F.when(several, F.col("pop")).alias("apart"), place, "i", "j")
+    binned = groups.applyInArrow(run, BINS).groupBy(*keys, "distance_bin_bp").agg(*[F.sum(c).alias(c) for c in ("sum_r2", "n_pairs", "n_valid")])
     end = F.least(F.col("window_start") + window_bp, F.col("span")).cast("long")
-    return binned.join(spans, UNIT).select(*UNIT, "pop", "window_start", end.alias("window_end"), "distance_bin_bp", "mean_r2", "sum_r2", "n_pairs", "n_valid")
+    return binned.join(spans, UNIT).select(*UNIT, "pop", "window_start", end.alias("window_end"), "distance_bin_bp", divide("sum_r2", "n_valid").alias("mean_r2"), "sum_r2", "n_pairs", "n_valid")
 
 
 def reaggregate(rows: DataFrame, keys: list[str]) -> DataFrame:

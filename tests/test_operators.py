@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.functions import scalar as X
-from helixframe.operators import admixture, ancestry, diversity, genotype, intervals, kinship, ld, sfs, summarize
+from helixframe.operators import admixture, ancestry, diversity, genotype, intervals, kinship, ld, packed, sfs, summarize
 
 CALLS = "rep int, chrom string, pop string, site_id int, position double, ind int, hap int, allele int"
 
@@ -274,3 +274,61 @@ def test_overlaps_and_points(spark):
         points = spark.createDataFrame([(1620.0,), (1625.0,), (1630.0,), (1640.0,), (1641.0,), (None,)], "y double")
         at = {r.y: r.value for r in intervals.at_point(points, p, "y", width).collect()}
         assert at == {1620.0: 10.0, 1625.0: 15.0, 1630.0: 100.0, 1640.0: 200.0, 1641.0: None, None: None}
+
+
+def random_calls(spark, sites=40, inds=70, missing=0.0, seed=5):
+    """One window of dense sites, individuals over several packed words; some individuals have no call at some sites."""
+    r = random.Random(seed)
+    rows = [(1, "1", "A", s, float(10 * (s // 2)), 3 * i, h, int(r.random() < 0.2 + 0.5 * (i % 3 == s % 3))) for s in range(sites) for i in range(inds) if r.random() >= missing for h in (1, 2)]
+    return spark.createDataFrame(rows, CALLS)
+
+
+def test_packed_calls_round_trip(spark):
+    calls = random_calls(spark, missing=0.2)
+    held = packed.sites(calls)
+    back = packed.unpacked(held.select(*genotype.SITE, "pop", "codes")).select(*genotype.SITE, "pop", "ind", "dosage")
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, genotype.dosages(calls).collect()))
+    assert held.agg(F.max(F.size("codes"))).first()[0] == 7  # 70 individuals numbered to 207, 31 a word
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.25])
+def test_dense_windows_are_cut_into_tiles(spark, monkeypatch, missing):
+    calls, spans = random_calls(spark, missing=missing), spark.createDataFrame([(1, "1", 1e6)], "rep int, chrom string, span double")
+    dosage = {}
+    for x in genotype.dosages(calls).collect():
+        dosage.setdefault((x.position, x.site_id), {})[x.ind] = x.dosage
+    want = {}
+    for (p, s), a in dosage.items():
+        for (q, t), b in dosage.items():
+            if (p, s) < (q, t) and q > p:
+                both = [(a[i], b[i]) for i in a if i in b]
+                x, y = np.array(both).T if both else (np.zeros(1), np.zeros(1))
+                r2 = np.corrcoef(x, y)[0, 1] ** 2 if x.std() and y.std() else None
+                cell = want.setdefault(int(q - p - 1) // 50 * 50 + 50, [0.0, 0, 0])
+                cell[0] += r2 or 0
+                cell[1] += 1
+                cell[2] += r2 is not None
+    monkeypatch.setattr(ld, "BLOCK", 9)
+    got = {x.distance_bin_bp: (x.sum_r2, x.n_pairs, x.n_valid) for x in ld.decay(calls, spans, bin_bp=50, maf=0.0).collect()}
+    assert got.keys() == want.keys()
+    for k, (total, pairs, valid) in want.items():
+        assert got[k][1:] == (pairs, valid) and got[k][0] == pytest.approx(total, abs=1e-9)
+    keys = [*genotype.UNIT, "pop", "w"]
+    dealt = ld.dealt_tiles(packed.sites(calls).withColumn("w", F.lit(0)), keys, 9)
+    sizes = [x["count"] for x in dealt.groupBy(*keys, "i", "j").count().collect()]
+    assert len(sizes) == 15 and max(sizes) < 40 and dealt.agg(F.max("blocks")).first()[0] == 5  # no group has the 40 sites
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.25])
+def test_king_over_blocks_of_individuals(spark, monkeypatch, missing):
+    calls = random_calls(spark, missing=missing)
+    dosage = {}
+    for x in genotype.dosages(calls).collect():
+        dosage.setdefault(x.ind, {})[x.site_id] = x.dosage
+    monkeypatch.setattr(kinship, "IND_BLOCK", 62)
+    monkeypatch.setattr(kinship, "SITE_BLOCK", 7)
+    got = {(x.ind1, x.ind2): (x.squares, x.het1, x.het2) for x in kinship.king_partials(calls).collect()}
+    assert len(got) == 70 * 69 // 2
+    for (a, b), found in got.items():
+        both = [(x, dosage[b][s]) for s, x in dosage[a].items() if s in dosage[b]]
+        assert a < b and found == (sum((x - y) ** 2 for x, y in both), sum(x == 1 for x, _ in both), sum(y == 1 for _, y in both))
