@@ -123,12 +123,12 @@ def _pruned(s, d, calls):
 
 
 def _admixture(s, d):
-    calls = cut(_unrelated_calls(s, d))
+    calls = _unrelated_calls(s, d)
     sites = _pruned(s, d, calls).select("rep", "site_id")
     sample = F.concat_ws("_", "pop", "ind").alias("sample")
-    genotypes = cut(genotype.dosages(calls.join(sites, ["rep", "site_id"], "left_semi")).select("rep", sample, "site_id", "dosage"))
-    labels = cut(calls.select("rep", sample, F.when(F.col("pop") == "ADX", "-").otherwise(F.col("pop")).alias("label")).distinct())
-    return admixture.supervised(genotypes, labels, iterations=20, tolerance=5e-3, keys=["rep"])
+    genotypes = cut(genotype.dosages(calls).select("rep", "pop", sample, "site_id", "dosage")).join(F.broadcast(cut(sites)), ["rep", "site_id"], "left_semi")
+    labels = genotypes.select("rep", "sample", F.when(F.col("pop") == "ADX", "-").otherwise(F.col("pop")).alias("label")).distinct()
+    return admixture.supervised(genotypes.drop("pop"), labels, keys=["rep"])
 
 
 def _decay_sql(maf: str = "0.1e0") -> str:

@@ -201,6 +201,48 @@ def test_supervised_admixture_keeps_replicates_apart_and_stops(spark):
     assert got[1] > 0.97 and got[2] < 0.03
 
 
+def plain_admixture(g, fixed, low=1e-5, steps=20_000):
+    """Expectation-maximisation on one matrix (samples, sites; nan is missing), step by step until nothing moves."""
+    held, alt = ~np.isnan(g), np.nan_to_num(g)
+    ref, q = np.where(held, 2 - alt, 0), np.where(np.isnan(fixed), 0.5, fixed)
+    weigh = lambda w: np.clip((w[:, None] * alt).sum(0) / np.maximum(2 * (w[:, None] * held).sum(0), 1e-12), low, 1 - low)
+    pa, pe = weigh(q), weigh(1 - q)
+    for _ in range(steps):
+        a, e = q[:, None] * pa, (1 - q)[:, None] * pe
+        b, f = q[:, None] * (1 - pa), (1 - q)[:, None] * (1 - pe)
+        a1, e1, a0, e0 = alt * a / (a + e), alt * e / (a + e), ref * b / (b + f), ref * f / (b + f)
+        pa, pe = (np.clip(x.sum(0) / np.maximum((x + y).sum(0), 1e-12), low, 1 - low) for x, y in ((a1, a0), (e1, e0)))
+        new = np.where(np.isnan(fixed), (a1 + a0).sum(1) / (alt + ref).sum(1), fixed)
+        moved, q = np.abs(new - q).max(), new
+        if moved < 1e-13:
+            break
+    return q
+
+
+def test_supervised_admixture_equals_plain_steps(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, labels, want = [], [], {}
+    for rep, n_sites in ((1, 150), (2, 60)):
+        p = rng.uniform(0.05, 0.95, (2, n_sites))
+        fixed = np.array([1.0] * 6 + [0.0] * 6 + [np.nan] * 8)
+        truth = np.where(np.isnan(fixed), rng.uniform(0, 1, 20), fixed)
+        g = rng.binomial(2, truth[:, None] * p[0] + (1 - truth)[:, None] * p[1]).astype(float)
+        g[rng.random(g.shape) < 0.1] = np.nan
+        names = [f"s{(7 * i) % 20:02}" for i in range(20)]
+        rows += [(rep, names[i], j, int(g[i, j])) for i in range(20) for j in range(n_sites) if not np.isnan(g[i, j])]
+        labels += [(rep, n, "-" if np.isnan(f) else "AFR" if f else "EUR") for n, f in zip(names, fixed)]
+        want |= {(rep, n): x for n, x in zip(names, plain_admixture(g, fixed))}
+    g, known = spark.createDataFrame(rows, "rep int, sample string, site_id int, dosage int"), spark.createDataFrame([*labels, (1, "unseen", "-")], "rep int, sample string, label string")
+    monkeypatch.setattr(admixture, "BLOCK_CALLS", 700)  # several blocks of sites
+    for sent in (1 << 20, 0):  # proportions are sent to all tasks, or joined to the blocks
+        monkeypatch.setattr(admixture, "SENT_BYTES", sent)
+        got = admixture.supervised(g, known, keys=["rep"], tolerance=1e-9 if sent else 1e-3).collect()
+        assert {(x.rep, x["sample"]) for x in got} == want.keys() and all(x.converged and x.moved <= 1e-3 for x in got)
+        assert max(abs(x.afr_q - want[x.rep, x["sample"]]) for x in got) < (1e-6 if sent else 0.05)
+    stopped = admixture.supervised(g, known, iterations=1, keys=["rep"], tolerance=1e-9).collect()
+    assert not any(x.converged for x in stopped) and min(x.moved for x in stopped) > 1e-9
+
+
 def test_window_totals_equal_the_sums_of_pairs(spark):
     r = random.Random(3)
     w = [(i, float(a := r.randrange(0, 300)), a + r.choice([0.5, 3.0, 40.0])) for i in range(80)]
