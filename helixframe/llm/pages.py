@@ -50,7 +50,9 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "math", "textarea", "select", "title", "object", "canvas", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "title", "object", "canvas", "audio", "video"}
+#: What begins a tag or a comment where no ">" follows any more.
+LAST = re.compile(r"<!--|</?[a-zA-Z]")
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul"}
 SPACED = {"br", "td", "th", "img", "wbr"}
 CONTAINERS = {"address", "article", "aside", "blockquote", "button", "details", "dialog", "div", "dl", "fieldset", "figure", "footer", "form", "head", "header", "main", "menu", "nav", "ol", "section", "span", "p", "table", "ul", "li"}
@@ -63,14 +65,19 @@ DROPPED_WORDS = {"ad", "ads", "advert", "advertisement", "adverts", "banner", "b
 OTHER_TEXTS = {"ad", "ads", "advert", "advertisement", "adverts", "comment", "comments", "disqus", "promo", "related", "replies", "respond", "sponsor", "sponsored"}
 #: A class such as has-sidebar says what is elsewhere on the page.
 STATES = {"has", "no", "with", "without"}
+#: Last words of compounds that are about their first one: share-buttons shares, but notice-period is no notice.
+PARTS = {"area", "articles", "bar", "block", "body", "box", "button", "buttons", "card", "cards", "column", "container", "content", "entry", "feed", "form", "grid", "group", "head", "heading", "icons", "inner", "item", "items", "label", "left", "link", "links", "list", "main", "media", "message", "outer", "panel", "policy", "posts", "region", "right", "row", "section", "slot", "space", "stories", "thread", "title", "top", "unit", "wrap", "wrapper"}
 
 
 def _words(value: str) -> set[str]:
+    """What the class tokens (or the id) name: their last word, and the others where the last one is a mere part."""
     found: set[str] = set()
     for name in value.split():
-        words = [w.lower() for w in WORDS.findall(name)]
+        words = [w.lower() for w in WORDS.findall(name) if not w.isdigit()]
         if words and words[0] not in STATES:
-            found.update(words)
+            while len(words) > 1 and words[-1] in PARTS:
+                words.pop()
+            found.add(words[-1])
     return found
 
 
@@ -129,7 +136,9 @@ def lines(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     runs: list[str] = []
     stack: list[tuple[str, int]] = []  # open containers and the zone outside each
-    zone, at = OPEN, 0
+    zone, at, last = OPEN, 0, page.rfind(">")
+    opened: dict[str, int] = {}  # how many of each name are in the stack
+    endless: set[str] = set()  # raw elements that no end follows any more
 
     def close() -> None:
         if runs:
@@ -142,9 +151,10 @@ def lines(page: str) -> list[tuple[int, str]]:
             runs.append(entities.unescape(text) if "&" in text else text)
 
     while True:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at) if at <= last else None
         if m is None:
-            take(page[at:])
+            rest = LAST.search(page, at)
+            take(page[at : rest.start() if rest else len(page)])
             close()
             return _settled(out)
         take(page[at : m.start()])
@@ -156,20 +166,26 @@ def lines(page: str) -> list[tuple[int, str]]:
         if m.group("close") or m.group("close2"):
             if name in BLOCKS:
                 close()
-            if name in CONTAINERS and any(x == name for x, _ in stack):
+            if name in CONTAINERS and opened.get(name):
                 if name in ("p", "span", "li") and stack[-1][0] != name:
                     continue  # a stray end inside another container ends nothing
                 while stack:
-                    top, zone_outside = stack.pop()
-                    zone = zone_outside
+                    top, zone = stack.pop()
+                    opened[top] -= 1
                     if top == name:
                         break
             continue
         rest = m.group("rest") or m.group("rest2") or ""
         if name in RAW:
-            if not rest.endswith("/"):
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+            if name == "svg" and rest.endswith("/") or name in endless:
+                continue
+            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif name in ("script", "style"):
+                at = len(page)
+            else:  # an embedded element that is never closed is no more than its tag
+                endless.add(name)
             continue
         if name in SPACED:
             if runs:
@@ -181,9 +197,11 @@ def lines(page: str) -> list[tuple[int, str]]:
             if name in ("p", "li"):  # the next one ends an open one
                 while stack and stack[-1][0] == name:
                     zone = stack.pop()[1]
+                    opened[name] -= 1
             inside = _inside(zone, name, rest)
             if name not in ("p", "li", "span") or inside != zone:
                 stack.append((name, zone))
+                opened[name] = opened.get(name, 0) + 1
             zone = inside
 
 
