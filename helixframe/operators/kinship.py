@@ -15,6 +15,8 @@ from . import packed
 from .genotype import UNIT
 
 CUTOFF = 0.0442
+#: Pairs of the largest family that is one group, and rounds of drops before families are looked for again.
+FAMILY_PAIRS, ROUNDS = 100_000, 8
 #: Sites of one partial table.
 SITE_BLOCK = 20_000
 #: Numbers of individuals of one block, in whole longs.
@@ -90,13 +92,48 @@ def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) ->
     """Samples that stay when the most-related one is dropped until no pair exceeds the cut-off.
 
     Ties go to the smaller id. Families, the connected components of pairs above the cut-off, do not
-    affect each other, so each is a group of its own.
+    affect each other: a family of at most FAMILY_PAIRS pairs is a group of its own. Of larger ones, all samples that come
+    first within two steps of themselves are dropped at once, in ROUNDS rounds, until what is left falls into small
+    families. That is the order of one by one: nobody within two steps of such a sample can be dropped before it, so
+    until it is dropped neither its own count of relatives nor its relatives' counts change.
     """
     samples = both_ways(pairs).select(*keys, F.col("sample1").alias("sample")).distinct()
-    close = cut(pairs.where(F.col("kinship") > cutoff).select(*keys, "sample1", "sample2"))
-    family = families(close, keys)
-    grouped = close.join(family.withColumnRenamed("sample", "sample1"), [*keys, "sample1"])
+    close = cut(pairs.where(F.col("kinship") > cutoff).select(*keys, "sample1", "sample2").distinct())
+    dropped, kinds = [], {f.name: f.dataType.simpleString() for f in pairs.schema}
+    while True:
+        grouped = close.join(families(close, keys).withColumnRenamed("sample", "sample1"), [*keys, "sample1"])
+        sizes = grouped.groupBy(*keys, "family").count()
+        sized = cut(grouped.join(sizes, [*keys, "family"]))
+        small = sized.where(F.col("count") <= FAMILY_PAIRS)
+        dropped.append(small.groupBy(*keys, "family").applyInPandas(_dropper(keys), ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"])))
+        close = cut(sized.where(F.col("count") > FAMILY_PAIRS).select(*keys, "sample1", "sample2"))
+        if close.isEmpty():
+            break
+        for _ in range(ROUNDS):
+            first = cut(first_within_two(close, keys))
+            dropped.append(first)
+            for end in ("sample1", "sample2"):
+                close = close.join(first.withColumnRenamed("sample", end), [*keys, end], "left_anti")
+            close = cut(close)
+    gone = dropped[0]
+    for more in dropped[1:]:
+        gone = gone.unionByName(more)
+    return samples.join(gone, [*keys, "sample"], "left_anti")
+
+
+def first_within_two(close: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sample): samples with more relatives, or on ties a smaller id, than all within two steps of them."""
+    ends = F.array(F.struct(F.col("sample1").alias("a"), F.col("sample2").alias("b")), F.struct(F.col("sample2").alias("a"), F.col("sample1").alias("b")))
+    edges = cut(close.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.a", "e.b"))
+    # The order as one value, least first: fewer relatives is larger.
+    rank = edges.groupBy(*keys, "a").agg(F.struct((-F.count("*")).alias("count"), F.first("a").alias("id")).alias("rank"))
+    least = lambda known: edges.join(known.withColumnRenamed("a", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("rank").alias("near"))
+    one = cut(rank.join(least(rank), [*keys, "a"]).select(*keys, "a", "rank", F.least("rank", "near").alias("one")))
+    two = one.join(least(one.select(*keys, "a", F.col("one").alias("rank"))), [*keys, "a"])
+    return two.where((F.col("rank") <= F.col("one")) & (F.col("rank") <= F.col("near"))).select(*keys, F.col("a").alias("sample"))
+
 
+def _dropper(keys: list[str]):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, set[str]] = {}
         for a, b in zip(frame["sample1"], frame["sample2"]):
@@ -115,9 +152,7 @@ def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) ->
             gone.append(worst)
         return pd.DataFrame({**{k: frame[k].iloc[0] for k in keys}, "sample": gone})
 
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    dropped = grouped.groupBy(*keys, "family").applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"]))
-    return samples.join(dropped, [*keys, "sample"], "left_anti")
+    return run
 
 
 def families(close: DataFrame, keys: list[str]) -> DataFrame:

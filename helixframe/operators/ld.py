@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalar import divide, folded
+from ..sources.checkpoints import cut
 from . import packed
 from .genotype import SITE, UNIT
 
@@ -125,39 +128,70 @@ def _correlated(frame: pd.DataFrame, r2: float) -> pd.DataFrame:
     return pd.DataFrame({"rep": first["rep"], "chrom": first["chrom"], "a": place[i[keep]], "b": place[j[keep]]})
 
 
+def _swept(row: dict, block: int, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which sites of a block stay, and which of the window behind it are left so far, given which of its first ones earlier blocks left."""
+    minor, near = row["minor"], row["near"]
+    alive = np.ones(max(len(minor), block + window), dtype=bool)
+    alive[:window] = np.frombuffer(row["frontier"], dtype=bool)
+    for at in range(0, block, step):
+        for i in range(at, min(at + window, len(minor))):
+            for j in near[i] or ():
+                if not alive[i]:
+                    break
+                if j < at + window and alive[j]:
+                    alive[i if minor[i] < minor[j] else j] = False
+    return alive[: min(block, row["own"])], alive[block : block + window]
+
+
+def _sweep(blocks: DataFrame, frontier: DataFrame, block: int, window: int, step: int) -> DataFrame:
+    """(rep, chrom, block, kept, ahead): the sites that each block keeps, and the frontier of the one behind it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                alive, ahead = _swept(row, block, window, step)
+                kept = [{"site_id": s, "position": p} for s, p, a in zip(row["site_id"], row["position"], alive.tolist()) if a]
+                kind = pa.list_(pa.struct([("site_id", pa.int32()), ("position", pa.float64())]))
+                yield pa.RecordBatch.from_arrays([pa.array([row["rep"]], pa.int32()), pa.array([row["chrom"]]), pa.array([row["block"]], pa.int64()), pa.array([kept], kind), pa.array([ahead.tobytes()], pa.binary())], ["rep", "chrom", "block", "kept", "ahead"])
+
+    return blocks.join(frontier, [*UNIT, "block"]).mapInArrow(run, "rep int, chrom string, block long, kept array<struct<site_id:int,position:double>>, ahead binary")
+
+
 def prune(sites: DataFrame, window: int = 50, step: int = 10, r2: float = 0.1) -> DataFrame:
     """Sites (rep, chrom, site_id, position) left by sliding-window pruning of each chromosome: of a pair above the threshold
     the one with the lower minor-allele frequency goes, on ties the later one.
 
     ``sites`` has one row for each site, with the dosages of all samples in one order. Correlations are made in blocks
-    of sites, each with the window that follows it, in tasks of their own. Only the pass over the places and the
-    pairs above the threshold, a few numbers for each site, depends on what earlier windows dropped and is one group
-    for each chromosome.
+    of sites, each with the window that follows it, in tasks of their own. What a window drops depends on earlier
+    windows, but only on what they left of its own sites: a block is swept from its frontier, the sites of its first window that the
+    block before it left. All blocks are swept at once, from frontiers as they are known, and swept again while any frontier
+    changes; a block's is right once that of the one before is, so what no longer changes is the one pass in order. Few
+    rounds are needed, as what is dropped seldom matters a window further. Only the numbering of sites by
+    position, a few numbers each, is one window for each chromosome.
     """
     x = F.transform("dosage", lambda v: v.cast("double"))
     p = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / (2 * F.size("dosage"))
-    numbered = sites.withColumn("minor", folded(p)).withColumn("place", F.row_number().over(W.partitionBy(*UNIT).orderBy("position", "site_id")) - 1)
-    block = F.floor(F.col("place") / BLOCK)
+    block = -(-max(BLOCK, window) // step) * step
+    placed = sites.select(*UNIT, "site_id", "position").withColumn("place", (F.row_number().over(W.partitionBy(*UNIT).orderBy("position", "site_id")) - 1).cast("long"))
+    numbered = sites.withColumn("minor", folded(p)).join(placed, [*UNIT, "site_id", "position"])
+    own = F.expr(f"place DIV {block}")
     # A site belongs to its block and, within a window of its start, to the one before.
-    copies = F.array(F.struct(block.alias("block"), F.lit(True).alias("own")), F.struct((block - 1).alias("block"), F.lit(False).alias("own")))
-    near = F.filter(copies, lambda c: c["own"] | ((c["block"] >= 0) & (F.col("place") - block * BLOCK < window)))
+    copies = F.array(F.struct(own.alias("block"), F.lit(True).alias("own")), F.struct((own - 1).alias("block"), F.lit(False).alias("own")))
+    near = F.filter(copies, lambda c: c["own"] | ((c["block"] >= 0) & (F.col("place") - own * block < window)))
     dealt = numbered.select(*UNIT, "place", "dosage", F.explode(near).alias("c")).select(*UNIT, "place", "dosage", "c.block", "c.own")
     pairs = dealt.groupBy(*UNIT, "block").applyInPandas(lambda f: _correlated(f, r2), "rep int, chrom string, a long, b long").where(F.col("b") - F.col("a") < window)
-    listed = pairs.groupBy(*UNIT, F.col("a").cast("int").alias("place")).agg(F.collect_list("b").alias("near"))
-    rows = numbered.select(*UNIT, "site_id", "position", "minor", "place").join(listed, [*UNIT, "place"], "left")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place").reset_index(drop=True)
-        minor, n = frame["minor"].to_numpy(), len(frame)
-        near = [() if x is None else sorted(int(v) for v in x) for x in frame["near"]]
-        alive = np.ones(n, dtype=bool)
-        for at in range(0, max(n - 1, 1), step):
-            for i in range(at, min(at + window, n)):
-                for j in near[i]:
-                    if not alive[i]:
-                        break
-                    if j < at + window and alive[j]:
-                        alive[i if minor[i] < minor[j] else j] = False
-        return frame.loc[alive, ["rep", "chrom", "site_id", "position"]]
-
-    return rows.groupBy(*UNIT).applyInPandas(run, "rep int, chrom string, site_id int, position double")
+    listed = pairs.groupBy(*UNIT, F.col("a").alias("place")).agg(F.sort_array(F.collect_list("b")).alias("near"))
+    rows = numbered.drop("dosage").join(listed, [*UNIT, "place"], "left").select(*UNIT, "place", "site_id", "position", "minor", "near", F.explode(near).alias("c"))
+    local = rows.select(*UNIT, "c.block", F.struct((F.col("place") - F.col("c.block") * block).alias("place"), "site_id", "position", "minor", F.transform("near", lambda j: j - F.col("c.block") * block).alias("near"), F.col("c.own").alias("own")).alias("s"))
+    held = local.groupBy(*UNIT, "block").agg(F.array_sort(F.collect_list("s")).alias("s"))
+    names = ["site_id", "position", "minor", "near"]
+    blocks = cut(held.select(*UNIT, "block", *[F.col(f"s.{n}").alias(n) for n in names], F.size(F.filter("s", lambda s: s["own"])).alias("own")))
+    none = F.lit(bytearray(b"\x01" * window))
+    frontier = cut(blocks.select(*UNIT, "block", none.alias("frontier")))
+    while True:
+        swept = cut(_sweep(blocks, frontier, block, window, step))
+        ahead = swept.select(*UNIT, (F.col("block") + 1).alias("block"), "ahead")
+        following = cut(frontier.join(ahead, [*UNIT, "block"], "left").select(*UNIT, "block", F.col("frontier").alias("before"), F.coalesce("ahead", none).alias("frontier")))
+        if following.where("before <> frontier").isEmpty():
+            return swept.select(*UNIT, F.explode("kept").alias("k")).select(*UNIT, "k.site_id", "k.position")
+        frontier = following.drop("before")

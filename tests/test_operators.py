@@ -111,11 +111,36 @@ def test_pruning_in_blocks_equals_one_pass(spark, monkeypatch):
                         alive[i if minor[i] < minor[j] else j] = False
         return {(rep, s) for rep in (1, 2) for s in range(n) if alive[s]}
 
-    for block in (25, 512):
+    for block in (20, 25, 512):
         monkeypatch.setattr(ld, "BLOCK", block)
         assert {(x.rep, x.site_id) for x in ld.prune(df, window=20, step=7, r2=0.3).collect()} == plain(20, 7, 0.3)
 
 
+def test_large_families_drop_as_one_by_one(spark, monkeypatch):
+    r = random.Random(12)
+    rows = [(1, "A", f"s{a:03}", f"s{b:03}", 0.2) for a in range(30) for b in range(a) if r.random() < 0.12]
+    rows += [(2, "A", "hub", f"t{i:02}", 0.3) for i in range(9)] + [(2, "A", f"t{i:02}", f"t{i + 1:02}", 0.3) for i in range(8)]
+    pairs = spark.createDataFrame(rows, "rep int, pop string, sample1 string, sample2 string, kinship double")
+    want = set()
+    for rep in (1, 2):
+        near = {}
+        for k, _, a, b, _ in rows:
+            if k == rep:
+                near.setdefault(a, set()).add(b)
+                near.setdefault(b, set()).add(a)
+        everyone = set(near)
+        while any(near.values()):
+            worst = min(near, key=lambda x: (-len(near[x]), x))
+            for other in near.pop(worst):
+                near[other].discard(worst)
+            everyone.discard(worst)
+        want |= {(rep, x) for x in everyone}
+    for most in (100_000, 12):
+        monkeypatch.setattr(kinship, "FAMILY_PAIRS", most)
+        monkeypatch.setattr(kinship, "ROUNDS", 6)
+        assert {(x.rep, x["sample"]) for x in kinship.unrelated_set(pairs, ["rep", "pop"]).collect()} == want
+
+
 def test_king_tiles_equal_one_matrix(spark, monkeypatch):
     r = random.Random(8)
     rows = [(1, "1", "A", s, float(s), 3 * i, h, r.randrange(2)) for s in range(9) for i in range(7) for h in (1, 2)]
