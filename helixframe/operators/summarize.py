@@ -13,13 +13,25 @@ from ..sources.checkpoints import cut
 
 #: Edges of the bins in which values are ranked.
 EDGES = 63
+#: Rows of a group of which one task may hold the counted values; the quantiles of larger ones are found by ranks in bins.
+GROUP_ROWS = 1_000_000
+
+
+def small_groups(rows: DataFrame, by: Sequence[str]) -> bool:
+    """Whether no group has over GROUP_ROWS rows, from their counts alone."""
+    return (rows.groupBy(*by).count().agg(F.max("count")).first()[0] or 0) <= GROUP_ROWS
 
 
 def mean_sd(rows: DataFrame, by: Sequence[str], value: str, with_median: bool = False, bands: float | None = None, floor: float | None = None) -> DataFrame:
     """Mean and sample deviation (null for one row), optionally the median and mean +- ``bands`` deviations."""
     x = finite(value)
     aggregates = [F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.count(x).alias("n")]
-    out = rows.groupBy(*by).agg(*aggregates, *([F.median(x).alias("median")] if with_median else []))
+    whole = with_median and small_groups(rows, by)
+    out = rows.groupBy(*by).agg(*aggregates, *([F.median(x).alias("median")] if whole else []))
+    if with_median and not whole:
+        middle = ranked_quantiles(ranked(rows, by, value), by, value, {"median": 0.5}).withColumnsRenamed({c: f"_{c}" for c in by})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]
+        out = out.join(middle, same, "left").drop(*[f"_{c}" for c in by])
     if bands is not None:
         low = F.col("mean") - bands * F.col("sd")
         out = out.withColumn("low", low if floor is None else clamp_low(low, floor)).withColumn("high", F.col("mean") + bands * F.col("sd"))
@@ -46,7 +58,20 @@ def ranked(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return within.join(starts, [*by, "_bin"]).select(*by, F.col("_v").alias(value), "n", (F.col("_start") + F.col("_inside")).alias("before"), "total")
 
 
-def quantiles(places: DataFrame, by: Sequence[str], value: str, at: dict[str, float], *others: Column) -> DataFrame:
+def quantiles(rows: DataFrame, by: Sequence[str], value: str, at: dict[str, float], *others: Column) -> DataFrame:
+    """Exact quantiles of each group's finite values by name, interpolated between neighbouring ranks, and other aggregates of the rows.
+
+    A group's values are counted in one partial aggregation; where a group is too large for that, its values are ranked in bins.
+    """
+    fine = rows.where(finite(value).isNotNull())
+    if small_groups(fine, by):
+        found = fine.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in at.values()])).alias("_q"), *others)
+        return found.select(*by, *[F.col("_q")[i].alias(name) for i, name in enumerate(at)], *[x for x in found.columns if x not in by and x != "_q"])
+    ranks = ranked_quantiles(ranked(rows, by, value), by, value, at)
+    return ranks.join(fine.groupBy(*by).agg(*others), list(by)) if others else ranks
+
+
+def ranked_quantiles(places: DataFrame, by: Sequence[str], value: str, at: dict[str, float], *others: Column) -> DataFrame:
     """Exact quantiles of ``ranked`` rows by name, interpolated between neighbouring ranks, and other aggregates of those rows."""
     held = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
     parts, out = [], []
@@ -61,7 +86,7 @@ def quantiles(places: DataFrame, by: Sequence[str], value: str, at: dict[str, fl
 def median_of_means(rows: DataFrame, within: Sequence[str], by: Sequence[str], value: str) -> DataFrame:
     """Exact medians over ``by`` of each inner group's mean and deviation."""
     inner = mean_sd(rows, [*within], value).unpivot(list(by), ["mean", "sd"], "_what", "_x")
-    middle = quantiles(ranked(inner, [*by, "_what"], "_x"), [*by, "_what"], "_x", {"median": 0.5})  # both in one pass
+    middle = quantiles(inner, [*by, "_what"], "_x", {"median": 0.5})  # both in one pass
     of = lambda x: F.max(F.when(F.col("_what") == x, F.col("median"))).alias(f"median_{x}")
     return middle.groupBy(*by).agg(of("mean"), of("sd"))
 
@@ -104,8 +129,7 @@ QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 def box(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Exact quartiles and the whiskers: the outermost values within 1.5 interquartile ranges."""
-    places = ranked(rows, by, value)
-    joined = places.join(quantiles(places, by, value, QUARTILES), list(by))
+    joined = rows.where(finite(value).isNotNull()).join(quantiles(rows, by, value, QUARTILES), list(by))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     x = c(value)
     return joined.groupBy(*by, *QUARTILES).agg(F.min(F.when(x >= F.col("q1") - reach, x)).alias("low"), F.max(F.when(x <= F.col("q3") + reach, x)).alias("high"))
@@ -113,8 +137,7 @@ def box(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def five_numbers(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Least, quartiles, mean and largest of each group's finite values."""
-    mean = (F.sum(F.col(value) * F.col("n")) / F.sum("n")).alias("mean")
-    return quantiles(ranked(rows, by, value), by, value, QUARTILES, F.min(value).alias("min"), mean, F.max(value).alias("max")).select(*by, "min", "q1", "median", "mean", "q3", "max")
+    return quantiles(rows, by, value, QUARTILES, F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max")).select(*by, "min", "q1", "median", "mean", "q3", "max")
 
 
 def ecdf(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -128,7 +151,7 @@ def density(rows: DataFrame, by: Sequence[str], value: str, low: float, high: fl
     Equal values are counted first, so the grid meets distinct values, not rows.
     """
     counts = rows.groupBy(*by, value).agg(F.count("*").alias("w"))
-    width = quantiles(ranked(rows, by, value), by, value, {"q1": 0.25, "q3": 0.75}).select(*by, (F.col("q3") - F.col("q1")).alias("iqr"))
+    width = quantiles(rows, by, value, {"q1": 0.25, "q3": 0.75}).select(*by, (F.col("q3") - F.col("q1")).alias("iqr"))
     spread = rows.groupBy(*by).agg(F.stddev_samp(value).alias("sd"), F.count("*").alias("n")).join(width, list(by), "left")
     narrow = F.when(F.col("iqr") > 0, F.least(F.col("sd"), F.col("iqr") / 1.34)).otherwise(F.col("sd"))
     bandwidth = spread.select(*by, "n", (F.lit(0.9) * narrow * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bw"))

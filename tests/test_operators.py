@@ -293,11 +293,15 @@ def test_quantiles_and_ranks_are_exact_whatever_the_bins(spark, monkeypatch, edg
     df = spark.createDataFrame(rows, "g string, x double")
     places = {(p.g, p.x): (p.n, p.before, p.total) for p in summarize.ranked(df, ["g"], "x").collect()}
     assert places == {(g, v): (values.count(v), sum(y < v for y in values), len(values)) for g, values in groups.items() for v in values}
-    got = {x.g: (x.min, x.q1, x.median, x.mean, x.q3, x.max) for x in summarize.five_numbers(df, ["g"], "x").collect()}
-    for g, values in groups.items():
-        q = np.quantile(values, [0.25, 0.5, 0.75])
-        assert got[g] == pytest.approx((min(values), q[0], q[1], np.mean(values), q[2], max(values)))
-    assert "e" not in got
+    for most in (1_000_000, 50):  # counted values of a group in one task, or ranks in bins
+        monkeypatch.setattr(summarize, "GROUP_ROWS", most)
+        got = {x.g: (x.min, x.q1, x.median, x.mean, x.q3, x.max) for x in summarize.five_numbers(df, ["g"], "x").collect()}
+        for g, values in groups.items():
+            q = np.quantile(values, [0.25, 0.5, 0.75])
+            assert got[g] == pytest.approx((min(values), q[0], q[1], np.mean(values), q[2], max(values)))
+        assert "e" not in got
+        middle = {x.g: (x.n, x.median) for x in summarize.mean_sd(df, ["g"], "x", with_median=True).collect()}
+        assert middle == {g: (len(v), pytest.approx(np.median(v))) for g, v in groups.items()} | {"e": (0, None)}
 
 
 def test_places_on_a_global_axis(spark):
