@@ -118,7 +118,7 @@ def write_vcf(variants: DataFrame, samples: Sequence[str], path: str, zero_based
     """
     position = (F.col("position") + (1 if zero_based else 0)).cast("long")
     dot = lambda c: F.coalesce(F.col(c), F.lit("."))
-    lines = variants.select(F.lit(1).alias("_part"), F.col("chrom").alias("_chrom"), position.alias("_at"), F.concat_ws("\t", "chrom", position.cast("string"), dot("id"), "ref", "alt", F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("genotypes", "\t")).alias("value"))
+    lines = variants.select(F.lit(1).alias("_part"), F.col("chrom").alias("_chrom"), position.alias("_at"), F.concat_ws("\t", "chrom", position.cast("string"), dot("id"), dot("ref"), dot("alt"), F.lit("."), F.lit("PASS"), F.lit("."), F.lit("GT"), F.array_join("genotypes", "\t")).alias("value"))
     head = ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *samples])]
     top = variants.sparkSession.createDataFrame([(0, "", i, x) for i, x in enumerate(head)], "_part int, _chrom string, _at long, value string")
     top.unionByName(lines).orderBy("_part", F.length("_chrom"), "_chrom", "_at").select("value").write.mode("overwrite").text(path)
