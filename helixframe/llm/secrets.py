@@ -5,7 +5,7 @@ for each (blob, rule version) pair that was ever scanned. A run scans only the p
 appends them, and joins the findings of all blobs back to every path that holds them.
 
 Defined cases: null content is empty text, and empty text has no findings. Repeated rows and
-copies share one blob, which is scanned once; each path still gets its findings. An empty table
+copies share one blob, which is scanned where its first holder's rows are; each path still gets its findings. An empty table
 gives an empty ledger and no findings. A null path keeps its row. Columns other than the named
 ones are ignored, so their names cannot clash. Offsets count code points; ends are exclusive.
 """
@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Findings of a blob are joined back to its paths in so many shares.
@@ -127,6 +128,25 @@ def findings(history: DataFrame, path: str, version: str, content: str, ledger:
     return back.select("path", "version", "blob", *[F.coalesce(k, F.expr(f"CAST(array() AS {SPAN})")).alias(k) for k in kinds])
 
 
+def read_ledger(spark: SparkSession, at: str) -> DataFrame | None:
+    """The ledger stored at a path, or None before the first run."""
+    try:
+        return spark.read.parquet(at)
+    except AnalysisException:
+        return None
+
+
+def run(history: DataFrame, path: str, version: str, content: str, at: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One run against the ledger stored at ``at``: what it lacks is scanned and appended, and all versions' findings are joined back from it.
+
+    A run that ends before its rows are appended leaves the ledger as it was; pairs that two runs appended at once count once.
+    """
+    spark = history.sparkSession
+    fresh = ledger_rows(scan(history, path, version, content, read_ledger(spark, at), rules), rules)
+    fresh.write.mode("append").parquet(at)
+    return findings(history, path, version, content, spark.read.parquet(at), rules)
+
+
 def listed(kinds: list[str]) -> F.Column:
     """kind:start:end of all spans by start, then kind as listed, comma-joined."""
     ordered = F.array_sort(F.concat(*[F.col(k) for k in kinds]))
