@@ -50,10 +50,12 @@ GROWTH = 0.023175
 LONGEST_FIRST = 7
 # What the epochs are called in output tables.
 EPOCH_LABELS = {1: "Epoch 1: Import-influenced sex proportions", 2: "Epoch 2: WF 'Inbreeding Nb'", 3: "Epoch 3: Modern exponential growth"}
-# The published African and European history; years before the present, sizes and growth by generation.
-T_AF, T_OOA, T_EU0, T_EG = 148_000, 51_000, 23_000, 5_115
-R_EU0, R_EU, R_AFR = 0.00307, 0.0195, 0.0166
-N_A, N_AFR1, N_B, N_EU0 = 7310.0, 14_474.0, 1861.0, 1032.0
+# The published histories of both sources, oldest first: years before the present in which a stretch began, the
+# size then (None: what the one before came to), and growth by generation.
+HISTORIES = {
+    "afr": ((148_000, 7310.0, 0.0), (51_000, 14_474.0, 0.0), (5_115, None, 0.0166)),
+    "eur": ((51_000, 1861.0, 0.0), (23_000, 1032.0, 0.00307), (5_115, None, 0.0195)),
+}
 #: Share of the first epoch's non-European part that is new, by generation.
 FIRST_SHARES = (1, 0.9835, 0.8602, 0.8551, 0.7826, 0.5380, 0.1418)
 
@@ -184,13 +186,20 @@ def validate(ne: DataFrame, shared: DataFrame, shares: DataFrame, epochs: Epochs
     return ne
 
 
+def stretches(history: tuple[tuple[float, float | None, float], ...], generation: int = GENERATION) -> list[tuple[float, float, float]]:
+    """What ``piecewise`` takes, nearest first, of a history told from its beginning: each stretch grows to where the next one begins."""
+    found, size = [], 0.0
+    for (began, given, growth), until in zip(history, [*(h[0] for h in history[1:]), 0]):
+        size = (size if given is None else given) * math.exp(growth * (began - until) / generation)
+        found.insert(0, (began / generation, size, growth))
+    return found
+
+
 def source_sizes(years: DataFrame) -> DataFrame:
-    """``years`` (year) with the African and European sizes ``afr`` and ``eur``; null before their histories begin."""
-    ago = lambda t: t / GENERATION
-    eu1 = N_EU0 / math.exp(-R_EU0 * (ago(T_EU0) - ago(T_EG)))
-    afr = [(ago(T_EG), N_AFR1 / math.exp(-R_AFR * ago(T_EG)), R_AFR), (ago(T_OOA), N_AFR1, 0.0), (ago(T_AF), N_A, 0.0)]
-    eur = [(ago(T_EG), eu1 / math.exp(-R_EU * ago(T_EG)), R_EU), (ago(T_EU0), eu1, R_EU0), (ago(T_OOA), N_B, 0.0)]
-    return piecewise(piecewise(years, afr).withColumnRenamed("ne", "afr"), eur).withColumnRenamed("ne", "eur")
+    """``years`` (year) with the size of each source; null before its history begins."""
+    for name, history in HISTORIES.items():
+        years = piecewise(years, stretches(history)).withColumnRenamed("ne", name)
+    return years
 
 
 def combined(spark: SparkSession, epochs: Epochs = Epochs()) -> DataFrame:
