@@ -55,9 +55,9 @@ def king_partials(calls: DataFrame) -> DataFrame:
     individuals over one block of sites, where both have a call, and the populations' tiles at one place share a task's group.
     """
     width = max(1, IND_BLOCK // packed.PER_WORD)  # longs of a block
-    coded = packed.words(calls).select(*UNIT, "pop", "site_id", F.expr(f"CAST(word DIV {width} AS INT)").alias("own"), "word", "bits")
+    coded = cut(packed.words(calls)).select(*UNIT, "pop", "site_id", F.expr(f"CAST(word DIV {width} AS INT)").alias("own"), "word", "bits")
     placed = coded.groupBy(*UNIT, "pop", "site_id", "own").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("codes"))
-    last = calls.groupBy(*UNIT, "pop").agg(F.expr(f"CAST(max(ind) DIV {packed.PER_WORD * width} AS INT)").alias("last"))
+    last = coded.groupBy(*UNIT, "pop").agg(F.max("own").alias("last"))
     partner = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     dealt = placed.join(last, [*UNIT, "pop"]).select(*UNIT, "pop", "site_id", "codes", "own", partner)
     tiles = dealt.select(*UNIT, "pop", "site_id", "codes", F.floor(F.col("site_id") / SITE_BLOCK).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))

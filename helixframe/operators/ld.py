@@ -83,7 +83,7 @@ def decay(calls: DataFrame, spans: DataFrame, window_bp: int = WINDOW_BP, bin_bp
         sites = sites.withColumn("maf", folded(F.sum("n_alt").over(site) / F.sum("n_called").over(site))).where(F.col("maf") >= maf)
     keys = [*UNIT, "pop", "window_start"]
     placed = sites.withColumn("window_start", (F.floor(F.col("position") / window_bp) * window_bp).cast("long")).select(*keys, "site_id", "position", "codes")
-    dealt = dealt_tiles(placed, keys, BLOCK)
+    dealt = dealt_tiles(cut(placed), keys, BLOCK)  # packed rows are counted and dealt; the calls are read once
     several = F.col("blocks") > 1
     place = F.when(several, F.col("window_start")).otherwise(F.floor(F.col("window_start") / (window_bp * WINDOWS_PER_GROUP)).cast("long")).alias("place")
 
