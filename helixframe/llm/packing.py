@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import functools
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,17 +39,30 @@ GROUP_PIECES, SPAN = 2048, 256
 #: Remainders are cut to this, so that a window has several and their sums come out even.
 CUT = 512
 END_ID = 1
-#: Longer words are not kept for reuse, and so many words are kept at most.
-KEPT_CHARS, KEPT_WORDS = 48, 400_000
-BATCH_CHARS = 2 << 20
+#: Longer parts of words are not kept for reuse; of more than so many parts, the half used last is kept.
+KEPT_CHARS, KEPT_PARTS = 48, 1_000_000
+BATCH_CHARS = 8 << 20
 #: Longer texts are encoded in segments of about this.
 SEGMENT_CHARS = 1 << 20
-#: Words that are one run of letters after any normalisation.
-PLAIN = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u00ff]{1,48}\Z")
+#: Words that are one run of letters after any normalisation, within ASCII marks in which no contraction or special token begins.
+LETTERS, MARKS = r"[a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+", r"[!-&(-/:;=-@\[-`{-~]*"
+PLAIN, PARTED = f"^{LETTERS}$", f"^(?P<before>{MARKS})(?P<letters>{LETTERS})(?P<after>{MARKS})$"
+#: Words that are encoded in one text, and in one call.
+RUN_WORDS, CALL_WORDS = 500, 20_000
+
+
+def binary(ids: np.ndarray, lengths: np.ndarray) -> pa.LargeBinaryArray:
+    """One value of so many ids for each length."""
+    ends = np.zeros(len(lengths) + 1, dtype=np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(4 * ends), pa.py_buffer(ids)])
 
 
 class WordIds:
-    """Token ids by white-space word: the tokenizer never joins across white space, so words are encoded once."""
+    """Token ids by parts of white-space words: the tokenizer never joins across white space, nor letters with marks.
+
+    Each distinct part of a batch is looked up once, and encoded if it is not among the parts used of late.
+    """
 
     def __init__(self, path: str) -> None:
         import os
@@ -61,67 +74,82 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {"": b""}
-        self.marks = {c: self._ids(c) for c in ".,"}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.parts, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.turn = np.zeros(0, dtype=np.int64), 0
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """White-space words, with A-Z lower as the tokenizer makes them; texts with special tokens stay as they are."""
+    def spaced(text: str) -> str:
+        """Words between single spaces, with A-Z lower as the tokenizer makes them; texts with special tokens keep their case."""
         if "<|" not in text:
             text = text.lower() if text.isascii() else text.encode().lower().decode()
         for space in "\n\r\t":
             text = text.replace(space, " ")
-        return text.split(" ")
-
-    def _plain(self, words: list[str], known: dict[str, bytes]) -> None:
-        """Words of Latin letters alone, each of which ends with one word-ending id."""
-        for at in range(0, len(words), 20_000):
-            runs = [words[i : i + 500] for i in range(at, min(at + 20_000, len(words)), 500)]
-            for run, found in zip(runs, self.tokenizer.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False)):
-                ids = np.array(found.ids, dtype="<u4")
-                cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-                if len(cuts) != len(run):
-                    known.update((w, self._ids(w)) for w in run)
-                    continue
-                raw, begin = ids.tobytes(), 0
-                for word, end in zip(run, cuts.tolist()):
-                    known[word] = raw[begin:end]
-                    begin = end
-
-    def _learn(self, new: set[str]) -> dict[str, bytes]:
-        """Ids of new words; those that are not kept are returned."""
-        passing: dict[str, bytes] = {}
-        stems, marked = set(), []
-        for word in new:
-            if PLAIN.match(word):
-                stems.add(word)
-            elif word[-1] in self.marks and PLAIN.match(word[:-1]):  # a mark after letters is a token of its own
-                marked.append(word)
-                if word[:-1] not in self.known:
-                    stems.add(word[:-1])
-            else:
-                (self.known if len(word) <= KEPT_CHARS else passing)[word] = self._ids(word)
-        self._plain(list(stems), self.known)
-        for word in marked:
-            self.known[word] = self.known[word[:-1]] + self.marks[word[-1]]
-        return passing
+        return text
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype="<u4") for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _single(self, parts: pa.LargeStringArray) -> list[pa.LargeBinaryArray]:
+        """Ids of parts of any kind."""
+        calls = [self._encode(parts[at : at + CALL_WORDS].to_pylist()) for at in range(0, len(parts), CALL_WORDS)]
+        return [binary(np.concatenate(ids), np.array([len(x) for x in ids])) for ids in calls]
+
+    def _plain(self, parts: pa.LargeStringArray) -> list[pa.LargeBinaryArray]:
+        """Ids of runs of Latin letters, each of which ends with one word-ending id."""
+        found = []
+        for at in range(0, len(parts), CALL_WORDS):
+            call = parts[at : at + CALL_WORDS]
+            runs = [call[i : i + RUN_WORDS] for i in range(0, len(call), RUN_WORDS)]
+            for run, ids in zip(runs, self._encode([" ".join(run.to_numpy(zero_copy_only=False)) for run in runs])):
+                cuts = np.flatnonzero(self.ends[ids]) + 1
+                found += [binary(ids, np.diff(cuts, prepend=0))] if len(cuts) == len(run) else self._single(run)
+        return found
+
+    def _known(self, parts: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct parts."""
+        place = pc.fill_null(pc.index_in(parts, value_set=self.parts), -1).to_numpy().astype(np.int64)
+        new = place < 0
+        if new.any():
+            wanted = parts.filter(pa.array(new))
+            plain = pc.match_substring_regex(wanted, PLAIN)
+            letters, others = wanted.filter(plain), wanted.filter(pc.invert(plain))
+            place[new] = len(self.parts) + np.argsort(np.argsort(~plain.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            self.ids = pa.concat_arrays([self.ids, *self._plain(letters), *self._single(others)])
+            self.parts = pa.concat_arrays([self.parts, letters, others])
+            self.used = np.concatenate([self.used, np.zeros(len(wanted), dtype=np.int64)])
+        self.turn += 1
+        self.used[place] = self.turn
+        found = self.ids.take(pa.array(place))
+        if new.any():
+            self._forget()
+        return found
+
+    def _forget(self) -> None:
+        keep = pc.less_equal(pc.utf8_length(self.parts), KEPT_CHARS).to_numpy(zero_copy_only=False)
+        if len(keep) > KEPT_PARTS:
+            keep[np.argsort(self.used, kind="stable")[: -(KEPT_PARTS // 2)]] = False
+        if not keep.all():
+            self.parts, self.ids, self.used = self.parts.filter(pa.array(keep)), self.ids.filter(pa.array(keep)), self.used[keep]
+
+    def _words(self, words: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of distinct words; one that is not letters within marks is a part of its own."""
+        parted = pc.extract_regex(words, PARTED)
+        before, letters, after = parted.flatten()
+        none = pa.scalar("", pa.large_string())
+        sides = [pc.fill_null(before, none), pc.coalesce(letters, words), pc.fill_null(after, none)]
+        parts = pa.concat_arrays(sides).dictionary_encode()
+        ids, n = self._known(parts.dictionary).take(parts.indices), len(words)
+        return pc.binary_join_element_wise(ids[:n], ids[n : 2 * n], ids[2 * n :], pa.scalar(b"", pa.large_binary()))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each whole text."""
-        split = [self.words(t) for t in texts]
-        if len(self.known) > KEPT_WORDS:
-            self.known = {"": b""}
-        parts = [list(map(self.known.get, words)) for words in split]
-        new: set[str] = set()
-        for words, got in zip(split, parts):
-            if None in got:
-                new.update(w for w, ids in zip(words, got) if ids is None)
-        passing = self._learn(new)
-        found = self.known | passing if passing else self.known
-        return [b"".join([found[w] if ids is None else ids for w, ids in zip(words, got)] if None in got else got) for words, got in zip(split, parts)]
+        split = pc.split_pattern(pa.array([self.spaced(t) for t in texts], pa.large_string()), " ")
+        words = split.values.dictionary_encode()
+        ids = self._words(words.dictionary).take(words.indices)
+        _, places, raw = ids.buffers()
+        ends = np.frombuffer(places, dtype=np.int64)[split.offsets.to_numpy()].tolist()
+        held = memoryview(raw or b"")
+        return [bytes(held[begin:end]) for begin, end in zip(ends, ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)

@@ -200,6 +200,56 @@ def test_long_texts_are_encoded_in_segments(monkeypatch):
     assert b"".join(packing.WordIds(path).encode(parts)) == np.array(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+class CountingTokenizer:
+    """A tokenizer that keeps count of the words it is given."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.words = tokenizer, 0
+
+    def encode(self, text, **options):
+        self.words += len(text.split())
+        return self.tokenizer.encode(text, **options)
+
+    def encode_batch_fast(self, texts, **options):
+        self.words += sum(len(text.split()) for text in texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def word_coder(texts):
+    """A coder that counts, and the ids it has to give."""
+    public = pytest.importorskip("public_tokenizers")
+    coder = packing.WordIds(public.path("word_bpe_49k.json"))
+    whole = [np.array(coder.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    coder.tokenizer = CountingTokenizer(coder.tokenizer)
+    return coder, whole
+
+
+def test_letters_are_encoded_once_whatever_the_marks_around_them():
+    stems = [a + b + c for a in "bdfglmnpr" for b in ("an", "el", "É") for c in "kstz"]
+    texts = [" ".join(f"{before}{stem}{after}" for stem in stems) for before in ("", "(", "$$") for after in ("", ".", "###", ",&&&", "...")]
+    texts.append("don't bank's <bank> bank's### <|endoftext|>Bank İbank e\u0301bank=\u0338 bank2###")
+    coder, whole = word_coder(texts)
+    assert coder.encode(texts[:7]) + coder.encode(texts[7:]) == whole
+    assert coder.tokenizer.words <= len(stems) + 20
+
+
+def test_words_in_use_stay_known_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT_PARTS", 400)
+    letters = "abcdefghij"
+    used = [f"the{a}{b}" for a in letters for b in letters]
+    rare = [[f"{a}rare{b}{c}" for b in letters for c in "klmnopqr"] for a in letters]
+    texts = [" ".join(used + words) for words in rare]
+    coder, whole = word_coder(texts)
+    assert [coder.encode([text])[0] for text in texts] == whole
+    assert coder.tokenizer.words == len(used) + sum(map(len, rare)) and len(coder.parts) <= 400
+
+
+def test_letters_that_end_in_no_word_ending_id_are_encoded_one_by_one():
+    coder, whole = word_coder(["some words (here) and there", ""])
+    coder.ends[:] = False
+    assert coder.encode(["some words (here) and there", ""]) == whole and coder.encode([]) == []
+
+
 def test_packing_covers_every_id_once(spark):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
