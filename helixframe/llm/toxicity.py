@@ -5,8 +5,9 @@ PASSAGE words, and a document's score the soft maximum over its passages, so a f
 Vectors and softmax are fitted together, from random starts, on a bounded sample of labelled rows (FIT_ROWS, the lowest
 hashes of the document id). Every n-gram of the sample takes part; how far a step moves its vector falls with how much of
 the passages it fills. FOLDS fits leave out another fifth of the sample each, which chooses the epoch and is used for
-nothing else, and are averaged. As the softmax is linear in the mean, each n-gram's part of a passage's logit is one
-number, so what is sent to the tasks is one float for each of BUCKETS buckets, whatever the corpus holds. Every
+nothing else, and are averaged. Each fit is a task, which reads the sample's texts one after the other and keeps their
+numbers in scratch files; the driver gets the fitted numbers only. As the softmax is linear in the mean, each n-gram's
+part of a passage's logit is one number, so what is sent to the tasks is one float for each of BUCKETS buckets, whatever the corpus holds. Every
 document is scored on its whole text, in one pass without a shuffle; long texts are scored in parts that end between
 words, whose soft maxima combine.
 
@@ -19,8 +20,10 @@ the fit takes the smallest text. An empty table gives no rows. Other columns are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +45,8 @@ SHARP = 4.0
 #: Fits that are averaged, epochs without gain that end one, and how many texts' worth of passages damp an n-gram's steps.
 FOLDS, PATIENCE, DAMPING = 5, 16, 2000.0
 CHUNK_CHARS = 1 << 20
+#: Numbers of a sample that are taken into memory at once.
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -119,7 +124,7 @@ def in_parts(text: str) -> list[str]:
     return [*parts, text[at:]]
 
 
-def chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: Iterable[str]) -> Iterator[tuple[int, list[str]]]:
     """(place of the first, whole texts) of about CHUNK_CHARS."""
     at, size, held = 0, 0, []
     for i, t in enumerate(texts):
@@ -178,59 +183,125 @@ def passages(text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(begins) - 1, np.flatnonzero(begins)
 
 
+class Scratch:
+    """Numbers of one type in a file of their own, which goes with the object."""
+
+    def __init__(self, dtype: type) -> None:
+        self.dtype, self.size, self.file = np.dtype(dtype), 0, tempfile.TemporaryFile()
+
+    def add(self, values: np.ndarray) -> None:
+        self.file.write(np.asarray(values, dtype=self.dtype).tobytes())
+        self.size += len(values)
+
+    def read(self, begin: int, end: int) -> np.ndarray:
+        self.file.seek(int(begin) * self.dtype.itemsize)
+        return np.frombuffer(self.file.read(int(end - begin) * self.dtype.itemsize), dtype=self.dtype)
+
+
 class Sample:
-    """A sample's passages as means over words, and words as means over n-grams, in flat arrays."""
+    """A sample's passages as means over words, and words as means over n-grams.
 
-    def __init__(self, texts: list[str]) -> None:
-        keys, owners, words, flats, counts = [], [], [], [], []
-        base = 0
-        for at, held in chunks(texts):
-            b = bag(held)
-            if len(b.keys):
-                owners.append(at + b.text_of)
-                words.append(base + b.word_of)
-                keys.append(b.keys)
-                flats.append(b.flat.astype(np.int32))
-                counts.append(np.diff(np.append(b.starts, len(b.flat))))
-                base += len(b.keys)
+    What grows with the texts' length, a row for each word of a passage and each n-gram of a word, is in scratch files and
+    read in blocks; in memory is what there is once for each passage, distinct word or n-gram.
+    """
+
+    def __init__(self, texts: Iterable[str]) -> None:
+        known, number = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)  # words so far, by key
+        none = np.zeros(0, dtype=np.int64)
+        here, owner, owners, sizes, lengths, pairs = np.zeros(BUCKETS, dtype=bool), [], [none], [none], [none], [none]
+        self.word, self.times, self.flat = Scratch(np.int32), Scratch(np.uint8), Scratch(np.int32)  # times: at most PASSAGE
         self.n_passages = 0
-        if not keys:
-            return
-        _, first, same = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-        count = np.concatenate(counts)
-        start = np.cumsum(count) - count
-        self.n_grams = count[first]  # of each distinct word
+
+        def parts() -> Iterator[str]:  # cut as scores cuts them
+            for i, t in enumerate(texts):
+                for p in in_parts(t):
+                    owner.append(i)
+                    yield p
+
+        for at, held in chunks(parts()):
+            b = bag(held)
+            if not len(b.keys):
+                continue
+            place = np.searchsorted(known, b.keys)
+            new = place == len(known)
+            new[~new] = known[place[~new]] != b.keys[~new]
+            numbers = np.zeros(len(b.keys), dtype=np.int64)
+            numbers[~new], numbers[new] = number[place[~new]], len(known) + np.arange(int(new.sum()))
+            known, number = np.insert(known, place[new], b.keys[new]), np.insert(number, place[new], numbers[new])
+            size = np.diff(np.append(b.starts, len(b.flat)))
+            sizes.append(size[new])
+            flat = b.flat[np.repeat(new, size)]
+            here[flat] = True
+            self.flat.add(flat)
+            passage, begins = passages(b.text_of)
+            pair, times = np.unique(passage * len(known) + numbers[b.word_of], return_counts=True)
+            self.word.add(pair % len(known))
+            self.times.add(times)
+            pairs.append(np.bincount(pair // len(known)))
+            lengths.append(np.bincount(passage))
+            owners.append(np.array(owner)[at + b.text_of[begins]])
+            self.n_passages += len(begins)
+        self.text, self.n_grams = np.concatenate(owners), np.concatenate(sizes)  # of each passage, of each distinct word
+        self.lengths, self.edges = np.concatenate(lengths), np.append(0, np.cumsum(np.concatenate(pairs)))  # of each passage: its words, its first pair
         self.starts = np.cumsum(self.n_grams) - self.n_grams
-        flat = np.concatenate(flats)[np.repeat(start[first] - self.starts, self.n_grams) + np.arange(int(self.n_grams.sum()))]
-        self.buckets, self.flat = np.unique(flat, return_inverse=True)
-        self.gram_word = np.repeat(np.arange(len(first), dtype=np.int32), self.n_grams)
-        text_of, word_of = np.concatenate(owners), same[np.concatenate(words)]
-        passage, begins = passages(text_of)
-        self.n_passages, self.text = len(begins), text_of[begins]  # of each passage
-        pair, times = np.unique(passage * len(first) + word_of, return_counts=True)
-        self.passage, self.word = pair // len(first), pair % len(first)
-        self.weight = times / np.bincount(passage)[self.passage]
+        self.buckets, self.place = np.flatnonzero(here), np.cumsum(here) - 1
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(passage, word, share of the passage) in blocks, by passage."""
+        for i in range(0, self.word.size, BLOCK):
+            j = min(i + BLOCK, self.word.size)
+            a, z = np.searchsorted(self.edges, i, side="right") - 1, np.searchsorted(self.edges, j)
+            passage = np.repeat(np.arange(a, z), np.diff(np.clip(self.edges[a : z + 1], i, j)))
+            yield passage, self.word.read(i, j).astype(np.int64), self.times.read(i, j) / self.lengths[passage]
+
+    def grams(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """Words in blocks, and their n-grams one word after the other."""
+        ends = np.append(self.starts, self.flat.size)
+        edges = np.unique(np.append(np.searchsorted(ends, np.arange(0, self.flat.size, BLOCK)), len(self.starts)))
+        for a, z in zip(edges[:-1], edges[1:]):
+            yield slice(a, z), self.place[self.flat.read(ends[a], ends[z])]
 
     def forward(self, vectors: np.ndarray) -> np.ndarray:
         """Passages' averaged vectors."""
-        words = [np.add.reduceat(v[self.flat], self.starts) / self.n_grams for v in vectors]
-        return GAIN * np.stack([np.bincount(self.passage, weights=w[self.word] * self.weight, minlength=self.n_passages) for w in words])
+        words, found = np.zeros((len(vectors), len(self.n_grams))), np.zeros((len(vectors), self.n_passages))
+        for w, flat in self.grams():
+            for word, v in zip(words, vectors):
+                word[w] = np.add.reduceat(v[flat], self.starts[w] - self.starts[w.start]) / self.n_grams[w]
+        for passage, of, weight in self.pairs():
+            first = passage[0]
+            for mean, word in zip(found, words):
+                part = np.bincount(passage - first, weights=word[of] * weight)
+                mean[first : first + len(part)] += part
+        return GAIN * found
+
+    def up(self, words: np.ndarray) -> np.ndarray:
+        """The sums of each n-gram's words' numbers."""
+        found = np.zeros((len(words), len(self.buckets)))
+        for w, flat in self.grams():
+            for total, word in zip(found, words):
+                total += np.bincount(flat, weights=np.repeat(word[w], self.n_grams[w]), minlength=len(total))
+        return found
 
     def backward(self, error: np.ndarray) -> np.ndarray:
         """The gradient of the n-gram vectors, given that of the passages."""
-        found = []
-        for e in GAIN * error:
-            word = np.bincount(self.word, weights=e[self.passage] * self.weight, minlength=len(self.n_grams)) / self.n_grams
-            found.append(np.bincount(self.flat, weights=word[self.gram_word], minlength=len(self.buckets)))
-        return np.stack(found)
+        words, error = np.zeros((len(error), len(self.n_grams))), GAIN * error
+        for passage, of, weight in self.pairs():
+            for word, e in zip(words, error):
+                word += np.bincount(of, weights=e[passage] * weight, minlength=len(word))
+        return self.up(words / self.n_grams)
 
     def reach(self, fitted: np.ndarray) -> np.ndarray:
         """How far a step moves each n-gram: less the more of the fitted passages it fills, and little if it is in a few texts only."""
-        own = fitted[self.passage]
-        word = np.bincount(self.word[own], weights=self.weight[own] ** 2, minlength=len(self.n_grams)) / self.n_grams**2
-        filled = np.bincount(self.flat, weights=word[self.gram_word], minlength=len(self.buckets))
-        texts = np.unique(self.text[self.passage[own]] * len(self.n_grams) + self.word[own]) % len(self.n_grams)
-        held = np.bincount(self.flat, weights=np.bincount(texts, minlength=len(self.n_grams))[self.gram_word], minlength=len(self.buckets))
+        n = len(self.n_grams)
+        word, texts, last = np.zeros(n), np.zeros(n), np.full(n, -1)
+        for passage, of, weight in self.pairs():
+            own = fitted[passage]
+            word += np.bincount(of[own], weights=weight[own] ** 2, minlength=n)
+            pair = np.unique(self.text[passage[own]] * n + of[own])
+            text, of = pair // n, pair % n
+            texts += np.bincount(of[last[of] != text], minlength=n)  # a text may go on in the next block
+            np.maximum.at(last, of, text)
+        filled, held = self.up(np.stack((word / self.n_grams**2, texts)))
         several = held >= 2
         usual = np.median(filled[several] / held[several]) if several.any() else 1.0
         found = 1 / np.sqrt(filled + DAMPING * usual)
@@ -295,21 +366,30 @@ def fit_once(sample: Sample, y: np.ndarray, fold: np.ndarray, epochs: int, rate:
     return kept
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = 48, rate: float = 0.01, seed: int = 7) -> Model:
-    """The mean of FOLDS fits, each of which leaves out another fifth of the sample to choose its epoch; passages' logits are linear, so models average."""
-    y, sample = np.array(toxic, dtype=np.int64), Sample(texts)
-    if len(set(toxic)) < 2 or not sample.n_passages:
-        return Model(None, 0.0)
-    worded = np.zeros(len(y), dtype=bool)
+def fit_fold(sample: Sample, toxic: list[int], k: int, epochs: int = 48, rate: float = 0.01, seed: int = 7) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """[(buckets, their parts, bias)] of the fit that leaves out fold ``k``; nothing where it can learn nothing."""
+    y, worded = np.array(toxic, dtype=np.int64), np.zeros(len(toxic), dtype=bool)
     worded[sample.text] = True
-    fits = []
-    for k in range(FOLDS):
-        fold = np.arange(len(y)) % 5 == k
-        if worded[~fold].any():
-            fits.append(fit_once(sample, y, fold, epochs, rate, seed + k))
+    fold = np.arange(len(y)) % FOLDS == k
+    if len(set(toxic)) < 2 or not worded[~fold].any():
+        return []
+    return [(sample.buckets, *fit_once(sample, y, fold, epochs, rate, seed + k))]
+
+
+def averaged(fits: list[tuple[np.ndarray, np.ndarray, float]]) -> Model:
+    """The mean of fits; passages' logits are linear, so models average."""
+    if not fits:
+        return Model(None, 0.0)
     parts = np.zeros(BUCKETS)
-    parts[sample.buckets] = np.mean([f[0] for f in fits], axis=0)
-    return Model(parts, float(np.mean([f[1] for f in fits])))
+    for buckets, part, _ in fits:
+        parts[buckets] += part
+    return Model(parts / len(fits), float(np.mean([bias for _, _, bias in fits])))
+
+
+def train(texts: list[str], toxic: list[int], epochs: int = 48, rate: float = 0.01, seed: int = 7) -> Model:
+    """The mean of FOLDS fits, each of which leaves out another fifth of the sample to choose its epoch, one after the other."""
+    sample = Sample(texts)
+    return averaged([f for k in range(FOLDS) for f in fit_fold(sample, toxic, k, epochs, rate, seed)])
 
 
 def held_out(doc_id: str = "doc_id") -> F.Column:
@@ -323,8 +403,20 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     sample = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
     texts = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # fit_rows at most, whatever repeats
-    found = sorted(rows.toArrow().to_pylist(), key=lambda r: r["id"])
-    return train([r["text"] for r in found], [r["label"] for r in found])
+    each = rows.select(F.explode(F.array(*[F.lit(k) for k in range(FOLDS)])).alias("fold"), "id", "label", "text")
+    dealt = each.repartitionByRange(FOLDS, "fold").sortWithinPartitions("fold", "id").select("fold", "label", "text")
+    found = dealt.mapInArrow(_fit_folds, "fold int, buckets binary, parts binary, bias double").toArrow().to_pylist()
+    return averaged([(np.frombuffer(r["buckets"], dtype=np.int64), np.frombuffer(r["parts"]), r["bias"]) for r in sorted(found, key=lambda r: r["fold"])])
+
+
+def _fit_folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fits of the folds that a task has, each from its rows in order."""
+    rows = (r for b in batches for i in range(0, b.num_rows, 100) for r in b.slice(i, 100).to_pylist())
+    for k, own in groupby(rows, key=lambda r: r["fold"]):
+        toxic: list[int] = []
+        sample = Sample(toxic.append(r["label"]) or r["text"] for r in own)
+        for buckets, parts, bias in fit_fold(sample, toxic, k):
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([k], pa.int32()), "buckets": [buckets.tobytes()], "parts": [parts.tobytes()], "bias": [bias]})
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

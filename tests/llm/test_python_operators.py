@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -141,6 +142,61 @@ def test_scores_match_a_plain_version(monkeypatch):
     assert np.allclose(model.scores([*texts[:4], parts]), [*expected[:4], brute_score(model, parts)], atol=1e-12)
 
 
+def test_a_samples_sums_match_dense_products(monkeypatch):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcde") for _ in range(r.randrange(1, 7)))
+    texts = [" ".join(word() for _ in range(r.choice([0, 3, 40, 200]))) for _ in range(60)]
+    monkeypatch.setattr(toxicity, "CHUNK_CHARS", 300)  # texts in parts, and words known from other chunks
+    monkeypatch.setattr(toxicity, "BLOCK", 50)  # texts go on in other blocks
+    sample = toxicity.Sample(texts)
+    shares, counts, held, text_of, keys = [], [], [], [], {}
+    for i, t in enumerate(texts):
+        for part in toxicity.in_parts(t):
+            b = toxicity.bag([part])
+            if not len(b.keys):
+                continue
+            for j, n in enumerate(np.append(b.starts[1:], len(b.flat))):
+                keys.setdefault(int(b.keys[j]), np.bincount(b.flat[b.starts[j] : n], minlength=toxicity.BUCKETS)[sample.buckets])
+            passage, _ = toxicity.passages(b.text_of)
+            for p in range(passage[-1] + 1):
+                found = [int(k) for k in b.keys[b.word_of[passage == p]]]
+                shares.append({k: found.count(k) / len(found) for k in found})
+                text_of.append(i)
+    names, counts = list(keys), np.array(list(keys.values()))
+    share = np.array([[s.get(k, 0.0) for k in names] for s in shares])
+    assert sample.text.tolist() == text_of and len(text_of) == sample.n_passages > len(texts) and len(names) == len(sample.n_grams)
+    mean = counts / counts.sum(axis=1, keepdims=True)
+    rng = np.random.default_rng(1)
+    vectors, error = rng.normal(size=(2, counts.shape[1])), rng.normal(size=(2, len(share)))
+    assert np.allclose(sample.forward(vectors), toxicity.GAIN * vectors @ mean.T @ share.T)
+    assert np.allclose(sample.backward(error), toxicity.GAIN * error @ share @ mean)
+    fitted = np.array(text_of) % 3 > 0
+    filled = ((share[fitted] ** 2).sum(axis=0) / counts.sum(axis=1) ** 2) @ counts
+    held = sum((share[np.array(text_of) == i].sum(axis=0) > 0).astype(int) for i in range(60) if i % 3) @ counts
+    usual = np.median((filled / np.maximum(held, 1))[held >= 2])
+    expected = 1 / np.sqrt(filled + toxicity.DAMPING * usual)
+    assert np.allclose(sample.reach(fitted), expected / expected.max())
+
+
+def test_the_fit_stays_out_of_the_drivers_memory(spark):
+    """Texts of 5 MB: what the driver's Python holds at once is the fitted numbers, not the texts or what is made of them."""
+    made = "concat_ws(' ', transform(sequence(1, 4000), i -> translate(substr(md5(concat((id * 4000 + i * i) % 9973, '')), 1, 4 + i % 5), '0123456789', 'ghijklmnop')))"
+    docs = spark.range(200).selectExpr("id doc_id", f"concat(if(id % 4 = 0, repeat('grumblor ', 200), ''), {made}) text").cache()
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) toxic")
+    assert docs.selectExpr("sum(length(text))").first()[0] > 5_000_000
+    tracemalloc.start()
+    try:
+        model = toxicity.fit(docs, labels)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40e6
+    rows = docs.where(~toxicity.held_out()).orderBy("doc_id").collect()
+    plain = toxicity.train([x.text for x in rows], [int(x.doc_id % 4 == 0) for x in rows])
+    assert np.allclose(model.parts, plain.parts, rtol=1e-9, atol=1e-12) and np.isclose(model.bias, plain.bias)
+    docs.unpersist()
+
+
 def test_toxicity_in_a_hard_sample():
     """Few toxic words in texts of up to 1,000 words of a rich vocabulary, some labels wrong: held-out rows, several seeds."""
     for seed in (1, 2):
