@@ -30,6 +30,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +55,8 @@ UNNAMED = 1 << 62
 FEW = 100_000
 #: A node that more rows hold is joined back to them in shares of about so many.
 HOT_ROWS = 10_000
+#: Bits of a filter of ids for each of them, of one part of it, and of all at most (16 MB): a full one lets more rows through, never fewer.
+FILTER_BITS, FILTER_PART, FILTER_MOST = 16, 1 << 19, 1 << 27
 #: Longest edge of a trie before bounds are tested again.
 EDGE = 32
 
@@ -303,6 +306,39 @@ def each_chunk(docs: DataFrame, doc_id: str, text: str, make, schema: str) -> Da
     return docs.select(F.col(doc_id).cast("long"), text).mapInArrow(run, schema)
 
 
+def _places(hashes: np.ndarray, parts: int, size: int) -> list[np.ndarray]:
+    """The two bits of a filter, all parts in a row, that stand for each hash."""
+    part, mixed = hashes % parts, mix(hashes.view(np.uint64))
+    return [part * size + ((mixed >> np.uint64(shift)) % np.uint64(size)).astype(np.int64) for shift in (0, 32)]
+
+
+def perhaps_in(ids: DataFrame):
+    """A function of an id column that is true for every id of ``ids`` (id) and for few others, so that rows that no join can match are left where they are."""
+    size = FILTER_PART
+    parts = int(min(max(ids.count() * FILTER_BITS // size, 1), FILTER_MOST // size))
+
+    def fill(key: tuple, group: pa.Table) -> pa.Table:
+        bits = np.zeros(size, dtype=bool)
+        for places in _places(group.column("hash").to_numpy(), parts, size):
+            bits[places % size] = True
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["part", "bits"])
+
+    hashed = ids.select(F.xxhash64("id").alias("hash")).withColumn("part", F.pmod("hash", F.lit(parts)))
+    known = np.zeros(parts * size // 8, dtype=np.uint8)
+    for row in hashed.groupBy("part").applyInArrow(fill, "part long, bits binary").collect():  # FILTER_MOST bits at most
+        known[row.part * size // 8 : (row.part + 1) * size // 8] = np.frombuffer(row.bits, dtype=np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(known)
+
+    @F.pandas_udf("boolean")
+    def held(hashes: pd.Series) -> pd.Series:
+        found = np.ones(len(hashes), dtype=bool)
+        for places in _places(hashes.to_numpy(), parts, size):
+            found &= (shared.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 == 1
+        return pd.Series(found)
+
+    return lambda id: held(F.xxhash64(id))
+
+
 def _scan(docs: DataFrame, doc_id: str, text: str, n: int, num: int, den: int) -> DataFrame:
     """A row for each document: (id, n_shingles, node, band, and the node's ids in its two bands), and
     rows with each task's part of the sketch: (part, counters, counts), the latter of non-zero ones or of all.
@@ -381,9 +417,12 @@ def _candidates(docs: DataFrame, members: DataFrame, frequent: np.ndarray, doc_i
 
 
 def _set_rows(docs: DataFrame, dealt: DataFrame, doc_id: str, text: str, n: int) -> DataFrame:
-    """(node, comp, chunk, size, grams) of the nodes in ``dealt`` (id, node, comp, chunk), from one document each."""
+    """(node, comp, chunk, size, grams) of the nodes in ``dealt`` (id, node, comp, chunk), from one document each.
+
+    Only texts that may be wanted are moved.
+    """
     wanted = dealt.groupBy("id", "node").agg(F.collect_list(F.struct("comp", "chunk")).alias("places"))  # two at most
-    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text).join(wanted.hint("shuffle_hash"), "id")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), text).where(perhaps_in(dealt)("id")).join(wanted.hint("shuffle_hash"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -513,12 +552,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     """
     number = F.coalesce(F.col(doc_id).cast("long"), F.lit(UNNAMED) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
     # The row travels as one value, so no name in it can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), number.alias("id"), F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), number.alias("id"))
     found = materialize(classes(docs.select(number.alias("id"), F.col(text).alias("text")), "id", "text", n, num, den).where("n_shingles > 0"))
     gone = found.where("id <> component_id").select("id").distinct().withColumn("worded", F.lit(True))
-    kept = rows.join(gone.hint("shuffle_hash"), ["id", "worded"], "left_anti")
     again = found.groupBy("id").count().where("count > 1").select("id").withColumn("worded", F.lit(True))
+    concerned = perhaps_in(gone.union(again))
+    worded = F.coalesce(F.col(f"row.`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("worded")
+    kept = rows.where(concerned("id")).select("row", "id", worded).join(gone.hint("shuffle_hash"), ["id", "worded"], "left_anti")
     if not again.isEmpty():
         single = kept.join(again.hint("shuffle_hash"), ["id", "worded"], "left_semi").groupBy("id").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
         kept = kept.join(again.hint("shuffle_hash"), ["id", "worded"], "left_anti").select("row").unionByName(single.select("row"))
-    return kept.select("row.*")
+    return rows.where(~concerned("id")).select("row").unionByName(kept.select("row")).select("row.*")

@@ -106,3 +106,37 @@ def test_keep_one_leaves_one_row_of_each_class_and_all_rows_without_words(spark)
     assert len(found) == 7 and sorted(x for x in found if x[0] is not None and x[1]) == [(4, "one two"), (9, " "), (9, text)]
     assert found.count((3, None)) == 2 and found.count((None, "")) == 1 and sum(x[0] is None and bool(x[1]) for x in found) == 1
     assert jaccard.keep_one(docs.where("false")).collect() == []
+
+
+def shuffled(df):
+    """Bytes that the exchanges of the plan of ``df`` wrote when it ran."""
+
+    def walk(node):
+        own = node.metrics().apply("dataSize").value() if node.getClass().getSimpleName() == "ShuffleExchangeExec" else 0
+        return own + sum(walk(node.children().apply(i)) for i in range(node.children().size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_only_rows_that_a_join_can_match_are_moved(spark):
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(10**9)}" for _ in range(200))
+    rows = [(i, text()) for i in range(300)]
+    rows += [(300 + i, rows[i][1] + " more") for i in range(4)]
+    docs, whole = spark.createDataFrame(rows, "doc_id long, text string"), sum(len(t) for _, t in rows)
+    dealt = spark.createDataFrame([(i, jaccard.nodes_of(*jaccard.sets_of([rows[i][1].encode()], 5))[0].item(), 1, 0) for i in range(4)], "id long, node long, comp long, chunk long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        kept, sets = jaccard.keep_one(docs), jaccard._set_rows(docs, dealt, "doc_id", "text", 5)
+        assert sorted(x.doc_id for x in kept.collect()) == list(range(300))
+        assert sorted(x.node for x in sets.collect()) == sorted(x.node for x in dealt.collect())
+        assert 0 < shuffled(kept) < whole / 10 and 0 < shuffled(sets) < whole / 10
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FILTER_PART", 64)
+    monkeypatch.setattr(jaccard, "FILTER_MOST", 128)
+    ids = spark.range(2000)
+    assert ids.where(jaccard.perhaps_in(ids.where("id % 3 = 0"))("id")).where("id % 3 = 0").count() == 667
