@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import cut
@@ -17,63 +18,72 @@ from .genotype import UNIT
 CUTOFF = 0.0442
 #: Pairs of the largest family that is one group, and rounds of drops before families are looked for again.
 FAMILY_PAIRS, ROUNDS = 100_000, 8
-#: Sites of one partial table.
-SITE_BLOCK = 20_000
+#: Sites (by number) that one group takes, and those of them that it unpacks at a time.
+SITE_BLOCK, AT_ONCE = 1_000_000, 1024
 #: Numbers of individuals of one block, in whole longs.
-IND_BLOCK = 2046
-
-
-PARTIALS = "rep int, chrom string, pop string, ind1 int, ind2 int, squares long, het1 long, het2 long"
-
-
-def _tile(rows: pa.Table, width: int) -> list[np.ndarray]:
-    """(ind1, ind2, squares, het1, het2) of the pairs between two blocks of individuals over one block of sites."""
-    side, i, j = (rows.column(c).to_numpy() for c in ("side", "i", "j"))
-    site = np.unique(rows.column("site_id").to_numpy(), return_inverse=True)[1]
-    blocks = []
-    for own, number in ((side == 0, int(i[0])), (side == 1, int(j[0]))):
-        if not own.any():
-            continue
-        found = packed.codes(rows.filter(pa.array(own)).column("codes"), number * width)
-        coded = np.zeros((site.max() + 1, found.shape[1]), dtype=np.uint8)
-        coded[site[own]] = found
-        who, g, held = packed.matrix(coded)
-        blocks.append((who + number * width * packed.PER_WORD, g, held))
-    same = i[0] == j[0]
-    if not same and len(blocks) < 2:
-        return [np.zeros(0, dtype=np.int64)] * 5
-    (a, g, held), (b, h, other) = blocks[0], blocks[-1]
-    sums = packed.squared_differences(g, held, h, other)
-    x, y = np.triu_indices(len(a), k=1) if same else (k.ravel() for k in np.indices((len(a), len(b))))
-    return [a[x], b[y], *(s[x, y].astype(np.int64) for s in sums)]
+IND_BLOCK = 1023
+#: Tasks of the tiles at most, and pairs of one batch that leaves a task.
+TASKS, PAIR_ROWS = 4_000, 200_000
+
+
+def _sums(rows: Iterator[pa.RecordBatch], first: tuple[int, int], same: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(sites that both have, [squares, het1, het2]) of each pair between two blocks of individuals, as matrices by their numbers in the blocks."""
+    total = np.zeros((4, 0, 0))
+    for batch in rows:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            part = batch.slice(at, AT_ONCE)
+            sides = [packed.codes(part.column(c), n) for c, n in zip(("own", "own" if same else "other"), first)]
+            (g, held), (h, other) = ((np.maximum(x - 1.0, 0), (x > 0).astype(np.float64)) for x in sides)
+            grown = np.zeros((4, max(total.shape[1], g.shape[1]), max(total.shape[2], h.shape[1]))) if total.shape[1] < g.shape[1] or total.shape[2] < h.shape[1] else total
+            if grown is not total:
+                grown[:, : total.shape[1], : total.shape[2]] = total
+                total = grown
+            for whole, some in zip(total, (held.T @ other, *packed.squared_differences(g, held, h, other))):
+                whole[: g.shape[1], : h.shape[1]] += some
+    return total[0], list(total[1:])
+
+
+def king_sums(calls: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ind1, ind2, squares, het1, het2) of the pairs with a site in common, ind1 < ind2: sums over what ``keys`` (pop and
+    what else is kept apart: rep and chrom, or rep) does not tell apart.
+
+    Calls are packed, two bits each, and individuals dealt into blocks. A group is the pairs between two blocks over all their
+    sites, which it takes batch by batch, so sums leave it complete and no pair is shuffled; only sites numbered
+    beyond SITE_BLOCK make more groups, whose sums are added.
+    """
+    width, size = max(1, IND_BLOCK // packed.PER_WORD), SITE_BLOCK  # longs of a block
+    coded = packed.words(calls).select(*UNIT, "pop", "site_id", F.expr(f"CAST(word DIV {width} AS INT)").alias("block"), "word", "bits").repartition(*UNIT, "pop", "site_id")
+    placed = coded.groupBy(*UNIT, "pop", "site_id", "block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("codes"))
+    sites = cut(placed.groupBy(*UNIT, "pop", "site_id").agg(F.array_sort(F.collect_list(F.struct("block", "codes"))).alias("b")))
+    slice_ = F.expr(f"CAST(floor(site_id / {size}) AS INT)").alias("slice")
+    pairs = sites.select(*keys, slice_, F.posexplode("b").alias("place", "x"), "b").select(*keys, "slice", "x", F.explode(F.expr("slice(b, place + 1, size(b))")).alias("y"))
+    same = F.col("x.block") == F.col("y.block")
+    tiles = pairs.select(*keys, "slice", F.col("x.block").alias("i"), F.col("y.block").alias("j"), F.col("x.codes").alias("own"), F.when(~same, F.col("y.codes")).alias("other"))
+    held = sites.select(*keys, slice_, F.explode("b.block").alias("block")).groupBy(*keys, "slice").agg(F.count_distinct("block").alias("n"))
+    number = held.agg(F.sum(F.expr("n * (n + 1) DIV 2")).alias("tiles"), F.count_distinct("slice").alias("slices")).first()
+    names = [*keys, "ind1", "ind2", "squares", "het1", "het2"]
+    kinds = {"rep": pa.int32(), "chrom": pa.string(), "pop": pa.string(), "ind1": pa.int32(), "ind2": pa.int32()}
+
+    def run(key: tuple[pa.Scalar, ...], rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        *values, _, i, j = (k.as_py() for k in key)
+        common, sums = _sums(rows, (i * width, j * width), i == j)
+        common = np.triu(common, k=1) if i == j else common
+        step = max(1, PAIR_ROWS // max(common.shape[1], 1))
+        for at in range(0, len(common), step):
+            x, y = np.nonzero(common[at : at + step])
+            x += at
+            found = [(x + i * width * packed.PER_WORD).astype(np.int32), (y + j * width * packed.PER_WORD).astype(np.int32), *(s[x, y].astype(np.int64) for s in sums)]
+            yield pa.RecordBatch.from_arrays([*(pa.repeat(pa.scalar(v, kinds[k]), len(x)) for k, v in zip(keys, values)), *map(pa.array, found)], names)
+
+    schema = ", ".join(f"{n} {dict(rep='int', chrom='string', pop='string', ind1='int', ind2='int').get(n, 'long')}" for n in names)
+    by = [*keys, "slice", "i", "j"]
+    parts = tiles.repartition(min(max(number.tiles or 0, 1), TASKS), *by).groupBy(*by).applyInArrow(run, schema)
+    return parts if (number.slices or 0) < 2 else _summed(parts, [*keys, "ind1", "ind2"])
 
 
 def king_partials(calls: DataFrame) -> DataFrame:
-    """(rep, chrom, pop, ind1, ind2, squares, het1, het2): sums that add over sites and chromosomes, ind1 < ind2.
-
-    Calls are packed, two bits each. Sites and individuals are dealt into blocks; a tile is the pairs between two blocks of
-    individuals over one block of sites, where both have a call, and the populations' tiles at one place share a task's group.
-    """
-    width = max(1, IND_BLOCK // packed.PER_WORD)  # longs of a block
-    coded = cut(packed.words(calls)).select(*UNIT, "pop", "site_id", F.expr(f"CAST(word DIV {width} AS INT)").alias("own"), "word", "bits")
-    placed = coded.groupBy(*UNIT, "pop", "site_id", "own").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("codes"))
-    last = coded.groupBy(*UNIT, "pop").agg(F.max("own").alias("last"))
-    partner = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
-    dealt = placed.join(last, [*UNIT, "pop"]).select(*UNIT, "pop", "site_id", "codes", "own", partner)
-    tiles = dealt.select(*UNIT, "pop", "site_id", "codes", F.floor(F.col("site_id") / SITE_BLOCK).alias("block"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        names = [f.split()[0] for f in PARTIALS.split(", ")]
-        kinds = [pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-        found = []
-        for tile in packed.tiles(group, ["pop"]):
-            numbers = _tile(tile, width)
-            same = [pa.repeat(pa.scalar(tile.column(c)[0].as_py(), t), len(numbers[0])) for c, t in zip(names, kinds[:3])]
-            found.append(pa.Table.from_arrays([*same, *(pa.array(n, t) for n, t in zip(numbers, kinds[3:]))], names))
-        return pa.concat_tables(found)
-
-    parts = tiles.groupBy(*UNIT, "block", "i", "j").applyInArrow(run, PARTIALS)
-    return _summed(parts, [*UNIT, "pop", "ind1", "ind2"])
+    """(rep, chrom, pop, ind1, ind2, squares, het1, het2): sums that add over chromosomes, ind1 < ind2."""
+    return king_sums(calls, [*UNIT, "pop"])
 
 
 def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,10 +92,28 @@ def _summed(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 def kinship(partials: DataFrame, keys: list[str]) -> DataFrame:
     """Kinship of each pair over what ``keys`` keeps apart: chromosome tables, or the genome without chrom."""
-    sums = _summed(partials, [*keys, "ind1", "ind2"])
+    return kinship_of_sums(_summed(partials, [*keys, "ind1", "ind2"]), keys)
+
+
+def _kinship() -> Column:
     least = F.least("het1", "het2")
-    name = lambda i: F.concat_ws("_", F.col("pop"), (F.col(i) + 1).cast("string"))
-    return sums.select(*keys, name("ind1").alias("sample1"), name("ind2").alias("sample2"), F.when(least > 0, F.lit(0.5) - F.col("squares") / (F.lit(4) * least)).alias("kinship"))
+    return F.when(least > 0, F.lit(0.5) - F.col("squares") / (F.lit(4) * least)).alias("kinship")
+
+
+def _name(ind: str) -> Column:
+    return F.concat_ws("_", F.col("pop"), (F.col(ind) + 1).cast("string"))
+
+
+def kinship_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """Kinship of each pair of ``sums`` (keys, ind1, ind2, squares, het1, het2), which has one row for each."""
+    return sums.select(*keys, _name("ind1").alias("sample1"), _name("ind2").alias("sample2"), _kinship())
+
+
+def individual_means_of_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
+    """``individual_means`` of the kinship of ``sums``; individuals are named when their means are known."""
+    ends = F.explode(F.array("ind1", "ind2")).alias("ind")
+    means = sums.select(*keys, ends, _kinship()).groupBy(*keys, "ind").agg(F.avg("kinship").alias("mean_kinship"))
+    return means.select(*keys, _name("ind").alias("sample"), "mean_kinship")
 
 
 def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) -> DataFrame:

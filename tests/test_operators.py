@@ -403,3 +403,21 @@ def test_king_over_blocks_of_individuals(spark, monkeypatch, missing):
     for (a, b), found in got.items():
         both = [(x, dosage[b][s]) for s, x in dosage[a].items() if s in dosage[b]]
         assert a < b and found == (sum((x - y) ** 2 for x, y in both), sum(x == 1 for x, _ in both), sum(y == 1 for _, y in both))
+
+
+def test_king_sums_are_whole_without_a_shuffle_of_pairs(spark, monkeypatch):
+    calls = random_calls(spark, missing=0.3)
+    by_chrom = kinship.kinship(kinship.king_partials(calls), ["rep", "pop"])
+    monkeypatch.setattr(kinship, "IND_BLOCK", 31)
+    sums = kinship.king_sums(calls, ["rep", "pop"])
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and "Aggregate" not in plan[: plan.index("FlatMapGroupsInArrow")]
+    got = kinship.kinship_of_sums(sums, ["rep", "pop"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, by_chrom.collect()))
+    means = {x["sample"]: x.mean_kinship for x in kinship.individual_means(by_chrom, ["rep", "pop"]).collect()}
+    assert {x["sample"]: x.mean_kinship for x in kinship.individual_means_of_sums(sums, ["rep", "pop"]).collect()} == pytest.approx(means)
+
+
+def test_king_has_no_pair_without_a_common_site(spark):
+    rows = [(1, "1", "A", s, float(s), i, h, 1) for i, s in ((0, 0), (0, 1), (1, 1), (2, 2)) for h in (1, 2)]
+    assert [(x.ind1, x.ind2) for x in kinship.king_partials(spark.createDataFrame(rows, CALLS)).collect()] == [(0, 1)]
