@@ -16,8 +16,8 @@ from . import packed
 from .genotype import UNIT
 
 CUTOFF = 0.0442
-#: Pairs of the largest family that is one group, and rounds of drops before families are looked for again.
-FAMILY_PAIRS, ROUNDS = 100_000, 8
+#: Samples and pairs of the largest family that is one group (either is enough), and rounds of drops before families are looked for again.
+FAMILY_SAMPLES, FAMILY_PAIRS, ROUNDS = 16_384, 100_000, 8
 #: Sites (by number) that one group takes, and those of them that it unpacks at a time.
 SITE_BLOCK, AT_ONCE = 1_000_000, 1024
 #: Numbers of individuals of one block, in whole longs.
@@ -120,24 +120,31 @@ def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) ->
     """Samples that stay when the most-related one is dropped until no pair exceeds the cut-off.
 
     Ties go to the smaller id. Families, the connected components of pairs above the cut-off, do not
-    affect each other: a family of at most FAMILY_PAIRS pairs is a group of its own. Of larger ones, all samples that come
+    affect each other. Where FAMILY_SAMPLES at most have close relatives, all families are one group with a matrix of who is
+    close to whom; else families are looked for, and one of at most FAMILY_SAMPLES samples or FAMILY_PAIRS pairs is a group of its
+    own. Of larger ones, all samples that come
     first within two steps of themselves are dropped at once, in ROUNDS rounds, until what is left falls into small
     families. That is the order of one by one: nobody within two steps of such a sample can be dropped before it, so
     until it is dropped neither its own count of relatives nor its relatives' counts change.
     """
-    samples = both_ways(pairs).select(*keys, F.col("sample1").alias("sample")).distinct()
+    each = F.explode(F.array("sample1", "sample2")).alias("sample")
+    samples = pairs.select(*keys, each).distinct()
     close = cut(pairs.where(F.col("kinship") > cutoff).select(*keys, "sample1", "sample2").distinct())
-    dropped, kinds = [], {f.name: f.dataType.simpleString() for f in pairs.schema}
-    while True:
-        grouped = close.join(families(close, keys).withColumnRenamed("sample", "sample1"), [*keys, "sample1"])
-        sizes = grouped.groupBy(*keys, "family").count()
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+    held = close.join(close.select(*keys, each).distinct().groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    dropped = [_dropped(held.where(F.col("n") <= FAMILY_SAMPLES), keys, keys, kinds)]
+    close = cut(held.where(F.col("n") > FAMILY_SAMPLES).drop("n"))
+    while not close.isEmpty():
+        named = cut(families(close, keys))
+        grouped = close.join(named.withColumnRenamed("sample", "sample1"), [*keys, "sample1"])
+        sizes = grouped.groupBy(*keys, "family").count().join(named.groupBy(*keys, "family").agg(F.count("*").alias("n")), [*keys, "family"])
         sized = cut(grouped.join(sizes, [*keys, "family"]))
-        small = sized.where(F.col("count") <= FAMILY_PAIRS)
+        dense = F.col("n") <= FAMILY_SAMPLES
+        dropped.append(_dropped(sized.where(dense), keys, [*keys, "family"], kinds))
+        small = sized.where(~dense & (F.col("count") <= FAMILY_PAIRS))
         dropped.append(small.groupBy(*keys, "family").applyInPandas(_dropper(keys), ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"])))
-        close = cut(sized.where(F.col("count") > FAMILY_PAIRS).select(*keys, "sample1", "sample2"))
-        if close.isEmpty():
-            break
-        for _ in range(ROUNDS):
+        close = cut(sized.where(~dense & (F.col("count") > FAMILY_PAIRS)).select(*keys, "sample1", "sample2"))
+        for _ in range(ROUNDS if not close.isEmpty() else 0):
             first = cut(first_within_two(close, keys))
             dropped.append(first)
             for end in ("sample1", "sample2"):
@@ -149,6 +156,33 @@ def unrelated_set(pairs: DataFrame, keys: list[str], cutoff: float = CUTOFF) ->
     return samples.join(gone, [*keys, "sample"], "left_anti")
 
 
+def _dropped(close: DataFrame, keys: list[str], by: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(keys, sample): who is dropped one by one of the pairs of each group ``by``, which has ``n`` samples."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, near = {}, np.zeros((0, 0), dtype=bool)
+        for batch in batches:
+            if not len(near) and batch.num_rows:
+                near = np.zeros((batch.column("n")[0].as_py(),) * 2, dtype=bool)
+            ends = []
+            for end in ("sample1", "sample2"):
+                coded = batch.column(end).dictionary_encode()
+                ends.append(np.array([number.setdefault(x, len(number)) for x in coded.dictionary.to_pylist()], dtype=np.int64)[np.asarray(coded.indices)])
+            near[ends[0], ends[1]] = near[ends[1], ends[0]] = True
+        np.fill_diagonal(near, False)
+        names, n = list(number), len(near)
+        rank = np.empty(n, dtype=np.int64)
+        rank[sorted(range(n), key=names.__getitem__)] = np.arange(n)
+        order, gone = near.sum(axis=1) * n + (n - 1 - rank), []  # most relatives first, then the smaller id
+        while n and order[worst := int(order.argmax())] >= n:
+            order -= near[worst] * n
+            order[worst] = -n * n
+            gone.append(names[worst])
+        yield pa.RecordBatch.from_arrays([*(pa.repeat(k, len(gone)) for k in key[: len(keys)]), pa.array(gone, pa.string())], [*keys, "sample"])
+
+    return close.select(*by, "sample1", "sample2", F.col("n").cast("int").alias("n")).groupBy(*by).applyInArrow(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "sample string"]))
+
+
 def first_within_two(close: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, sample): samples with more relatives, or on ties a smaller id, than all within two steps of them."""
     ends = F.array(F.struct(F.col("sample1").alias("a"), F.col("sample2").alias("b")), F.struct(F.col("sample2").alias("a"), F.col("sample1").alias("b")))

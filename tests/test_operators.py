@@ -421,3 +421,29 @@ def test_king_sums_are_whole_without_a_shuffle_of_pairs(spark, monkeypatch):
 def test_king_has_no_pair_without_a_common_site(spark):
     rows = [(1, "1", "A", s, float(s), i, h, 1) for i, s in ((0, 0), (0, 1), (1, 1), (2, 2)) for h in (1, 2)]
     assert [(x.ind1, x.ind2) for x in kinship.king_partials(spark.createDataFrame(rows, CALLS)).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("most", [1000, 12, 0])
+def test_unrelated_set_of_dense_families(spark, monkeypatch, most):
+    r = random.Random(4)
+    people = [f"P_{i}" for i in range(30)]
+    near = {p: set() for p in people}
+    rows = []
+    for i, a in enumerate(people):
+        for b in people[i + 1 :]:
+            close = i < 20 and int(b[2:]) < 20 and r.random() < 0.6
+            rows.append((1, "P", a, b, 0.3 if close else 0.0))
+            if close:
+                near[a].add(b)
+                near[b].add(a)
+    while any(near.values()):
+        worst = min(near, key=lambda p: (-len(near[p]), p))
+        for b in near.pop(worst):
+            near[b].discard(worst)
+    monkeypatch.setattr(kinship, "FAMILY_SAMPLES", most)
+    monkeypatch.setattr(kinship, "FAMILY_PAIRS", 20)
+    looked, families = [], kinship.families
+    monkeypatch.setattr(kinship, "families", lambda *a: looked.append(1) or families(*a))
+    got = kinship.unrelated_set(spark.createDataFrame(rows, "rep int, pop string, sample1 string, sample2 string, kinship double"), ["rep", "pop"])
+    assert {x["sample"] for x in got.collect()} == set(near)
+    assert most < 30 or not looked  # one group, no rounds
