@@ -169,6 +169,7 @@ def prune(sites: DataFrame, window: int = 50, step: int = 10, r2: float = 0.1) -
     rounds are needed, as what is dropped seldom matters a window further. Only the numbering of sites by
     position, a few numbers each, is one window for each chromosome.
     """
+    sites = cut(sites)  # numbered, correlated and swept
     x = F.transform("dosage", lambda v: v.cast("double"))
     p = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / (2 * F.size("dosage"))
     block = -(-max(BLOCK, window) // step) * step
