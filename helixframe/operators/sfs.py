@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import cut
 from .genotype import UNIT
 
+#: Cells of dense spectra that one task makes, and tasks at most.
+TASK_CELLS, TASKS = 2_000_000, 4_000
+
 
 def derived_counts(calls: DataFrame) -> DataFrame:
     """(rep, chrom, site_id, allele, pops, counts): for each derived allele its copies by population that carries it, and the
@@ -46,14 +50,22 @@ def sfs_2d(calls: DataFrame, pops: list[str]) -> DataFrame:
     return cells.groupBy(*UNIT, "pop1", "pop2", "pop1_count", "pop2_count").agg(F.count("*").cast("double").alias("count"))
 
 
-def sfs_2d_dense(calls: DataFrame, pops: list[str]) -> DataFrame:
-    """All cells of each joint spectrum, empty ones with 0: for export, as the sparse form is far smaller."""
+def sfs_2d_dense(calls: DataFrame, pops: list[str], by: list[str] = UNIT) -> DataFrame:
+    """All cells of each joint spectrum, empty ones with 0: for export, as the sparse form is far smaller. ``by`` without chrom adds
+    chromosomes up.
+
+    Empty cells are made last, row by row of the grids, so none is joined, added up or shuffled.
+    """
+    row = [*by, "pop1", "pop2", "pop1_count"]
+    found = cut(sfs_2d(calls, pops) if by == UNIT else add_up(sfs_2d(calls, pops), [*row, "pop2_count"]))
     sizes = calls.groupBy(*UNIT, "pop").agg(F.count_distinct("ind", "hap").cast("int").alias("n"))
     side = lambda k: sizes.select(*UNIT, F.col("pop").alias(f"pop{k}"), F.array_position(F.array(*[F.lit(p) for p in pops]), F.col("pop")).alias(f"place{k}"), F.col("n").alias(f"n{k}"))
-    couples = side(1).join(side(2), UNIT).where("place1 > 0 AND place1 < place2")
-    rows = couples.select(*UNIT, "pop1", "pop2", "n2", F.explode(F.sequence(F.lit(0), F.col("n1"))).alias("pop1_count"))
-    grid = rows.select(*UNIT, "pop1", "pop2", "pop1_count", F.explode(F.sequence(F.lit(0), F.col("n2"))).alias("pop2_count"))
-    return grid.join(sfs_2d(calls, pops), [*UNIT, "pop1", "pop2", "pop1_count", "pop2_count"], "left").fillna(0.0, ["count"])
+    couples = cut(side(1).join(side(2), UNIT).where("place1 > 0 AND place1 < place2"))
+    cells = couples.agg(F.sum((F.col("n1") + 1).cast("long") * (F.col("n2") + 1))).first()[0] or 0
+    rows = couples.select(*by, "pop1", "pop2", "n2", F.explode(F.sequence(F.lit(0), F.col("n1"))).alias("pop1_count")).groupBy(*row).agg(F.max("n2").alias("n2"))
+    held = rows.join(found.groupBy(*row).agg(F.collect_list("pop2_count").alias("used")), row, "left").repartition(min(1 + cells // TASK_CELLS, TASKS), *row)
+    empty = F.array_except(F.sequence(F.lit(0), F.col("n2")), F.coalesce("used", F.array().cast("array<int>")))
+    return found.unionByName(held.select(*row, F.explode(empty).alias("pop2_count"), F.lit(0.0).alias("count")))
 
 
 def add_up(spectra: DataFrame, keys: list[str]) -> DataFrame:

@@ -447,3 +447,14 @@ def test_unrelated_set_of_dense_families(spark, monkeypatch, most):
     got = kinship.unrelated_set(spark.createDataFrame(rows, "rep int, pop string, sample1 string, sample2 string, kinship double"), ["rep", "pop"])
     assert {x["sample"] for x in got.collect()} == set(near)
     assert most < 30 or not looked  # one group, no rounds
+
+
+def test_dense_joint_spectra_shuffle_no_cells(spark):
+    rows = [(1, c, p, s, float(s), i, h, int((i + s) % 3 == 0)) for c, most in (("1", 3), ("2", 4)) for p in ("AFR", "EUR") for i in range(most + (p == "EUR")) for s in range(4) for h in (1, 2)]
+    calls = spark.createDataFrame(rows, CALLS)
+    by_chrom = sfs.add_up(sfs.sfs_2d_dense(calls, ["AFR", "EUR"]), ["rep", "pop1", "pop2", "pop1_count", "pop2_count"])
+    genome = sfs.sfs_2d_dense(calls, ["AFR", "EUR"], ["rep"])
+    got = sorted(map(tuple, genome.collect()))
+    assert got == sorted(map(tuple, by_chrom.collect())) and len(got) == 9 * 11 and sum(x[-1] for x in got) == 8
+    plan = genome._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.rindex("array_except")].split("Generate", 1)[0]
