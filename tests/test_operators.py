@@ -458,3 +458,16 @@ def test_dense_joint_spectra_shuffle_no_cells(spark):
     assert got == sorted(map(tuple, by_chrom.collect())) and len(got) == 9 * 11 and sum(x[-1] for x in got) == 8
     plan = genome._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan[: plan.rindex("array_except")].split("Generate", 1)[0]
+
+
+def test_overlaps_of_crowded_cells(spark, monkeypatch):
+    r = random.Random(6)
+    windows = [(i, float(a := r.randrange(40)), float(a + r.randrange(0, 9))) for i in range(60)] * 2
+    periods = [(i, float(a := r.randrange(40)), float(a + r.randrange(1, 9))) for i in range(50)]
+    monkeypatch.setattr(intervals, "SIDE", 3)
+    monkeypatch.setattr(intervals, "TASK_PAIRS", 100)
+    found = intervals.overlaps(spark.createDataFrame(windows, "w int, w_start double, w_end double"), spark.createDataFrame(periods, "p int, p_start double, p_end double"), 16.0)
+    assert found.columns == ["w", "w_start", "w_end", "p", "p_start", "p_end", "overlap", "weight"]
+    want = sorted((w, p, min(b, d) - max(a, c)) for w, a, b in windows for p, c, d in periods if a < d and c < b)
+    assert sorted((x.w, x.p, x.overlap) for x in found.collect()) == want
+    assert found.rdd.getNumPartitions() > 20  # as many tasks as the pairs need, whatever the rows' size
